@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from egress.llm import exact_dedup, packing, token_output
+from egress.llm import chat_format, exact_dedup, packing, secret_scan, token_output
 from egress.llm.store import documents
 
 
@@ -23,10 +23,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_output": op2_token_output,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_chat_format": op9_chat_format,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +47,6 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                row_number() OVER w = 1 AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
+    "op6_secret_scan": secret_scan.oracle_sql(),
+    "op9_chat_format": chat_format.ORACLE_SQL,
 }
