@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from egress.llm import chat_format, exact_dedup, packing, secret_scan, token_output
+from egress.llm import bpe, chat_format, exact_dedup, fingerprints, packing, secret_scan, token_output
 from egress.llm.store import documents
 
 
@@ -27,6 +27,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(documents(spark, sf_dir))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -36,6 +44,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": op2_token_output,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
 }
 
