@@ -128,8 +128,8 @@ def digested(df: DataFrame, id_col: str, text_col: str, digest_bits: int = 256,
 
 
 def buckets_of(rows: DataFrame, *more: str) -> DataFrame:
-    """One row per digest with the least and greatest bytes, which differ only if digests clash. Partial aggregation folds copies in the reading task."""
-    return rows.groupBy(*more, "digest").agg(F.min("bytes").alias("bytes"), F.max("bytes").alias("other"))
+    """One row per digest with the least of its bytes, and the greatest if they differ, which means that digests clash. Partial aggregation folds copies in the reading task."""
+    return rows.groupBy(*more, "digest").agg(F.min("bytes").alias("bytes"), F.nullif(F.max("bytes"), F.min("bytes")).alias("other"))
 
 
 def _best() -> Column:
@@ -181,10 +181,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_snap
     buckets = written(buckets_of(texts, "old"), "dedup-buckets")
     stored, fresh = buckets.filter("old").drop("old"), buckets.filter("not old").drop("old")
 
-    snapshot = build_snapshot(stored)
-    positives = screen(fresh, snapshot).join(fresh, "digest").withColumnsRenamed({"bytes": "new_bytes", "other": "new_other"})
+    snapshot = build_snapshot(stored.drop("other"))
+    positives = screen(fresh, snapshot).join(fresh.select("digest", F.col("bytes").alias("new_bytes")), "digest")
     checked = written(positives.join(snapshot.buckets, "digest").select("digest", (F.col("new_bytes") == F.col("bytes")).alias("same")), "dedup-checked")
-    clashing = buckets.filter("bytes != other").select("digest").union(checked.filter("not same").select("digest")).distinct()
+    clashing = buckets.filter("other IS NOT NULL").select("digest").union(checked.filter("not same").select("digest")).distinct()
 
     groups = rows.groupBy("old", "digest").agg(_best(), F.count("*").alias("size"))
     # A byte-checked digest of the batch falls to the snapshot's group, any other is a group of the batch.
