@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from egress.llm import bpe, chat_format, exact_dedup, fingerprints, packing, secret_scan, token_output, toxicity
+from egress.llm import bpe, chat_format, exact_dedup, fingerprints, near_dedup, packing, secret_scan, token_output, toxicity
 from egress.llm.store import documents
 
 
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(documents(spark, sf_dir), width=4)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_output": op2_token_output,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_fingerprints": op7_fingerprints,
@@ -62,6 +67,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                row_number() OVER w = 1 AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
+    "op4_near_dedup": near_dedup.oracle_sql(4),
     "op6_secret_scan": secret_scan.oracle_sql(),
     "op9_chat_format": chat_format.ORACLE_SQL,
 }
