@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from egress.llm import bpe, chat_format, exact_dedup, fingerprints, near_dedup, packing, secret_scan, token_output, toxicity
+from egress.llm import bpe, chat_format, exact_dedup, fingerprints, lm_score, near_dedup, packing, secret_scan, token_output, toxicity
 from egress.llm.store import documents
 
 
@@ -47,6 +47,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_output": op2_token_output,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {
