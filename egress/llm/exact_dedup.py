@@ -167,7 +167,7 @@ def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_snapshot: Column | None = None, digest_bits: int = 256) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, n_chars (code points).
 
     Texts are equal when equal without ASCII white space. The row with the most code points,
     then the smallest id, stays; of fully repeated rows one stays. ``in_snapshot`` tells the
@@ -204,4 +204,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_snap
 def _told(rows: DataFrame, groups: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """Rows with their group's decision. A hot key is split by adaptive execution: nothing above the join needs a key's rows together."""
     told = rows.join(groups.select(*keys, "best", "group_size"), keys)
-    return told.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    return told.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "n_chars")
+
+
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, with all columns; of rows that repeat an id and a text one stays."""
+    kept = dedup(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha"))
+    rows = df.withColumns({"_points": F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "_hash": F.sha2(normalised(F.col(text_col)), 256)})
+    same = rows[id_col].eqNullSafe(kept["_id"]) & (rows["_points"] == kept["_n"]) & (rows["_hash"] == kept["_sha"])
+    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, "_points", "_hash"]).select(*df.columns)

@@ -264,6 +264,12 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df``, all columns, of the smallest id of each component. Rows that share an id stay or go together."""
+    kept = near_components(df, id_col, text_col, width, percent).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
+    return df.join(kept.hint("shuffle_hash"), df[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+
+
 def oracle_sql(width: int, percent: int = PERCENT) -> str:
     """DuckDB SQL: all pairs that share a shingle, then reachability."""
     return rf"""

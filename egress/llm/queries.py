@@ -70,7 +70,7 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
             FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
-               row_number() OVER w = 1 AS kept, h AS text_sha256
+               row_number() OVER w = 1 AS kept, h AS text_sha256, n AS n_chars
         FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
     "op4_near_dedup": near_dedup.oracle_sql(4),
     "op6_secret_scan": secret_scan.oracle_sql(),

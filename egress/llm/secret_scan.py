@@ -171,33 +171,54 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind_no"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, the columns in ``keep``, n_<kind> for each base kind, base_sha256, spans.
+_SPANS = "array<struct<start:bigint,kind_no:int,end:bigint>>"
 
-    ``spans`` is kind:start:end of all rules by start, then rule order; code points, end
-    exclusive. Null texts are empty and have no spans; rows that repeat an id, or have a null
-    id, are each scanned; an empty table gives an empty result. Other columns are not read.
-    """
+
+def _located(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """All columns of ``df`` as one struct _row, the text as _text, and _at_<kind>: each rule's spans."""
     postings = written(build_index(df, id_col, text_col, rules), "trigram-postings")
     found = candidates(postings, rules).withColumnRenamed("id", "_candidate")
-    docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    docs = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     joined = docs.join(found.hint("shuffle_hash"), docs["_id"].eqNullSafe(found["_candidate"]), "left")
-    text, none = F.col("_text"), F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>")
     spans = {}
     for k, rule in enumerate(rules):
-        own = spans_of(text, rule, k)
-        spans[rule.kind] = own if trigram_query(rule.regex) == ANY else F.when(F.array_contains("kinds", rule.kind), own).otherwise(none)
-    located = joined.select("_id", *[f"_keep_{c}" for c in keep], *[s.alias(f"_at_{kind}") for kind, s in spans.items()])
+        own = spans_of(F.col("_text"), rule, k)
+        spans[rule.kind] = own if trigram_query(rule.regex) == ANY else F.when(F.array_contains("kinds", rule.kind), own).otherwise(F.array().cast(_SPANS))
+    return joined.select("_row", "_id", "_text", *[s.alias(f"_at_{kind}") for kind, s in spans.items()])
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per input row: id, n_<kind> for each base kind, base_sha256, spans.
+
+    ``spans`` is kind:start:end of all rules by start, then rule order; code points, end
+    exclusive. Null texts are empty and have no spans; rows that repeat an id, or have a null
+    id, are each scanned; an empty table gives an empty result. Other columns are not read.
+    """
+    located = _located(df.select(id_col, text_col), id_col, text_col, rules)
     base = [r.kind for r in rules if r.base]
     return located.select(
         F.col("_id").alias(id_col),
-        *[F.col(f"_keep_{c}").alias(c) for c in keep],
         *[F.size(f"_at_{kind}").cast("long").alias(f"n_{kind}") for kind in base],
         F.sha2(_joined(F.concat(*[F.col(f"_at_{kind}") for kind in base]), rules), 256).alias("base_sha256"),
         _joined(F.concat(*[F.col(f"_at_{r.kind}") for r in rules]), rules).alias("spans"),
     )
 
 
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``df`` with every span of its text replaced by ``mark``, overlapping spans by one mark. Rows, their number and all other columns stay; texts without spans stay as they are, null included."""
+    spans = F.array_sort(F.concat(*[F.col(f"_at_{r.kind}") for r in rules]))
+    located = _located(df, id_col, text_col, rules).withColumn("_spans", spans)
+    pair = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    last = lambda acc: F.element_at(acc, -1)
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(pair(last(acc)["start"], F.greatest(last(acc)["end"], x["end"]))))).otherwise(F.concat(acc, F.array(pair(x["start"], x["end"]))))
+    merged = located.withColumn("_merged", F.aggregate("_spans", F.array().cast("array<struct<start:bigint,end:bigint>>"), step))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_merged", lambda x: x["end"]))
+    starts = F.concat(F.transform("_merged", lambda x: x["start"]), F.array(F.char_length("_text").cast("long")))
+    pieces = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("_text"), (a + 1).cast("int"), (b - a).cast("int")))
+    text = F.when(F.size("_merged") > 0, F.array_join(pieces, mark)).otherwise(F.col(f"_row.{text_col}"))
+    return merged.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+
+
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB SQL that scans every text with every rule."""
     parts = []

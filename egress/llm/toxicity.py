@@ -239,6 +239,17 @@ def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, schema)
 
 
+def reject(df: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, all columns, whose text scores below ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            yield batch.filter(pa.array([matcher.score(folded(t)) < threshold for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, with a lexicon learned outside the held-out fold."""
     out = score(docs, lexicon or learn(docs, labels))
