@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from egress.plans.store import written
 
 
+#: Nodes held at once in a partition.
+LOCAL_NODES = 500_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours to the least of itself and its neighbours: the larger ones (large star), or the smaller ones and itself (small star). ``edges``: u > v."""
     if large:
@@ -20,18 +28,53 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each partition's links as stars around their least node: union-find over the partition's own links, told whenever many nodes are held."""
+    parent: dict = {}
+
+    def root(x):  # noqa: ANN001, ANN202
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def told() -> pa.RecordBatch:
+        nodes = [x for x in parent if root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(map(root, nodes), kind)], names=["u", "v"])
+
+    kind = pa.null()
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(a, a), parent.setdefault(b, b)
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > LOCAL_NODES:
+            yield told()
+            parent = {}
+    if parent:
+        yield told()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every node in ``links`` (a, b): comp is the component's least node. Rounds grow with the logarithm of the size.
+    """(node, comp) of every node in ``links`` (a, b): comp is the component's least node. Nodes may be of any type that Arrow and Python order alike, or structs.
 
-    Each round is written to the shared folder, so a lost executor costs one round at most.
-    A node with many links is a hot join key, which adaptive execution splits.
+    Links first shrink to stars inside each partition, then large and small stars alternate;
+    rounds grow with the logarithm of the size. Each round is written to the shared folder,
+    so a lost executor costs one round at most. A node with many links is a hot join key,
+    which adaptive execution splits.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "components")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v")
+    kind = edges.schema["u"].dataType
+    if isinstance(kind, (T.LongType, T.IntegerType, T.StringType, T.BinaryType)):
+        edges = edges.mapInArrow(_local_stars, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
     known = None
     while True:
-        edges = written(_star(_star(edges, True), False), "components")
-        print_ = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if print_ == known:
+        seen = Observation()
+        edges = _star(_star(edges, True), False).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        edges = written(edges, "components")
+        if seen.get == known:
             break
-        known = print_
+        known = seen.get
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
