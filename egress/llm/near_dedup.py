@@ -8,9 +8,9 @@ are compared with all others of the region, in blocks. Two documents with a simi
 0.8 share no region with a probability of 3e-6.
 
 Equal shingle sets form one class and take part once. Candidates whose signatures agree
-too little for the threshold are dropped (a true link fails that test once in 10^7);
-each component then asks for its likeliest links first, and links are confirmed on the
-whole texts' sets until no open candidate joins two components.
+too little for the threshold are dropped (a true link fails that test once in 10^7).
+Links are confirmed on the whole texts' sets: first between documents that a sort brings
+together, then between components, until no open candidate joins two of them.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from egress.llm.components import components
 from egress.llm.store import shuffle_parts, written
 from egress.llm.textvec import groups, shingle_hashes, word_hashes
+from egress.operators.components import components
 
 HASHES, DEPTH = 96, 4
 TREES = HASHES // DEPTH
@@ -34,6 +34,10 @@ PERCENT = 80
 SPARSE = 8
 #: Rows of one side of a block.
 BLOCK = 1024
+#: First links: earlier documents looked at, and sets compared at most.
+WINDOW, TRIES = 128, 3
+#: Open candidates for each document that are confirmed in one round.
+OPEN = 4
 
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -144,33 +148,71 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def _joined(pairs: DataFrame, texts: DataFrame, links: DataFrame, comps: DataFrame | None, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+def _first_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between documents that a sort by candidates brings together.
+
+    A document's label is the least node within two candidate steps. In (label, signature)
+    order each document is held against the ones before it with the same label, likeliest
+    first, until it is linked; one pass moves each text once and links most of a group.
+    """
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+    label = both.join(one, "b").groupBy("a").agg(F.min("m").alias("label")).select(F.col("a").alias("node"), "label")
+    need = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, held = None, []
+        for batch in batches:
+            out = []
+            own = batch.column("text").to_pylist()
+            for piece in groups(own):
+                sets = shingle_sets(own[piece], width)
+                rows = batch.slice(piece.start, len(sets))
+                sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), ">u2").reshape(-1, HASHES).astype(np.uint16)
+                for k, (mark, node) in enumerate(zip(rows.column("label").to_pylist(), rows.column("node").to_pylist(), strict=True)):
+                    if mark != label:
+                        label, held = mark, []
+                    if held:
+                        agree = (np.stack([h[1] for h in held]) == sig[k]).sum(axis=1)
+                        for i in np.argsort(-agree, kind="stable")[:TRIES]:
+                            if agree[i] < need:
+                                break
+                            s, t = held[i][2], sets[k]
+                            both = len(np.intersect1d(s, t, assume_unique=True))
+                            if 100 * both >= percent * (len(s) + len(t) - both):
+                                out.append((held[i][0], node))
+                                break
+                    held = [*held[-WINDOW + 1 :], (node, sig[k], sets[k])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.binary()), pa.array([max(x) for x in out], pa.binary())], names=["a", "b"])
+
+    keys = ["label", "sig", "node"]
+    rows = texts.join(label, "node").select("label", "sig", "node", "text")
+    return written(rows.repartitionByRange(shuffle_parts(pairs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary"), "near-first")
+
+
+def _joined(pairs: DataFrame, texts: DataFrame, links: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Confirms candidates until none that is open joins two components: (links, comps).
 
-    Each round every component asks for its two likeliest open candidates; when few are
-    left, all are asked for at once.
+    When no more than OPEN candidates are open for each document, all are confirmed at once;
+    else every component asks for its likeliest open candidate, round by round.
     """
-    spark = pairs.sparkSession
-    open_ = pairs
+    most = OPEN * texts.count()
     while True:
-        if comps is not None:
-            ends = [comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
-            open_ = open_.drop("ca", "cb").join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", "agree", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca != cb")
-        else:
-            open_ = open_.select("a", "b", "agree", F.col("a").alias("ca"), F.col("b").alias("cb"))
-        open_ = written(open_, "near-open")
-        left = open_.count()
-        if not left:
+        comps = components(links)
+        ends = [comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+        named = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", "agree", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        seen = Observation()
+        open_ = written(named.filter("ca != cb").observe(seen, F.count("*").alias("n")), "near-open")
+        if not seen.get["n"]:
             return links, comps
-        sides = open_.select(F.col("ca").alias("c"), "a", "b", "agree").union(open_.select("cb", "a", "b", "agree"))
-        picked = sides.groupBy("c").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-        asked = written(picked, "near-asked")
-        if left <= 2 * asked.count():
-            asked = open_.select("a", "b")
+        asked = open_.select("a", "b")
+        if seen.get["n"] > most:
+            sides = open_.select(F.col("ca").alias("c"), "a", "b", "agree").union(open_.select("cb", "a", "b", "agree"))
+            asked = written(sides.groupBy("c").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "near-asked")
         told = written(_confirmed(asked, texts, width, percent), "near-told")
-        links = written(links.union(told.filter("linked").select("a", "b")), "near-links")
-        comps = components(links) if not links.isEmpty() else None
-        open_ = open_.join(told.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "agree")
+        links = links.union(told.filter("linked").select("a", "b"))
+        pairs = open_.join(told.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "agree")
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -219,8 +261,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same; null ids are told their component's smallest id, or null. An empty table gives an
     empty result. Other columns are not read.
     """
-    spark = df.sparkSession
-    parts = shuffle_parts(spark)
+    parts = shuffle_parts(df.sparkSession)
     docs = written(sketched(df, id_col, text_col, width), "near-sketches")
     classes = written(
         docs.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")),
@@ -241,24 +282,21 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     crowded = shared.filter(F.col("size") > SPARSE)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
-    reps = classes.join(asked, "node").select("node", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    reps = classes.join(asked, "node").select("node", "sig", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     source = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     match = source["id"].eqNullSafe(reps["rep_id"]) & (source["text_hash"] == reps["rep_hash"])
-    texts = written(source.join(reps, match).groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-
-    none = spark.createDataFrame([], "a binary, b binary")
-    links, comps = _joined(pairs, texts, none, None, width, percent)
-    members = crowded.select("region", "node").join(classes.select("node", "n", "sig"), "node")
-    members = members.join(comps, "node", "left") if comps is not None else members.withColumn("comp", F.lit(None).cast("binary"))
-    late = _blocks(members.withColumn("comp", F.coalesce("comp", "node")), percent).groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    seen = late.join(pairs.select("a", "b"), ["a", "b"], "left_anti")  # earlier pairs are answered
-    links, comps = _joined(written(seen, "near-late"), texts, links, comps, width, percent)
-
-    if comps is None:
-        told = classes.select("node", F.col("least").alias("component_id"))
-    else:
-        owned = classes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        told = owned.select("node", "comp").join(owned.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
+    texts = written(source.join(reps, match).groupBy("node").agg(F.first("text").alias("text"), F.first("sig").alias("sig")), "near-texts")
+
+    links, comps = _joined(pairs, texts, _first_links(pairs, texts, width, percent), width, percent)
+    members = crowded.select("region", "node").join(classes.select("node", "n", "sig"), "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    late = _blocks(members, percent).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    fresh = Observation()
+    late = written(late.join(pairs.select("a", "b"), ["a", "b"], "left_anti").observe(fresh, F.count("*").alias("n")), "near-late")  # earlier pairs are answered
+    if fresh.get["n"]:
+        links, comps = _joined(late, texts, links, width, percent)
+
+    owned = classes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    told = owned.select("node", "comp").join(owned.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
     out = docs.select("id", "n", "node").join(told, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
