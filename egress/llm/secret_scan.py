@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from egress.llm.store import written
 
 _CLASS_LIMIT, _SET_LIMIT = 8, 64
+#: Grams asked for in one AND, a bit each; fewer grams only let more documents through to verification.
+MOST_GRAMS = 62
 
 
 @dataclass(frozen=True)
@@ -115,7 +117,7 @@ def trigram_query(regex: str) -> Query:
 
 
 def grams_of(rules: tuple[Rule, ...]) -> list[str]:
-    return sorted({g for r in rules for ands in trigram_query(r.regex) for g in ands})
+    return sorted({g for r in rules for ands in trigram_query(r.regex) for g in sorted(ands)[:MOST_GRAMS]})
 
 
 def build_index(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -127,9 +129,9 @@ def build_index(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ..
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, kinds): documents whose postings fulfil a rule's query. A document has one row, and at most one kind for each rule."""
-    spark, grams = postings.sparkSession, grams_of(rules)
-    terms = [(r.kind, k, g, len(ands)) for r in rules if (q := trigram_query(r.regex)) != ANY for k, ands in enumerate(sorted(q, key=sorted)) for g in ands]
-    dim = spark.createDataFrame([(kind, k, g, grams.index(g), n) for kind, k, g, n in terms], "kind string, branch int, gram string, bit int, need int")
+    spark = postings.sparkSession
+    branches = [(r.kind, k, sorted(ands)[:MOST_GRAMS]) for r in rules if (q := trigram_query(r.regex)) != ANY for k, ands in enumerate(sorted(q, key=sorted))]
+    dim = spark.createDataFrame([(kind, k, g, bit, len(grams)) for kind, k, grams in branches for bit, g in enumerate(grams)], "kind string, branch int, gram string, bit int, need int")
     held = postings.join(F.broadcast(dim), "gram").groupBy("id", "kind", "branch").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, bit)"))).alias("has"), F.max("need").alias("need"))
     return held.filter("has = need").groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
