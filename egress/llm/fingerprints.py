@@ -97,17 +97,20 @@ def merge_fingerprints(df: DataFrame, key: str, k: int = K) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+        kind = None
         for batch in batches:
+            kind = batch.schema.field(0).type
             for own, salt, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held[own, salt] = merge(held.get((own, salt), np.zeros(0, "<u8")), from_text(text or ""), k)
                 if len(held) >= 50_000:
-                    yield told(held)
+                    yield told(held, kind)
                     held = {}
         if held:
-            yield told(held)
+            yield told(held, kind)
 
-    def told(held: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"key": own, "salt": salt, "fingerprint": to_text(s)} for (own, salt), s in held.items()])
+    def told(held: dict, kind: pa.DataType) -> pa.RecordBatch:
+        keys, salts = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(salts, pa.int32()), pa.array(map(to_text, held.values()), pa.string())], names=["key", "salt", "fingerprint"])
 
     def fold(table: pa.Table) -> pa.Table:
         held = np.zeros(0, "<u8")

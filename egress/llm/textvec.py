@@ -74,10 +74,10 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[n
     """Hashes of all shingles (not yet distinct) of each text, and their number. A text with fewer words has one shingle of all its words, one without words none."""
     total = np.zeros(len(words), np.uint64)
     owner_left = np.repeat(np.cumsum(counts), counts) - np.arange(len(words))  # words from here to the end of the text
-    factor = mixed(np.arange(1, width + 1, dtype=np.uint64))  | np.uint64(1)
+    factor = mixed(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     for j in range(width):
         part = np.zeros(len(words), np.uint64)
-        part[: len(words) - j] = words[j:] * factor[j]
+        part[: max(len(words) - j, 0)] = words[j:] * factor[j]
         total += np.where(owner_left > j, part, np.uint64(0)) if j else part
     first = np.repeat(np.cumsum(counts) - counts, counts) == np.arange(len(words))
     keep = (owner_left >= width) | first
