@@ -13,6 +13,7 @@ fold are taken out, and their tokens are predicted from the counts of the others
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,51 +80,65 @@ def _counts(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _sent(counts: np.ndarray) -> bytes:
+    """Counts as they move: nearly all are 0 or 1, which the shuffle's own codec hardly shrinks."""
+    return zlib.compress(_planes(counts), 1)
+
+
+def _got(blob: bytes) -> np.ndarray:
+    return _counts(zlib.decompress(blob))
+
+
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard by the high half of the hash, so that sorted keys lie in sorted shards."""
     return (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-REQUESTS = "level int, shard int, block int, keys binary, counts binary, kept binary"
+#: A block holds one role of documents: those that give the weights their held-out counts, other training documents, test documents.
+HELD, KEPT, TEST = range(3)
+REQUESTS = "level int, shard int, block int, keys binary, counts binary"
 ANSWERS = "block int, level int, shard int, counts binary, kept binary"
 #: kind 0: a document; 1: distinct known unigrams in a shard; 2: cells of a block's held-out histogram.
-STREAMS = "kind int, doc_id long, fold int, n_tokens long, n_known long, log_sum double, uni binary, bi binary, n_all long, n_kept long, cells array<int>, weights array<long>"
+STREAMS = "kind int, doc_id long, role int, n_tokens long, n_known long, log_sum double, uni binary, bi binary, n_all long, n_kept long, cells array<int>, weights array<long>"
 
 
 def _asks(table: pa.Table, shards: int) -> pa.Table:
-    """Distinct n-grams of a block by shard, with the block's training counts (all, and without the weight fold)."""
-    block, folds = table.column("block")[0].as_py(), np.array(table.column("fold").to_pylist())
-    *levels, sizes = ngrams(table.column("text").to_pylist())
-    all_, kept = np.repeat(folds != TEST_FOLD, sizes), np.repeat((folds != TEST_FOLD) & (folds != WEIGHT_FOLD), sizes)
-    rows = {n: [] for n in ("level", "shard", "block", "keys", "counts", "kept")}
-    for level, tokens in enumerate(levels, 1):
-        keys, place = np.unique(tokens, return_inverse=True)
-        sums = [np.bincount(place, weights=w, minlength=len(keys)).astype(np.int64) for w in (all_, kept)]
+    """Distinct n-grams of a block by shard, with the block's counts if it is a training block."""
+    block = table.column("block")[0].as_py()
+    rows = {n: [] for n in ("level", "shard", "block", "keys", "counts")}
+    for level, tokens in enumerate(ngrams(table.column("text").to_pylist())[:2], 1):
+        keys, counts = np.unique(tokens, return_counts=True)
+        if block % 3 == TEST:
+            counts = None
         cuts = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
         for s in range(shards):
             a, b = cuts[s], cuts[s + 1]
             if a < b:
-                for n, v in zip(rows, (level, s, block, _packed(keys[a:b]), _planes(sums[0][a:b]), _planes(sums[1][a:b])), strict=True):
+                for n, v in zip(rows, (level, s, block, _packed(keys[a:b]), None if counts is None else _sent(counts[a:b])), strict=True):
                     rows[n].append(v)
     kinds = {"level": pa.int32(), "shard": pa.int32(), "block": pa.int32()}
     return pa.table({n: pa.array(v, kinds.get(n, pa.binary())) for n, v in rows.items()})
 
 
 def _sums(table: pa.Table) -> pa.Table:
-    """Answers to all blocks that asked a shard, in the order of their keys; block -1 gets the number of distinct n-grams seen in training."""
+    """Answers to all blocks that asked a shard, in the order of their keys: all training counts, and to blocks of held-out counts those of the other documents. Block -1 gets the number of distinct n-grams seen in training."""
+    blocks = table.column("block").to_pylist()
     keys = [_unpacked(b) for b in table.column("keys").to_pylist()]
     ends = np.cumsum([len(k) for k in keys])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    out = []
-    for name in ("counts", "kept"):
-        own = np.concatenate([_counts(b) for b in table.column(name).to_pylist()])
-        total = np.bincount(place, weights=own, minlength=len(distinct)).astype(np.int64)
-        seen = np.array([np.count_nonzero(total)], np.int64)
-        out.append([*(_planes(total[place[e - len(k) : e]]) for e, k in zip(ends, keys, strict=True)), seen.astype("<u4").tobytes()])
+    total, kept = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    places = [place[e - len(k) : e] for e, k in zip(ends, keys, strict=True)]
+    for block, own, blob in zip(blocks, places, table.column("counts").to_pylist(), strict=True):
+        if blob is not None:
+            total[own] += _got(blob)  # a block's keys are distinct
+            if block % 3 == KEPT:
+                kept[own] += _got(blob)
+    seen = [_sent(np.array([np.count_nonzero(x)])) for x in (total, kept)]
+    counts = [*(_sent(total[own]) for own in places), seen[0]]
+    kepts = [*(_sent(kept[own]) if block % 3 == HELD else None for block, own in zip(blocks, places, strict=True)), seen[1]]
     level, shard = table.column("level")[0].as_py(), table.column("shard")[0].as_py()
-    blocks = [*table.column("block").to_pylist(), -1]
-    same = [pa.array([v] * len(blocks), pa.int32()) for v in (level, shard)]
-    return pa.table([pa.array(blocks, pa.int32()), *same, *(pa.array(o, pa.binary()) for o in out)], names=["block", "level", "shard", "counts", "kept"])
+    same = [pa.array([v] * len(counts), pa.int32()) for v in (level, shard)]
+    return pa.table([pa.array([*blocks, -1], pa.int32()), *same, pa.array(counts, pa.binary()), pa.array(kepts, pa.binary())], names=["block", "level", "shard", "counts", "kept"])
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -151,31 +166,33 @@ def _streamed(docs: pa.Table, answers: pa.Table, shards: int, kept_texts: int) -
     """Every document of a block with its tokens' counts, and the block's held-out histogram."""
     names = [f.split()[0] for f in STREAMS.split(", ")]
     rows: list[dict] = []
-    got = {(a["level"], a["shard"]): a for a in answers.to_pylist() if a["block"] >= 0}
-    for a in answers.to_pylist():
-        if a["block"] < 0 and a["level"] == 1:
-            rows.append({"kind": 1, "n_all": int(np.frombuffer(a["counts"], "<u4")[0]), "n_kept": int(np.frombuffer(a["kept"], "<u4")[0])})
-    if docs.num_rows:
-        folds, ids = np.array(docs.column("fold").to_pylist()), docs.column("doc_id").to_pylist()
+    got = {(a["level"], a["shard"]): a for a in answers.to_pylist()}
+    if not docs.num_rows:  # block -1
+        for (level, _), a in got.items():
+            if level == 1:
+                rows.append({"kind": 1, "n_all": int(_got(a["counts"])[0]), "n_kept": int(_got(a["kept"])[0])})
+    else:
+        role, ids = docs.column("block")[0].as_py() % 3, docs.column("doc_id").to_pylist()
         *levels, sizes = ngrams(docs.column("text").to_pylist())
-        found = []
-        for level, tokens in enumerate(levels, 1):
-            keys, place = np.unique(tokens, return_inverse=True)
+        found: dict[str, list[np.ndarray]] = {"counts": [], "kept": []}
+        for level in (1, 2):
+            keys, place = np.unique(levels[level - 1], return_inverse=True)
+            levels[level - 1] = None
             asked = np.unique(_shard(keys, shards))
-            for name in ("counts", "kept"):
-                sums = np.concatenate([_counts(got[level, int(s)][name]) for s in asked])
+            for name in ("counts", "kept") if role == HELD else ("counts",):
+                sums = np.concatenate([_got(got[level, int(s)][name]) for s in asked])
                 if len(sums) != len(keys):
                     raise ValueError("answers don't fit the block's n-grams")
-                found.append(sums[place].astype(np.int64))
-        uni, uni_kept, bi, bi_kept = found
+                found[name].append(sums[place])
+        uni, bi = found["counts"]
         ends = np.cumsum(sizes)
         logs = np.log10(uni + 0.5)
         for k, (e, n) in enumerate(zip(ends, sizes, strict=True)):
             own = slice(e - n, e)
-            rows.append({"kind": 0, "doc_id": ids[k], "fold": int(folds[k]), "n_tokens": int(n), "n_known": int(np.count_nonzero(uni[own])), "log_sum": math.fsum(logs[own]), "uni": _planes(uni[own]), "bi": _planes(bi[own])})
-        held = np.repeat(folds == WEIGHT_FOLD, sizes)
-        if held.any():
-            cells, weights = _cells(uni_kept[held], bi_kept[held], _contexts(uni_kept, sizes, kept_texts)[held])
+            rows.append({"kind": 0, "doc_id": ids[k], "role": role, "n_tokens": int(n), "n_known": int(np.count_nonzero(uni[own])), "log_sum": math.fsum(logs[own]), "uni": _planes(uni[own]), "bi": _planes(bi[own])})
+        if role == HELD:
+            uni_kept, bi_kept = found["kept"]
+            cells, weights = _cells(uni_kept, bi_kept, _contexts(uni_kept, sizes, kept_texts))
             rows.append({"kind": 2, "cells": cells.tolist(), "weights": weights.tolist()})
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
     return pa.table([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=names)
@@ -216,11 +233,16 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: C
     one by one; an empty table gives an empty result. Without training rows, weights fall back
     to nearly all for the unigrams. Other columns are not read.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (fold_of(id_col, FOLDS) if fold is None else fold).cast("int").alias("fold"))
-    size = rows.agg(F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("chars"), F.count("*").alias("n"), F.count_if(F.col("fold") != TEST_FOLD).alias("train"), F.count_if(~F.col("fold").isin(TEST_FOLD, WEIGHT_FOLD)).alias("kept")).first()
-    blocks, shards = (-(-((size["chars"] or 0) + size["n"] * 8) // per) or 1 for per in (block_chars, shard_chars))
-    train_texts, kept_texts = size["train"], size["kept"]
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
+    fold_col = fold_of(id_col, FOLDS) if fold is None else fold
+    role = F.when(fold_col == TEST_FOLD, TEST).when(fold_col == WEIGHT_FOLD, HELD).otherwise(KEPT)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), role.alias("role"))
+    sizes = {r["role"]: r for r in rows.groupBy("role").agg(F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("chars"), F.count("*").alias("n")).collect()}
+    chars = {k: r["chars"] + 8 * r["n"] for k, r in sizes.items()}
+    texts = {k: r["n"] for k, r in sizes.items()}
+    shards = -(-sum(chars.values()) // shard_chars) or 1
+    kept_texts, train_texts = texts.get(KEPT, 0), texts.get(KEPT, 0) + texts.get(HELD, 0)
+    blocks = F.element_at(F.create_map(*[F.lit(x) for k in range(3) for x in (k, -(-chars.get(k, 0) // block_chars) or 1)]), F.col("role"))
+    dealt = rows.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), blocks) * 3 + F.col("role")).cast("int").alias("block"))
 
     def asks(table: pa.Table) -> pa.Table:
         return _asks(table, shards)
@@ -232,8 +254,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: C
     streams = written(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(streamed, STREAMS), "lm-streams", compression="zstd")
 
     told = streams.agg(
-        F.sum(F.when((F.col("kind") == 0) & (F.col("fold") != TEST_FOLD), F.col("n_tokens"))).alias("tokens"),
-        F.sum(F.when((F.col("kind") == 0) & ~F.col("fold").isin(TEST_FOLD, WEIGHT_FOLD), F.col("n_tokens"))).alias("kept_tokens"),
+        F.sum(F.when(F.col("role") != TEST, F.col("n_tokens"))).alias("tokens"),
+        F.sum(F.when(F.col("role") == KEPT, F.col("n_tokens"))).alias("kept_tokens"),
         F.sum("n_all").alias("words"),
         F.sum("n_kept").alias("kept_words"),
     ).first()
@@ -252,14 +274,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: C
                 w = mix[bucket_of(context)]
                 p = w[:, 0] * bi / np.maximum(context, 1) + w[:, 1] * uni / max(tokens, 1) + w[:, 2] * uniform
                 scores.append(float(np.log10(p).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", "n_tokens", "n_known", "log_sum")), pa.array(scores, pa.float64())], names=["doc_id", "fold", "n_tokens", "n_known", "log_sum", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "role", "n_tokens", "n_known", "log_sum")), pa.array(scores, pa.float64())], names=["doc_id", "role", "n_tokens", "n_known", "log_sum", "score"])
 
-    docs = streams.filter("kind = 0").select("doc_id", "fold", "n_tokens", "n_known", "log_sum", "uni", "bi")
-    done = docs.mapInArrow(finish, "doc_id long, fold int, n_tokens long, n_known long, log_sum double, score double")
+    docs = streams.filter("kind = 0").select("doc_id", "role", "n_tokens", "n_known", "log_sum", "uni", "bi")
+    done = docs.mapInArrow(finish, "doc_id long, role int, n_tokens long, n_known long, log_sum double, score double")
     floor = math.log10(tokens + 0.5 * (words + 1))
     return done.select(
         F.col("doc_id").alias(id_col),
-        (F.col("fold") == TEST_FOLD).alias("held_out"),
+        (F.col("role") == TEST).alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(tokens).cast("long").alias("train_tokens"),
