@@ -27,7 +27,7 @@ from egress.llm.textvec import groups, mixed, word_hashes
 FOLDS, TEST_FOLD, WEIGHT_FOLD = 5, 1, 0
 BUCKETS = 20
 #: Text per block and per shard of n-grams, in characters.
-BLOCK_CHARS, SHARD_CHARS = 16 << 20, 8 << 20
+BLOCK_CHARS, SHARD_CHARS = 12 << 20, 8 << 20
 #: Fixed marks of the end and of the start of a text among word hashes, and of bigrams.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _PAIR = np.uint64(0xD1342543DE82EF95)
@@ -184,6 +184,8 @@ def _streamed(docs: pa.Table, answers: pa.Table, shards: int, kept_texts: int) -
                 if len(sums) != len(keys):
                     raise ValueError("answers don't fit the block's n-grams")
                 found[name].append(sums[place])
+            del keys, place, sums
+        del got
         uni, bi = found["counts"]
         ends = np.cumsum(sizes)
         logs = np.log10(uni + 0.5)
