@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from egress.operators.components import components
@@ -92,8 +92,10 @@ def distances(arcs: DataFrame, sources: DataFrame, cost: str | None, most_rounds
         sent = best.filter("fresh").join(out, on).select("unit", F.col("dst").alias("vid"), (F.col("dist") + F.col("step")).alias("dist"))
         both = best.select("unit", "vid", "dist", F.lit(False).alias("new")).union(sent.withColumn("new", F.lit(True)))
         least = both.groupBy("unit", "vid").agg(F.min("dist").alias("dist"), F.min(F.when(~F.col("new"), F.col("dist"))).alias("old"))
-        best = written(least.select("unit", "vid", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")), "distances")
-        if best.filter("fresh").isEmpty():
+        seen = Observation()
+        improved = least.select("unit", "vid", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh"))
+        best = written(improved.observe(seen, F.count_if("fresh").alias("n")), "distances")
+        if not seen.get["n"]:
             break
     return best.drop("fresh")
 

@@ -526,6 +526,21 @@ def managed_tree(t: Tables) -> DataFrame:
     return flow.managed(arcs, members.withColumn("w", F.lit(1.0)), targets)[0].select("unit", F.round("managed_vph", 4).alias("managed_vph"))
 
 
+@query(f"""
+    WITH {_TREE}, k AS (SELECT unit, count(*) AS total FROM c GROUP BY unit), m AS ({_MANAGED}), p(f) AS (VALUES {", ".join(f"({f!r}::DOUBLE)" for f in evacuation.SCAN)}),
+    a AS (SELECT c.unit, c.cap * k.total AS one, n.cap * k.total / n.n AS two, r.cap * k.total / r.n AS three, 1.0::DOUBLE / k.total AS w FROM c JOIN k USING (unit) JOIN n USING (unit, nk, rk) JOIN r USING (unit, rk)),
+    d AS (SELECT a.unit, p.f, sum(m.managed_vph * p.f * w * least(1, one / (m.managed_vph * p.f), two / (m.managed_vph * p.f), three / (m.managed_vph * p.f))) AS delivered FROM a JOIN m USING (unit), p GROUP BY a.unit, p.f)
+    SELECT m.unit, round(managed_vph, 4) AS managed_vph, round(managed_vph, 4) AS strict_vph, round(greatest(managed_vph, max(delivered)), 4) AS rationed_vph FROM m JOIN d USING (unit) GROUP BY m.unit, managed_vph""")
+def selfish_tree(t: Tables) -> DataFrame:
+    arcs, members, targets = _forest(t)
+    weights = members.withColumn("w", F.lit(1.0))
+    managed = flow.managed(arcs, weights, targets)[0]
+    shares = weights.join(members.groupBy("unit").agg(F.count("*").alias("n")), "unit").select("unit", "vid", (1 / F.col("n")).alias("w"))
+    roads_ = arcs.select("unit", "eid", "src", "dst", F.col("capacity_vph").alias("cap"), F.col("travel_s").alias("t0"))
+    out = evacuation.selfish(roads_, shares, targets, managed)
+    return out.select("unit", *[F.round(c, 4).alias(c) for c in ("managed_vph", "strict_vph", "rationed_vph")])
+
+
 # --- clearance and fixes ----------------------------------------------------------------------
 
 _OUTCOMES = """
