@@ -38,8 +38,6 @@ BLOCK = 1024
 WINDOW, TRIES = 128, 3
 #: Open candidates for each document that are confirmed in one round.
 OPEN = 4
-#: Documents in one part of a region whose candidates are confirmed together.
-CELL = 64
 
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -217,82 +215,67 @@ def _joined(pairs: DataFrame, texts: DataFrame, links: DataFrame, width: int, pe
         pairs = open_.join(told.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "agree")
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b, region): candidates between components within dense regions: each document outside a region's largest component against all its others, in blocks."""
+def _late_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components within dense regions: each document outside a region's largest component against all its others, in blocks.
+
+    Members: region, node, comp, n, sig. Texts travel with the blocks and are compared there,
+    so no candidate pair becomes a row; of a block's links only those that join components
+    are told. A pair is compared in the first tree in which it shares a region (in a sparse
+    one it was a candidate before).
+    """
     by_comp = members.groupBy("region", "comp").agg(F.count("*").alias("k"))
     regions = by_comp.groupBy("region").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("total"), F.count("*").alias("comps")).filter("comps > 1")
     regions = regions.select("region", F.col("top.comp").alias("top"), F.ceil(F.col("total") / BLOCK).cast("int").alias("across"), F.ceil((F.col("total") - F.col("top.k")) / BLOCK).cast("int").alias("down"))
-    rows = members.join(regions, "region").withColumn("h", F.xxhash64("node"))
+    rows = members.join(regions, "region").join(texts.select("node", "text"), "node").withColumn("h", F.xxhash64("node"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["region", "node", "comp", "n", "sig"]
+    cols = ["region", "node", "comp", "n", "sig", "text"]
     strays = rows.filter("comp != top").withColumn("i", F.pmod("h", "down").cast("int")).select(*cols, "i", each("across").alias("j"), F.lit(0).alias("side"))
     others = rows.withColumn("j", F.pmod("h", "across").cast("int")).select(*cols, each("down").alias("i"), "j", F.lit(1).alias("side"))
     cells = strays.unionByName(others)
     need = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
+        cell, held, matrix = None, [], None
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u2").reshape(-1, HASHES).astype(np.uint16)
-            for k, (region, i, j, side, node, comp, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("region", "i", "j", "side", "node", "comp", "n")), strict=True)):
+            out = []
+            for k, (region, i, j, side, node, comp, n, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("region", "i", "j", "side", "node", "comp", "n", "text")), strict=True)):
                 if (region, i, j) != cell:
-                    cell, held = (region, i, j), []
+                    cell, held, matrix, joined = (region, i, j), [], None, {}
                 if side == 0:
-                    held.append((node, comp, n, sig[k]))
-                    matrix = None
+                    held.append((node, comp, n, sig[k], text))
                     continue
                 if not held:
                     continue
                 if matrix is None:
-                    matrix = np.stack([h[3] for h in held])
-                    nodes, comps, sizes = np.array([h[0] for h in held], object), np.array([h[1] for h in held], object), np.array([h[2] for h in held])
-                agree = (matrix == sig[k]).sum(axis=1)
-                hit = np.flatnonzero((agree >= need) & (comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-                if len(hit):
-                    found = _pairs(nodes[hit], np.array([node] * len(hit), object), agree[hit])
-                    yield pa.RecordBatch.from_arrays([found.column("a"), found.column("b"), pa.array([region] * len(hit), pa.binary())], names=["a", "b", "region"])
-
-    spark = members.sparkSession
-    return cells.repartition(shuffle_parts(spark), "region", "i", "j").sortWithinPartitions("region", "i", "j", "side").mapInArrow(run, "a binary, b binary, region binary")
-
-
-def _confirmed_together(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among candidates (a, b, region), for regions with many candidates for each document.
+                    matrix, sizes, sets = np.stack([h[3] for h in held]), np.array([h[2] for h in held]), {}
+                same = matrix == sig[k]
+                agree = same.sum(axis=1)
+                hit = np.flatnonzero((agree >= need) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                hit = hit[same[hit].reshape(-1, TREES, DEPTH).all(axis=2).argmax(axis=1) == region[0]]
+                own = None
+                for h in hit[np.argsort(-agree[hit], kind="stable")].tolist():
+                    x, y = _root(joined, held[h][1]), _root(joined, comp)
+                    if x == y:
+                        continue
+                    own = shingle_sets([text], width)[0] if own is None else own
+                    if h not in sets:
+                        sets[h] = shingle_sets([held[h][4]], width)[0]
+                    both = len(np.intersect1d(sets[h], own, assume_unique=True))
+                    if 100 * both >= percent * (len(sets[h]) + len(own) - both):
+                        joined[x] = y
+                        out.append((held[h][0], node))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([min(o) for o in out], pa.binary()), pa.array([max(o) for o in out], pa.binary())], names=["a", "b"])
 
-    A region's documents fall into parts of about 64; a pair goes to the cell of its two
-    parts, and a text is sent once to each cell that has a pair of it, not once for each pair.
-    """
-    ends = pairs.select("region", F.col("a").alias("node")).union(pairs.select("region", "b"))
-    parts = ends.distinct().groupBy("region").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
-    part = lambda c: F.pmod(F.xxhash64(c), "parts").cast("int")
-    placed = written(pairs.join(parts, "region").select("region", part("a").alias("i"), part("b").alias("j"), "a", "b"), "near-cells")
-    cell = ["region", "i", "j"]
-    needed = placed.select(*cell, F.col("a").alias("node")).union(placed.select(*cell, "b")).distinct()
-    rows = needed.join(texts.select("node", "text"), "node").select(*cell, F.lit(0).alias("side"), F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
-    rows = rows.unionByName(placed.select(*cell, F.lit(1).alias("side"), "a", "b", F.lit(None).cast("string").alias("text")))
+    dealt = cells.repartition(shuffle_parts(members.sparkSession), "region", "i", "j").sortWithinPartitions("region", "i", "j", "side")
+    return written(dealt.mapInArrow(run, "a binary, b binary"), "near-late")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, sets = None, {}
-        for batch in batches:
-            a, b, side = (batch.column(c).to_pylist() for c in ("a", "b", "side"))
-            own = batch.column("text").to_pylist()
-            made = (s for piece in groups(own) for s in shingle_sets(own[piece], width))
-            out = []
-            for *at, x, y, k, shingles in zip(*(batch.column(c).to_pylist() for c in cell), a, b, side, made, strict=True):
-                if at != here:
-                    here, sets = at, {}
-                if k == 0:
-                    sets[x] = shingles
-                    continue
-                s, t = sets[x], sets[y]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    out.append((x, y))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["a", "b"])
 
-    dealt = rows.repartition(shuffle_parts(pairs.sparkSession), *cell).sortWithinPartitions(*cell, "side")
-    return written(dealt.mapInArrow(run, "a binary, b binary"), "near-late-links")
+def _root(parent: dict, x: bytes) -> bytes:
+    while x in parent:
+        x = parent[x]
+    return x
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -331,11 +314,9 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     links, comps = _joined(pairs, texts, _first_links(pairs, texts, width, percent), width, percent)
     members = crowded.select("region", "node").join(classes.select("node", "n", "sig"), "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    late = _blocks(members, percent).groupBy("a", "b").agg(F.min("region").alias("region"))
-    fresh = Observation()
-    late = written(late.join(pairs.select("a", "b"), ["a", "b"], "left_anti").observe(fresh, F.count("*").alias("n")), "near-late")  # earlier pairs are answered
-    if fresh.get["n"]:
-        comps = components(links.union(_confirmed_together(late, texts, width, percent)))
+    late = _late_links(members, texts, width, percent)
+    if not late.isEmpty():
+        comps = components(links.union(late))
 
     owned = classes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     told = owned.select("node", "comp").join(owned.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
