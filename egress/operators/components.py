@@ -17,15 +17,15 @@ LOCAL_NODES = 500_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's neighbours to the least of itself and its neighbours: the larger ones (large star), or the smaller ones and itself (small star). ``edges``: u > v."""
+    """Links each node's neighbours to the least of itself and its neighbours: the larger ones (large star), or the smaller ones and itself (small star). ``edges``: u > v. A link may come more than once."""
     if large:
-        around = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        around = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         out = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter("u > v").distinct()
+    return out.filter("u > v")
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,19 +60,20 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node in ``links`` (a, b): comp is the component's least node. Nodes may be of any type that Arrow and Python order alike, or structs.
 
-    Links first shrink to stars inside each partition, then large and small stars alternate;
-    rounds grow with the logarithm of the size. Each round is written to the shared folder,
+    In each round links shrink to stars inside each partition as it is read, then come a
+    large and a small star; rounds grow with the logarithm of the size. Each round is written to the shared folder,
     so a lost executor costs one round at most. A node with many links is a hot join key,
     which adaptive execution splits.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v")
     kind = edges.schema["u"].dataType
-    if isinstance(kind, (T.LongType, T.IntegerType, T.StringType, T.BinaryType)):
-        edges = edges.mapInArrow(_local_stars, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
+    local = isinstance(kind, (T.LongType, T.IntegerType, T.StringType, T.BinaryType))
+    stars = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
     known = None
     while True:
         seen = Observation()
-        edges = _star(_star(edges, True), False).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        edges = edges.mapInArrow(_local_stars, stars) if local else edges
+        edges = _star(_star(edges, True), False).distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
         edges = written(edges, "components")
         if seen.get == known:
             break
