@@ -191,30 +191,38 @@ def _first_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -
     return written(rows.repartitionByRange(shuffle_parts(pairs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary"), "near-first")
 
 
-def _joined(pairs: DataFrame, texts: DataFrame, links: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirms candidates until none that is open joins two components: (links, comps).
+def _joined(pairs: DataFrame, texts: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirms candidates until none that is open joins two components: (node, comp).
 
     When no more than OPEN candidates are open for each document, all are confirmed at once;
     else every component asks for its likeliest open candidate, round by round.
     """
     most = OPEN * texts.count()
+    comps = components(links)
     while True:
-        comps = components(links)
         ends = [comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
         named = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", "agree", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
         seen = Observation()
         open_ = written(named.filter("ca != cb").observe(seen, F.count("*").alias("n")), "near-open")
         if not seen.get["n"]:
-            return links, comps
+            return comps
+        some = seen.get["n"] > most
         asked = open_.select("a", "b")
-        if seen.get["n"] > most:
+        if some:
             sides = open_.select(F.col("ca").alias("c"), "a", "b", "agree").union(open_.select("cb", "a", "b", "agree"))
             asked = written(sides.groupBy("c").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "near-asked")
         told = written(_confirmed(asked, texts, width, percent), "near-told")
-        links = links.union(told.filter("linked").select("a", "b"))
+        comps = _with_links(comps, told.filter("linked"))
+        if not some:
+            return comps
         pairs = open_.join(told.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "agree")
 
 
+def _with_links(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: those found so far go in as stars."""
+    return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links.select("a", "b")))
+
+
 def _late_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between components within dense regions: each document outside a region's largest component against all its others, in blocks.
 
@@ -312,11 +320,11 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     match = source["id"].eqNullSafe(reps["rep_id"]) & (source["text_hash"] == reps["rep_hash"])
     texts = written(source.join(reps, match).groupBy("node").agg(F.first("text").alias("text"), F.first("sig").alias("sig")), "near-texts")
 
-    links, comps = _joined(pairs, texts, _first_links(pairs, texts, width, percent), width, percent)
+    comps = _joined(pairs, texts, _first_links(pairs, texts, width, percent), width, percent)
     members = crowded.select("region", "node").join(classes.select("node", "n", "sig"), "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     late = _late_links(members, texts, width, percent)
     if not late.isEmpty():
-        comps = components(links.union(late))
+        comps = _with_links(comps, late)
 
     owned = classes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     told = owned.select("node", "comp").join(owned.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
