@@ -32,7 +32,7 @@ SELECT unit, vid AS eid, vid AS src, CAST(-1 - nk AS BIGINT) AS dst, cap AS capa
 UNION ALL SELECT unit, CAST(-1 - nk AS BIGINT), CAST(-1 - nk AS BIGINT), CAST(-100 - rk AS BIGINT), cap, CAST(10 AS DOUBLE), CAST(nk % 4 AS INT) FROM ({FOREST_N}) n
 UNION ALL SELECT unit, CAST(-100 - rk AS BIGINT), CAST(-100 - rk AS BIGINT), CAST(-1000 AS BIGINT), cap, CAST(20 AS DOUBLE), CAST(rk % 4 AS INT) FROM ({FOREST_R}) r"""
 
-PAIRS = "SELECT l_orderkey AS a, -1 - l_partkey AS b FROM {lineitem} WHERE l_shipdate >= DATE '1998-01-01' AND l_shipdate < DATE '1998-04-01'"
+PAIRS = "SELECT l_orderkey AS a, -1 - l_partkey AS b FROM {lineitem}"
 EDGES = f"SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM ({PAIRS}) p WHERE a != b"
 NODES = f"SELECT src AS vid FROM ({EDGES}) e UNION SELECT dst FROM ({EDGES}) e"
 

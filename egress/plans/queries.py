@@ -14,15 +14,19 @@ from egress.sources.roads import least_arcs, relabelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: SQL of queries without an oracle: its recursion holds every pair of a component's vertices, so only the smallest tables fit.
+SMALL_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
-    """Registers a function of :class:`Tables` under its name, with its oracle."""
+def query(sql: str | None = None, small: str | None = None) -> Callable:
+    """Registers a function of :class:`Tables` under its name, with its oracle. ``small``: SQL for tests on the smallest tables, not registered."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = duck(sql)
+        if small:
+            SMALL_SQL[f.__name__] = duck(small)
         return f
 
     return add
@@ -156,12 +160,12 @@ _COMPONENTS = f"""
     SELECT a AS vid, min(z) AS comp FROM r GROUP BY a"""
 
 
-@query(_COMPONENTS)
+@query(small=_COMPONENTS)
 def components(t: Tables) -> DataFrame:
     return graph.labelled(t.sql(NODES), t.sql(EDGES))
 
 
-@query(f"""
+@query(small=f"""
     WITH c AS (SELECT comp, count(*) AS n FROM ({_COMPONENTS}) x GROUP BY comp), k AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM c)
     SELECT coalesce(max(n) FILTER (i = 1), 0) AS s1, coalesce(max(n) FILTER (i = 2), 0) AS s2 FROM k""")
 def component_sizes(t: Tables) -> DataFrame:
@@ -257,7 +261,7 @@ def _node_curve(t: Tables, seed: int) -> DataFrame:
     return removal.removal_curve(nodes, t.sql(EDGES), ranking, _PERMILLE).select("permille", "n_removed", r6("s1"), r6("s2"))
 
 
-@query(_curve_sql(1))
+@query(small=_curve_sql(1))
 def removal_curve_node(t: Tables) -> DataFrame:
     return _node_curve(t, 1)
 
@@ -276,17 +280,17 @@ def _curves(t: Tables) -> DataFrame:
 _BOTH = f"(SELECT 'o1' AS order_name, * FROM ({_curve_sql(1)}) a UNION ALL SELECT 'o2', * FROM ({_curve_sql(2)}) b)"
 
 
-@query(f"SELECT permille, round(avg(s1), 6) AS mean, min(s1) AS min, max(s1) AS max FROM {_BOTH} c GROUP BY permille")
+@query(small=f"SELECT permille, round(avg(s1), 6) AS mean, min(s1) AS min, max(s1) AS max FROM {_BOTH} c GROUP BY permille")
 def random_band(t: Tables) -> DataFrame:
     return removal.band(_curves(t)).select("permille", r6("mean"), "min", "max")
 
 
-@query(f"SELECT order_name, permille FROM (SELECT *, row_number() OVER (PARTITION BY order_name ORDER BY s2 DESC, permille) AS i FROM {_BOTH} c) x WHERE i = 1")
+@query(small=f"SELECT order_name, permille FROM (SELECT *, row_number() OVER (PARTITION BY order_name ORDER BY s2 DESC, permille) AS i FROM {_BOTH} c) x WHERE i = 1")
 def perc_threshold(t: Tables) -> DataFrame:
     return removal.threshold(_curves(t))
 
 
-@query(f"""
+@query(small=f"""
     WITH c AS ({_curve_sql(1)}), g AS (SELECT * FROM (VALUES (0, 0.5), (150, 0.25), (200, 0.125)) v(permille, e))
     SELECT coalesce(c.permille, g.permille) AS permille, s1, CAST(e AS DOUBLE) AS e FROM c FULL JOIN g ON g.permille = c.permille""")
 def curve_with_e(t: Tables) -> DataFrame:

@@ -1,8 +1,10 @@
 """Hand-solved networks, random networks against brute force, and registered queries against DuckDB."""
 
 import itertools
+import math
 import os
 import random
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -199,3 +201,76 @@ def test_query_equals_sql(spark, name):
     rows = sorted((tuple(plain(r[c]) for c in order) for r in got.collect()), key=key)
     expected = sorted((tuple(plain(r[names.index(c)]) for c in order) for r in want.fetchall()), key=key)
     assert rows == expected
+
+
+class Whole:
+    """The links of all line items, and brute force over them."""
+
+    def __init__(self):
+        rows = duckdb.sql(f"SELECT l_orderkey, -1 - l_partkey FROM '{SF}/lineitem.parquet'").fetchall()
+        self.edges = sorted({(min(r), max(r)) for r in rows if r[0] != r[1]})
+        self.nodes = sorted({v for e in self.edges for v in e})
+
+    def comp(self, nodes, edges):
+        parent = {v: v for v in nodes}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+        return {v: root(v) for v in nodes}
+
+    def sizes(self, nodes, edges):
+        found = sorted(Counter(self.comp(nodes, edges).values()).values(), reverse=True)
+        return (found + [0, 0])[:2]
+
+    def curve(self, element, seed=1):
+        tie = lambda v: math.fmod(v * 2654435761 + seed * 40503, 4294967296)
+        order = sorted(self.nodes, key=lambda v: (tie(v), v)) if element == "node" else sorted(self.edges, key=lambda e: (tie(abs(e[0]) * 7919 + abs(e[1])), e))
+        out = []
+        for f in (0, 50, 100, 200, 400):
+            cut = round(f * len(order) / 1000)
+            left = set(order[cut:])
+            nodes, edges = (left, [e for e in self.edges if left.issuperset(e)]) if element == "node" else (self.nodes, left)
+            out.append((f, cut, *(round(s / len(self.nodes), 6) for s in self.sizes(nodes, edges))))
+        return out
+
+    def loads(self):
+        around = defaultdict(list)
+        for a, b in self.edges:
+            around[a].append(b), around[b].append(a)
+        sources_, load = [v for v in self.nodes if v > 0 and v % 101 == 0], Counter()
+        for s in sources_:
+            depth, paths, order = {s: 0}, Counter({s: 1}), [s]
+            for v in order:
+                for w in around[v]:
+                    if w not in depth:
+                        depth[w] = depth[v] + 1
+                        order.append(w)
+                    if depth[w] == depth[v] + 1:
+                        paths[w] += paths[v]
+            dep = Counter()
+            for w in reversed(order[1:]):
+                load[w] += dep[w]
+                for v in around[w]:
+                    if depth[v] == depth[w] - 1:
+                        dep[v] += paths[v] / paths[w] * (1 + dep[w])
+        return sorted((v * len(self.nodes) / len(sources_) for v in load.values()), reverse=True)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_graph_of_all_line_items(spark):
+    """Every line item is a link: one large component, against brute force."""
+    whole, rows = Whole(), lambda name: [tuple(r) for r in queries.QUERIES[name](spark, SF).collect()]
+    want = whole.comp(whole.nodes, whole.edges)
+    assert dict(rows("components")) == want and max(Counter(want.values()).values()) > len(want) / 2
+    assert rows("component_sizes") == [tuple(whole.sizes(whole.nodes, whole.edges))]
+    assert len(rows("edgelist_dedup")) == len(whole.edges)
+    for element in ("node", "edge"):
+        assert sorted(rows(f"removal_curve_{element}")) == whole.curve(element)
+    assert [r.load for r in queries.QUERIES["top_betweenness"](spark, SF).orderBy("rnk").collect()] == pytest.approx(whole.loads()[:20])
