@@ -274,3 +274,10 @@ def test_graph_of_all_line_items(spark):
     for element in ("node", "edge"):
         assert sorted(rows(f"removal_curve_{element}")) == whole.curve(element)
     assert [r.load for r in queries.QUERIES["top_betweenness"](spark, SF).orderBy("rnk").collect()] == pytest.approx(whole.loads()[:20])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_raster_share_of_every_vertex(spark):
+    got = queries.QUERIES["raster_share"](spark, SF).groupBy("eid").agg(F.sum("share").alias("share")).collect()
+    assert sorted(r.eid for r in got) == [r[0] for r in duckdb.sql(f"SELECT c_custkey FROM '{SF}/customer.parquet' ORDER BY 1").fetchall()]
+    assert all(abs(r.share - 1) < 1e-5 for r in got)
