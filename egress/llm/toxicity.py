@@ -24,8 +24,10 @@ from egress.llm.store import fold_of
 
 #: Bound on the labelled rows that the lexicon is fitted on: those with the smallest hashes.
 MOST_LABELLED = 60_000
-#: A term is in so many toxic training texts at least, and in this share of them; and this share of its occurrences is in toxic texts.
-SUPPORT, SHARE, PRECISION = 8, 0.02, 0.7
+#: A term is in so many toxic training texts at least, whatever their number; and this share of its occurrences is in toxic texts.
+SUPPORT, PRECISION = 3, 0.7
+#: Most probability that a term without a leaning is in so many toxic texts by chance, or more.
+CHANCE = 1e-4
 #: Occurrences of a term that count in one text.
 MOST_OF_ONE = 5
 LEAST_WORDS = 20
@@ -131,25 +133,38 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
 
 
 def _counted(rows: DataFrame, asked: frozenset[str] | None) -> DataFrame:
-    """feature, texts, toxic, clean: toxic texts with the feature, and its occurrences in toxic and clean texts. ``asked`` None: all features of toxic texts, in those texts only."""
+    """feature, texts, clean_texts, toxic, clean: toxic and clean texts with the feature, and its occurrences in them. ``asked`` None: all features of toxic texts, in those texts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic, clean = Counter(), Counter(), Counter()
+        texts, clean_texts, toxic, clean = Counter(), Counter(), Counter(), Counter()
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 if asked is None and not label:
                     continue
                 own = {f: min(n, MOST_OF_ONE) for f, n in _features(folded(text)).items() if asked is None or f in asked}
                 (toxic if label else clean).update(own)
-                if label:
-                    texts.update(own.keys())
+                (texts if label else clean_texts).update(own.keys())
         names = list(toxic | clean)
         for at in range(0, len(names), 50_000):
             own = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array([c[n] for n in own], pa.int64()) for c in (texts, toxic, clean))], names=["feature", "texts", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array([c[n] for n in own], pa.int64()) for c in (texts, clean_texts, toxic, clean))], names=["feature", "texts", "clean_texts", "toxic", "clean"])
 
-    sums = [F.sum(c).alias(c) for c in ("texts", "toxic", "clean")]
-    return rows.mapInArrow(run, "feature string, texts long, toxic long, clean long").groupBy("feature").agg(*sums)
+    sums = [F.sum(c).alias(c) for c in ("texts", "clean_texts", "toxic", "clean")]
+    return rows.mapInArrow(run, "feature string, texts long, clean_texts long, toxic long, clean long").groupBy("feature").agg(*sums)
+
+
+def by_chance(texts: int, clean_texts: int, share: float) -> float:
+    """Probability that of all texts with a term so many or more are toxic, if each is toxic with probability ``share``."""
+    n = texts + clean_texts
+    if not 0 < share < 1 or texts <= n * share:
+        return 1.0
+    odds = share / (1 - share)
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(texts + 1) - math.lgamma(clean_texts + 1) + texts * math.log(share) + clean_texts * math.log1p(-share))
+    total = 0.0
+    for k in range(texts, n + 1):
+        total += term
+        term *= (n - k) / (k + 1) * odds
+    return min(total, 1.0)
 
 
 def chosen_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, precision: float = PRECISION) -> dict[str, float]:
@@ -204,14 +219,16 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, support
     """Lexicon, exceptions and curve from labelled training rows.
 
     Without toxic training rows the lexicon is empty and all scores are low. What comes to the driver is
-    bounded by ``most``: frequent features of the chosen rows, and a load and label for each.
+    bounded by ``most``: features of the chosen rows in too many toxic texts for chance, and a load and label for each row.
     """
     rows = training_rows(docs, labels, most)
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    least = max(support, math.ceil(SHARE * n_toxic))
+    share = n_toxic / max(n_toxic + n_clean, 1)
+    least = next((k for k in range(support, n_toxic + 1) if by_chance(k, 0, share) <= CHANCE), support)
     frequent = frozenset(r["feature"] for r in _counted(rows, None).filter(F.col("texts") >= least).select("feature").collect())
-    counts = {r["feature"]: (r["toxic"], r["clean"]) for r in _counted(rows, frequent).filter(F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))).collect()} if frequent else {}
+    leaning = _counted(rows, frequent).filter(F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))).collect() if frequent else []
+    counts = {r["feature"]: (r["toxic"], r["clean"]) for r in leaning if n_clean == 0 or by_chance(r["texts"], r["clean_texts"], share) <= CHANCE}
     lexicon = Lexicon(chosen_terms(counts, n_toxic, n_clean, precision))
     lexicon = Lexicon(lexicon.terms, _exceptions(rows, lexicon, 3) if lexicon.terms else ())
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -243,6 +244,25 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.scored(docs.select("doc_id", "text").limit(0), tags).count() == 0
 
 
+def test_by_chance():
+    assert toxicity.by_chance(4, 0, 0.1) == pytest.approx(1e-4) and toxicity.by_chance(0, 5, 0.3) == 1
+    assert toxicity.by_chance(3, 2, 0.2) == pytest.approx(sum(math.comb(5, k) * 0.2**k * 0.8 ** (5 - k) for k in (3, 4, 5)))
+
+
+def test_rare_terms_stay_in_a_large_corpus(spark):
+    """A term that nine toxic texts of some 500 hold and no clean one is learned."""
+    rnd = random.Random(7)
+    common = [f"word{k}" for k in range(200)]
+    rows = [" ".join([*rnd.choices(common, k=30), *(["blarg"] if i % 5 == 0 else [])]) for i in range(4000)]
+    rare = [i for i in range(0, 4000, 5) if zlib.crc32(str(i).encode()) % 3 != 1][:9]
+    for i in rare:
+        rows[i] = rows[i].replace("blarg", "zibble")
+    tags = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(4000)], "doc_id long, quality int, toxic int")
+    terms = toxicity.learn(table(spark, rows).select("doc_id", "text"), tags).terms
+    assert all(any(toxicity.folded(w).startswith(t) for t in terms) for w in ("zibble", "blarg"))
+    assert not any(t.startswith(" word") for t in terms)
+
+
 # --- secrets
 
 
