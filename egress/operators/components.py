@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from egress.plans.store import written
-
+from egress.plans.store import released, written
 
 #: Nodes held at once in a partition.
 LOCAL_NODES = 500_000
+#: Stars that one task finishes.
+ONE_TASK = 1 << 15
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -60,22 +61,36 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node in ``links`` (a, b): comp is the component's least node. Nodes may be of any type that Arrow and Python order alike, or structs.
 
-    In each round links shrink to stars inside each partition as it is read, then come a
-    large and a small star; rounds grow with the logarithm of the size. Each round is written to the shared folder,
-    so a lost executor costs one round at most. A node with many links is a hot join key,
-    which adaptive execution splits.
+    Links shrink to stars inside each partition as they are read. Once no more than
+    ONE_TASK stars are left, one task finishes them; beyond that come rounds of a large
+    and a small star, whose number grows with the logarithm of the size. Each round is
+    written to the shared folder and the one before is deleted, so a lost executor costs
+    one round at most. A node with many links is a hot join key, which adaptive execution
+    splits.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v")
     kind = edges.schema["u"].dataType
     local = isinstance(kind, (T.LongType, T.IntegerType, T.StringType, T.BinaryType))
     stars = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
     known = None
-    while True:
+    if local:
         seen = Observation()
-        edges = edges.mapInArrow(_local_stars, stars) if local else edges
+        edges = written(edges.mapInArrow(_local_stars, stars).observe(seen, F.count("*").alias("n")), "components")
+        if seen.get["n"] <= ONE_TASK:
+            return _told(edges.coalesce(1).mapInArrow(_local_stars, stars))
+    while True:
+        seen, last = Observation(), edges
+        edges = edges.mapInArrow(_local_stars, stars) if local and known is not None else edges
         edges = _star(_star(edges, True), False).distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
         edges = written(edges, "components")
+        if local or known is not None:
+            released(last)
         if seen.get == known:
-            break
+            return _told(edges)
         known = seen.get
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+
+
+def _told(stars: DataFrame) -> DataFrame:
+    """A row for each node of stars (u, v) around the least nodes v."""
+    centres = stars.select("v").distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(centres.select(F.col("v").alias("node"), F.col("v").alias("comp")))

@@ -34,7 +34,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes the files of tables that :func:`written` returned and no later plan reads, as a loop's finished rounds."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
