@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from egress.plans.store import new_path, shared_dir, shuffle_parts, written
+from egress.plans.store import new_path, released, shared_dir, shuffle_parts, written
 
-__all__ = ["documents", "fold_of", "new_path", "shared_dir", "shuffle_parts", "written"]
+__all__ = ["documents", "fold_of", "new_path", "released", "shared_dir", "shuffle_parts", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
