@@ -9,6 +9,7 @@ regex. Rules without a mandatory trigram are verified on all documents.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser as sre_parser
@@ -42,7 +43,7 @@ BASE_RULES = (
 )
 #: Publicly documented credential formats beyond the base kinds.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\r\n]*(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -138,17 +139,34 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 # --- verification --------------------------------------------------------------------------
 
-_STEP = 64
+_SPANS = "array<struct<start:bigint,kind_no:int,end:bigint>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. A lambda that names an expression instead computes it again for each entry."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each entry the fold of all earlier ones.
+
+    Entries are cut into as many pieces as a piece has entries; each is folded with the
+    heads of its piece, so n entries take n times the root of n steps, and no state grows.
+    """
+
+    def pieces(all_: Column) -> Column:
+        n = F.size(all_)
+        each = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+        last = F.greatest(F.lit(0), (F.ceil(n / each) - 1).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_, k * each + 1, each))
 
+    def told(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, zero, op))
+        heads = _let(sums, lambda s: F.transform(s, lambda _, k: F.aggregate(F.slice(s, F.lit(1), k), zero, op)))
+        within = lambda p, head: F.transform(p, lambda _, i: F.aggregate(F.slice(p, F.lit(1), i), head, op))
+        return _let(heads, lambda h: F.flatten(F.transform(parts, lambda p, k: within(p, F.get(h, k)))))
 
-def _running(lengths: Column) -> Column:
-    """Sums of all earlier entries. Heads of 64 entries first, so that long arrays aren't summed anew for each entry."""
-    add = lambda a, x: a + x
-    zero = F.lit(0).cast("long")
-    head = lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(F.slice(lengths, k * _STEP + 1, F.lit(_STEP)), zero, add)))
-    heads = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _STEP).cast("int")), F.array(zero), head)
-    at = lambda i: F.floor(i / _STEP).cast("int")
-    return F.transform(lengths, lambda _, i: F.get(heads, at(i)) + F.aggregate(F.slice(lengths, at(i) * _STEP + 1, i % _STEP), zero, add))
+    return _let(values, lambda all_: _let(pieces(all_), told))
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -159,13 +177,17 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """
     pattern = F.lit(rule.regex)
     lens = lambda a: F.transform(a, lambda x: F.char_length(x).cast("long"))
-    found = lens(F.regexp_extract_all(text, pattern, F.lit(0)))
     asked = lens(F.regexp_extract_all(text, pattern, F.lit(rule.group)))
-    gaps = F.slice(lens(F.split(text, rule.regex, -1)), F.lit(1), F.size(found))
-    before = _running(F.zip_with(gaps, found, lambda g, m: g + m))
-    rows = F.transform(F.arrays_zip(before.alias("b"), gaps.alias("g"), found.alias("m"), asked.alias("a")), lambda x: F.struct((x["b"] + x["g"]).alias("start"), F.lit(order).alias("kind_no"), (x["b"] + x["g"] + x["m"]).alias("end"), x["a"].alias("asked")))
-    kept = F.transform(F.filter(rows, lambda x: x["asked"] >= rule.least), lambda x: F.struct(x["start"], x["kind_no"], x["end"]))
-    return F.when(F.rlike(text, pattern), kept).otherwise(F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>"))
+    gaps = lens(F.split(text, rule.regex, -1))
+    total = lambda a, x: a + x
+
+    def placed(found: Column, gap: Column) -> Column:
+        before = _before(F.zip_with(gap, found, total), F.lit(0).cast("long"), total)
+        rows = F.filter(F.arrays_zip(before.alias("b"), gap.alias("g"), found.alias("m"), asked.alias("a")), lambda x: x["a"] >= rule.least)
+        return F.transform(rows, lambda x: F.struct((x["b"] + x["g"]).alias("start"), F.lit(order).alias("kind_no"), (x["b"] + x["g"] + x["m"]).alias("end")))
+
+    kept = _let(lens(F.regexp_extract_all(text, pattern, F.lit(0))), lambda found: _let(F.slice(gaps, F.lit(1), F.size(found)), lambda gap: placed(found, gap)))
+    return F.when(F.rlike(text, pattern), kept).otherwise(F.array().cast(_SPANS))
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -173,9 +195,6 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind_no"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-_SPANS = "array<struct<start:bigint,kind_no:int,end:bigint>>"
-
-
 def _located(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
     """All columns of ``df`` as one struct _row, the text as _text, and _at_<kind>: each rule's spans."""
     postings = written(build_index(df, id_col, text_col, rules), "trigram-postings")
@@ -186,7 +205,9 @@ def _located(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...])
     for k, rule in enumerate(rules):
         own = spans_of(F.col("_text"), rule, k)
         spans[rule.kind] = own if trigram_query(rule.regex) == ANY else F.when(F.array_contains("kinds", rule.kind), own).otherwise(F.array().cast(_SPANS))
-    return joined.select("_row", "_id", "_text", *[s.alias(f"_at_{kind}") for kind, s in spans.items()])
+    # An exploded array of one entry is computed once; plain columns would be computed again wherever they are used.
+    once = joined.select("_row", "_id", "_text", F.explode(F.array(F.struct(*[s.alias(f"_at_{kind}") for kind, s in spans.items()]))).alias("_at"))
+    return once.select("_row", "_id", "_text", "_at.*")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -195,6 +216,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
     ``spans`` is kind:start:end of all rules by start, then rule order; code points, end
     exclusive. Null texts are empty and have no spans; rows that repeat an id, or have a null
     id, are each scanned; an empty table gives an empty result. Other columns are not read.
+    A very long text is scanned whole, as one row; time grows with its length and with n
+    times the root of n for its n matches.
     """
     located = _located(df.select(id_col, text_col), id_col, text_col, rules)
     base = [r.kind for r in rules if r.base]
@@ -206,19 +229,47 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
     )
 
 
+def _merged(spans: Column) -> Column:
+    """array<struct<start, end>> of sorted spans, overlapping ones as one."""
+
+    def told(all_: Column) -> Column:
+        reached = _before(F.transform(all_, lambda x: x["end"]), F.lit(-1).cast("long"), lambda a, x: F.greatest(a, x))
+        rows = F.arrays_zip(F.transform(all_, lambda x: x["start"]).alias("start"), reached.alias("reached"))
+        heads = F.filter(rows, lambda x: (x["reached"] < 0) | (x["start"] >= x["reached"]))  # where no earlier span goes on
+        ends = lambda h: F.concat(F.transform(F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda x: x["reached"]), F.array(F.array_max(F.transform(all_, lambda x: x["end"]))))
+        return _let(heads, lambda h: F.zip_with(F.transform(h, lambda x: x["start"]), ends(h), lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
+
+    return F.when(F.size(spans) > 0, _let(spans, told)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+
+
+#: Code points of the chunks that a text is cut into, so that a piece is not searched for from the text's beginning.
+_CHUNK = 1024
+
+
+def _piece(chunks: Column, a: Column, b: Column) -> Column:
+    """Code points a to b (exclusive) of the text that the chunks make up."""
+    first, last = F.floor(a / _CHUNK).cast("int"), F.floor((b - 1) / _CHUNK).cast("int")
+    head, tail = (a % _CHUNK + 1).cast("int"), ((b - 1) % _CHUNK + 1).cast("int")
+    within = F.substring(F.get(chunks, first), head, (b - a).cast("int"))
+    across = F.concat(F.substring(F.get(chunks, first), head, F.lit(_CHUNK)), F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.get(chunks, last), F.lit(1), tail))
+    return F.when(b <= a, F.lit("")).when(first == last, within).otherwise(across)
+
+
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``df`` with every span of its text replaced by ``mark``, overlapping spans by one mark. Rows, their number and all other columns stay; texts without spans stay as they are, null included."""
+    """``df`` with every span of its text replaced by ``mark``, overlapping spans by one mark. Rows, their number and all other columns stay, whatever their names; texts without spans stay as they are, null included.
+
+    A text is one row, whole; time grows with its length and with n times the root of n for
+    its n spans.
+    """
     spans = F.array_sort(F.concat(*[F.col(f"_at_{r.kind}") for r in rules]))
-    located = _located(df, id_col, text_col, rules).withColumn("_spans", spans)
-    pair = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
-    last = lambda acc: F.element_at(acc, -1)
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(pair(last(acc)["start"], F.greatest(last(acc)["end"], x["end"]))))).otherwise(F.concat(acc, F.array(pair(x["start"], x["end"]))))
-    merged = located.withColumn("_merged", F.aggregate("_spans", F.array().cast("array<struct<start:bigint,end:bigint>>"), step))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_merged", lambda x: x["end"]))
-    starts = F.concat(F.transform("_merged", lambda x: x["start"]), F.array(F.char_length("_text").cast("long")))
-    pieces = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("_text"), (a + 1).cast("int"), (b - a).cast("int")))
-    text = F.when(F.size("_merged") > 0, F.array_join(pieces, mark)).otherwise(F.col(f"_row.{text_col}"))
-    return merged.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+    located = _located(df, id_col, text_col, rules).select("_row", "_text", _merged(spans).alias("_merged"))
+    chunks = F.when(F.size("_merged") > 0, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)))
+    cut = located.select("_row", "_text", F.explode(F.array(F.struct("_merged", chunks.alias("chunks")))).alias("_cut"))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cut._merged", lambda x: x["end"]))
+    starts = F.concat(F.transform("_cut._merged", lambda x: x["start"]), F.array(F.char_length("_text").cast("long")))
+    pieces = F.zip_with(ends, starts, lambda a, b: _piece(F.col("_cut.chunks"), a, b))
+    text = F.when(F.size("_cut._merged") > 0, F.array_join(pieces, mark)).otherwise(F.col(f"_row.`{text_col}`"))
+    return cut.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
