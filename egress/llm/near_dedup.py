@@ -118,7 +118,7 @@ PAIRS = "a binary, b binary, agree int"
 
 def _near_pairs(rows: DataFrame, percent: int, deep: bool) -> DataFrame:
     """Candidates among rows sorted by (region, order), whose sizes and signatures allow a link: all pairs of a region of at most SPARSE rows; if ``deep``, neighbours and the pairs of each prefix that no more than SPARSE rows share."""
-    need, around = least_agreement(percent), SPARSE - 1
+    need, around = least_agreement(percent), max(SPARSE - 1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
