@@ -4,7 +4,8 @@ A snapshot is a bucket table (one row per distinct digest, with the bytes that t
 stands for) and static 3-wise binary-fuse filters, one per digest shard, each over a bounded
 number of keys. A new batch is first grouped by digest on its own (map-side combine, so a
 text that fills a third of the batch is one row per task); its distinct digests are then
-screened by the filters, and only positives join the snapshot's buckets for byte checks.
+screened by the filters, a shard's filter being copied to as many tasks as bound its
+digests, and only positives join the snapshot's buckets for byte checks.
 """
 
 from __future__ import annotations
@@ -162,8 +163,11 @@ def build_snapshot(buckets: DataFrame) -> Snapshot:
 
 
 def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """Digests that the snapshot's filters may hold: all that it holds, and about 1 in 65,536 others."""
-    return _keyed(digests, snapshot.shards).groupBy("shard").cogroup(snapshot.filters.groupBy("shard")).applyInArrow(_screen, "digest string")
+    """Digests that the snapshot's filters may hold: all that it holds, and about 1 in 65,536 others. A task screens some KEYS_PER_SHARD digests at most, however small the snapshot is against them."""
+    parts = -(-digests.count() // (snapshot.shards * KEYS_PER_SHARD)) or 1
+    keyed = _keyed(digests, snapshot.shards).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    filters = snapshot.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return keyed.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInArrow(_screen, "digest string")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_snapshot: Column | None = None, digest_bits: int = 256) -> DataFrame:
@@ -173,7 +177,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_snap
     then the smallest id, stays; of fully repeated rows one stays. ``in_snapshot`` tells the
     rows of the older, immutable part (by default half of the ids); the others are the new
     batch. Null texts are empty, empty texts form a group like any other, null ids come last
-    among ties, an empty table gives an empty result. Other columns are not read.
+    among ties, an empty table gives an empty result. A very long text is one row, whole.
+    Other columns are not read.
     """
     old = F.coalesce(fold_of(id_col, 2) == 0 if in_snapshot is None else in_snapshot, F.lit(False)).alias("old")
     texts = digested(df, id_col, text_col, digest_bits, old)
@@ -195,7 +200,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_snap
     if clashing.isEmpty():
         return out
     # Different texts under one digest: these rows alone are grouped by their bytes.
-    clashing = F.broadcast(clashing) if digest_bits < 256 else clashing
     some = written(texts.join(clashing, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()), "dedup-clashes")
     exact = some.groupBy("digest", "bytes").agg(_best(), F.count("*").alias("group_size"))
     return _told(rows.join(clashing, "digest", "left_anti"), merged, ["digest"], id_col).unionByName(_told(some, exact, ["digest", "bytes"], id_col))
@@ -208,8 +212,9 @@ def _told(rows: DataFrame, groups: DataFrame, keys: list[str], id_col: str) -> D
 
 
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all columns; of rows that repeat an id and a text one stays."""
-    kept = dedup(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha"))
-    rows = df.withColumns({"_points": F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "_hash": F.sha2(normalised(F.col(text_col)), 256)})
-    same = rows[id_col].eqNullSafe(kept["_id"]) & (rows["_points"] == kept["_n"]) & (rows["_hash"] == kept["_sha"])
-    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, "_points", "_hash"]).select(*df.columns)
+    """The rows of ``df`` that stay, with all columns, whatever their names; of rows that repeat an id and a text one stays. Null and empty texts are one group; an empty table stays empty."""
+    kept = dedup(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id"), F.col("n_chars").alias("kept_n"), F.col("text_sha256").alias("kept_sha"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n"), F.sha2(normalised(text), 256).alias("sha"))
+    same = rows["id"].eqNullSafe(kept["kept_id"]) & (rows["n"] == kept["kept_n"]) & (rows["sha"] == kept["kept_sha"])
+    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["id", "n", "sha"]).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
