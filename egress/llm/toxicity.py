@@ -28,7 +28,7 @@ MOST_LABELLED = 60_000
 SUPPORT, PRECISION = 3, 0.7
 #: Most probability that a term without a leaning is in so many toxic texts by chance, or more.
 CHANCE = 1e-4
-#: Occurrences of a term that count in one text.
+#: Occurrences of a term in one labelled text that count while the lexicon is learned, so that one text alone makes no weight. Scores count all.
 MOST_OF_ONE = 5
 LEAST_WORDS = 20
 THRESHOLD = 0.7
@@ -123,7 +123,7 @@ def _features(text: str) -> Counter:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(text, toxic) of the labelled rows in the training folds, ``most`` at most, exact copies once.
+    """(text, toxic) of the labelled rows in the training folds, ``most`` at most. Copies count as often as they are labelled; labels of null ids or without a toxic mark are left out; an id labelled twice is toxic if one label says so.
 
     The chosen ids are bounded, so they are broadcast and texts don't move.
     """
@@ -243,12 +243,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, support
 
 
 def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, columns in ``keep``, score. Null and empty texts get the score of no hit; repeated rows are each scored; an empty table gives an empty result."""
+    """One row per input row: id, columns in ``keep``, score. A very long text is scored whole. Null and empty texts get the score of no hit; repeated rows are each scored; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
         for batch in batches:
-            scores = [matcher.score(folded(t)) for t in batch.column("_text").to_pylist()]
+            scores = [matcher.score(folded(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     rows = df.select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).alias("_text"))
@@ -257,7 +257,7 @@ def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str
 
 
 def reject(df: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df``, all columns, whose text scores below ``threshold``."""
+    """The rows of ``df``, all columns, whose text scores below ``threshold``; null and empty texts have no hit and stay. Repeated rows stay or go together; an empty table stays empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
@@ -268,6 +268,6 @@ def reject(df: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: f
 
 
 def scored(docs: DataFrame, labels: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, with a lexicon learned outside the held-out fold."""
+    """doc_id, held_out, score, predicted of every row, with a lexicon learned outside the held-out fold. Null ids count as empty text in the fold; texts as in :func:`score`."""
     out = score(docs, lexicon or learn(docs, labels))
     return out.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
