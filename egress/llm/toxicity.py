@@ -251,7 +251,7 @@ def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str
             scores = [matcher.score(folded(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
-    rows = df.select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+    rows = df.select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).alias("_" * (1 + max(map(len, (id_col, *keep))))))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double"])
     return rows.mapInArrow(run, schema)
 
