@@ -26,13 +26,14 @@ from egress.llm.textvec import groups, mixed, word_hashes
 
 FOLDS, TEST_FOLD, WEIGHT_FOLD = 5, 1, 0
 BUCKETS = 20
-#: Text per block and per shard of n-grams, in characters.
-BLOCK_CHARS, SHARD_CHARS = 12 << 20, 8 << 20
+#: Text per block and per shard of n-grams, in characters; a row counts as so many more in a block.
+BLOCK_CHARS, SHARD_CHARS, ROW_CHARS = 12 << 20, 8 << 20, 1 << 10
 #: Fixed marks of the end and of the start of a text among word hashes, and of bigrams.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _PAIR = np.uint64(0xD1342543DE82EF95)
-#: Steps for an octave in the held-out histogram.
-STEPS = 4
+#: Steps for an octave in the held-out histogram (so an estimate is off by 4.4 % at most), and bits for an estimate's steps; both bound what the driver gets.
+STEPS, STEP_BITS = 8, 9
+NONE = (1 << STEP_BITS) - 1
 
 
 # --- n-grams of a block ---------------------------------------------------------------------
@@ -102,20 +103,29 @@ ANSWERS = "block int, level int, shard int, counts binary, kept binary"
 STREAMS = "kind int, doc_id long, role int, n_tokens long, n_known long, log_sum double, uni binary, bi binary, n_all long, n_kept long, cells array<int>, weights array<long>"
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, as they move to their block. Null stays null."""
+    for batch in batches:
+        texts = [None if t is None else zlib.compress(t.encode(), 1) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()), batch.column("block")], names=["doc_id", "text", "block"])
+
+
+def _texts(table: pa.Table) -> list[str | None]:
+    return [None if t is None else zlib.decompress(t).decode() for t in table.column("text").to_pylist()]
+
+
 def _asks(table: pa.Table, shards: int) -> pa.Table:
     """Distinct n-grams of a block by shard, with the block's counts if it is a training block."""
     block = table.column("block")[0].as_py()
     rows = {n: [] for n in ("level", "shard", "block", "keys", "counts")}
-    for level, tokens in enumerate(ngrams(table.column("text").to_pylist())[:2], 1):
+    for level, tokens in enumerate(ngrams(_texts(table))[:2], 1):
         keys, counts = np.unique(tokens, return_counts=True)
         if block % 3 == TEST:
             counts = None
-        cuts = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
-        for s in range(shards):
-            a, b = cuts[s], cuts[s + 1]
-            if a < b:
-                for n, v in zip(rows, (level, s, block, _packed(keys[a:b]), None if counts is None else _sent(counts[a:b])), strict=True):
-                    rows[n].append(v)
+        shard, cuts = np.unique(_shard(keys, shards), return_index=True)  # those asked only, however many there are
+        for s, a, b in zip(shard.tolist(), cuts, [*cuts[1:], len(keys)], strict=True):
+            for n, v in zip(rows, (level, s, block, _packed(keys[a:b]), None if counts is None else _sent(counts[a:b])), strict=True):
+                rows[n].append(v)
     kinds = {"level": pa.int32(), "shard": pa.int32(), "block": pa.int32()}
     return pa.table({n: pa.array(v, kinds.get(n, pa.binary())) for n, v in rows.items()})
 
@@ -155,11 +165,11 @@ def _contexts(uni: np.ndarray, sizes: np.ndarray, texts: float) -> np.ndarray:
 
 
 def _cells(uni: np.ndarray, bi: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Histogram cells of held-out tokens: context bucket, and the log of both estimates in quarter octaves (255: zero)."""
+    """Histogram cells of held-out tokens: context bucket, and the log of both estimates in steps (NONE: zero)."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        two = np.where(bi > 0, np.minimum(254, np.rint(-STEPS * np.log2(bi / np.maximum(context, 1)))), 255).astype(np.int64)
-        one = np.where(uni > 0, np.minimum(254, np.rint(STEPS * np.log2(np.maximum(uni, 1)))), 255).astype(np.int64)
-    return np.unique(bucket_of(context) << 16 | np.maximum(two, 0) << 8 | one, return_counts=True)
+        two = np.where(bi > 0, np.minimum(NONE - 1, np.rint(-STEPS * np.log2(bi / np.maximum(context, 1)))), NONE).astype(np.int64)
+        one = np.where(uni > 0, np.minimum(NONE - 1, np.rint(STEPS * np.log2(np.maximum(uni, 1)))), NONE).astype(np.int64)
+    return np.unique(bucket_of(context) << 2 * STEP_BITS | np.maximum(two, 0) << STEP_BITS | one, return_counts=True)
 
 
 def _streamed(docs: pa.Table, answers: pa.Table, shards: int, kept_texts: int) -> pa.Table:
@@ -173,7 +183,7 @@ def _streamed(docs: pa.Table, answers: pa.Table, shards: int, kept_texts: int) -
                 rows.append({"kind": 1, "n_all": int(_got(a["counts"])[0]), "n_kept": int(_got(a["kept"])[0])})
     else:
         role, ids = docs.column("block")[0].as_py() % 3, docs.column("doc_id").to_pylist()
-        *levels, sizes = ngrams(docs.column("text").to_pylist())
+        *levels, sizes = ngrams(_texts(docs))
         found: dict[str, list[np.ndarray]] = {"counts": [], "kept": []}
         for level in (1, 2):
             keys, place = np.unique(levels[level - 1], return_inverse=True)
@@ -208,13 +218,13 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, tokens: int, words: int
     weights = np.tile([0.0, 0.9, 0.1], (BUCKETS, 1))
     uniform = 1.0 / (words + 1)
     for b in range(BUCKETS):
-        own = (cells >> 16) == b
+        own = (cells >> 2 * STEP_BITS) == b
         if not own.any() or not counts[own].sum():
             if b:
                 weights[b] = weights[b - 1]
             continue
-        two, one, n = (cells[own] >> 8) & 255, cells[own] & 255, counts[own].astype(float)
-        parts = np.stack([np.where(two == 255, 0.0, 2.0 ** (-two / STEPS)), np.where(one == 255, 0.0, 2.0 ** (one / STEPS) / max(tokens, 1)), np.full(len(n), uniform)])
+        two, one, n = (cells[own] >> STEP_BITS) & NONE, cells[own] & NONE, counts[own].astype(float)
+        parts = np.stack([np.where(two == NONE, 0.0, 2.0 ** (-two / STEPS)), np.where(one == NONE, 0.0, 2.0 ** (one / STEPS) / max(tokens, 1)), np.full(len(n), uniform)])
         mix = np.full(3, 1 / 3)
         for _ in range(rounds):
             share = mix[:, None] * parts
@@ -243,8 +253,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: C
     texts = {k: r["n"] for k, r in sizes.items()}
     shards = -(-sum(chars.values()) // shard_chars) or 1
     kept_texts, train_texts = texts.get(KEPT, 0), texts.get(KEPT, 0) + texts.get(HELD, 0)
-    blocks = F.element_at(F.create_map(*[F.lit(x) for k in range(3) for x in (k, -(-chars.get(k, 0) // block_chars) or 1)]), F.col("role"))
+    weight = {k: chars[k] + ROW_CHARS * texts[k] for k in chars}
+    blocks = F.element_at(F.create_map(*[F.lit(x) for k in range(3) for x in (k, -(-weight.get(k, 0) // block_chars) or 1)]), F.col("role"))
     dealt = rows.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), blocks) * 3 + F.col("role")).cast("int").alias("block"))
+    dealt = dealt.mapInArrow(_squeezed, "doc_id long, text binary, block int")
 
     def asks(table: pa.Table) -> pa.Table:
         return _asks(table, shards)
