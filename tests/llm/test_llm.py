@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
+import base64
 import hashlib
 import itertools
 import math
@@ -107,6 +108,27 @@ def test_token_files(spark, tmp_path):
     assert token_output.token_output(table(spark, []), path).count() == 0
 
 
+def test_token_file_footers(spark, tmp_path):
+    """Dictionary or delta pages, bounded row groups, page indexes; metadata alone can be read."""
+    import pyarrow.parquet as pq
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    token_output.token_output(table(spark, random_texts(3000)), path, f"file://{tmp_path}/ids")
+    files = sorted((tmp_path / "ids").glob("*.parquet"))
+    assert files
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 64 << 20
+            columns = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+            assert {"doc_id", "n_tokens"} <= set(columns) and all(c.has_column_index and c.has_offset_index for c in columns.values())
+            ids = next(c for name, c in columns.items() if name.startswith("ids"))
+            assert {"PLAIN_DICTIONARY", "RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(ids.encodings)
+    plan = token_output.read_tokens(spark, f"file://{tmp_path}/ids").filter("doc_id = 7").select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,7)" in plan and "ids" not in plan.split("ReadSchema")[1]
+
+
 # --- exact dedup
 
 
@@ -144,6 +166,17 @@ def test_without_copies(spark):
     rows = table(spark, ["a b", "a b", "ab", None, "c"], [1, 1, 2, 3, 4])
     assert sorted((r.doc_id, r.text) for r in exact_dedup.without_copies(rows).collect()) == [(1, "a b"), (3, None), (4, "c")]
     assert exact_dedup.without_copies(rows).columns == rows.columns
+    clash = spark.createDataFrame([(1, "a b", "mine", 7, "r"), (2, "ab", "yours", 8, "s")], "doc_id long, text string, _hash string, n long, row string")
+    assert [tuple(r) for r in exact_dedup.without_copies(clash).collect()] == [(1, "a b", "mine", 7, "r")]
+
+
+def test_screen_bounds_its_tasks(spark, monkeypatch):
+    """A batch much larger than its snapshot is screened in parts, with the same outcome."""
+    monkeypatch.setattr(exact_dedup, "LEAST_SHARDS", 2)
+    monkeypatch.setattr(exact_dedup, "KEYS_PER_SHARD", 10)
+    snapshot = exact_dedup.build_snapshot(spark.createDataFrame([(f"d{k}", "x") for k in range(15)], "digest string, bytes string"))
+    batch = spark.createDataFrame([(f"d{k}",) for k in range(400)], "digest string")
+    assert {f"d{k}" for k in range(15)} <= {r.digest for r in exact_dedup.screen(batch, snapshot).collect()}
 
 
 # --- near dedup
@@ -189,6 +222,36 @@ def test_near_components(spark):
     assert list(out.kept) == [i == c for i, c in enumerate(comp)]
 
 
+def test_near_components_of_four_words(spark):
+    texts = near_texts(13) + ODD + ["a b c d", "a b c d e"]
+    sets, comp = brute_components(texts, 4)
+    out = near_dedup.near_components(table(spark, texts), width=4).orderBy("doc_id").toPandas()
+    assert list(out.n_shingles) == [len(s) for s in sets] and list(out.component_id) == comp
+
+
+def test_parity_sketches_spare_all_links():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 300, 20_000, 90_000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for gone in (0, n // 12, n // 9):
+            b = np.r_[a[gone:], rng.integers(0, 1 << 63, gone // 9, dtype=np.uint64)]
+            both, union = len(a) - gone, len(a) + gone // 9
+            if 100 * both >= 80 * union:
+                assert near_dedup.may_link([near_dedup.parity(a)], [near_dedup.parity(b)], np.array([len(a)]), np.array([len(b)]), 80).all()
+    a, b = rng.integers(0, 1 << 63, (2, 300), dtype=np.uint64)
+    assert not near_dedup.may_link([near_dedup.parity(a)], [near_dedup.parity(np.r_[a[:240], b[:60]])], np.array([300]), np.array([300]), 80).any()
+
+
+def test_rounds_of_a_dense_region(spark, monkeypatch):
+    """One candidate in a round: the rounds go on until nothing is left."""
+    monkeypatch.setattr(near_dedup, "SPARSE", 1)
+    monkeypatch.setattr(near_dedup, "OPEN", 1)
+    monkeypatch.setattr(near_dedup, "GROWTH", 2)
+    texts = near_texts(14)
+    out = near_dedup.near_components(table(spark, texts)).orderBy("doc_id").toPandas()
+    assert list(out.component_id) == brute_components(texts, 5)[1]
+
+
 def test_dense_regions_are_completed(spark, monkeypatch):
     """With regions of two rows called dense, the block pass has to find what neighbours miss."""
     monkeypatch.setattr(near_dedup, "SPARSE", 1)
@@ -244,6 +307,59 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.scored(docs.select("doc_id", "text").limit(0), tags).count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Terms, weights, exceptions, length norm, curve and scores worked out again in plain Python."""
+    rnd = random.Random(21)
+    common = [f"word{k}" for k in range(60)]
+    rows, tags = [], []
+    for i in range(900):
+        text, bad = rnd.choices(common, k=rnd.randint(10, 50)), i % 6 == 0
+        text += rnd.choices(["blarg", "zibbleton"], k=rnd.randint(1, 8)) if bad else ["blarg", "farm"] if i % 40 == 1 else []
+        rows.append(" ".join(text))
+        tags.append((i, 1, int(bad)))
+    labels = spark.createDataFrame(tags, "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn(table(spark, rows).select("doc_id", "text"), labels)
+    train = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    bad, good = [rows[i] for i in train if tags[i][2]], [rows[i] for i in train if not tags[i][2]]
+
+    def features(text):
+        out = []
+        for w in toxicity.folded(text).split():
+            out += [f" {w} ", *(f" {w[:k]}" for k in range(4, min(8, len(w)) + 1))]
+        return out
+
+    told = lambda texts, f: sum(min(5, features(t).count(f)) for t in texts)
+    held = lambda texts, f: sum(f in features(t) for t in texts)
+    share, chosen = len(bad) / len(train), {}
+    for f in sorted({f for t in bad for f in features(t)}, key=lambda f: (len(f), f)):
+        a, b, n = held(bad, f), held(good, f), held(bad, f) + held(good, f)
+        chance = sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(a, n + 1))
+        if a < 3 or chance > 1e-4 or told(bad, f) < 0.7 * (told(bad, f) + told(good, f)) or any(f[:k] in chosen for k in range(4, len(f))):
+            continue
+        chosen[f] = math.log((told(bad, f) + 0.5) / (len(bad) + 1)) - math.log((told(good, f) + 0.5) / (len(good) + 1))
+    chosen = {f: w for f, w in chosen.items() if w > 0}
+    assert lexicon.terms == pytest.approx(chosen) and chosen
+    assert toxicity.folded("blarg farm") in lexicon.exceptions
+
+    def load(text):
+        t, total = toxicity.folded(text), 0.0
+        spared = [(m, m + len(e)) for e in lexicon.exceptions for m in range(len(t)) if t.startswith(e, m)]
+        for f, w in chosen.items():
+            total += sum(w for m in range(len(t)) if t.startswith(f, m) and not any(a <= m and m + len(f) <= b for a, b in spared))
+        return math.log1p(1000 * total / max(len(t.split()), 20))
+
+    x, y = np.array([load(rows[i]) for i in train]), np.array([tags[i][2] for i in train])
+    p = 1 / (1 + np.exp(-(lexicon.intercept + lexicon.slope * x)))
+    assert abs((p - y).mean() + 1e-4 * lexicon.intercept) < 1e-6 and abs(((p - y) * x).mean() + 1e-4 * lexicon.slope) < 1e-6
+    extra = table(spark, [*rows[:40], *ODD[:5]]).withColumn("_text", F.lit("mine"))
+    out = toxicity.score(extra, lexicon, keep=("_text",)).toPandas()
+    assert (out._text == "mine").all()
+    for i, got in zip(out.doc_id, out.score, strict=True):
+        assert got == pytest.approx(1 / (1 + math.exp(-(lexicon.intercept + lexicon.slope * load([*rows[:40], *ODD[:5]][i])))), rel=1e-9)
+    left = toxicity.reject(table(spark, [rows[0], rows[2], None, "", rows[0]]), lexicon)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3] and left.columns == table(spark, []).columns
+
+
 def test_by_chance():
     assert toxicity.by_chance(4, 0, 0.1) == pytest.approx(1e-4) and toxicity.by_chance(0, 5, 0.3) == 1
     assert toxicity.by_chance(3, 2, 0.2) == pytest.approx(sum(math.comb(5, k) * 0.2**k * 0.8 ** (5 - k) for k in (3, 4, 5)))
@@ -320,6 +436,24 @@ def test_redact(spark):
     assert got[2] == want
 
 
+def test_whole_private_keys(spark):
+    key = "-----BEGIN EC PRIVATE KEY-----\nMHcCAQEEIabcdef+/=\nAwEHoUQDQgAE\n-----END EC PRIVATE KEY-----"
+    out = secret_scan.redact(table(spark, [f"before {key} after", key + " " + key, key[:60] + " cut"])).orderBy("doc_id").collect()
+    assert [r.text for r in out] == ["before [SECRET] after", "[SECRET] [SECRET]", "[SECRET] cut"]
+
+
+def test_many_matches_in_one_text(spark):
+    """Time must not grow with the square of a text's matches."""
+    import time
+
+    n, began = 100_000, time.time()
+    long = table(spark, ["deadbeefdeadbeef ü " * n])
+    row = secret_scan.scan(long).first()
+    assert row.n_hex == n and row.spans == ",".join(f"hex:{19 * k}:{19 * k + 16}" for k in range(n))
+    assert secret_scan.redact(long).first().text == "[SECRET] ü " * n
+    assert time.time() - began < 150
+
+
 # --- fingerprints
 
 
@@ -349,19 +483,43 @@ def test_sketch_estimates():
     assert (fingerprints.from_text(fingerprints.to_text(sa)) == sa).all()
 
 
+def plain_sketch(text, k=128, width=5):
+    """The bottom sketch in plain integers: words by a polynomial, shingles by a sum of mixed words."""
+    whole = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & whole
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & whole
+        return x ^ (x >> 31)
+
+    known = {}
+    for w in set(words(text)):
+        h, power = 0, 1
+        for b in w:
+            h, power = (h + (b + 1) * power) & whole, power * 0x9E3779B97F4A7C55 & whole
+        known[w] = mix((h + len(w)) & whole)
+    found = {mix((sum(known[w] * (mix(j + 1) | 1) for j, w in enumerate(s)) + len(s)) & whole) for s in shingles(text, width)}
+    return sorted(found)[:k]
+
+
+def plain_likeness(a, b, k=128):
+    both = sorted({*a, *b})[:k]
+    return sum(x in set(a) & set(b) for x in both) / len(both) if both else 1.0
+
+
 def test_edited_likeness(spark):
     texts = random_texts(70, most=60) + ODD
     ids = random.Random(9).sample(range(1000), len(texts))
     out = fingerprints.edited_likeness(table(spark, texts, ids)).toPandas().set_index("doc_id")
     order = [(i, t or "") for i, t in sorted(zip(ids, texts, strict=True))]
-    prints = dict(zip(ids, fingerprints.sketches(texts), strict=True))
+    prints = {i: plain_sketch(t) for i, t in zip(ids, texts, strict=True)}
     for (i, t), (j, nxt) in zip(order, order[1:] + order[:1], strict=True):
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
         assert out.n_chars[i] == len(t) and out.edited_sha256[i] == hashlib.sha256(edited.encode()).hexdigest()
-        assert out.fingerprint[i] == fingerprints.to_text(prints[i])
-        assert out.near_edited[i] == fingerprints.resemblance(prints[i], fingerprints.sketches([edited])[0])
-        assert out.near_next[i] == fingerprints.resemblance(prints[i], prints[j])
+        assert out.fingerprint[i] == base64.b64encode(b"".join(x.to_bytes(8, "little") for x in prints[i])).decode()
+        assert out.near_edited[i] == pytest.approx(plain_likeness(prints[i], plain_sketch(edited)), rel=1e-12)
+        assert out.near_next[i] == pytest.approx(plain_likeness(prints[i], prints[j]), rel=1e-12)
     assert fingerprints.edited_likeness(table(spark, [])).count() == 0
     assert fingerprints.edited_likeness(table(spark, ["a b", "a b", None], [3, 3, None])).count() == 3
 
@@ -446,16 +604,33 @@ def test_lm_scores(spark):
     two_all, two_kept = pairs(lambda f: f != 1), pairs(lambda f: f not in (0, 1))
     starts_all, starts_kept = sum(f != 1 for f in folds), sum(f not in (0, 1) for f in folds)
     held = [(h, w) for t, f in zip(tokens, folds, strict=True) if f == 0 for h, w in zip([0, *t[:-1]], t, strict=True)]
-    context = np.array([starts_kept if h == 0 else kept[h] for h, _ in held])
-    cells, weights = lm_score._cells(np.array([kept[w] for _, w in held]), np.array([two_kept[p] for p in held]), context)
-    mix = lm_score.learn_weights(cells, weights, sum(kept.values()), len(kept))
-    assert np.allclose(mix.sum(axis=1), 1)
+    level = lambda c: 0 if c < 1 else min(19, c.bit_length())
+    uniform = lambda n_words: 1 / (n_words + 1)
+    kept_n = sum(kept.values())
+    mix = {}
+    for b in range(20):  # plain EM on the exact held-out estimates
+        own = []
+        for h, w in held:
+            ctx = starts_kept if h == 0 else kept[h]
+            if level(ctx) == b:
+                own.append((two_kept[h, w] / max(ctx, 1), kept[w] / kept_n, uniform(len(kept))))
+        if not own:
+            mix[b] = mix[b - 1] if b else (0.0, 0.9, 0.1)
+            continue
+        parts, now = np.array(own), np.full(3, 1 / 3)
+        for _ in range(200):
+            shares = parts * now
+            now = (shares / shares.sum(axis=1, keepdims=True)).mean(axis=0)
+        mix[b] = 0.999 * now + 0.001 * np.array([0, 0, 1])
     for i, t in enumerate(tokens):
-        ctx = np.array([starts_all, *(counts[w] for w in t[:-1])], float)
-        w = mix[lm_score.bucket_of(ctx)]
-        p = w[:, 0] * np.array([two_all[x] for x in zip([0, *t[:-1]], t, strict=True)]) / np.maximum(ctx, 1) + w[:, 1] * np.array([counts[x] for x in t]) / n + w[:, 2] / (v + 1)
-        assert out.score[i] == pytest.approx(np.log10(p).sum(), rel=1e-9)
+        total = 0.0
+        for h, w in zip([0, *t[:-1]], t, strict=True):
+            ctx = starts_all if h == 0 else counts[h]
+            m = mix[level(ctx)]
+            total += math.log10(m[0] * two_all[h, w] / max(ctx, 1) + m[1] * counts[w] / n + m[2] * uniform(v))
+        assert out.score[i] == pytest.approx(total, rel=0.01)  # the operator's EM sees estimates in steps
     assert lm_score.score(df.limit(0)).count() == 0
+    assert lm_score.score(table(spark, ["a b", "a b", None], [None, None, None])).count() == 3
 
 
 def test_packed_keys():
