@@ -92,8 +92,21 @@ def tiles(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column
     return F.flatten(F.transform(F.sequence(cell(x0), cell(x1)), lambda tx: F.transform(F.sequence(cell(y0), cell(y1)), lambda ty: F.struct(tx.alias("tx"), ty.alias("ty")))))
 
 
+def within_box(x0: Column, y0: Column, x1: Column, y1: Column, left: Column, low: Column, size: float) -> tuple[Column, Column]:
+    """Where along a segment (0 to 1) it enters and leaves a square; none of it is inside unless the second is greater."""
+    enter, leave = F.lit(0.0), F.lit(1.0)
+    for a, b, edge in ((x0, x1, left), (y0, y1, low)):
+        step = b - a
+        safe = F.when(step == 0, F.lit(1.0)).otherwise(step)
+        one, two = (edge - a) / safe, (edge + size - a) / safe
+        inside = (a >= edge) & (a < edge + size)
+        enter = F.greatest(enter, F.when(step != 0, F.least(one, two)).when(inside, F.lit(0.0)).otherwise(F.lit(2.0)))
+        leave = F.least(leave, F.when(step != 0, F.greatest(one, two)).otherwise(F.lit(1.0)))
+    return enter, leave
+
+
 def clip_to_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Sutherland-Hodgman clip of a convex ring to a box; empty if nothing is left."""
+    """Sutherland-Hodgman clip of a ring to a box; empty if nothing is left. Of a ring that is not convex the parts hang together by sides along the box, which leaves areas and what lies off the box's border right."""
 
     def half(pts: Column, axis: str, other: str, limit: Column, sign: int) -> Column:
         inside = lambda p: (p[axis] - limit) * sign >= 0

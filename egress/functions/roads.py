@@ -36,19 +36,18 @@ def with_capacity(arcs: DataFrame, classes: DataFrame, default: tuple[float, flo
 
 
 def drivable(tags: dict[str, Column]) -> Column:
-    """Whether none of the tags excludes the way; missing tags exclude nothing."""
-    out = F.lit(True)
+    """Whether a way has a highway tag and none of its tags excludes it; other missing tags exclude nothing."""
+    out = tags["highway"].isNotNull()
     for key, pattern in NOT_DRIVEN.items():
         if key in tags:
             out = out & ~F.rlike(F.coalesce(tags[key], F.lit("")), F.lit(pattern))
     return out
 
 
-def extra_road(tags: dict[str, Column], highways: list[str], not_services: list[str]) -> Column:
-    """Whether a way is one of the extra road kinds, not an area, and of no excluded service."""
-    area = F.coalesce(tags.get("area", F.lit("")), F.lit(""))
-    service = F.coalesce(tags.get("service", F.lit("")), F.lit(""))
-    return F.coalesce(tags["highway"].isin(highways), F.lit(False)) & (area != "yes") & ~service.isin(not_services)
+def extra_road(tags: dict[str, Column], highways: list[str], not_services: list[str], not_tracktypes: list[str]) -> Column:
+    """Whether a way is one of the extra road kinds, not an area ('yes' anywhere in the tag), and of no excluded service or track type."""
+    own = lambda key: F.coalesce(tags.get(key, F.lit("")), F.lit(""))
+    return F.coalesce(tags["highway"].isin(highways), F.lit(False)) & ~F.contains(own("area"), F.lit("yes")) & ~own("service").isin(not_services) & ~own("tracktype").isin(not_tracktypes)
 
 
 def road_key(name: Column, ref: Column) -> Column:
@@ -57,20 +56,23 @@ def road_key(name: Column, ref: Column) -> Column:
 
 
 def clock(hours: Column) -> Column:
-    """Hours since midnight as HH:MM."""
-    minutes = F.floor(hours * 60 + 0.5)
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.concat(two(F.floor(minutes / 60) % 24), F.lit(":"), two(minutes % 60))
+    """Hours since midnight as HH:MM, halves of a minute to the even one; hours go on after 24."""
+    minutes = F.bround(hours * 60, 0).cast("long")
+    return F.format_string("%02d:%02d", F.floor(minutes / 60), minutes % 60)
 
 
 def plain_place(name: Column) -> Column:
-    """A place's name without its legal suffix, trimmed."""
-    return F.trim(F.regexp_replace(name, r" (city|town|CDP)$", ""))
+    """A place's name up to the first comma and without its legal suffix, trimmed."""
+    return F.trim(F.regexp_replace(F.split(name, ",")[0], r" (city|town|CDP)$", ""))
 
 
-def vehicles(households: dict[int, Column]) -> Column:
-    """Vehicles from households by number of vehicles (0 to 5 and more)."""
-    return sum((F.coalesce(c, F.lit(0)) * k for k, c in households.items()), F.lit(0))
+#: Fixed columns of the vehicle table B25044: owners' and renters' households by vehicles (5 stands for 5 and more).
+VEHICLE_CODES = {3: 0, 4: 1, 5: 2, 6: 3, 7: 4, 8: 5, 10: 0, 11: 1, 12: 2, 13: 3, 14: 4, 15: 5}
+
+
+def vehicles(counts: dict[int, Column]) -> Column:
+    """Vehicles from the table's columns by code (see VEHICLE_CODES); null if any count is missing."""
+    return sum((counts[code].cast("double") * k for code, k in VEHICLE_CODES.items()), F.lit(0.0))
 
 
 def finite_ratio(num: Column, den: Column) -> Column:

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from egress.functions.roads import finite_ratio
-from egress.operators.graph import distances
-from egress.plans.store import written
+from egress.operators.graph import FRONTS, distances
+from egress.plans.store import released, written
 
 
 def clearance(rows: DataFrame) -> DataFrame:
-    """Adds hours and gaps to (vehicles, managed_vph, rationed_vph, strict_vph): infinite hours without throughput, gaps null without managed throughput."""
+    """Adds hours and gaps to (vehicles, managed_vph, rationed_vph, strict_vph): infinite hours without throughput, gaps null without managed throughput. The gap in bulk is never negative; its hours may be fewer than the managed ones."""
     bulk = F.least("rationed_vph", "managed_vph")
     gap = lambda v: F.when(F.col("managed_vph") > 0, 1 - v / F.col("managed_vph"))
     return rows.withColumns(
         {
             "managed_h": finite_ratio(F.col("vehicles"), F.col("managed_vph")),
-            "bulk_h": finite_ratio(F.col("vehicles"), bulk),
+            "bulk_h": finite_ratio(F.col("vehicles"), F.col("rationed_vph")),
             "last_h": finite_ratio(F.col("vehicles"), F.col("strict_vph")),
             "gap_bulk": gap(bulk),
             "gap_last": gap(F.col("strict_vph")),
@@ -47,21 +49,44 @@ def vehicles_by_block(blocks: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.select("block", F.when(F.col("total") > 0, F.col("housing") / F.col("total") * F.coalesce("vehicles", F.lit(0))).otherwise(0.0).alias("veh"))
 
 
-def contraflow(arcs: DataFrame, reversed_by: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(arcs with new capacity_vph, metres): chosen arcs (eid) take their reverse arc's capacity, which drops to 0.
+def contraflow(arcs: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arcs with new capacity_vph, metres): chosen arcs (eid), in order of their ids, take what capacity their reverse arc has left, which then has none.
 
-    ``reversed_by``: (eid, rev_eid). Of two chosen arcs that are each other's reverse the
-    smaller id goes first, so the other finds nothing left; arcs without a reverse or with
-    an empty one stay as they are.
+    The reverse of an arc is the least arc between the same vertices the other way. Arcs
+    without one, or whose reverse is empty by then, stay as they are; of two arcs that are
+    each other's reverse the later takes all back. Metres are the length of the takers.
+    With a column ``unit`` in both tables each unit has its own capacities. An order only
+    matters between the same two vertices, so the rule is a fold over the chosen arcs of
+    such a pair; those are as few as its parallel roads.
     """
-    pairs = chosen.select("eid").distinct().join(reversed_by, "eid").filter("rev_eid IS NOT NULL")
-    later = pairs.select(F.col("rev_eid").alias("eid"), F.col("eid").alias("partner"))
-    first = pairs.join(later, "eid", "left").filter("partner IS NULL OR eid < partner").select("eid", "rev_eid")
-    taken = first.join(arcs.select(F.col("eid").alias("rev_eid"), F.col("capacity_vph").alias("extra")), "rev_eid").filter("extra > 0")
-    change = taken.select("eid", "extra").union(taken.select("rev_eid", -F.col("extra"))).groupBy("eid").agg(F.sum("extra").alias("extra"))
-    out = arcs.join(change, "eid", "left").withColumn("capacity_vph", F.col("capacity_vph") + F.coalesce("extra", F.lit(0.0))).drop("extra")
-    metres = arcs.join(taken.select("eid"), "eid", "left_semi").agg(F.coalesce(F.sum("length_m"), F.lit(0.0)).alias("metres"))
-    return out.select(*arcs.columns), metres
+    by = ["unit"] if "unit" in arcs.columns else []
+    forth = F.col("src") < F.col("dst")
+    placed = arcs.filter("src != dst").withColumns({"p": F.least("src", "dst"), "q": F.greatest("src", "dst"), "forth": forth})
+    first = lambda way: F.min(F.when(F.col("forth") == way, F.struct("eid", F.col("capacity_vph").cast("double").alias("cap"))))
+    asked = placed.join(chosen.select(*by, "eid").distinct(), [*by, "eid"], "left_semi").select(*by, "p", "q", F.struct("eid", "forth", F.col("length_m").cast("double").alias("length_m")).alias("x"))
+    wants = asked.groupBy(*by, "p", "q").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    pairs = placed.join(wants.select(*by, "p", "q"), [*by, "p", "q"], "left_semi").groupBy(*by, "p", "q").agg(first(True).alias("one"), first(False).alias("two"))
+    took = "array<struct<eid:bigint,extra:double,length_m:double>>"
+    state = f"struct<a:double,b:double,took:{took}>"
+    zero = F.lit(0.0)
+
+    def step(acc: Column, x: Column) -> Column:
+        extra = F.when(x["forth"], acc["b"]).otherwise(acc["a"])
+        into = lambda this, other: F.when(x["eid"] == this["eid"], other).otherwise(zero)
+        a = F.when(x["forth"], acc["a"] + into(F.col("one"), extra)).otherwise(zero)
+        b = F.when(x["forth"], zero).otherwise(acc["b"] + into(F.col("two"), extra))
+        more = F.concat(acc["took"], F.array(F.struct(x["eid"].cast("bigint").alias("eid"), extra.alias("extra"), x["length_m"].alias("length_m"))))
+        return F.when(extra > 0, F.struct(a.alias("a"), b.alias("b"), more.alias("took")).cast(state)).otherwise(acc)
+
+    start = F.struct(F.coalesce("one.cap", zero).alias("a"), F.coalesce("two.cap", zero).alias("b"), F.array().cast(took).alias("took")).cast(state)
+    done = written(pairs.join(wants, [*by, "p", "q"]).withColumn("end", F.aggregate("xs", start, step)), "contraflow")
+    takers = done.select(*by, F.col("one.eid").alias("one"), F.col("two.eid").alias("two"), F.explode("end.took").alias("x"))
+    gained = takers.filter("x.eid != coalesce(one, -1) AND x.eid != coalesce(two, -1)").select(*by, "x.eid", "x.extra", F.lit(None).cast("double").alias("now"))
+    heads = [done.filter(f"{x}.eid IS NOT NULL").select(*by, F.col(f"{x}.eid").alias("eid"), zero.alias("extra"), F.col(f"end.{c}").alias("now")) for x, c in (("one", "a"), ("two", "b"))]
+    change = gained.unionByName(heads[0]).unionByName(heads[1])
+    out = arcs.join(change, [*by, "eid"], "left").withColumn("capacity_vph", F.coalesce("now", F.col("capacity_vph") + F.coalesce("extra", zero)))
+    total = takers.groupBy(*by) if by else takers
+    return out.select(*arcs.columns), total.agg(F.coalesce(F.sum("x.length_m"), zero).alias("metres"))
 
 
 def widen(arcs: DataFrame, eid: int, add_vph: float) -> DataFrame:
@@ -93,18 +118,18 @@ def routes(arcs: DataFrame, origins: DataFrame, targets: DataFrame) -> DataFrame
     via = arcs.join(dist.withColumnRenamed("vid", "dst"), ["unit", "dst"]).groupBy("unit", F.col("src").alias("at")).agg(F.min(F.struct((F.col("t") + F.col("dist")).alias("cost"), "eid", "dst")).alias("m"))
     onward = written(via.join(targets.withColumnRenamed("vid", "at"), ["unit", "at"], "left_anti").select("unit", "at", "m.eid", F.col("m.dst").alias("to")), "routes-next")
     here = origins.select("unit", F.col("vid").alias("origin"), F.col("vid").alias("at"))
-    parts = []
+    parts: list[DataFrame] = []
     while True:
         seen = Observation()
         step = written(here.join(onward, ["unit", "at"]).select("unit", "origin", "eid", "to").observe(seen, F.count("*").alias("n")), "routes-step")
+        parts.append(step)
         if not seen.get["n"]:
-            break
-        parts.append(step.select("unit", "origin", "eid"))
+            return reduce(DataFrame.unionByName, parts).select("unit", "origin", "eid")
         here = step.select("unit", "origin", F.col("to").alias("at"))
-    out = step.select("unit", "origin", "eid")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+        if len(parts) > FRONTS:  # a long way is not a long plan
+            merged = written(reduce(DataFrame.unionByName, parts), "routes-steps")
+            released(*parts[:-1])
+            parts = [merged]
 
 
 def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -114,7 +139,8 @@ def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: Data
     An arc loaded over its capacity takes t0 x load / capacity next round. A unit whose paths
     repeat the last round's has converged; one whose paths return to an earlier round's
     oscillates, and gets the mean delivery and the largest ratio of the cycle. Origins on a
-    target, or without a way out, deliver nothing. All units settle side by side.
+    target have no arc to deliver over, and those without a way out deliver nothing either;
+    only the latter are unreachable. All units settle side by side.
     """
     now = arcs.withColumn("t", F.col("t0"))
     running, history, done = demand.select("unit"), None, None
@@ -125,7 +151,9 @@ def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: Data
         load = written(sent.groupBy("unit", "eid").agg(F.sum(F.col("w") * F.col("d")).alias("load")), "settle-load")
         served = load.join(arcs.select("unit", "eid", "cap"), ["unit", "eid"]).withColumn("serve", F.least(F.lit(1.0), F.col("cap") / F.greatest("load", F.lit(1e-9)))).withColumn("ratio", F.col("load") / F.greatest("cap", F.lit(1e-9)))
         throttle = paths.join(served.select("unit", "eid", "serve"), ["unit", "eid"]).groupBy("unit", F.col("origin").alias("vid")).agg(F.min("serve").alias("serve"))
-        by_unit = own.join(throttle, ["unit", "vid"], "left").groupBy("unit").agg(F.sum(F.col("w") * F.coalesce("serve", F.lit(0.0))).alias("part"), F.sum(F.when(F.col("serve").isNull(), F.col("w")).otherwise(0.0)).alias("unreachable"))
+        there = targets.select("unit", "vid").distinct().withColumn("there", F.lit(True))
+        lost = F.col("serve").isNull() & F.col("there").isNull()
+        by_unit = own.join(throttle, ["unit", "vid"], "left").join(there, ["unit", "vid"], "left").groupBy("unit").agg(F.sum(F.col("w") * F.coalesce("serve", F.lit(0.0))).alias("part"), F.sum(F.when(lost, F.col("w")).otherwise(0.0)).alias("unreachable"))
         marks = paths.groupBy("unit").agg(F.sum(F.xxhash64("origin", "eid").cast("decimal(38,0)")).alias("mark"))
         row = by_unit.join(want, "unit").join(served.groupBy("unit").agg(F.max("ratio").alias("ratio")), "unit", "left").join(marks, "unit", "left")
         row = written(row.select("unit", F.lit(k).alias("k"), (F.col("d") * F.col("part")).alias("delivered"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), "unreachable", F.coalesce("mark", F.lit(0).cast("decimal(38,0)")).alias("mark")), "settle-round")
@@ -135,7 +163,7 @@ def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: Data
         span = history.join(again.select("unit", "first", "n"), "unit").filter((F.col("k") > F.col("first")) | (F.col("n") == 1))
         ended = span.groupBy("unit").agg(F.avg("delivered").alias("delivered"), F.max("ratio").alias("ratio"), F.max("unreachable").alias("unreachable"), F.max("k").alias("rounds"), ((F.count("*") == 1) & (F.max("n") > 1)).alias("converged"))
         ended = written(ended, "settle-ended")
-        done = ended if done is None else done.unionByName(ended)
+        done = ended if done is None else written(done.unionByName(ended), "settle-done")
         running = written(running.join(ended, "unit", "left_anti"), "settle-running")
         if running.isEmpty():
             break
@@ -148,29 +176,49 @@ def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: Data
 SCAN = [0.25 * 12 ** (k / 7) for k in range(8)]
 
 
-def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: DataFrame, halvings: int = 7) -> DataFrame:
+#: Halvings of the bisection that are answered by one run: all demands that they could ask for are scenarios of it.
+STAGES = (3, 2, 2)
+
+
+def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: DataFrame, stages: tuple[int, ...] = STAGES) -> DataFrame:
     """(unit, managed_vph, strict_vph, rationed_vph) of drivers who route themselves.
 
     Strict: managed itself if no arc is overloaded and everyone has a way out, else what
     bisection of the managed demand finds. Rationed: the larger of strict and the most that is
-    delivered over the scanned demands. All demands that bisection could ask for are settled
-    side by side, as scenarios of one run; bisection is then a walk over their answers.
+    delivered over the scanned demands. The scan and managed itself are settled side by side,
+    as scenarios of one run; where managed doesn't fit, each stage settles the few demands
+    that its halvings could ask for and walks over the answers.
     """
-    grid = 1 << halvings
-    asked = [("b", k, k / grid) for k in range(1, grid + 1)] + [("s", k, f) for k, f in enumerate(SCAN)]
-    some = managed.filter("managed_vph > 0")
-    scenario = F.explode(F.array(*[F.struct(F.lit(a).alias("kind"), F.lit(k).alias("k"), F.lit(f).alias("part")) for a, k, f in asked]))
-    each = written(some.withColumn("x", scenario).select(F.struct("unit", "x.kind", "x.k").alias("unit"), (F.col("x.part") * F.col("managed_vph")).alias("d")), "selfish-scenarios")
-    spread = lambda df: df.withColumnRenamed("unit", "of").join(each.select("unit", F.col("unit.unit").alias("of")), "of").drop("of")
-    told = written(settle(*map(spread, (arcs, weights, targets)), each), "selfish-told")
-    fits = told.filter("unit.kind = 'b' AND ratio <= 1 + 1e-9 AND unreachable = 0").select(F.col("unit.unit").alias("unit"), F.col("unit.k").alias("k"))
-    good = some.select("unit").join(fits.groupBy("unit").agg(F.collect_set("k").alias("good")), "unit", "left").withColumn("good", F.coalesce("good", F.array().cast("array<int>")))
-    low = F.lit(0)
-    for h in range(halvings):
-        step = grid >> (h + 1)
-        low = low + F.when(F.array_contains("good", (low + step).cast("int")), step).otherwise(0)
-    part = F.when(F.array_contains("good", grid), grid).otherwise(low) / grid
-    best = told.filter("unit.kind = 's'").groupBy(F.col("unit.unit").alias("unit")).agg(F.max("delivered").alias("most"))
-    out = managed.join(good.select("unit", part.alias("part")), "unit", "left").join(best, "unit", "left")
-    strict = F.coalesce(F.col("managed_vph") * F.col("part"), F.lit(0.0))
-    return out.select("unit", "managed_vph", strict.alias("strict_vph"), F.greatest(strict, F.coalesce("most", F.lit(0.0))).alias("rationed_vph"))
+    grid = 1 << sum(stages)
+
+    def settled(asked: DataFrame) -> DataFrame:
+        """Scenarios (of, kind, k, d) as units of one run: their fit and delivery."""
+        each = written(asked.select("of", F.struct("of", "kind", "k").alias("unit"), "d"), "selfish-scenarios")
+        spread = lambda df: df.withColumnRenamed("unit", "of").join(each.select("unit", "of"), "of").drop("of")
+        told = settle(*map(spread, (arcs, weights, targets)), each.select("unit", "d"))
+        return written(told.select("unit.of", "unit.kind", "unit.k", "delivered", F.expr("ratio <= 1 + 1e-9 AND unreachable <= 1e-12").alias("fits")), "selfish-told")
+
+    some = managed.filter("managed_vph > 0").select(F.col("unit").alias("of"), F.col("managed_vph").alias("most"))
+    first = [("b", grid, 1.0)] + [("s", k, f) for k, f in enumerate(SCAN)]
+    scenario = F.explode(F.array(*[F.struct(F.lit(a).alias("kind"), F.lit(k).alias("k"), F.lit(f).alias("part")) for a, k, f in first]))
+    told = settled(some.withColumn("x", scenario).select("of", "x.kind", "x.k", (F.col("x.part") * F.col("most")).alias("d")))
+    best = told.filter("kind = 's'").groupBy("of").agg(F.max("delivered").alias("best"))
+    done = told.filter("kind = 'b' AND fits").select("of", F.lit(grid).alias("low"))
+    low = written(some.join(done, "of", "left_anti").withColumn("low", F.lit(0)), "selfish-low")
+    width = grid
+    for halvings in stages:
+        if low.isEmpty():
+            break
+        step = width >> halvings
+        ask = F.explode(F.array(*[F.lit(k * step) for k in range(1, 1 << halvings)]))
+        told = settled(low.withColumn("ask", ask).withColumn("k", F.col("low") + F.col("ask")).select("of", F.lit("b").alias("kind"), "k", (F.col("k") / grid * F.col("most")).alias("d")))
+        good = low.join(told.filter("fits").groupBy("of").agg(F.collect_set("k").alias("good")), "of", "left").withColumn("good", F.coalesce("good", F.array().cast("array<int>")))
+        now = F.col("low")
+        for h in range(1, halvings + 1):
+            now = now + F.when(F.array_contains("good", (now + (width >> h)).cast("int")), width >> h).otherwise(0)
+        low = written(good.select("of", "most", now.cast("int").alias("low")), "selfish-low")
+        width = step
+    parts = done.unionByName(low.select("of", "low"))
+    out = managed.join(parts.withColumnRenamed("of", "unit"), "unit", "left").join(best.withColumnRenamed("of", "unit"), "unit", "left")
+    strict = F.coalesce(F.col("managed_vph") * F.col("low") / grid, F.lit(0.0))
+    return out.select("unit", "managed_vph", strict.alias("strict_vph"), F.greatest(strict, F.coalesce("best", F.lit(0.0))).alias("rationed_vph"))

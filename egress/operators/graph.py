@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from egress.operators.components import components
-from egress.plans.store import written
+from egress.plans.store import released, written
 
 
 def undirected_unique(pairs: DataFrame) -> DataFrame:
@@ -77,27 +79,47 @@ def labelled(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("vid").join(found, vertices["vid"] == found["node"], "left").select("vid", F.coalesce("comp", "vid").alias("comp"))
 
 
-def distances(arcs: DataFrame, sources: DataFrame, cost: str | None, most_rounds: int = 10_000) -> DataFrame:
+#: Fronts that a distance table is made of before they are merged into one.
+FRONTS = 12
+
+
+def distances(arcs: DataFrame, sources: DataFrame, cost: str | None) -> DataFrame:
     """(unit, vid, dist): least cost from each unit's sources (unit, vid) along the arcs, hops if ``cost`` is None; unreached vertices are left out.
 
-    Relaxation in rounds for all units at once: only vertices that improved in the last round
-    send to their neighbours. Each round is written to the shared folder. Arcs with a column
-    ``unit`` serve that unit alone.
+    Relaxation in rounds for all units at once, until nothing improves: only vertices that
+    improved in the last round send to their neighbours, and a round writes only what it
+    improved (the front), so vertices that are done are looked up but not written again;
+    every FRONTS rounds the fronts are merged. Costs must not be negative. Arcs with a
+    column ``unit`` serve that unit alone.
     """
     step = F.lit(1.0) if cost is None else F.col(cost)
     on = ["unit", "vid"] if "unit" in arcs.columns else ["vid"]
     out = arcs.select(*on[:-1], F.col("src").alias("vid"), "dst", step.alias("step"))
-    best = written(sources.select("unit", "vid").distinct().withColumns({"dist": F.lit(0.0), "fresh": F.lit(True)}), "distances")
-    for _ in range(most_rounds):
-        sent = best.filter("fresh").join(out, on).select("unit", F.col("dst").alias("vid"), (F.col("dist") + F.col("step")).alias("dist"))
-        both = best.select("unit", "vid", "dist", F.lit(False).alias("new")).union(sent.withColumn("new", F.lit(True)))
-        least = both.groupBy("unit", "vid").agg(F.min("dist").alias("dist"), F.min(F.when(~F.col("new"), F.col("dist"))).alias("old"))
+    front = written(sources.select("unit", "vid").distinct().withColumn("dist", F.lit(0.0)), "distances")
+    fronts = [front]
+    while True:
+        known = reduce(DataFrame.unionByName, fronts)
+        sent = front.join(out, on).select("unit", F.col("dst").alias("vid"), (F.col("dist") + F.col("step")).alias("dist")).groupBy("unit", "vid").agg(F.min("dist").alias("dist"))
+        better = sent.join(known.withColumnRenamed("dist", "old"), ["unit", "vid"], "left")
+        if cost is None:  # hops never improve on a vertex reached before
+            better = sent.join(known, ["unit", "vid"], "left_anti")
+        else:
+            better = better.groupBy("unit", "vid").agg(F.min("dist").alias("dist"), F.min("old").alias("old")).filter("old IS NULL OR dist < old").select("unit", "vid", "dist")
         seen = Observation()
-        improved = least.select("unit", "vid", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh"))
-        best = written(improved.observe(seen, F.count_if("fresh").alias("n")), "distances")
+        front = written(better.observe(seen, F.count("*").alias("n")), "distances")
         if not seen.get["n"]:
-            break
-    return best.drop("fresh")
+            released(front)
+            return _least(fronts, cost)
+        fronts.append(front)
+        if len(fronts) > FRONTS:
+            merged = written(_least(fronts, cost), "distances")
+            released(*fronts[:-1])
+            fronts = [merged]
+
+
+def _least(fronts: list[DataFrame], cost: str | None) -> DataFrame:
+    rows = reduce(DataFrame.unionByName, fronts)
+    return rows if cost is None else rows.groupBy("unit", "vid").agg(F.min("dist").alias("dist"))
 
 
 def efficiency(arcs: DataFrame, sources: DataFrame, n_original: int, cost: str | None = None) -> DataFrame:
@@ -118,20 +140,22 @@ def betweenness(edges: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     Levels outwards count paths, levels inwards add up dependencies, for all sources at once.
     """
     both = written(to_directed(edges.select("src", "dst")), "load-arcs")
-    level = sources.select(F.col("vid").alias("s"), "vid", F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
-    seen = written(level, "load-seen")
-    depth = 0
+    levels = [written(sources.select(F.col("vid").alias("s"), "vid", F.lit(1.0).alias("paths")), "load-level")]
     while True:
-        reached = seen.filter(F.col("d") == depth).join(both, F.col("vid") == F.col("src")).groupBy("s", F.col("dst").alias("vid")).agg(F.sum("paths").alias("paths"))
-        new = written(reached.join(seen.select("s", "vid"), ["s", "vid"], "left_anti").select("s", "vid", F.lit(depth + 1).alias("d"), "paths"), "load-level")
+        reached = levels[-1].join(both, F.col("vid") == F.col("src")).groupBy("s", F.col("dst").alias("vid")).agg(F.sum("paths").alias("paths"))
+        for level in levels[-2:]:  # an undirected link leads one level up or down, or stays
+            reached = reached.join(level.select("s", "vid"), ["s", "vid"], "left_anti")
+        new = written(reached, "load-level")
         if new.isEmpty():
+            released(new)
             break
-        seen, depth = written(seen.unionByName(new), "load-seen"), depth + 1
-    done = seen.filter(F.col("d") == depth).select("s", "vid", "d", "paths", F.lit(0.0).alias("dep"))
-    for d in range(depth, 0, -1):
-        lower = done.filter(F.col("d") == d).select("s", F.col("vid").alias("child"), F.col("paths").alias("p"), "dep")
+        levels.append(new)
+    done = [levels[-1].withColumn("dep", F.lit(0.0))]
+    for level in reversed(levels[:-1]):
+        lower = done[-1].select("s", F.col("vid").alias("child"), F.col("paths").alias("p"), "dep")
         given = lower.join(both, F.col("child") == F.col("src")).select("s", F.col("dst").alias("vid"), ((1 + F.col("dep")) / F.col("p")).alias("unit_dep")).groupBy("s", "vid").agg(F.sum("unit_dep").alias("unit_dep"))
-        upper = seen.filter(F.col("d") == d - 1).join(given, ["s", "vid"], "left").select("s", "vid", "d", "paths", (F.col("paths") * F.coalesce("unit_dep", F.lit(0.0))).alias("dep"))
-        done = written(done.unionByName(upper), "load-done")
+        upper = level.join(given, ["s", "vid"], "left").select("s", "vid", "paths", (F.col("paths") * F.coalesce("unit_dep", F.lit(0.0))).alias("dep"))
+        done.append(written(upper, "load-done"))
     k = sources.count()
-    return done.filter("vid != s").groupBy("vid").agg((F.sum("dep") * F.lit(n / max(k, 1))).alias("load"))
+    total = reduce(DataFrame.unionByName, done)
+    return total.filter("vid != s").groupBy("vid").agg((F.sum("dep") * F.lit(n / max(k, 1))).alias("load"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from egress.functions import geo
+from egress.plans.store import released, written
 
 
 def _tiled(df: DataFrame, box: dict[str, Column], size: float) -> DataFrame:
@@ -25,17 +27,39 @@ def points_in(points: DataFrame, polygons: DataFrame, size: float, how: str = "i
 
 
 def nearest(queries: DataFrame, sites: DataFrame, by: list[str], ties: str = "first") -> DataFrame:
-    """(by, qid, sid, dist): the nearest site of the same group for each query point. ``ties``: first (least site id) or all.
+    """(by, qid, sid, dist): the nearest site of the same group for each query point; none for a group without sites. ``ties``: first (least site id) or all.
 
-    Queries (by, qid, x, y) and sites (by, sid, x, y) meet in their group; the least
-    distance is a partial aggregate, so no group's pairs are gathered.
+    Queries (by, qid, x, y) and sites (by, sid, x, y) meet on tiles about twice as wide as a
+    site has room in its group. A query looks at its own tile and the eight around it, and is done
+    when a site is no farther than a tile is wide; the others look again on tiles four times as
+    wide, so a group is never paired with itself. Null or repeated coordinates: points without
+    coordinates are left out, sites at one place are ties.
     """
-    dist = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-    pairs = queries.join(sites.select(*by, "sid", F.col("x").alias("sx"), F.col("y").alias("sy")), by).select(*by, "qid", "sid", dist.alias("dist"))
-    if ties == "first":
-        return pairs.groupBy(*by, "qid").agg(F.min(F.struct("dist", "sid")).alias("m")).select(*by, "qid", "m.sid", "m.dist")
-    least = pairs.groupBy(*by, "qid").agg(F.min("dist").alias("dist"))
-    return pairs.join(least, [*by, "qid", "dist"]).select(*by, "qid", "sid", "dist")
+    placed = sites.filter("x IS NOT NULL AND y IS NOT NULL").select(*by, "sid", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    room = F.sqrt((F.max("sx") - F.min("sx")) * (F.max("sy") - F.min("sy")) / F.count("*"))
+    wide = F.greatest(room, (F.max("sx") - F.min("sx")) / F.count("*"), (F.max("sy") - F.min("sy")) / F.count("*"))
+    sizes = placed.groupBy(*by).agg(F.when(wide > 0, wide).otherwise(1.0).alias("size"))
+    open_ = written(queries.filter("x IS NOT NULL AND y IS NOT NULL").select(*by, "qid", "x", "y").join(sizes, by), "nearest-open")
+    placed = written(placed.join(sizes, by), "nearest-sites")
+    cell = lambda c, d: F.floor(F.col(c) / (F.col("size") * grown)) + d
+    parts, grown = [], 2.0
+    while True:
+        around = F.array(*[F.struct(cell("x", dx).alias("tx"), cell("y", dy).alias("ty")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+        there = placed.select(*by, "sid", "sx", "sy", F.struct(cell("sx", 0).alias("tx"), cell("sy", 0).alias("ty")).alias("tile"))
+        pairs = open_.withColumn("tile", F.explode(around)).join(there, [*by, "tile"]).withColumn("dist", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")))
+        near = pairs.filter(F.col("dist") <= F.col("size") * grown)
+        if ties == "first":
+            found = near.groupBy(*by, "qid").agg(F.min(F.struct("dist", "sid")).alias("m")).select(*by, "qid", "m.sid", "m.dist")
+        else:
+            least = near.groupBy(*by, "qid").agg(F.min("dist").alias("dist"))
+            found = near.select(*by, "qid", "sid", "dist").join(least, [*by, "qid", "dist"]).select(*by, "qid", "sid", "dist")
+        parts.append(written(found, "nearest-found"))
+        rest = written(open_.join(parts[-1].select(*by, "qid").distinct(), [*by, "qid"], "left_anti"), "nearest-open")
+        released(open_)
+        open_ = rest
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        grown *= 4
 
 
 def within_distance(points: DataFrame, others: DataFrame, most: float) -> DataFrame:

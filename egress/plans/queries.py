@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from egress.functions import geo, roads
-from egress.operators import evacuation, flow, graph, hazard, removal, spatial
+from egress.operators import communities, evacuation, flow, graph, hazard, removal, spatial
 from egress.plans.fixtures import EDGES, FOREST_A, FOREST_C, FOREST_N, FOREST_R, LATTICE_A, LATTICE_V, NODES, PAIRS, Tables, duck
 from egress.sources.roads import least_arcs, relabelled
 
@@ -57,11 +57,12 @@ _TAGS = """
     SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 'footway' WHEN 1 THEN 'residential' WHEN 2 THEN 'service' WHEN 3 THEN 'track' WHEN 4 THEN 'primary'
                WHEN 5 THEN 'unclassified' WHEN 6 THEN 'piano' WHEN 7 THEN 'steps' END AS highway,
            CASE p_partkey % 5 WHEN 0 THEN 'driveway' WHEN 1 THEN 'alley' WHEN 2 THEN 'spur' END AS service,
-           CASE p_partkey % 7 WHEN 0 THEN 'private' WHEN 1 THEN 'yes' END AS access, CASE p_partkey % 11 WHEN 0 THEN 'yes' END AS area FROM {part}"""
+           CASE p_partkey % 7 WHEN 0 THEN 'private' WHEN 1 THEN 'yes' END AS access, CASE p_partkey % 11 WHEN 0 THEN 'yes' WHEN 5 THEN 'yes;no' END AS area,
+           CASE p_partkey % 13 WHEN 0 THEN 'grade5' WHEN 1 THEN 'grade1' END AS tracktype FROM {part}"""
 
 
 @query(f"""
-    SELECT p_partkey, NOT regexp_matches(coalesce(highway, ''), '{roads.NOT_DRIVEN["highway"]}') AND NOT regexp_matches(coalesce(area, ''), 'yes')
+    SELECT p_partkey, highway IS NOT NULL AND NOT regexp_matches(coalesce(highway, ''), '{roads.NOT_DRIVEN["highway"]}') AND NOT regexp_matches(coalesce(area, ''), 'yes')
            AND NOT regexp_matches(coalesce(access, ''), 'private') AND NOT regexp_matches(coalesce(service, ''), '{roads.NOT_DRIVEN["service"]}') AS kept
     FROM ({_TAGS}) t""")
 def drive_filter(t: Tables) -> DataFrame:
@@ -69,10 +70,15 @@ def drive_filter(t: Tables) -> DataFrame:
     return tags.select("p_partkey", roads.drivable({c: F.col(c) for c in ("highway", "service", "access", "area")}).alias("kept"))
 
 
+_NOT_EXTRA = ["parking_aisle", "parking", "driveway", "drive-through"]
+
+
 @query(f"""
-    SELECT p_partkey, coalesce(highway IN ('track', 'service'), false) AND coalesce(area, '') != 'yes' AND coalesce(service, '') NOT IN ('driveway') AS kept FROM ({_TAGS}) t""")
+    SELECT p_partkey, coalesce(highway IN ('track', 'service'), false) AND NOT contains(coalesce(area, ''), 'yes') AND coalesce(service, '') NOT IN ('{"', '".join(_NOT_EXTRA)}')
+           AND coalesce(tracktype, '') != 'grade5' AS kept FROM ({_TAGS}) t""")
 def extra_road_filter(t: Tables) -> DataFrame:
-    return t.sql(_TAGS).select("p_partkey", roads.extra_road({c: F.col(c) for c in ("highway", "service", "area")}, ["track", "service"], ["driveway"]).alias("kept"))
+    tags = {c: F.col(c) for c in ("highway", "service", "area", "tracktype")}
+    return t.sql(_TAGS).select("p_partkey", roads.extra_road(tags, ["track", "service"], _NOT_EXTRA, ["grade5"]).alias("kept"))
 
 
 _LANES = """
@@ -545,16 +551,47 @@ def selfish_tree(t: Tables) -> DataFrame:
     return out.select("unit", *[F.round(c, 4).alias(c) for c in ("managed_vph", "strict_vph", "rationed_vph")])
 
 
+_PEOPLE = f"SELECT unit, count(*) * 2 AS population, CAST(count(*) AS DOUBLE) AS vehicles FROM ({FOREST_C}) c GROUP BY unit"
+_WITHOUT = "SELECT rr.unit, count(*) AS routes, sum(least(rr.cap, k.through)) AS capacity FROM rr JOIN (SELECT unit, rk, sum(through) AS through FROM nn WHERE nk % 4 < {t} GROUP BY unit, rk) k USING (unit, rk) WHERE rk % 4 < {t} GROUP BY rr.unit"
+
+
+@query(f"""
+    WITH {_TREE}, p AS ({_PEOPLE}), a AS ({{access}}), s AS ({{selfish}}), v AS ({_WITHOUT.replace("{t}", "3")}), h AS ({_WITHOUT.replace("{t}", "2")})
+    SELECT p.unit, p.population, p.vehicles, a.n_vertices AS n_nodes, a.n_disjoint, a.capacity_vph, a.exposed_share, v.routes AS n_disjoint_nohaz_vh, v.capacity AS capacity_nohaz_vh, h.routes AS n_disjoint_nohaz_h,
+           h.capacity AS capacity_nohaz_h, 0::DOUBLE AS stranded_vehicles, s.managed_vph, s.strict_vph, s.rationed_vph, round(p.vehicles / s.managed_vph, 4) AS managed_h, round(p.vehicles / s.rationed_vph, 4) AS bulk_h,
+           round(p.population / a.capacity_vph, 6) AS people_per_capacity, NULL::VARCHAR AS note
+    FROM p JOIN a USING (unit) JOIN s USING (unit) JOIN v USING (unit) JOIN h USING (unit)""".replace("{access}", ORACLES["accessibility_forest"]).replace("{selfish}", ORACLES["selfish_tree"]))
+def rank_table(t: Tables) -> DataFrame:
+    arcs, members, targets = _forest(t)
+    out = communities.rank_communities(arcs, members, targets, members.withColumn("w", F.lit(1.0)), t.sql(_PEOPLE), {"vh": 3, "h": 2}, 2)
+    r4 = lambda c: F.round(c, 4).alias(c)
+    kept = ["unit", "population", "vehicles", "n_nodes", "n_disjoint", "capacity_vph", r6("exposed_share"), "n_disjoint_nohaz_vh", "capacity_nohaz_vh", "n_disjoint_nohaz_h", "capacity_nohaz_h", "stranded_vehicles"]
+    return out.select(*kept, *map(r4, ("managed_vph", "strict_vph", "rationed_vph", "managed_h", "bulk_h")), r6("people_per_capacity"), "note")
+
+
+_UNITS = f"SELECT unit, vid FROM ({_MEMBERS}) m"
+_STREETS = " UNION ALL ".join(f"SELECT '{u}' AS unit, eid, src, dst, capacity_vph, travel_s, hazard_max FROM ({LATTICE_A}) a" for u in ("north", "south"))
+
+
+@query()
+def accessibility_lattice(t: Tables) -> DataFrame:
+    """Streets with cycles; tests hold it against brute force on the smallest tables."""
+    targets = _rule(t, "R3")
+    goals = targets.withColumn("unit", F.explode(F.array(F.lit("north"), F.lit("south"))))
+    out = flow.accessibility(t.sql(_STREETS), t.sql(_UNITS), goals, threshold=2)
+    return out.select("unit", "n_vertices", "n_disjoint", "capacity_vph", F.round("tt_min", 4).alias("tt_min"), F.round("efficiency", 9).alias("efficiency"), "cut_off")
+
+
 # --- clearance and fixes ----------------------------------------------------------------------
 
 _OUTCOMES = """
-    SELECT s_suppkey AS unit, CAST(100 + s_suppkey % 900 AS DOUBLE) AS vehicles, CAST(s_suppkey % 5 * 100 AS DOUBLE) AS managed_vph, CAST(s_suppkey % 5 * 80 AS DOUBLE) AS rationed_vph,
+    SELECT s_suppkey AS unit, CAST(100 + s_suppkey % 900 AS DOUBLE) AS vehicles, CAST(s_suppkey % 5 * 100 AS DOUBLE) AS managed_vph, CAST(s_suppkey % 5 * (80 + s_suppkey % 3 * 25) AS DOUBLE) AS rationed_vph,
            CAST(s_suppkey % 5 * 25 AS DOUBLE) AS strict_vph, s_suppkey % 4 AS routes, s_suppkey % 3 AS free, CAST(s_suppkey % 7 AS DOUBLE) / 2 AS base_h, CAST(s_suppkey % 11 AS DOUBLE) / 4 AS free_h,
            CAST(s_suppkey % 13 AS DOUBLE) / 4 AS freer_h, CAST(1 + s_suppkey % 50 AS BIGINT) AS population FROM {supplier}"""
 
 
 @query(f"""
-    SELECT unit, CASE WHEN managed_vph > 0 THEN round(vehicles / managed_vph, 6) END AS managed_h, CASE WHEN managed_vph > 0 THEN round(vehicles / least(rationed_vph, managed_vph), 6) END AS bulk_h,
+    SELECT unit, CASE WHEN managed_vph > 0 THEN round(vehicles / managed_vph, 6) END AS managed_h, CASE WHEN managed_vph > 0 THEN round(vehicles / rationed_vph, 6) END AS bulk_h,
            CASE WHEN managed_vph > 0 THEN round(vehicles / strict_vph, 6) END AS last_h, CASE WHEN managed_vph > 0 THEN round(1 - least(rationed_vph, managed_vph) / managed_vph, 6) END AS gap_bulk,
            CASE WHEN managed_vph > 0 THEN round(1 - strict_vph / managed_vph, 6) END AS gap_last FROM ({_OUTCOMES}) o""")
 def clearance_fields(t: Tables) -> DataFrame:
@@ -592,9 +629,9 @@ def gap_median(t: Tables) -> DataFrame:
     return t.sql(_OUTCOMES).select(F.when(hours < float("inf"), hours).alias("h")).agg(F.round(F.median("h"), 6).alias("gap_median"))
 
 
-@query(f"SELECT unit, lpad(CAST(floor(m / 60) % 24 AS BIGINT)::VARCHAR, 2, '0') || ':' || lpad((m % 60)::BIGINT::VARCHAR, 2, '0') AS clock FROM (SELECT unit, CAST(floor(base_h * 437 * 60 / 100 + 0.5) AS BIGINT) AS m FROM ({_OUTCOMES}) o) x")
+@query("SELECT s_suppkey AS unit, printf('%02d:%02d', m // 60, m % 60) AS clock FROM (SELECT s_suppkey, CAST(round_even(s_suppkey * 0.375::DOUBLE * 60, 0) AS BIGINT) AS m FROM {supplier}) x")
 def clock_fmt(t: Tables) -> DataFrame:
-    return t.sql(_OUTCOMES).select("unit", roads.clock(F.col("base_h") * 437 / 100).alias("clock"))
+    return t["supplier"].select(F.col("s_suppkey").alias("unit"), roads.clock(F.col("s_suppkey") * 0.375).alias("clock"))
 
 
 @query(f"SELECT unit, step, hours FROM (SELECT unit, base_h, free_h, freer_h FROM ({_OUTCOMES}) o) UNPIVOT (hours FOR step IN (base_h, free_h, freer_h))")
@@ -602,16 +639,32 @@ def fixes_unpivot(t: Tables) -> DataFrame:
     return t.sql(_OUTCOMES).unpivot("unit", ["base_h", "free_h", "freer_h"], "step", "hours")
 
 
-_CHOSEN = f"SELECT eid FROM ({LATTICE_A}) a WHERE eid % 5 = 0"
+#: The lattice with a second road beside every third vertex's arcs; chosen are arcs of both directions and some of these.
+_TWIN = f"SELECT eid, src, dst, capacity_vph, length_m FROM ({LATTICE_A}) a UNION ALL SELECT eid + 10000000, src, dst, CAST(300 AS DOUBLE), CAST(150 AS DOUBLE) FROM ({LATTICE_A}) b WHERE src % 3 = 0"
+_CHOSEN = f"SELECT eid FROM ({_TWIN}) c WHERE eid % 5 < 2"
+_FOLD = f"""
+    WITH RECURSIVE a AS (SELECT *, least(src, dst) AS p, greatest(src, dst) AS q, src < dst AS forth FROM ({_TWIN}) t),
+    h AS (SELECT p, q, min(eid) FILTER (forth) AS one, min(eid) FILTER (NOT forth) AS two, coalesce(arg_min(capacity_vph, eid) FILTER (forth), 0) AS a, coalesce(arg_min(capacity_vph, eid) FILTER (NOT forth), 0) AS b FROM a GROUP BY p, q),
+    c AS (SELECT *, row_number() OVER (PARTITION BY p, q ORDER BY eid) AS k FROM a WHERE eid % 5 < 2),
+    r(p, q, one, two, k, a, b, eid, extra) AS (SELECT p, q, one, two, 0::BIGINT, a, b, NULL::BIGINT, 0::DOUBLE FROM h UNION ALL
+        SELECT r.p, r.q, r.one, r.two, c.k,
+               CASE WHEN c.forth THEN r.a + CASE WHEN c.eid = r.one THEN r.b ELSE 0 END WHEN r.a > 0 THEN 0 ELSE r.a END,
+               CASE WHEN NOT c.forth THEN r.b + CASE WHEN c.eid = r.two THEN r.a ELSE 0 END WHEN r.b > 0 THEN 0 ELSE r.b END,
+               c.eid, CASE WHEN c.forth THEN r.b ELSE r.a END
+        FROM r JOIN c ON c.p = r.p AND c.q = r.q AND c.k = r.k + 1)"""
 
 
 @query(f"""
-    WITH a AS ({LATTICE_A}), p AS (SELECT x.eid, min(y.eid) AS rev FROM a x JOIN a y ON x.src = y.dst AND x.dst = y.src WHERE x.eid % 5 = 0 GROUP BY x.eid),
-    f AS (SELECT p.eid, p.rev, b.capacity_vph AS extra FROM p JOIN a b ON b.eid = p.rev WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.eid = p.rev AND q.rev = p.eid AND q.eid < p.eid))
-    SELECT a.eid, a.capacity_vph + coalesce((SELECT sum(extra) FROM f WHERE f.eid = a.eid), 0) - coalesce((SELECT sum(extra) FROM f WHERE f.rev = a.eid), 0) AS capacity_vph FROM a""")
+    {_FOLD}, f AS (SELECT DISTINCT ON (p, q) p, q, one, two, a, b FROM r ORDER BY p, q, k DESC), x AS (SELECT eid, extra FROM r WHERE extra > 0 AND eid IS NOT NULL)
+    SELECT a.eid, CASE WHEN a.eid = f.one THEN f.a WHEN a.eid = f.two THEN f.b ELSE a.capacity_vph + coalesce(x.extra, 0) END AS capacity_vph
+    FROM a JOIN f ON f.p = a.p AND f.q = a.q LEFT JOIN x ON x.eid = a.eid""")
 def contraflow(t: Tables) -> DataFrame:
-    arcs = t.sql(LATTICE_A)
-    return evacuation.contraflow(arcs, graph.reverse_arcs(arcs), t.sql(_CHOSEN))[0].select("eid", "capacity_vph")
+    return evacuation.contraflow(t.sql(_TWIN), t.sql(_CHOSEN))[0].select("eid", "capacity_vph")
+
+
+@query(f"{_FOLD} SELECT CAST(sum(l.length_m) AS DOUBLE) AS metres FROM r JOIN a l ON l.eid = r.eid WHERE r.extra > 0")
+def contraflow_metres(t: Tables) -> DataFrame:
+    return evacuation.contraflow(t.sql(_TWIN), t.sql(_CHOSEN))[1]
 
 
 _BLOCKS = "SELECT c_custkey AS block, c_nationkey AS grp, 1 + c_custkey % 7 AS housing FROM {customer}"
@@ -624,19 +677,22 @@ def vehicles_apportion(t: Tables) -> DataFrame:
     return evacuation.vehicles_by_block(t.sql(_BLOCKS), t.sql(_GROUPS)).select("block", r6("veh"))
 
 
-_HOUSEHOLDS = "SELECT p_partkey AS place, " + ", ".join(f"CAST((p_partkey * {k + 3}) % 17 AS STRING) AS h{k}" for k in range(6)) + " FROM {part}"
+_CODES = ", ".join(f"CASE WHEN p_partkey % 97 = {k} THEN 'N/A' ELSE CAST((p_partkey * {k + 3}) % 17 AS STRING) END AS c{k}" for k in roads.VEHICLE_CODES)
+_HOUSEHOLDS = f"SELECT p_partkey AS place, {_CODES} FROM {{part}}"
 
 
-@query("SELECT p_partkey AS place, CAST(" + " + ".join(f"{k} * ((p_partkey * {k + 3}) % 17)" for k in range(6)) + " AS BIGINT) AS vehicles FROM {part}")
+@query(
+    "SELECT p_partkey AS place, CASE WHEN p_partkey % 97 NOT IN (" + ", ".join(map(str, roads.VEHICLE_CODES)) + ") THEN CAST(" + " + ".join(f"{k} * ((p_partkey * {c + 3}) % 17)" for c, k in roads.VEHICLE_CODES.items()) + " AS DOUBLE) END AS vehicles FROM {part}"
+)
 def vehicles_from_b25044(t: Tables) -> DataFrame:
-    counts = {k: F.try_to_number(f"h{k}", F.lit("99")).cast("long") for k in range(6)}
-    return t.sql(_HOUSEHOLDS).select("place", roads.vehicles(counts).cast("long").alias("vehicles"))
+    counts = {k: F.expr(f"try_cast(c{k} AS double)") for k in roads.VEHICLE_CODES}
+    return t.sql(_HOUSEHOLDS).select("place", roads.vehicles(counts).alias("vehicles"))
 
 
-_NAMES = "SELECT s_suppkey, concat('  Place ', CAST(s_suppkey AS STRING), CASE s_suppkey % 4 WHEN 0 THEN ' city' WHEN 1 THEN ' town' WHEN 2 THEN ' CDP' ELSE ' city hall' END) AS name FROM {supplier}"
+_NAMES = "SELECT s_suppkey, concat('  Place ', CAST(s_suppkey AS STRING), CASE s_suppkey % 4 WHEN 0 THEN ' city' WHEN 1 THEN ' town' WHEN 2 THEN ' CDP' ELSE ' city hall' END, CASE s_suppkey % 3 WHEN 0 THEN ', Some State' ELSE '' END) AS name FROM {supplier}"
 
 
-@query(f"SELECT s_suppkey, trim(regexp_replace(name, ' (city|town|CDP)$', '')) AS name FROM ({_NAMES.replace('STRING', 'VARCHAR')}) n")
+@query(f"SELECT s_suppkey, trim(regexp_replace(split_part(name, ',', 1), ' (city|town|CDP)$', '')) AS name FROM ({_NAMES.replace('STRING', 'VARCHAR')}) n")
 def name_normalize(t: Tables) -> DataFrame:
     return t.sql(_NAMES).select("s_suppkey", roads.plain_place(F.col("name")).alias("name"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from egress.functions.geo import covers
 from egress.functions.ranks import ranked
+from egress.functions.roads import NOT_DRIVEN, drivable, extra_road
 from egress.operators.graph import undirected_unique
+from egress.plans.store import written
 
 
 def relabelled(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +43,36 @@ def read_dimacs(spark: SparkSession, gr: str, co: str) -> tuple[DataFrame, DataF
     return vertices, least_arcs(arcs)
 
 
+def read_ways(spark: SparkSession, ways: str, nodes: str, ring: Column, extra: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices vid, x, y; arcs) of an extract as Parquet: ways (id, nodes: array of ids, tags: map) and nodes (id, x, y).
+
+    Ways pass the drive filter or, with ``extra`` (highway, service, tracktype), are extra
+    roads (is_extra); of these, ways with a node inside the ring or on it stay whole. Arcs join
+    consecutive nodes that are known, both ways unless oneway says otherwise (-1: against the
+    order), with the tags that lanes and capacities need. Loops go. An extract without such
+    ways is an error.
+    """
+    tags = {c: F.try_element_at("tags", F.lit(c)) for c in (*NOT_DRIVEN, "tracktype")}
+    driven = drivable(tags)
+    more = F.lit(False) if extra is None else extra_road(tags, extra["highway"], extra["service"], extra["tracktype"])
+    kept = spark.read.parquet(ways).withColumns({"driven": driven, "more": more}).filter("driven OR more")
+    steps = kept.select("id", F.posexplode("nodes").alias("k", "node"))
+    places = spark.read.parquet(nodes).select(F.col("id").alias("node"), "x", "y")
+    placed = written(steps.join(places, "node"), "ways-placed")
+    inside = placed.filter(covers(ring, F.col("x"), F.col("y"))).select("id").distinct()
+    placed = placed.join(inside, "id", "left_semi")
+    nxt = placed.select("id", (F.col("k") - 1).alias("k"), F.col("node").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    names = ["highway", "lanes", "name", "ref", "oneway"]
+    about = kept.select("id", (~F.col("driven")).alias("is_extra"), *[F.try_element_at("tags", F.lit(c)).alias(c) for c in names])
+    one = placed.join(nxt, ["id", "k"]).join(about, "id").filter("node != dst")
+    line = one.select(F.col("id").alias("way"), F.col("node").alias("src"), "dst", F.col("highway").alias("road_class"), "lanes", "name", "ref", F.coalesce(F.col("oneway").isin("yes", "true", "1", "-1"), F.lit(False)).alias("oneway"), "is_extra", F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y")).alias("length_m"), F.coalesce(F.col("oneway") == "-1", F.lit(False)).alias("against"))
+    flip = line.withColumns({"src": F.col("dst"), "dst": F.col("src")})
+    arcs = written(line.filter("NOT against").unionByName(flip.filter("against OR NOT oneway")).drop("against"), "ways-arcs")
+    if arcs.isEmpty():
+        raise ValueError(f"no road inside the ring in {ways!r}")
+    return placed.select(F.col("node").alias("vid"), "x", "y").distinct(), arcs
+
+
 def read_polygons(spark: SparkSession, path: str, field: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """(level, ring) of a Parquet polygon table; with x0, y0, x1, y1 columns the box is a pushed-down filter."""
     rows = spark.read.parquet(path)
@@ -48,17 +81,49 @@ def read_polygons(spark: SparkSession, path: str, field: str, box: tuple[float,
     return rows.select(F.col(field).cast("int").alias("level"), "ring")
 
 
-def load_roads(spark: SparkSession, source: str, **paths: str) -> tuple[DataFrame, DataFrame]:
-    """Reader by name: edgelist (path), dimacs (gr, co), parquet (vertices, arcs)."""
+def load_hazard(spark: SparkSession, path: str, kind: str, field: str = "level", bins: list[float] | None = None) -> DataFrame:
+    """Hazard layer by kind: polygon (level, ring), or raster (row, col, value, level), the level being the number of ``bins`` that the value reaches."""
+    if kind == "polygon":
+        return read_polygons(spark, path, field)
+    if kind == "raster" and bins:
+        level = sum((F.when(F.col("value") >= b, 1).otherwise(0) for b in bins), F.lit(0))
+        return spark.read.parquet(path).select("row", "col", "value", level.cast("int").alias("level"))
+    raise ValueError(f"unknown hazard kind {kind!r}, or a raster without bins")
+
+
+def load_roads(spark: SparkSession, source: str, **paths) -> tuple[DataFrame, DataFrame]:
+    """Reader by name: edgelist (path), dimacs (gr, co), ways (ways, nodes, ring, extra), parquet (vertices, arcs)."""
     if source == "edgelist":
         return read_edgelist(spark, paths["path"])
     if source == "dimacs":
         return read_dimacs(spark, paths["gr"], paths["co"])
+    if source == "ways":
+        return read_ways(spark, **paths)
     if source == "parquet":
         return spark.read.parquet(paths["vertices"]), spark.read.parquet(paths["arcs"])
     raise ValueError(f"unknown road source {source!r}")
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """A cached CSV table as text columns, as the vehicle tables come; counts are cast where they are used."""
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, for result tables of bounded size."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """Rows of a summary as JSON lines in one file; :func:`read_summary` reads them."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def write_layers(layers: dict[str, DataFrame], path: str) -> None:
+    """Each layer as Parquet under its name, rings and loads included."""
+    for name, df in layers.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
