@@ -573,9 +573,8 @@ _UNITS = f"SELECT unit, vid FROM ({_MEMBERS}) m"
 _STREETS = " UNION ALL ".join(f"SELECT '{u}' AS unit, eid, src, dst, capacity_vph, travel_s, hazard_max FROM ({LATTICE_A}) a" for u in ("north", "south"))
 
 
-@query()
 def accessibility_lattice(t: Tables) -> DataFrame:
-    """Streets with cycles; tests hold it against brute force on the smallest tables."""
+    """Streets with cycles. Not registered: some thousand small jobs, minutes even on small tables."""
     targets = _rule(t, "R3")
     goals = targets.withColumn("unit", F.explode(F.array(F.lit("north"), F.lit("south"))))
     out = flow.accessibility(t.sql(_STREETS), t.sql(_UNITS), goals, threshold=2)

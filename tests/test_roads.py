@@ -357,20 +357,16 @@ def plain_flow(arcs, sources_, targets):
         total += least
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_accessibility_of_the_lattice(spark):
-    """Streets with cycles: both flows of both units, against augmenting paths."""
-    tables = queries.Tables(spark, SF)
-    streets = [tuple(r) for r in tables.sql(queries.LATTICE_A).select("src", "dst", "capacity_vph").collect()]
-    targets = {r.vid for r in queries.QUERIES["rule_targets_R3"](spark, SF).collect()}
-    members = defaultdict(set)
-    for r in tables.sql(queries._UNITS).collect():
-        members[r.unit].add(r.vid)
-    for r in queries.QUERIES["accessibility_lattice"](spark, SF).collect():
-        own = members[r.unit] - targets
-        assert r.n_vertices == len(own)
-        assert r.capacity_vph == pytest.approx(plain_flow(streets, own, targets))
-        assert r.n_disjoint == plain_flow([(a, b, 1.0) for a, b, _ in streets], own, targets)
+def test_flows_of_a_grid(spark):
+    """Streets with cycles, both ways with capacities of their own: both flows against augmenting paths."""
+    rnd = random.Random(17)
+    streets = [(a, b, float(rnd.randint(1, 9))) for v in range(16) for w in (v + 1, v + 4) if w < 16 and (w != v + 1 or w % 4) for a, b in ((v, w), (w, v))]
+    arcs = spark.createDataFrame([("g", k, a, b, c, 1.0, 0, 1.0) for k, (a, b, c) in enumerate(streets)], ARCS)
+    own, goals = {0, 1, 4}, {11, 14}
+    side = lambda vs: spark.createDataFrame([("g", v) for v in sorted(vs)], "unit string, vid long")
+    row = flow.accessibility(arcs, side(own), side(goals), 1).first()
+    assert row.capacity_vph == plain_flow(streets, own, goals)
+    assert row.n_disjoint == plain_flow([(a, b, 1.0) for a, b, _ in streets], own, goals)
 
 
 def test_overlay_of_a_bent_ring(spark):
