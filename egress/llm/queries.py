@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from egress.llm import bpe, chat_format, exact_dedup, fingerprints, lm_score, near_dedup, packing, secret_scan, token_output, toxicity
+from egress.llm import bpe, centroids, chat_format, exact_dedup, fill_middle, fingerprints, lm_score, near_dedup, packing, secret_scan, token_output, toxicity
 from egress.llm.store import documents
 
 
@@ -51,6 +51,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(documents(spark, sf_dir)).drop("output")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_output": op2_token_output,
@@ -62,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_lm_score": op10_lm_score,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,4 +85,6 @@ ORACLES: dict[str, str] = {
     "op4_near_dedup": near_dedup.oracle_sql(4),
     "op6_secret_scan": secret_scan.oracle_sql(),
     "op9_chat_format": chat_format.ORACLE_SQL,
+    "op12_fill_middle": fill_middle.ORACLE_SQL,
+    "op13_centroids": centroids.oracle_sql(),
 }
