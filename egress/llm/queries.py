@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from egress.llm import bpe, centroids, chat_format, exact_dedup, fill_middle, fingerprints, lm_score, near_dedup, packing, secret_scan, token_output, toxicity
+from egress.llm import bpe, centroids, chat_format, decontamination, exact_dedup, fill_middle, fingerprints, lm_score, near_dedup, packing, secret_scan, token_output, toxicity
 from egress.llm.store import documents
 
 
@@ -51,6 +52,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    names, hit = F.array_join("items", ","), decontamination.n_hit()
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_in_middle(documents(spark, sf_dir)).drop("output")
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_lm_score": op10_lm_score,
+    "op11_decontamination": op11_decontamination,
     "op12_fill_middle": op12_fill_middle,
     "op13_centroids": op13_centroids,
 }
@@ -85,6 +93,7 @@ ORACLES: dict[str, str] = {
     "op4_near_dedup": near_dedup.oracle_sql(4),
     "op6_secret_scan": secret_scan.oracle_sql(),
     "op9_chat_format": chat_format.ORACLE_SQL,
+    "op11_decontamination": decontamination.oracle_sql(),
     "op12_fill_middle": fill_middle.ORACLE_SQL,
     "op13_centroids": centroids.oracle_sql(),
 }
