@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from egress.functions.roads import finite_ratio
 from egress.operators.evacuation import clearance, contraflow, ladder, selfish, two_lanes
-from egress.operators.flow import accessibility, cut_arcs, managed, managed_flow, max_flow
-from egress.operators.graph import distances
+from egress.operators.flow import accessibility, cut_arcs, managed, managed_flow
+from egress.operators.regions import distances, max_flow
 from egress.operators.spatial import nearest
 from egress.plans.store import written
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from egress.functions import geo, roads
-from egress.operators import communities, evacuation, flow, graph, hazard, removal, spatial
+from egress.operators import communities, evacuation, flow, graph, hazard, regions, removal, spatial
 from egress.plans.fixtures import EDGES, FOREST_A, FOREST_C, FOREST_N, FOREST_R, LATTICE_A, LATTICE_V, NODES, PAIRS, Tables, duck
 from egress.sources.roads import least_arcs, relabelled
 
@@ -200,6 +200,10 @@ def contract_fixpoint(t: Tables) -> DataFrame:
     return edges.agg(F.count("*").alias("m")).join(ends.agg(F.count("*").alias("n")), F.lit(True)).withColumn("rounds", F.lit(rounds))
 
 
+def _lattice_regions(t: Tables) -> DataFrame:
+    return regions.by_place(t.sql(LATTICE_V))
+
+
 _EXITS = f"SELECT 'all' AS unit, vid FROM ({LATTICE_V}) v WHERE road_class = 'motorway' AND hazard_max = 0"
 
 
@@ -207,7 +211,7 @@ _EXITS = f"SELECT 'all' AS unit, vid FROM ({LATTICE_V}) v WHERE road_class = 'mo
     WITH RECURSIVE a AS ({LATTICE_A}), r AS (SELECT vid, 0 AS hops FROM ({_EXITS}) s UNION SELECT a.dst, r.hops + 1 FROM r JOIN a ON a.src = r.vid WHERE r.hops < 60)
     SELECT vid, CAST(min(hops) AS DOUBLE) AS hops FROM r GROUP BY vid""")
 def bfs_hops(t: Tables) -> DataFrame:
-    return graph.distances(t.sql(LATTICE_A), t.sql(_EXITS), None).select("vid", F.col("dist").alias("hops"))
+    return regions.distances(t.sql(LATTICE_A), t.sql(_EXITS), None, _lattice_regions(t)).select("vid", F.col("dist").alias("hops"))
 
 
 @query(f"""
@@ -216,7 +220,7 @@ def bfs_hops(t: Tables) -> DataFrame:
         UNION SELECT n.vid, n.d FROM (SELECT a.dst AS vid, min(r.d + a.travel_s) AS d FROM r JOIN a ON a.src = r.vid GROUP BY a.dst) n LEFT JOIN recurring.r k ON k.vid = n.vid WHERE k.d IS NULL OR n.d < k.d)
     SELECT vid, round(d, 4) AS travel_s FROM r""")
 def sssp_time(t: Tables) -> DataFrame:
-    return graph.distances(t.sql(LATTICE_A), t.sql(_EXITS), "travel_s").select("vid", F.round("dist", 4).alias("travel_s"))
+    return regions.distances(t.sql(LATTICE_A), t.sql(_EXITS), "travel_s", _lattice_regions(t)).select("vid", F.round("dist", 4).alias("travel_s"))
 
 
 _SOURCES = f"SELECT 'all' AS unit, vid AS source, vid % 2 = 0 AS alive FROM ({NODES}) n WHERE vid % 101 = 0 AND vid > 0"
@@ -573,12 +577,30 @@ _UNITS = f"SELECT unit, vid FROM ({_MEMBERS}) m"
 _STREETS = " UNION ALL ".join(f"SELECT '{u}' AS unit, eid, src, dst, capacity_vph, travel_s, hazard_max FROM ({LATTICE_A}) a" for u in ("north", "south"))
 
 
+#: Times by SQL: the fastest way from each vertex to a target, over all of the lattice. Flows have no SQL; a test holds them against augmenting paths.
+_LATTICE_TIMES = f"""
+    WITH RECURSIVE a AS ({LATTICE_A}), g AS ({{goals}}), m AS (SELECT unit, vid FROM ({_UNITS}) u WHERE vid NOT IN (SELECT vid FROM g)),
+    r(vid, d) USING KEY (vid) AS (SELECT vid, CAST(0 AS DOUBLE) FROM g
+        UNION SELECT n.vid, n.d FROM (SELECT a.src AS vid, min(r.d + a.travel_s) AS d FROM r JOIN a ON a.dst = r.vid GROUP BY a.src) n LEFT JOIN recurring.r k ON k.vid = n.vid WHERE k.d IS NULL OR n.d < k.d)
+    SELECT m.unit, count(*) AS n_vertices, round(min(r.d), 4) AS tt_min, round(avg(CASE WHEN r.d > 0 THEN 1 / r.d ELSE 0 END), 9) AS efficiency, count(r.d) = 0 AS cut_off
+    FROM m LEFT JOIN r ON r.vid = m.vid GROUP BY m.unit"""
+
+
+def _lattice_access(t: Tables) -> DataFrame:
+    goals = _rule(t, "R3").withColumn("unit", F.explode(F.array(F.lit("north"), F.lit("south"))))
+    return flow.accessibility(t.sql(_STREETS), t.sql(_UNITS), goals, threshold=2, regions=_lattice_regions(t))
+
+
+@query()
 def accessibility_lattice(t: Tables) -> DataFrame:
-    """Streets with cycles. Not registered: some thousand small jobs, minutes even on small tables."""
-    targets = _rule(t, "R3")
-    goals = targets.withColumn("unit", F.explode(F.array(F.lit("north"), F.lit("south"))))
-    out = flow.accessibility(t.sql(_STREETS), t.sql(_UNITS), goals, threshold=2)
-    return out.select("unit", "n_vertices", "n_disjoint", "capacity_vph", F.round("tt_min", 4).alias("tt_min"), F.round("efficiency", 9).alias("efficiency"), "cut_off")
+    """Streets with cycles, two districts at once."""
+    return _lattice_access(t).select("unit", "n_vertices", "n_disjoint", "capacity_vph", F.round("tt_min", 4).alias("tt_min"), F.round("efficiency", 9).alias("efficiency"), "cut_off", r6("exposed_share"))
+
+
+@query(_LATTICE_TIMES.replace("{goals}", _RULES_SQL["R3"]))
+def access_times_lattice(t: Tables) -> DataFrame:
+    """The part of accessibility that SQL can tell."""
+    return _lattice_access(t).select("unit", "n_vertices", F.round("tt_min", 4).alias("tt_min"), F.round("efficiency", 9).alias("efficiency"), "cut_off")
 
 
 # --- clearance and fixes ----------------------------------------------------------------------
