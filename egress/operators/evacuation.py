@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from egress.functions.roads import finite_ratio
-from egress.operators.regions import FRONTS, distances
+from egress.operators.graph import FRONTS
+from egress.operators.regions import distances
 from egress.plans.store import released, written
 
 

@@ -125,10 +125,13 @@ def _least(fronts: list[DataFrame], cost: str | None) -> DataFrame:
 def efficiency(arcs: DataFrame, sources: DataFrame, n_original: int, cost: str | None = None) -> DataFrame:
     """(unit, e): sum of 1/distance from a unit's sources to all others, over sources x (n - 1).
 
-    ``sources``: (unit, source, alive). Removed sources count in the denominator only.
+    ``sources``: (unit, source, alive). Removed sources count in the denominator only. Arcs
+    with a column ``unit`` serve that unit's sources alone.
     """
     key = F.struct("unit", "source")
     live = sources.filter("alive").select(key.alias("unit"), F.col("source").alias("vid"))
+    if "unit" in arcs.columns:  # arcs of a unit serve each of its sources
+        arcs = arcs.join(sources.filter("alive").select("unit", "source"), "unit").withColumn("unit", key)
     terms = distances(arcs, live, cost).filter("dist > 0").groupBy(F.col("unit.unit").alias("unit")).agg(F.sum(1 / F.col("dist")).alias("total"))
     sizes = sources.groupBy("unit").agg(F.count("*").alias("k"))
     return sizes.join(terms, "unit", "left").select("unit", (F.coalesce("total", F.lit(0.0)) / (F.col("k") * F.lit(n_original - 1))).alias("e"))

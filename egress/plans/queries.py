@@ -10,23 +10,20 @@ from pyspark.sql import functions as F
 from egress.functions import geo, roads
 from egress.operators import communities, evacuation, flow, graph, hazard, regions, removal, spatial
 from egress.plans.fixtures import EDGES, FOREST_A, FOREST_C, FOREST_N, FOREST_R, LATTICE_A, LATTICE_V, NODES, PAIRS, Tables, duck
+from egress.plans.store import written
 from egress.sources.roads import least_arcs, relabelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: SQL of queries without an oracle: its recursion holds every pair of a component's vertices, so only the smallest tables fit.
-SMALL_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, small: str | None = None) -> Callable:
-    """Registers a function of :class:`Tables` under its name, with its oracle. ``small``: SQL for tests on the smallest tables, not registered."""
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of :class:`Tables` under its name, with its oracle."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = duck(sql)
-        if small:
-            SMALL_SQL[f.__name__] = duck(small)
         return f
 
     return add
@@ -137,7 +134,7 @@ def degree_ccdf(t: Tables) -> DataFrame:
     return removal.ccdf(degree(t), "degree").select("value", r6("share"))
 
 
-@query(f"SELECT vid, row_number() OVER (ORDER BY degree DESC, (vid * 2654435761 + 7 * 40503) % 4294967296, vid) AS rnk FROM ({_DEGREE}) d")
+@query(f"SELECT vid, row_number() OVER (ORDER BY degree DESC, {removal.tie_sql('vid', 7)}, vid) AS rnk FROM ({_DEGREE}) d")
 def degree_rank(t: Tables) -> DataFrame:
     tie = removal.arithmetic_tie(F.col("vid"), 7)
     return removal.ranked_by(degree(t), F.col("degree").desc(), tie, "vid").select("vid", "rnk")
@@ -162,22 +159,33 @@ def induced_subgraph(t: Tables) -> DataFrame:
 
 _COMPONENTS = f"""
     WITH RECURSIVE e AS ({EDGES}), b AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e),
-    r AS (SELECT vid AS a, vid AS z FROM ({NODES}) n UNION SELECT r.a, b.v FROM r JOIN b ON b.u = r.z)
-    SELECT a AS vid, min(z) AS comp FROM r GROUP BY a"""
+    r(vid, comp) USING KEY (vid) AS (SELECT vid, vid FROM ({NODES}) n
+        UNION SELECT m.vid, m.comp FROM (SELECT b.v AS vid, min(r.comp) AS comp FROM r JOIN b ON b.u = r.vid GROUP BY b.v) m JOIN recurring.r k ON k.vid = m.vid WHERE m.comp < k.comp)
+    SELECT vid, comp FROM r"""
 
 
-@query(small=_COMPONENTS)
+@query(_COMPONENTS)
 def components(t: Tables) -> DataFrame:
     return graph.labelled(t.sql(NODES), t.sql(EDGES))
 
 
-@query(small=f"""
+@query(f"""
     WITH c AS (SELECT comp, count(*) AS n FROM ({_COMPONENTS}) x GROUP BY comp), k AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM c)
     SELECT coalesce(max(n) FILTER (i = 1), 0) AS s1, coalesce(max(n) FILTER (i = 2), 0) AS s2 FROM k""")
 def component_sizes(t: Tables) -> DataFrame:
     return removal.two_largest(components(t).withColumn("all", F.lit(1)), ["all"]).select("s1", "s2")
 
 
+#: A graph of many components: each customer and their orders.
+_STARS = "SELECT o_orderkey AS src, -1 - o_custkey AS dst FROM {orders}"
+
+
+@query(_COMPONENTS.replace(NODES, f"SELECT src AS vid FROM ({_STARS}) x UNION SELECT dst FROM ({_STARS}) y").replace(EDGES, _STARS))
+def components_of_orders(t: Tables) -> DataFrame:
+    edges = t.sql(_STARS)
+    return graph.labelled(edges.select(F.col("src").alias("vid")).union(edges.select("dst")).distinct(), edges)
+
+
 _CHAIN = f"""
     WITH RECURSIVE e AS ({EDGES}), ends AS (SELECT src AS vid, dst AS other FROM e UNION ALL SELECT dst, src FROM e),
     m AS (SELECT vid FROM ends GROUP BY vid HAVING count(*) = 2),
@@ -223,89 +231,143 @@ def sssp_time(t: Tables) -> DataFrame:
     return regions.distances(t.sql(LATTICE_A), t.sql(_EXITS), "travel_s", _lattice_regions(t)).select("vid", F.round("dist", 4).alias("travel_s"))
 
 
-_SOURCES = f"SELECT 'all' AS unit, vid AS source, vid % 2 = 0 AS alive FROM ({NODES}) n WHERE vid % 101 = 0 AND vid > 0"
+#: Sources of efficiency and load: a fixed number, drawn at random; odd ones count as removed.
+SAMPLE = 32
+_SOURCES = f"SELECT 'all' AS unit, vid AS source, vid % 2 = 0 AS alive FROM ({NODES}) n ORDER BY {removal.tie_sql('vid', 99)}, vid LIMIT {SAMPLE}"
+
+
+def _efficiency_sql(sources: str, edges: str) -> str:
+    """(unit, total): sum of 1 / hops from the live sources of each unit; ``edges``: (unit, src, dst)."""
+    return f"""
+    SELECT unit, sum(1.0 / d) FILTER (d > 0) AS total FROM (
+    WITH RECURSIVE e AS ({edges}), b AS (SELECT unit, src AS u, dst AS v FROM e UNION ALL SELECT unit, dst, src FROM e),
+    r(unit, a, z, d) USING KEY (unit, a, z) AS (SELECT unit, source, source, 0 FROM ({sources}) s WHERE alive
+        UNION SELECT m.unit, m.a, m.z, m.d FROM (SELECT r.unit, r.a, b.v AS z, min(r.d) + 1 AS d FROM r JOIN b ON b.unit = r.unit AND b.u = r.z GROUP BY r.unit, r.a, b.v) m
+            LEFT JOIN recurring.r k ON k.unit = m.unit AND k.a = m.a AND k.z = m.z WHERE k.d IS NULL)
+    SELECT * FROM r) q GROUP BY unit"""
 
 
 @query(f"""
-    WITH RECURSIVE e AS ({EDGES}), b AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e), s AS ({_SOURCES}),
-    r AS (SELECT source AS a, source AS z, 0 AS d FROM s WHERE alive UNION SELECT r.a, b.v, r.d + 1 FROM r JOIN b ON b.u = r.z WHERE r.d < 14),
-    m AS (SELECT a, z, min(d) AS d FROM r GROUP BY a, z)
-    SELECT 'all' AS unit, round(coalesce((SELECT sum(1.0 / d) FROM m WHERE d > 0), 0) / ((SELECT count(*) FROM s) * ((SELECT count(*) FROM ({NODES}) n) - 1.0)), 9) AS e""")
+    SELECT 'all' AS unit, round(coalesce((SELECT total FROM ({_efficiency_sql(_SOURCES, f"SELECT 'all' AS unit, * FROM ({EDGES}) e")}) x), 0) / ((SELECT count(*) FROM ({_SOURCES}) s) * ((SELECT count(*) FROM ({NODES}) n) - 1.0)), 9) AS e""")
 def efficiency(t: Tables) -> DataFrame:
     n = t.sql(NODES).count()
     return graph.efficiency(graph.to_directed(t.sql(EDGES)), t.sql(_SOURCES), n).select("unit", F.round("e", 9).alias("e"))
 
 
+def _loads(t: Tables) -> DataFrame:
+    nodes = t.sql(NODES)
+    return graph.betweenness(t.sql(EDGES), t.sql(_SOURCES).select(F.col("source").alias("vid")), nodes.count())
+
+
 @query()
 def top_betweenness(t: Tables) -> DataFrame:
-    nodes = t.sql(NODES)
-    load = graph.betweenness(t.sql(EDGES), t.sql(_SOURCES).select(F.col("source").alias("vid")), nodes.count())
-    return removal.ranked_by(load, F.col("load").desc(), "vid").filter("rnk <= 20")
+    """The most loaded hundredth of all vertices, one at least."""
+    most = max(1, t.sql(NODES).count() // 100)
+    return removal.ranked_by(_loads(t), F.col("load").desc(), "vid").filter(F.col("rnk") <= most)
 
 
 # --- removal ----------------------------------------------------------------------------------
 
-_PERMILLE = [0, 50, 100, 200, 400]
-_RANKS = f"SELECT vid, row_number() OVER (ORDER BY (vid * 2654435761 + {{seed}} * 40503) % 4294967296, vid) AS rnk FROM ({NODES}) n"
-_CUTS = "(VALUES " + ", ".join(f"({f})" for f in _PERMILLE) + ") p(permille)"
+#: 33 fractions in permille: every 10 to a tenth, then every 20.
+PERMILLE = [*range(0, 101, 10), *range(120, 541, 20)]
+#: Fractions at which efficiency is measured; one is none of the others.
+PERMILLE_E = [0, 20, 150, 200]
+SEEDS = list(range(10))
+_RANDOM = f"SELECT 'random' || seed AS order_name, vid, row_number() OVER (PARTITION BY seed ORDER BY {removal.tie_sql('vid', 'seed')}, vid) AS rnk FROM ({NODES}) n, (SELECT unnest(range({{seeds}})) AS seed) s"
+_NODE_DEGREE = f"SELECT vid, count(*) AS degree FROM (SELECT src AS vid FROM ({EDGES}) e UNION ALL SELECT dst FROM ({EDGES}) e) x GROUP BY vid"
+_BY_DEGREE = f"SELECT 'degree' AS order_name, vid, row_number() OVER (ORDER BY degree DESC, {removal.tie_sql('vid', 7)}, vid) AS rnk FROM ({_NODE_DEGREE}) d"
+
+
+def _curve_sql(ranks: str, element: str = "node", permille: list[int] | None = None) -> str:
+    """(order_name, permille, n_removed, s1, s2) of ranks (order_name, vid, rnk), or (order_name, src, dst, rnk) of edges."""
+    cuts = ", ".join(f"({f})" for f in permille or PERMILLE)
+    total = f"(SELECT count(*) FROM ({NODES if element == 'node' else EDGES}) x)"
+    if element == "node":
+        alive = "v AS (SELECT order_name AS o, permille AS p, vid FROM c JOIN k ON k.rnk > c.cut), b AS (SELECT x.o, x.p, src AS u, dst AS w FROM e JOIN v x ON x.vid = src JOIN v y ON y.vid = dst AND y.p = x.p AND y.o = x.o)"
+    else:
+        alive = f"v AS (SELECT o.order_name AS o, permille AS p, vid FROM c, (SELECT DISTINCT order_name FROM k) o, ({NODES}) n), b AS (SELECT order_name AS o, permille AS p, src AS u, dst AS w FROM c JOIN k ON k.rnk > c.cut)"
+    return f"""
+    SELECT order_name, permille, n_removed, round(s1 / n, 6) AS s1, round(s2 / n, 6) AS s2 FROM (
+    WITH RECURSIVE e AS ({EDGES}), k AS ({ranks}), n AS (SELECT count(*) AS n FROM ({NODES}) n),
+    c AS (SELECT permille, CAST(round_even(permille * {total} / 1000.0, 0) AS BIGINT) AS cut FROM (VALUES {cuts}) p(permille)), {alive},
+    d AS (SELECT o, p, u, w FROM b UNION ALL SELECT o, p, w, u FROM b),
+    r(o, p, vid, comp) USING KEY (o, p, vid) AS (SELECT o, p, vid, vid FROM v
+        UNION SELECT m.o, m.p, m.vid, m.comp FROM (SELECT d.o, d.p, d.w AS vid, min(r.comp) AS comp FROM r JOIN d ON d.o = r.o AND d.p = r.p AND d.u = r.vid GROUP BY d.o, d.p, d.w) m
+            JOIN recurring.r q ON q.o = m.o AND q.p = m.p AND q.vid = m.vid WHERE m.comp < q.comp),
+    s AS (SELECT o, p, comp, count(*) AS size FROM r GROUP BY o, p, comp), i AS (SELECT o, p, size, row_number() OVER (PARTITION BY o, p ORDER BY size DESC, comp DESC) AS i FROM s)
+    SELECT g.order_name, c.permille, c.cut AS n_removed, coalesce(max(size) FILTER (i = 1), 0) AS s1, coalesce(max(size) FILTER (i = 2), 0) AS s2, max(n.n) AS n
+    FROM c CROSS JOIN n CROSS JOIN (SELECT DISTINCT order_name FROM k) g LEFT JOIN i ON i.p = c.permille AND i.o = g.order_name GROUP BY g.order_name, c.permille, c.cut) z"""
 
 
-def _curve_sql(seed: int) -> str:
-    ranks = _RANKS.replace("{seed}", str(seed))
-    return f"""
-    SELECT permille, n_removed, round(s1 / n, 6) AS s1, round(s2 / n, 6) AS s2 FROM (
-    WITH RECURSIVE e AS ({EDGES}), k AS ({ranks}), n AS (SELECT count(*) AS n FROM k), c AS (SELECT permille, CAST(round_even(permille * n / 1000.0, 0) AS BIGINT) AS cut FROM {_CUTS}, n),
-    v AS (SELECT permille, vid FROM c JOIN k ON k.rnk > c.cut),
-    b AS (SELECT x.permille, src AS u, dst AS w FROM e JOIN v x ON x.vid = src JOIN v y ON y.vid = dst AND y.permille = x.permille),
-    d AS (SELECT permille, u, w FROM b UNION ALL SELECT permille, w, u FROM b),
-    r AS (SELECT permille, vid AS a, vid AS z FROM v UNION SELECT r.permille, r.a, d.w FROM r JOIN d ON d.permille = r.permille AND d.u = r.z),
-    l AS (SELECT permille, a, min(z) AS comp FROM r GROUP BY permille, a), s AS (SELECT permille, comp, count(*) AS size FROM l GROUP BY permille, comp),
-    o AS (SELECT permille, size, row_number() OVER (PARTITION BY permille ORDER BY size DESC, comp DESC) AS i FROM s)
-    SELECT c.permille, c.cut AS n_removed, coalesce(max(size) FILTER (i = 1), 0) AS s1, coalesce(max(size) FILTER (i = 2), 0) AS s2, max(n.n) AS n
-    FROM c CROSS JOIN n LEFT JOIN o ON o.permille = c.permille GROUP BY c.permille, c.cut) q"""
-
-
-def _node_curve(t: Tables, seed: int) -> DataFrame:
-    nodes = t.sql(NODES)
-    ranking = removal.ranked_by(nodes, removal.arithmetic_tie(F.col("vid"), seed), "vid")
-    return removal.removal_curve(nodes, t.sql(EDGES), ranking, _PERMILLE).select("permille", "n_removed", r6("s1"), r6("s2"))
+def _by_degree(t: Tables) -> DataFrame:
+    ranks = removal.ranked_by(graph.degree(t.sql(EDGES), t.sql(NODES)), F.col("degree").desc(), removal.arithmetic_tie(F.col("vid"), 7), "vid")
+    return ranks.select(F.lit("degree").alias("order_name"), "vid", "rnk")
+
 
+def _curves(t: Tables, ranks: DataFrame, permille: list[int] | None = None) -> DataFrame:
+    return removal.removal_curves(t.sql(NODES), t.sql(EDGES), ranks, permille or PERMILLE)
 
-@query(small=_curve_sql(1))
+
+def _rounded(curves: DataFrame) -> DataFrame:
+    return curves.select("order_name", "permille", "n_removed", r6("s1"), r6("s2"))
+
+
+@query(_curve_sql(f"{_BY_DEGREE} UNION ALL {_RANDOM.replace('{seeds}', '1')}"))
 def removal_curve_node(t: Tables) -> DataFrame:
-    return _node_curve(t, 1)
+    return _rounded(_curves(t, _by_degree(t).unionByName(removal.random_orders(t.sql(NODES), SEEDS[:1]))))
 
 
-@query()
-def removal_curve_edge(t: Tables) -> DataFrame:
+_EDGE_TIE = "(abs(src) * 7919 + abs(dst))"
+
+
+def _edge_curve(t: Tables) -> DataFrame:
     edges = t.sql(EDGES)
-    ranking = removal.ranked_by(edges, removal.arithmetic_tie(F.abs("src") * 7919 + F.abs("dst"), 1), "src", "dst")
-    return removal.removal_curve(t.sql(NODES), edges, ranking, _PERMILLE, "edge").select("permille", "n_removed", r6("s1"), r6("s2"))
+    ranking = removal.ranked_by(edges, removal.arithmetic_tie(F.abs("src") * 7919 + F.abs("dst"), 1), "src", "dst").withColumn("order_name", F.lit("edges"))
+    return removal.removal_curves(t.sql(NODES), edges, ranking, PERMILLE, "edge")
 
 
-def _curves(t: Tables) -> DataFrame:
-    return _node_curve(t, 1).withColumn("order_name", F.lit("o1")).unionByName(_node_curve(t, 2).withColumn("order_name", F.lit("o2")))
+@query(_curve_sql(f"SELECT 'edges' AS order_name, src, dst, row_number() OVER (ORDER BY {removal.tie_sql(_EDGE_TIE, 1)}, src, dst) AS rnk FROM ({EDGES}) e", "edge"))
+def removal_curve_edge(t: Tables) -> DataFrame:
+    return _rounded(_edge_curve(t))
 
 
-_BOTH = f"(SELECT 'o1' AS order_name, * FROM ({_curve_sql(1)}) a UNION ALL SELECT 'o2', * FROM ({_curve_sql(2)}) b)"
+_BAND_PERMILLE = PERMILLE[::4]
+_TEN = _curve_sql(_RANDOM.replace("{seeds}", str(len(SEEDS))), permille=_BAND_PERMILLE)
 
 
-@query(small=f"SELECT permille, round(avg(s1), 6) AS mean, min(s1) AS min, max(s1) AS max FROM {_BOTH} c GROUP BY permille")
+@query(f"SELECT permille, round(avg(s1), 6) AS mean, min(s1) AS min, max(s1) AS max FROM ({_TEN}) c GROUP BY permille")
 def random_band(t: Tables) -> DataFrame:
-    return removal.band(_curves(t)).select("permille", r6("mean"), "min", "max")
+    return removal.band(_rounded(_curves(t, removal.random_orders(t.sql(NODES), SEEDS), _BAND_PERMILLE))).select("permille", r6("mean"), "min", "max")
 
 
-@query(small=f"SELECT order_name, permille FROM (SELECT *, row_number() OVER (PARTITION BY order_name ORDER BY s2 DESC, permille) AS i FROM {_BOTH} c) x WHERE i = 1")
+@query(f"SELECT order_name, permille FROM (SELECT *, row_number() OVER (PARTITION BY order_name ORDER BY s2 DESC, permille) AS i FROM ({_TEN}) c) x WHERE i = 1")
 def perc_threshold(t: Tables) -> DataFrame:
-    return removal.threshold(_curves(t))
+    return removal.threshold(_rounded(_curves(t, removal.random_orders(t.sql(NODES), SEEDS), _BAND_PERMILLE)))
 
 
-@query(small=f"""
-    WITH c AS ({_curve_sql(1)}), g AS (SELECT * FROM (VALUES (0, 0.5), (150, 0.25), (200, 0.125)) v(permille, e))
-    SELECT coalesce(c.permille, g.permille) AS permille, s1, CAST(e AS DOUBLE) AS e FROM c FULL JOIN g ON g.permille = c.permille""")
+@query()
+def removal_experiment(t: Tables) -> DataFrame:
+    """The whole experiment: 33 fractions of twelve node orders (degree, load, ten random) and the order of edges."""
+    nodes = t.sql(NODES)
+    load = nodes.join(_loads(t), "vid", "left").na.fill(0.0, ["load"])
+    by_load = removal.ranked_by(load, F.col("load").desc(), removal.arithmetic_tie(F.col("vid"), 8), "vid").select(F.lit("load").alias("order_name"), "vid", "rnk")
+    every = _by_degree(t).unionByName(by_load).unionByName(removal.random_orders(nodes, SEEDS))
+    return _rounded(_curves(t, every)).withColumn("element", F.lit("node")).unionByName(_rounded(_edge_curve(t)).withColumn("element", F.lit("edge")))
+
+
+_LEFT = f"SELECT permille::VARCHAR AS unit, vid FROM (SELECT permille, CAST(round_even(permille * (SELECT count(*) FROM ({NODES}) n) / 1000.0, 0) AS BIGINT) AS cut FROM (VALUES {', '.join(f'({f})' for f in PERMILLE_E)}) p(permille)) c JOIN ({_BY_DEGREE}) k ON k.rnk > c.cut"
+
+
+@query(f"""
+    WITH l AS MATERIALIZED ({_LEFT}), g AS ({_efficiency_sql(f"SELECT u.unit, s.source, l.vid IS NOT NULL AS alive FROM (SELECT DISTINCT unit FROM l) u CROSS JOIN ({_SOURCES}) s LEFT JOIN l ON l.unit = u.unit AND l.vid = s.source", f"SELECT x.unit, e.src, e.dst FROM ({EDGES}) e JOIN l x ON x.vid = e.src JOIN l y ON y.vid = e.dst AND y.unit = x.unit")}),
+    c AS ({_curve_sql(_BY_DEGREE)})
+    SELECT coalesce(c.permille, g.unit::INT) AS permille, s1, CASE WHEN g.unit IS NOT NULL THEN round(coalesce(g.total, 0) / ({SAMPLE} * ((SELECT count(*) FROM ({NODES}) n) - 1.0)), 9) END AS e
+    FROM c FULL JOIN g ON g.unit::INT = c.permille""")
 def curve_with_e(t: Tables) -> DataFrame:
-    e = t.spark.createDataFrame([(0, 0.5), (150, 0.25), (200, 0.125)], "permille int, e double")
-    return _node_curve(t, 1).join(e, "permille", "full").select("permille", "s1", "e")
+    """Component curve of the degree order, with the efficiency that is left at some fractions; a fraction of one list only is kept."""
+    nodes, ranks = t.sql(NODES), written(_by_degree(t), "curve-ranks")
+    e = removal.efficiency_curve(nodes, t.sql(EDGES), ranks, t.sql(_SOURCES).select("source"), PERMILLE_E)
+    return _rounded(_curves(t, ranks)).select("permille", "s1").join(e.select("permille", F.round("e", 9).alias("e")), "permille", "full").select("permille", "s1", "e")
 
 
 @query("""
