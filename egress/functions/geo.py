@@ -1,4 +1,8 @@
-"""Plane geometry over rings given as array<struct<x,y>>, closed or not, in built-in functions."""
+"""Plane geometry in built-in functions.
+
+A ring is array<struct<x,y>>, closed or not. A polygon is an array of rings under the even-odd
+rule, so holes and several parts need no marks: what an odd number of rings encloses is inside.
+"""
 
 from __future__ import annotations
 
@@ -16,11 +20,16 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def edges(points: Column) -> Column:
-    """array<struct<a, b>> of a ring's sides; a closing point makes a side of no length."""
-    shifted = F.concat(F.slice(points, F.lit(2), F.size(points) - 1), F.slice(points, 1, 1))
+    """array<struct<a, b>> of a ring's sides, none for an empty ring; a closing point makes a side of no length."""
+    shifted = F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
     return F.zip_with(points, shifted, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
+def sides(rings: Column) -> Column:
+    """Sides of all rings of a polygon."""
+    return F.flatten(F.transform(rings, edges))
+
+
 def length(points: Column) -> Column:
     """Length of an open line."""
     after = F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0)))
@@ -28,41 +37,89 @@ def length(points: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
 
 
+def signed_area(points: Column) -> Column:
+    """Area of a simple ring, negative if it runs clockwise."""
+    return F.aggregate(edges(points), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
+
+
 def area(points: Column) -> Column:
     """Area of a simple ring."""
-    return F.abs(F.aggregate(edges(points), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))) / 2
+    return F.abs(signed_area(points))
 
 
-def on_border(x: Column, y: Column, points: Column) -> Column:
+def oriented(rings: Column) -> Column:
+    """The rings of a polygon, those with their inside within an even number of others anticlockwise and the others (holes) clockwise, so that signed areas add up to the polygon's. Rings must not cross."""
+
+    def turned(points: Column, k: Column) -> Column:
+        others = F.filter(rings, lambda r, i: (i != k) & _crossings_odd((points[0]["x"] + points[1]["x"]) / 2, (points[0]["y"] + points[1]["y"]) / 2, edges(r)))
+        outer = F.size(others) % 2 == 0
+        return F.when((signed_area(points) >= 0) == outer, points).otherwise(F.reverse(points))
+
+    return F.transform(rings, turned)
+
+
+def polygon_area(rings: Column) -> Column:
+    """Area of a polygon whose rings are :func:`oriented`."""
+    return F.aggregate(rings, F.lit(0.0), lambda s, r: s + signed_area(r))
+
+
+def _on(x: Column, y: Column, of: Column) -> Column:
     def on(e: Column) -> Column:
         a, b = e["a"], e["b"]
         cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
         return (cross == 0) & (x >= F.least(a["x"], b["x"])) & (x <= F.greatest(a["x"], b["x"])) & (y >= F.least(a["y"], b["y"])) & (y <= F.greatest(a["y"], b["y"]))
 
-    return F.exists(edges(points), on)
+    return F.exists(of, on)
+
 
+def on_border(x: Column, y: Column, points: Column) -> Column:
+    return _on(x, y, edges(points))
 
-def _crossings_odd(x: Column, y: Column, points: Column) -> Column:
+
+def _crossings_odd(x: Column, y: Column, of: Column) -> Column:
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
         at = a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.when(b["y"] == a["y"], F.lit(1.0)).otherwise(b["y"] - a["y"])
         return ((a["y"] > y) != (b["y"] > y)) & (x < at)
 
-    return F.size(F.filter(edges(points), crosses)) % 2 == 1
+    return F.size(F.filter(of, crosses)) % 2 == 1
 
 
 def contains(points: Column, x: Column, y: Column) -> Column:
-    """Strictly inside."""
-    return _crossings_odd(x, y, points) & ~on_border(x, y, points)
+    """Strictly inside a ring."""
+    return contains_sides(edges(points), x, y)
 
 
 def covers(points: Column, x: Column, y: Column) -> Column:
-    """Inside or on the border."""
-    return _crossings_odd(x, y, points) | on_border(x, y, points)
+    """Inside a ring or on its border."""
+    return covers_sides(edges(points), x, y)
+
+
+def contains_sides(of: Column, x: Column, y: Column) -> Column:
+    """Strictly inside the polygon of some sides."""
+    return _crossings_odd(x, y, of) & ~_on(x, y, of)
+
 
+def covers_sides(of: Column, x: Column, y: Column) -> Column:
+    """Inside the polygon of some sides or on its border."""
+    return _crossings_odd(x, y, of) | _on(x, y, of)
 
-def share_inside(x0: Column, y0: Column, x1: Column, y1: Column, points: Column) -> Column:
-    """Share of a segment that lies inside a ring: cut where it meets the sides, each piece judged by its middle. 0 for a segment of no length."""
+
+def distance_to_sides(of: Column, x: Column, y: Column) -> Column:
+    """Distance from a point to the nearest of some sides; null without sides."""
+
+    def far(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        long = dx * dx + dy * dy
+        t = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / long))).otherwise(0.0)
+        return F.hypot(a["x"] + t * dx - x, a["y"] + t * dy - y)
+
+    return F.array_min(F.transform(of, far))
+
+
+def share_inside(x0: Column, y0: Column, x1: Column, y1: Column, of: Column) -> Column:
+    """Share of a segment that lies inside the polygon of some sides: cut where it meets the sides, each piece judged by its middle. 0 for a segment of no length."""
     dx, dy = x1 - x0, y1 - y0
 
     def meets(e: Column) -> Column:
@@ -74,10 +131,10 @@ def share_inside(x0: Column, y0: Column, x1: Column, y1: Column, points: Column)
         u = ((a["x"] - x0) * dy - (a["y"] - y0) * dx) / safe
         return F.when((det != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
 
-    cuts = F.filter(F.transform(edges(points), meets), lambda t: t.isNotNull())
+    cuts = F.filter(F.transform(of, meets), lambda t: t.isNotNull())
     ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
     pieces = F.zip_with(F.slice(ts, F.lit(1), F.size(ts) - 1), F.slice(ts, F.lit(2), F.size(ts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    inside = F.aggregate(pieces, F.lit(0.0), lambda s, p: s + F.when(contains(points, x0 + dx * (p["a"] + p["b"]) / 2, y0 + dy * (p["a"] + p["b"]) / 2), p["b"] - p["a"]).otherwise(0.0))
+    inside = F.aggregate(pieces, F.lit(0.0), lambda s, p: s + F.when(contains_sides(of, x0 + dx * (p["a"] + p["b"]) / 2, y0 + dy * (p["a"] + p["b"]) / 2), p["b"] - p["a"]).otherwise(0.0))
     return F.when((dx == 0) & (dy == 0), F.lit(0.0)).otherwise(inside)
 
 
@@ -105,24 +162,19 @@ def within_box(x0: Column, y0: Column, x1: Column, y1: Column, left: Column, low
     return enter, leave
 
 
-def clip_to_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Sutherland-Hodgman clip of a ring to a box; empty if nothing is left. Of a ring that is not convex the parts hang together by sides along the box, which leaves areas and what lies off the box's border right."""
+def half(points: Column, axis: str, limit: Column, above: bool) -> Column:
+    """The part of a ring on one side of a line across ``axis`` (Sutherland-Hodgman); empty if nothing is left. Parts of a ring that is not convex hang together by sides along the line, which leaves areas and what lies off the line right."""
+    other, sign = ("y" if axis == "x" else "x"), (1 if above else -1)
+    inside = lambda p: (p[axis] - limit) * sign >= 0
 
-    def half(pts: Column, axis: str, other: str, limit: Column, sign: int) -> Column:
-        inside = lambda p: (p[axis] - limit) * sign >= 0
-
-        def cut(e: Column) -> Column:
-            a, b = e["a"], e["b"]
-            step = F.when(b[axis] == a[axis], F.lit(1.0)).otherwise(b[axis] - a[axis])
-            at = a[other] + (b[other] - a[other]) * (limit - a[axis]) / step
-            meet = F.struct(*[(limit if n == axis else at).cast("double").alias(n) for n in "xy"])
-            return F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(meet)).when(inside(b), F.array(meet, b)).otherwise(F.slice(F.array(b), 1, 0))
-
-        return F.flatten(F.transform(edges(pts), cut))
+    def cut(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        step = F.when(b[axis] == a[axis], F.lit(1.0)).otherwise(b[axis] - a[axis])
+        at = a[other] + (b[other] - a[other]) * (limit - a[axis]) / step
+        meet = F.struct(*[(limit if n == axis else at).cast("double").alias(n) for n in "xy"])
+        return F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(meet)).when(inside(b), F.array(meet, b)).otherwise(F.slice(F.array(b), 1, 0))
 
-    for axis, other, limit, sign in (("x", "y", x0, 1), ("x", "y", x1, -1), ("y", "x", y0, 1), ("y", "x", y1, -1)):
-        points = half(points, axis, other, limit, sign)
-    return points
+    return F.flatten(F.transform(edges(points), cut))
 
 
 def albers(lon: Column, lat: Column, lat1: float = 34.0, lat2: float = 40.5, lat0: float = 0.0, lon0: float = -120.0, false_north: float = -4_000_000.0) -> tuple[Column, Column]:

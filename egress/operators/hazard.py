@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from egress.functions import geo
+from egress.operators.spatial import pieces
 
 
 def overlay_polygons(segments: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """(eid, level, share): part of each segment (eid, x0, y0, x1, y1) inside the polygons (pid, level, ring) of a level, 1 at most.
+    """(eid, level, share): part of each segment (eid, x0, y0, x1, y1) inside the polygons (level, and rings or ring) of a level, 1 at most.
 
     Segments and polygons meet on tiles, both cut: a tile holds the part of the segment within
-    it and the part of the ring in and half a tile around it, so a ring of many vertices is
+    it and the part of the polygon in and half a tile around it, so a ring of many vertices is
     never tested whole. Polygons are not merged, so the tiles stay selective. Levels of share
     0 are left out.
     """
@@ -21,11 +22,8 @@ def overlay_polygons(segments: DataFrame, polygons: DataFrame, size: float) -> D
     at = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * F.col(t)
     left = left.withColumns({"low": low, "high": high}).filter("high > low")
     parts = left.select("eid", "tile", (F.col("high") - F.col("low")).alias("part"), at("x0", "x1", "low").alias("xa"), at("y0", "y1", "low").alias("ya"), at("x0", "x1", "high").alias("xb"), at("y0", "y1", "high").alias("yb"))
-    box = geo.bounds(F.col("ring"))
-    placed = polygons.withColumn("tile", F.explode(geo.tiles(box["x0"], box["y0"], box["x1"], box["y1"], size)))
-    x, y = (F.col("tile.tx") - 0.5) * size, (F.col("tile.ty") - 0.5) * size
-    right = placed.select("tile", "level", geo.clip_to_box(F.col("ring"), x, y, x + 2 * size, y + 2 * size).alias("piece")).filter(F.size("piece") > 2)
-    shares = parts.join(right, "tile").withColumn("share", F.col("part") * geo.share_inside(*[F.col(c) for c in ("xa", "ya", "xb", "yb")], F.col("piece")))
+    right = pieces(polygons, size, size / 2).select("tile", "about.level", F.explode(F.array(geo.sides(F.col("piece")))).alias("sides"))
+    shares = parts.join(right, "tile").withColumn("share", F.col("part") * geo.share_inside(*[F.col(c) for c in ("xa", "ya", "xb", "yb")], F.col("sides")))
     return shares.groupBy("eid", "level").agg(F.least(F.sum("share"), F.lit(1.0)).alias("share")).filter("share > 0")
 
 

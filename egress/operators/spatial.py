@@ -12,18 +12,49 @@ from egress.functions import geo
 from egress.plans.store import released, written
 
 
-def _tiled(df: DataFrame, box: dict[str, Column], size: float) -> DataFrame:
-    return df.withColumn("tile", F.explode(geo.tiles(box["x0"], box["y0"], box["x1"], box["y1"], size)))
+def rings_of(polygons: DataFrame) -> Column:
+    """Rings of polygons: their column ``rings``, or ``ring`` as the only one."""
+    return F.col("rings") if "rings" in polygons.columns else F.array("ring")
+
+
+def pieces(polygons: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """(about, tile, piece): the part of each polygon (rings or ring, others in ``about``) in each tile of its box and ``margin`` around it, where any is left.
+
+    A polygon is halved at tile borders until each part lies in one tile, first across x, then
+    across y; so a vertex is looked at once for each halving, not once for each tile.
+    """
+    rest = [c for c in polygons.columns if c not in ("ring", "rings")]
+    about = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("string")
+    rows = polygons.select(about.alias("about"), F.filter(rings_of(polygons), lambda r: F.size(r) > 2).alias("piece"))
+    box = geo.bounds(F.flatten("piece"))
+    cell = lambda c: F.floor(box[c] / size)
+    rows = rows.filter(F.size("piece") > 0).withColumns({"tx": cell("x0"), "tx1": cell("x1"), "ty": cell("y0"), "ty1": cell("y1")})
+    spans = rows.agg(F.max(F.col("tx1") - F.col("tx")).alias("x"), F.max(F.col("ty1") - F.col("ty")).alias("y")).first()
+    for axis in "xy":
+        low, high = f"t{axis}", f"t{axis}1"
+        for _ in range(int(spans[axis] or 0).bit_length()):
+            mid = F.floor((F.col(low) + F.col(high)) / 2)
+            line = (mid + 1) * size
+            part = lambda above, limit: F.transform("piece", lambda r: geo.half(r, axis, limit, above))  # noqa: B023, E731
+            one = F.struct(F.col(low).alias("low"), mid.alias("high"), part(False, line + margin).alias("piece"))
+            two = F.struct((mid + 1).alias("low"), F.col(high).alias("high"), part(True, line - margin).alias("piece"))
+            same = F.struct(F.col(low).alias("low"), F.col(high).alias("high"), F.col("piece").alias("piece"))
+            keep = [c for c in rows.columns if c not in (low, high, "piece")]
+            split = rows.select(*keep, F.explode(F.when(F.col(low) < F.col(high), F.array(one, two)).otherwise(F.array(same))).alias("h"))
+            rows = split.select(*keep, F.col("h.low").alias(low), F.col("h.high").alias(high), F.filter("h.piece", lambda r: F.size(r) > 2).alias("piece")).filter(F.size("piece") > 0)
+    return rows.select("about", F.struct("tx", "ty").alias("tile"), "piece")
 
 
 def points_in(points: DataFrame, polygons: DataFrame, size: float, how: str = "inner", strict: bool = True) -> DataFrame:
-    """Points (x, y, ...) with the columns of the polygons (ring, ...) that hold them. A polygon is sent to each tile of its box, a point to its own; several polygons give several rows."""
-    test: Callable = geo.contains if strict else geo.covers
-    right = _tiled(polygons, geo.bounds(F.col("ring")), size)
-    left = points.withColumn("tile", F.struct(F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty")))
-    match = (left["tile"] == right["tile"]) & test(F.col("ring"), F.col("x"), F.col("y"))
+    """Points (x, y, ...) with the columns of the polygons (rings or ring, ...) that hold them. A polygon is cut at tiles, a point goes to its own; several polygons give several rows."""
+    test: Callable = geo.contains_sides if strict else geo.covers_sides
+    right = pieces(polygons, size, size / 2)
+    tile = F.struct(F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty"))
+    left = points.select(F.struct("*").alias("point"), tile.alias("tile"))
+    match = (left["tile"] == right["tile"]) & test(geo.sides(F.col("piece")), F.col("point.x"), F.col("point.y"))
     joined = left.join(right, match, how)
-    return joined.select(*[left[c] for c in points.columns], *([] if "semi" in how or "anti" in how else [right[c] for c in polygons.columns if c != "ring"]))
+    rest = [] if "semi" in how or "anti" in how else [c for c in polygons.columns if c not in ("ring", "rings")]
+    return joined.select(*[F.col(f"point.`{c}`").alias(c) for c in points.columns], *[F.col(f"about.`{c}`").alias(c) for c in rest])
 
 
 def nearest(queries: DataFrame, sites: DataFrame, by: list[str], ties: str = "first") -> DataFrame:
@@ -72,8 +103,7 @@ def within_distance(points: DataFrame, others: DataFrame, most: float) -> DataFr
 
 
 def tile_pieces(polygons: DataFrame, size: float) -> DataFrame:
-    """(tx, ty, level, area, piece): convex polygons cut at tile borders; pieces without area are dropped."""
-    placed = _tiled(polygons, geo.bounds(F.col("ring")), size)
-    x0, y0 = F.col("tile.tx") * size, F.col("tile.ty") * size
-    cut = placed.withColumn("piece", geo.clip_to_box(F.col("ring"), x0, y0, x0 + size, y0 + size))
-    return cut.filter(F.size("piece") > 2).select("tile.tx", "tile.ty", "level", geo.area(F.col("piece")).alias("area"), "piece").filter("area > 0")
+    """(tx, ty, level, area, piece): polygons cut at tile borders; pieces without area are dropped."""
+    whole = polygons.withColumn("rings", geo.oriented(rings_of(polygons))).drop("ring")
+    cut = pieces(whole, size).select("tile.tx", "tile.ty", "about.level", geo.polygon_area(F.col("piece")).alias("area"), "piece")
+    return cut.filter("area > 0")

@@ -335,9 +335,9 @@ _BAND_PERMILLE = PERMILLE[::4]
 _TEN = _curve_sql(_RANDOM.replace("{seeds}", str(len(SEEDS))), permille=_BAND_PERMILLE)
 
 
-@query(f"SELECT permille, round(avg(s1), 6) AS mean, min(s1) AS min, max(s1) AS max FROM ({_TEN}) c GROUP BY permille")
+@query(f"SELECT permille, round(avg(s1), 7) AS mean, min(s1) AS min, max(s1) AS max FROM ({_TEN}) c GROUP BY permille")
 def random_band(t: Tables) -> DataFrame:
-    return removal.band(_rounded(_curves(t, removal.random_orders(t.sql(NODES), SEEDS), _BAND_PERMILLE))).select("permille", r6("mean"), "min", "max")
+    return removal.band(_rounded(_curves(t, removal.random_orders(t.sql(NODES), SEEDS), _BAND_PERMILLE))).select("permille", F.round("mean", 7).alias("mean"), "min", "max")
 
 
 @query(f"SELECT order_name, permille FROM (SELECT *, row_number() OVER (PARTITION BY order_name ORDER BY s2 DESC, permille) AS i FROM ({_TEN}) c) x WHERE i = 1")
@@ -493,6 +493,45 @@ def arcs_by_hazard(t: Tables) -> DataFrame:
     return _overlaid(t).groupBy("hazard_max").agg(F.count("*").alias("n"))
 
 
+#: Around each label's middle: a lozenge with a hole of the same shape, and a second, smaller part beside it. (distance of the middle, reach, sign) of each ring.
+_LOZENGES = ((0.0, 0.12, 1), (0.0, 0.05, -1), (0.3, 0.06, 1))
+_MIDDLES = "SELECT label, round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM ({p}) p GROUP BY label"
+_MIDDLES_DUCK, _MIDDLES_SPARK = _MIDDLES.replace("{p}", _POINTS_DUCK), _MIDDLES.replace("{p}", _POINTS_SPARK)
+
+
+def _lozenges(t: Tables) -> DataFrame:
+    def lozenge(far: float, reach: float) -> F.Column:
+        x, y = F.col("cx") + far, F.col("cy")
+        return geo.ring((x - reach, y), (x, y - reach), (x + reach, y), (x, y + reach))
+
+    return t.sql(_MIDDLES_SPARK).select("label", F.array(*[lozenge(far, reach) for far, reach, _ in _LOZENGES]).alias("rings"))
+
+
+@query(f"SELECT m.label, p.pid AS vid FROM ({_POINTS_DUCK}) p, ({_MIDDLES_DUCK}) m WHERE ((abs(p.x - cx) + abs(p.y - cy) < 0.12) AND NOT (abs(p.x - cx) + abs(p.y - cy) < 0.05)) OR abs(p.x - cx - 0.3) + abs(p.y - cy) < 0.06")
+def members_of_rings(t: Tables) -> DataFrame:
+    """Points strictly inside polygons with a hole and two parts."""
+    return spatial.points_in(t.sql(_POINTS_SPARK).select("pid", "x", "y"), _lozenges(t), TILE).select("label", F.col("pid").alias("vid"))
+
+
+_SPAN = " + ".join(f"{sign} * greatest(0, least(greatest(s.x0, s.x1), m.cx + {far} + ({reach} - abs(s.y0 - m.cy))) - greatest(least(s.x0, s.x1), m.cx + {far} - ({reach} - abs(s.y0 - m.cy)))) * (CASE WHEN abs(s.y0 - m.cy) < {reach} THEN 1 ELSE 0 END)" for far, reach, sign in _LOZENGES)
+
+
+@query(f"""
+    WITH h AS (SELECT s.eid, 1 + m.label % 3 AS level, ({_SPAN}) / abs(s.x1 - s.x0) AS share FROM ({_SEG_DUCK}) s, ({_MIDDLES_DUCK}) m)
+    SELECT eid, level, round(least(1, sum(share)), 6) AS share FROM h GROUP BY eid, level HAVING round(least(1, sum(share)), 6) > 0""")
+def hazard_overlay_rings(t: Tables) -> DataFrame:
+    """Shares of segments in polygons that are no rectangles, with a hole and two parts."""
+    zones = _lozenges(t).withColumn("level", 1 + F.col("label") % 3)
+    return hazard.overlay_polygons(t.sql(_SEG_SPARK), zones, TILE).select("eid", "level", r6("share")).filter("share > 0")
+
+
+@query(f"SELECT label AS level, round(2 * ({' + '.join(f'{sign} * {reach} * {reach}' for _, reach, sign in _LOZENGES)}), 6) AS area FROM ({_MIDDLES_DUCK}) m")
+def zone_areas(t: Tables) -> DataFrame:
+    """Areas of polygons with a hole and two parts, added up over tiles."""
+    found = spatial.tile_pieces(_lozenges(t).withColumnRenamed("label", "level"), TILE)
+    return found.groupBy("level").agg(F.round(F.sum("area"), 6).alias("area"))
+
+
 _ROWS = f"SELECT vid AS eid, x AS x0, y + 50 AS y0, x + 300 AS x1, y + 50 AS y1 FROM ({LATTICE_V}) v"
 _BINS = [0.0, 2500.0, 5000.0, 7500.0]
 
