@@ -28,8 +28,6 @@ MOST_LABELLED = 60_000
 SUPPORT, PRECISION = 3, 0.7
 #: Most probability that a term without a leaning is in so many toxic texts by chance, or more.
 CHANCE = 1e-4
-#: Occurrences of a term in one labelled text that count while the lexicon is learned, so that one text alone makes no weight. Scores count all.
-MOST_OF_ONE = 5
 LEAST_WORDS = 20
 THRESHOLD = 0.7
 
@@ -101,8 +99,15 @@ class Matcher:
         if not len(self.found):
             return []
         all_hits = [(end + 1 - n, end + 1, w) for end, (n, w) in self.found.iter(text)]
-        spared = [(a, b) for a, b, w in all_hits if w is None]
-        return [h for h in all_hits if h[2] is not None and not any(a <= h[0] and h[1] <= b for a, b in spared)]
+        if not any(w is None for _, _, w in all_hits):
+            return all_hits
+        out, reach = [], 0  # by their starts, exceptions first: the farthest end of those begun so far tells
+        for start, end, weight in sorted(all_hits, key=lambda h: (h[0], h[2] is not None)):
+            if weight is None:
+                reach = max(reach, end)
+            elif end > reach:
+                out.append((start, end, weight))
+        return out
 
     def load(self, text: str) -> float:
         """Log of the summed weights for 1,000 words."""
@@ -132,8 +137,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     return docs.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
+def damped(n: int) -> int:
+    """What n occurrences in one labelled text count while weights are learned, in hundredths: log2(1 + n), so that more always count more, but one text alone makes no weight. Whole numbers, so that sums don't depend on their order. Scores count all occurrences alike."""
+    return round(100 * math.log2(1 + n))
+
+
 def _counted(rows: DataFrame, asked: frozenset[str] | None) -> DataFrame:
-    """feature, texts, clean_texts, toxic, clean: toxic and clean texts with the feature, and its occurrences in them. ``asked`` None: all features of toxic texts, in those texts only."""
+    """feature, texts, clean_texts, toxic, clean: toxic and clean texts with the feature, and its damped occurrences in them. ``asked`` None: all features of toxic texts, in those texts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, clean_texts, toxic, clean = Counter(), Counter(), Counter(), Counter()
@@ -141,7 +151,7 @@ def _counted(rows: DataFrame, asked: frozenset[str] | None) -> DataFrame:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 if asked is None and not label:
                     continue
-                own = {f: min(n, MOST_OF_ONE) for f, n in _features(folded(text)).items() if asked is None or f in asked}
+                own = {f: damped(n) for f, n in _features(folded(text)).items() if asked is None or f in asked}
                 (toxic if label else clean).update(own)
                 (texts if label else clean_texts).update(own.keys())
         names = list(toxic | clean)
@@ -167,7 +177,7 @@ def by_chance(texts: int, clean_texts: int, share: float) -> float:
     return min(total, 1.0)
 
 
-def chosen_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, precision: float = PRECISION) -> dict[str, float]:
+def chosen_terms(counts: dict[str, tuple[float, float]], n_toxic: int, n_clean: int, precision: float = PRECISION) -> dict[str, float]:
     """Terms (with their toxic and clean occurrences) that are pure enough, shortest beginnings first; a term that a chosen one begins adds nothing."""
     terms: dict[str, float] = {}
     for term in sorted(counts, key=lambda t: (len(t), t)):
@@ -228,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, support
     least = next((k for k in range(support, n_toxic + 1) if by_chance(k, 0, share) <= CHANCE), support)
     frequent = frozenset(r["feature"] for r in _counted(rows, None).filter(F.col("texts") >= least).select("feature").collect())
     leaning = _counted(rows, frequent).filter(F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))).collect() if frequent else []
-    counts = {r["feature"]: (r["toxic"], r["clean"]) for r in leaning if n_clean == 0 or by_chance(r["texts"], r["clean_texts"], share) <= CHANCE}
+    counts = {r["feature"]: (r["toxic"] / 100, r["clean"] / 100) for r in leaning if n_clean == 0 or by_chance(r["texts"], r["clean_texts"], share) <= CHANCE}
     lexicon = Lexicon(chosen_terms(counts, n_toxic, n_clean, precision))
     lexicon = Lexicon(lexicon.terms, _exceptions(rows, lexicon, 3) if lexicon.terms else ())
 

@@ -328,7 +328,7 @@ def test_toxicity_by_brute_force(spark):
             out += [f" {w} ", *(f" {w[:k]}" for k in range(4, min(8, len(w)) + 1))]
         return out
 
-    told = lambda texts, f: sum(min(5, features(t).count(f)) for t in texts)
+    told = lambda texts, f: sum(round(100 * math.log2(1 + features(t).count(f))) for t in texts) / 100
     held = lambda texts, f: sum(f in features(t) for t in texts)
     share, chosen = len(bad) / len(train), {}
     for f in sorted({f for t in bad for f in features(t)}, key=lambda f: (len(f), f)):
@@ -340,6 +340,9 @@ def test_toxicity_by_brute_force(spark):
     chosen = {f: w for f, w in chosen.items() if w > 0}
     assert lexicon.terms == pytest.approx(chosen) and chosen
     assert toxicity.folded("blarg farm") in lexicon.exceptions
+    nested = toxicity.Matcher(toxicity.Lexicon({" bad ": 1.0, " ba": 2.0}, (" very bad ", " so very bad as ", " bad cat ")))
+    spared = lambda t: [(a, b) for a, b, _ in nested.hits(toxicity.folded(t))]
+    assert spared("so very bad as bad very bad cat ball") == [(15, 18), (15, 20), (32, 35)] and not spared("very bad cat") and len(spared("bad " * 20_000)) == 40_000
 
     def load(text):
         t, total = toxicity.folded(text), 0.0
