@@ -525,7 +525,7 @@ def hazard_overlay_rings(t: Tables) -> DataFrame:
     return hazard.overlay_polygons(t.sql(_SEG_SPARK), zones, TILE).select("eid", "level", r6("share")).filter("share > 0")
 
 
-@query(f"SELECT label AS level, round(2 * ({' + '.join(f'{sign} * {reach} * {reach}' for _, reach, sign in _LOZENGES)}), 6) AS area FROM ({_MIDDLES_DUCK}) m")
+@query(f"SELECT label AS level, round(2 * CAST({' + '.join(f'{sign} * {reach} * {reach}' for _, reach, sign in _LOZENGES)} AS DOUBLE), 6) AS area FROM ({_MIDDLES_DUCK}) m")
 def zone_areas(t: Tables) -> DataFrame:
     """Areas of polygons with a hole and two parts, added up over tiles."""
     found = spatial.tile_pieces(_lozenges(t).withColumnRenamed("label", "level"), TILE)
