@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from egress.functions.roads import finite_ratio
-from egress.operators.graph import FRONTS
-from egress.operators.regions import distances
-from egress.plans.store import released, written
+from egress.operators.regions import of_arcs
+from egress.operators.routing import settle
+from egress.plans.store import written
 
 
 def clearance(rows: DataFrame) -> DataFrame:
@@ -108,71 +106,6 @@ def exit_class(free: Column, routes: Column) -> Column:
 # --- routes that drivers choose themselves ------------------------------------------------------
 
 
-def routes(arcs: DataFrame, origins: DataFrame, targets: DataFrame) -> DataFrame:
-    """(unit, origin, eid): arcs of the fastest path from each origin (unit, vid) to a target, ties to the smaller arc id; nothing for origins without a way out.
-
-    Arcs: (unit, eid, src, dst, t). Distances to the targets give each vertex its next arc,
-    and all origins walk one arc a round.
-    """
-    back = arcs.select("unit", F.col("dst").alias("src"), F.col("src").alias("dst"), "t")
-    dist = written(distances(back, targets, "t"), "routes-dist")
-    via = arcs.join(dist.withColumnRenamed("vid", "dst"), ["unit", "dst"]).groupBy("unit", F.col("src").alias("at")).agg(F.min(F.struct((F.col("t") + F.col("dist")).alias("cost"), "eid", "dst")).alias("m"))
-    onward = written(via.join(targets.withColumnRenamed("vid", "at"), ["unit", "at"], "left_anti").select("unit", "at", "m.eid", F.col("m.dst").alias("to")), "routes-next")
-    here = origins.select("unit", F.col("vid").alias("origin"), F.col("vid").alias("at"))
-    parts: list[DataFrame] = []
-    while True:
-        seen = Observation()
-        step = written(here.join(onward, ["unit", "at"]).select("unit", "origin", "eid", "to").observe(seen, F.count("*").alias("n")), "routes-step")
-        parts.append(step)
-        if not seen.get["n"]:
-            return reduce(DataFrame.unionByName, parts).select("unit", "origin", "eid")
-        here = step.select("unit", "origin", F.col("to").alias("at"))
-        if len(parts) > FRONTS:  # a long way is not a long plan
-            merged = written(reduce(DataFrame.unionByName, parts), "routes-steps")
-            released(*parts[:-1])
-            parts = [merged]
-
-
-def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(unit, ratio, delivered, unreachable, rounds, converged) of drivers who each take the fastest path at the last round's congested times.
-
-    Arcs (unit, eid, src, dst, cap, t0), weights (unit, vid, w) that sum to 1, demand (unit, d).
-    An arc loaded over its capacity takes t0 x load / capacity next round. A unit whose paths
-    repeat the last round's has converged; one whose paths return to an earlier round's
-    oscillates, and gets the mean delivery and the largest ratio of the cycle. Origins on a
-    target have no arc to deliver over, and those without a way out deliver nothing either;
-    only the latter are unreachable. All units settle side by side.
-    """
-    now = arcs.withColumn("t", F.col("t0"))
-    running, history, done = demand.select("unit"), None, None
-    for k in range(1, most_rounds + 1):
-        own, want = weights.join(running, "unit", "left_semi"), demand.join(running, "unit", "left_semi")
-        paths = written(routes(now.join(running, "unit", "left_semi"), own, targets), "settle-paths")
-        sent = paths.join(own.withColumnRenamed("vid", "origin"), ["unit", "origin"]).join(want, "unit")
-        load = written(sent.groupBy("unit", "eid").agg(F.sum(F.col("w") * F.col("d")).alias("load")), "settle-load")
-        served = load.join(arcs.select("unit", "eid", "cap"), ["unit", "eid"]).withColumn("serve", F.least(F.lit(1.0), F.col("cap") / F.greatest("load", F.lit(1e-9)))).withColumn("ratio", F.col("load") / F.greatest("cap", F.lit(1e-9)))
-        throttle = paths.join(served.select("unit", "eid", "serve"), ["unit", "eid"]).groupBy("unit", F.col("origin").alias("vid")).agg(F.min("serve").alias("serve"))
-        there = targets.select("unit", "vid").distinct().withColumn("there", F.lit(True))
-        lost = F.col("serve").isNull() & F.col("there").isNull()
-        by_unit = own.join(throttle, ["unit", "vid"], "left").join(there, ["unit", "vid"], "left").groupBy("unit").agg(F.sum(F.col("w") * F.coalesce("serve", F.lit(0.0))).alias("part"), F.sum(F.when(lost, F.col("w")).otherwise(0.0)).alias("unreachable"))
-        marks = paths.groupBy("unit").agg(F.sum(F.xxhash64("origin", "eid").cast("decimal(38,0)")).alias("mark"))
-        row = by_unit.join(want, "unit").join(served.groupBy("unit").agg(F.max("ratio").alias("ratio")), "unit", "left").join(marks, "unit", "left")
-        row = written(row.select("unit", F.lit(k).alias("k"), (F.col("d") * F.col("part")).alias("delivered"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), "unreachable", F.coalesce("mark", F.lit(0).cast("decimal(38,0)")).alias("mark")), "settle-round")
-        history = row if history is None else written(history.unionByName(row), "settle-history")
-        first = history.groupBy("unit", "mark").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"))
-        again = first.filter((F.col("last") == k) & ((F.col("n") > 1) | F.lit(k == most_rounds)))
-        span = history.join(again.select("unit", "first", "n"), "unit").filter((F.col("k") > F.col("first")) | (F.col("n") == 1))
-        ended = span.groupBy("unit").agg(F.avg("delivered").alias("delivered"), F.max("ratio").alias("ratio"), F.max("unreachable").alias("unreachable"), F.max("k").alias("rounds"), ((F.count("*") == 1) & (F.max("n") > 1)).alias("converged"))
-        ended = written(ended, "settle-ended")
-        done = ended if done is None else written(done.unionByName(ended), "settle-done")
-        running = written(running.join(ended, "unit", "left_anti"), "settle-running")
-        if running.isEmpty():
-            break
-        slow = served.select("unit", "eid", "load")
-        now = written(arcs.join(slow, ["unit", "eid"], "left").withColumn("t", F.when(F.col("load") > F.col("cap"), F.col("t0") * F.col("load") / F.col("cap")).otherwise(F.col("t0"))).drop("load"), "settle-times")
-    return done
-
-
 #: Demands of the rationed scan, as parts of the managed demand: a quarter to three times, in equal ratios.
 SCAN = [0.25 * 12 ** (k / 7) for k in range(8)]
 
@@ -181,7 +114,7 @@ SCAN = [0.25 * 12 ** (k / 7) for k in range(8)]
 STAGES = (3, 2, 2)
 
 
-def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: DataFrame, stages: tuple[int, ...] = STAGES) -> DataFrame:
+def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: DataFrame, stages: tuple[int, ...] = STAGES, regions: DataFrame | None = None) -> DataFrame:
     """(unit, managed_vph, strict_vph, rationed_vph) of drivers who route themselves.
 
     Strict: managed itself if no arc is overloaded and everyone has a way out, else what
@@ -191,12 +124,13 @@ def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: Da
     that its halvings could ask for and walks over the answers.
     """
     grid = 1 << sum(stages)
+    regions = of_arcs(arcs) if regions is None else regions
 
     def settled(asked: DataFrame) -> DataFrame:
         """Scenarios (of, kind, k, d) as units of one run: their fit and delivery."""
         each = written(asked.select("of", F.struct("of", "kind", "k").alias("unit"), "d"), "selfish-scenarios")
         spread = lambda df: df.withColumnRenamed("unit", "of").join(each.select("unit", "of"), "of").drop("of")
-        told = settle(*map(spread, (arcs, weights, targets)), each.select("unit", "d"))
+        told = settle(*map(spread, (arcs, weights, targets)), each.select("unit", "d"), regions=regions)
         return written(told.select("unit.of", "unit.kind", "unit.k", "delivered", F.expr("ratio <= 1 + 1e-9 AND unreachable <= 1e-12").alias("fits")), "selfish-told")
 
     some = managed.filter("managed_vph > 0").select(F.col("unit").alias("of"), F.col("managed_vph").alias("most"))
