@@ -34,7 +34,7 @@ _SENT = pa.struct([("vid", pa.int64()), ("there", pa.int64()), ("value", pa.floa
 _SQL = {
     "arcs": "array<struct<eid:bigint,src:bigint,dst:bigint,there:bigint,cap:double,t0:double,t:double,load:double>>", "nodes": "array<struct<vid:bigint,w:double,sink:boolean,dist:double,part:double>>",
     "around": "array<struct<vid:bigint,dist:double,part:double>>", "outer": "array<struct<vid:bigint,there:bigint>>", "sent": "array<struct<vid:bigint,there:bigint,value:double>>",
-    "delivered": "double", "lost": "double", "ratio": "double", "mark": "string",
+    "delivered": "double", "lost": "double", "ratio": "double", "mark": "string", "rounds": "int", "converged": "boolean",
 }
 _NEWS = "array<struct<vid:bigint,value:double>>"
 
@@ -146,6 +146,18 @@ class Region:
         ways = sorted((s, e) for s, e, x in zip(self.src, self.eid, self.load, strict=True) if x > 0)
         return delivered, lost, ratio, hashlib.blake2b(np.array(ways, "<i8").tobytes(), digest_size=16).hexdigest()
 
+    def settled(self, most: int) -> tuple[float, float, float, str, int, bool]:
+        """All rounds of a unit that lies within the region; the summary at its end, rounds, and whether the ways stayed the same."""
+        first, told = {}, []
+        while True:
+            self.start(), self.loads(None), self.throttles([])
+            delivered, lost, ratio, mark = self.summary()
+            told.append((delivered, ratio))
+            if mark in first or len(told) == most:
+                cycle = told[first.get(mark, most - 2) + 1 :]
+                return sum(d for d, _ in cycle) / len(cycle), lost, max(r for _, r in cycle), mark, len(told), mark in first and len(cycle) == 1
+            first[mark] = len(told) - 1
+
     def state(self) -> tuple[dict, dict, dict]:
         return (
             {"eid": self.eid, "src": self.src, "dst": self.dst, "there": self.there, "cap": self.cap, "t0": self.t0, "t": self.t, "load": self.load},
@@ -154,8 +166,8 @@ class Region:
         )
 
 
-def _phase(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One job's work on rows (unit, region, d, arcs, nodes, around, outer, news): start, times, loads (own, then what comes), throttles. A region that hears nothing in a phase stays as it is."""
+def _phase(name: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One job's work on rows (unit, region, d, arcs, nodes, around, outer, news): start, times, loads (own, then what comes), throttles. A region that hears nothing in a phase stays as it is; a unit of one region is settled at the start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,20 +175,20 @@ def _phase(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             for demand, arcs, nodes, around, outer, heard in zip(batch.column("d").to_pylist(), *(_lists(batch.column(c)) for c in ("arcs", "nodes", "around", "outer", "news")), strict=True):
                 r, sent = Region(demand, arcs, nodes, around, outer), []
                 news = list(zip(heard["vid"].tolist(), heard["value"].tolist(), strict=True))
+                if r.alone:
+                    rows.append((*r.state(), outer, {"vid": [], "there": [], "value": []}, *r.settled(most), False))
+                    continue
                 if name == "start":
                     sent = r.start()
-                    if r.alone:
-                        r.loads(None)
-                        r.throttles([])
-                elif not r.alone and name in ("own loads", "own throttles"):
+                elif name in ("own loads", "own throttles"):
                     sent = r.loads(None) if name == "own loads" else r.throttles([])
                 elif news:
                     sent = {"times": r.times, "loads": r.loads, "throttles": r.throttles}[name](news)
                 fields = {"vid": [x[0] for x in sent], "there": [x[1] for x in sent], "value": [x[2] for x in sent]}
-                rows.append((*r.state(), outer, fields, *r.summary(), not r.alone))
-            parts = list(zip(*rows, strict=True)) or [[]] * 10
+                rows.append((*r.state(), outer, fields, *r.summary(), None, None, True))
+            parts = list(zip(*rows, strict=True)) or [[]] * 12
             lists = [_rows(list(p), k) for p, k in zip(parts[:5], (_ARC, _NODE, _AROUND, _OUTER, _SENT), strict=True)]
-            plain = [pa.array(list(p), k) for p, k in zip(parts[5:], (pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()), strict=True)]
+            plain = [pa.array(list(p), k) for p, k in zip(parts[5:], (pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("region"), batch.column("d"), *lists, *plain], names=["unit", "region", "d", *_SQL, "open"])
 
     return run
@@ -223,15 +235,21 @@ def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: Data
             news = told.select("unit", F.explode("sent").alias("s")).groupBy("unit", F.col("s.there").alias("region")).agg(F.collect_list(F.struct("s.vid", "s.value")).alias("news"))
             rows = rows.join(news, ["unit", "region"], "left").withColumn("news", F.coalesce("news", silence))
         seen = Observation()
-        out = written(rows.mapInArrow(_phase(name), schema).observe(seen, F.count_if(F.size("sent") > 0).alias("sent"), F.count_if("open").alias("open")), "routes-phase")
+        out = written(rows.mapInArrow(_phase(name, most_rounds), schema).observe(seen, F.count_if(F.size("sent") > 0).alias("sent"), F.count_if("open").alias("open")), "routes-phase")
         released(last)
         last = out
         return out, seen.get
 
     for k in range(1, most_rounds + 1):
         table, seen = run("start", state)
+        if k == 1:
+            alone = table.filter("rounds IS NOT NULL").select("unit", "delivered", "ratio", F.col("lost").alias("unreachable"), "rounds", "converged")
+            done.append(written(alone, "settle-ended"))
+            if not seen["open"]:
+                break
+            table = table.filter("rounds IS NULL")
         for phase in ("times", "loads", "throttles"):
-            if seen["open"] and phase != "times":
+            if phase != "times":
                 table, seen = run(f"own {phase}", table)
             while seen["sent"]:
                 table, seen = run(phase, table, table)

@@ -704,6 +704,20 @@ def access_times_lattice(t: Tables) -> DataFrame:
     return _lattice_access(t).select("unit", "n_vertices", F.round("tt_min", 4).alias("tt_min"), F.round("efficiency", 9).alias("efficiency"), "cut_off")
 
 
+@query()
+def selfish_lattice(t: Tables) -> DataFrame:
+    """Managed and self-routed throughput of both districts, over streets that jam."""
+    arcs, where = written(t.sql(_STREETS), "lattice-arcs"), _lattice_regions(t)
+    goals = written(_rule(t, "R3").withColumn("unit", F.explode(F.array(F.lit("north"), F.lit("south")))), "lattice-goals")
+    own = written(t.sql(_UNITS).join(goals, ["unit", "vid"], "left_anti").withColumn("w", 1.0 + F.col("vid") % 3), "lattice-origins")
+    bound = written(flow.managed(arcs, own, goals, regions=where)[0], "lattice-managed")
+    totals = own.groupBy("unit").agg(F.sum("w").alias("total"))
+    shares = own.join(totals, "unit").select("unit", "vid", (F.col("w") / F.col("total")).alias("w"))
+    streets = arcs.select("unit", "eid", "src", "dst", F.col("capacity_vph").alias("cap"), F.col("travel_s").alias("t0"))
+    out = evacuation.selfish(streets, shares, goals, bound, regions=where)
+    return out.select("unit", *[F.round(c, 4).alias(c) for c in ("managed_vph", "strict_vph", "rationed_vph")])
+
+
 # --- clearance and fixes ----------------------------------------------------------------------
 
 _OUTCOMES = """
