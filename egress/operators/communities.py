@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from egress.functions.roads import finite_ratio
 from egress.operators.evacuation import clearance, contraflow, ladder, selfish, two_lanes
 from egress.operators.flow import accessibility, cut_arcs, managed, managed_flow
-from egress.operators.regions import distances, max_flow
+from egress.operators.regions import distances, max_flow, of_arcs
 from egress.operators.spatial import nearest
 from egress.plans.store import written
 
@@ -37,10 +37,10 @@ def inside(arcs: DataFrame, members: DataFrame) -> DataFrame:
     return joined.select(*arcs.columns, F.coalesce(F.col("src_in") & F.col("dst_in"), F.lit(False)).alias("inner"))
 
 
-def times(arcs: DataFrame, targets: DataFrame) -> DataFrame:
+def times(arcs: DataFrame, targets: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """(unit, vid, dist): fastest time from each vertex to a target; vertices without a way are left out."""
     back = arcs.select("unit", F.col("dst").alias("src"), F.col("src").alias("dst"), "travel_s")
-    return written(distances(back, targets, "travel_s"), "times")
+    return written(distances(back, targets, "travel_s", regions), "times")
 
 
 def demand(blocks: DataFrame, members: DataFrame, reach: DataFrame, even: DataFrame | None = None) -> DataFrame:
@@ -98,47 +98,51 @@ def rank_communities(arcs: DataFrame, members: DataFrame, targets: DataFrame, we
     return out.withColumn("note", note).drop("origins").orderBy(F.col("people_per_capacity").desc_nulls_last(), "unit")
 
 
-def hours(arcs: DataFrame, weights: DataFrame, targets: DataFrame, load: DataFrame) -> tuple[DataFrame, DataFrame]:
+def hours(arcs: DataFrame, weights: DataFrame, targets: DataFrame, load: DataFrame, regions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(unit, managed_vph, h) of each unit of ``load`` (unit, vehicles, upper), infinite without origins, capacity or throughput; and the binding arcs."""
     able = load.filter((F.col("upper") > 0) & (F.col("upper") < INF)).join(weights.filter("w > 0").select("unit").distinct(), "unit", "left_semi")
     some = written(able.select("unit", "upper"), "hours-units")
     if some.isEmpty():
         none = load.select("unit", F.lit(0.0).alias("managed_vph"), F.lit(INF).alias("h"))
         return none, arcs.select("unit", "eid", "src", "dst", F.col("capacity_vph").alias("cap")).limit(0)
-    bound, binding = managed(*[df.join(some.select("unit"), "unit", "left_semi") for df in (arcs, weights, targets)], upper=some)
+    bound, binding = managed(*[df.join(some.select("unit"), "unit", "left_semi") for df in (arcs, weights, targets)], upper=some, regions=regions)
     told = load.join(bound, "unit", "left").select("unit", F.coalesce("managed_vph", F.lit(0.0)).alias("managed_vph"), "vehicles")
     return written(told.select("unit", "managed_vph", finite_ratio(F.col("vehicles"), F.col("managed_vph")).alias("h")), "hours"), binding
 
 
-def with_contraflow(arcs: DataFrame, weights: DataFrame, targets: DataFrame, load: DataFrame, base: DataFrame, rounds: int = 3) -> DataFrame:
+def with_contraflow(arcs: DataFrame, weights: DataFrame, targets: DataFrame, load: DataFrame, base: DataFrame, rounds: int = 3, regions: DataFrame | None = None) -> DataFrame:
     """(unit, h, km): least hours over rounds that each reverse the arcs that bind, and the km reversed by then. A round that doesn't help is kept, since the next may; ``base``: (unit, h) as it is."""
     best = base.select("unit", "h", F.lit(0.0).alias("km"))
     now, done = arcs, base.select("unit", F.lit(0.0).alias("km"))
     wide = load.withColumn("upper", F.col("upper") * 2)
-    _, binding = hours(now, weights, targets, wide)
+    _, binding = hours(now, weights, targets, wide, regions)
     for _ in range(rounds):
         turned, metres = contraflow(now, binding.select("unit", "eid"))
         now = written(turned, "contraflow-arcs")
         done = written(done.join(metres, "unit", "left").select("unit", (F.col("km") + F.coalesce("metres", F.lit(0.0)) / 1000).alias("km")), "contraflow-km")
-        found, binding = hours(now, weights, targets, wide)
+        found, binding = hours(now, weights, targets, wide, regions)
         both = best.withColumnsRenamed({"h": "h0", "km": "km0"}).join(found, "unit").join(done, "unit")
         better = F.col("h") < F.col("h0") - 1e-6
         best = written(both.select("unit", F.when(better, F.col("h")).otherwise(F.col("h0")).alias("h"), F.when(better, F.col("km")).otherwise(F.col("km0")).alias("km")), "contraflow-best")
     return best
 
 
-def widened(arcs: DataFrame, weights: DataFrame, targets: DataFrame, load: DataFrame, base: DataFrame, enough: float = 1.0, steps: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(unit, h, lane_km) after up to ``steps`` widenings, and these: (unit, step, road_key, h, lane_km).
+def widened(arcs: DataFrame, weights: DataFrame, targets: DataFrame, load: DataFrame, base: DataFrame, enough: float = 1.0, steps: int = 5, near: DataFrame | None = None, regions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(unit, h, lane_km) after up to ``steps`` widenings, and these: (unit, step, road_key, h, km).
 
-    A step gives each arc of one road (road_key) a lane (per_lane). Of the roads that bind, it
+    A step gives each arc of one road (road_key) a lane (per_lane), of those in ``near`` (unit, eid) if it is given. Of the roads that bind, it
     takes the one with the fewest hours, then the fewest lane km, then the first key; a unit
     stops when no road helps, or at ``enough`` hours. All roads of all units are tried side by
     side.
     """
     wide = load.withColumn("upper", F.col("upper") * 3)
-    now, cur = arcs, written(base.select("unit", "h", F.lit(0.0).alias("lane_km")), "widen-hours")
-    told = None
-    _, binding = hours(now, weights, targets, wide)
+    own = arcs.columns
+    if near is None:
+        now = arcs.withColumn("_near", F.lit(True))
+    else:
+        now = written(arcs.join(near.select("unit", "eid", F.lit(True).alias("_near")).distinct(), ["unit", "eid"], "left").na.fill(False, ["_near"]).select(*own, "_near"), "widen-arcs")
+    cur, told = written(base.select("unit", "h", F.lit(0.0).alias("lane_km")), "widen-hours"), None
+    _, binding = hours(now, weights, targets, wide, regions)
     for step in range(1, steps + 1):
         running = cur.filter(F.col("h") > enough).select("unit")
         keys = binding.select("unit", "eid").join(now.select("unit", "eid", "road_key"), ["unit", "eid"]).filter("road_key IS NOT NULL").select("unit", F.col("road_key").alias("state")).distinct().join(running, "unit", "left_semi")
@@ -146,25 +150,26 @@ def widened(arcs: DataFrame, weights: DataFrame, targets: DataFrame, load: DataF
         if keys.isEmpty():
             break
         spread = lambda df: _in("state", df.join(keys, "unit"))  # noqa: B023, E731
-        mine = F.col("road_key") == F.col("state")
+        mine = (F.col("road_key") == F.col("state")) & F.col("_near")
         tried = written(spread(now).withColumn("capacity_vph", F.col("capacity_vph") + F.when(mine, F.col("per_lane")).otherwise(0.0)).withColumn("own", F.coalesce(mine, F.lit(False))), "widen-tried")
-        found, bound = hours(tried.drop("own", "state"), spread(weights).drop("state"), spread(targets).drop("state"), spread(wide).drop("state"))
+        found, bound = hours(tried.drop("own", "state"), spread(weights).drop("state"), spread(targets).drop("state"), spread(wide).drop("state"), regions)
         km = tried.filter("own").groupBy("unit").agg((F.sum("length_m") / 1000).alias("lane_km"))
         pick = F.min(F.struct("h", "lane_km", F.col("unit.state").alias("road_key"))).alias("x")
         chosen = found.join(km, "unit").groupBy(F.col("unit.of").alias("unit")).agg(pick).join(cur.withColumnRenamed("h", "before"), "unit").filter("x.h < before - 1e-6")
         chosen = written(chosen.select("unit", F.lit(step).alias("step"), "x.road_key", "x.h", "x.lane_km", F.col("lane_km").alias("km_before")), "widen-step")
         if chosen.isEmpty():
             break
-        told = chosen.drop("km_before") if told is None else told.unionByName(chosen.drop("km_before"))
+        step_row = chosen.select("unit", "step", "road_key", "h", F.col("lane_km").alias("km"))
+        told = step_row if told is None else told.unionByName(step_row)
         cur = written(cur.join(chosen, "unit", "left_anti").unionByName(chosen.select("unit", "h", (F.col("km_before") + F.col("lane_km")).alias("lane_km"))), "widen-hours")
         state = chosen.select("unit", F.col("road_key").alias("state"))
-        now = written(tried.drop("own", "state").select(F.col("unit.of").alias("unit"), F.col("unit.state").alias("state"), *[c for c in arcs.columns if c != "unit"]).join(state, ["unit", "state"], "left_semi").select(*arcs.columns), "widen-arcs")
+        now = written(tried.drop("own", "state").select(F.col("unit.of").alias("unit"), F.col("unit.state").alias("state"), *[c for c in own if c != "unit"], "_near").join(state, ["unit", "state"], "left_semi").select(*own, "_near"), "widen-arcs")
         binding = written(bound.select(F.col("unit.of").alias("unit"), F.col("unit.state").alias("state"), "eid").join(state, ["unit", "state"], "left_semi").drop("state"), "widen-binding")
-    none = cur.select("unit", F.lit(0).alias("step"), F.lit("").alias("road_key"), "h", "lane_km").limit(0)
+    none = cur.select("unit", F.lit(0).alias("step"), F.lit("").alias("road_key"), "h", F.col("lane_km").alias("km")).limit(0)
     return cur, none if told is None else told
 
 
-def with_extra(arcs: DataFrame, extra: DataFrame, members: DataFrame, targets: DataFrame, weights: DataFrame, vehicles: DataFrame, least: int = 3) -> DataFrame:
+def with_extra(arcs: DataFrame, extra: DataFrame, members: DataFrame, targets: DataFrame, weights: DataFrame, vehicles: DataFrame, least: int = 3, regions: DataFrame | None = None) -> DataFrame:
     """What extra roads buy: (unit, n_without, n_with, h_without, h_with, km_used), the hours without arcs of hazard ``least`` or more outside the unit.
 
     Members are those on an ordinary arc, and demand starts only where a target is in reach
@@ -173,38 +178,41 @@ def with_extra(arcs: DataFrame, extra: DataFrame, members: DataFrame, targets: D
     """
     on = arcs.select("unit", F.col("src").alias("vid")).union(arcs.select("unit", "dst")).distinct()
     own = written(members.select("unit", "vid").distinct().join(on, ["unit", "vid"], "left_semi"), "extra-members")
+    regions = of_arcs(arcs.select("src", "dst").union(extra.select("src", "dst"))) if regions is None else regions
     every = arcs.withColumn("is_extra", F.lit(False)).unionByName(extra.withColumn("is_extra", F.lit(True)))
     states = ["with", "without"]
     parted = written(_each(states, inside(every, own)).filter("unit.state = 'with' OR NOT is_extra"), "extra-arcs")
     goals = _each(states, targets.select("unit", "vid"))
-    access = written(accessibility(parted, _each(states, own), goals, least), "extra-access")
-    start = weights.join(own, ["unit", "vid"], "left_semi").join(times(arcs, targets).select("unit", "vid"), ["unit", "vid"], "left_semi")
+    access = written(accessibility(parted, _each(states, own), goals, least, regions=regions), "extra-access")
+    start = weights.join(own, ["unit", "vid"], "left_semi").join(times(arcs, targets, regions).select("unit", "vid"), ["unit", "vid"], "left_semi")
     calm = parted.filter((F.col("hazard_max") < least) | F.col("inner"))
     load = _each(states, vehicles.select("unit", "vehicles")).join(access.select("unit", F.col("capacity_vph").alias("upper")), "unit")
-    found, _ = hours(calm, _each(states, start), goals, load)
+    found, _ = hours(calm, _each(states, start), goals, load, regions)
     some = written(found.filter("unit.state = 'with' AND managed_vph > 0").select("unit", F.col("managed_vph").alias("d")), "extra-demand")
     used = some.select("unit", F.lit(0.0).alias("km_used")).limit(0)
     if not some.isEmpty():
-        plan = managed_flow(*[df.join(some.select("unit"), "unit", "left_semi") for df in (calm, _each(states, start), goals)], some)
+        plan = managed_flow(*[df.join(some.select("unit"), "unit", "left_semi") for df in (calm, _each(states, start), goals)], some, regions)
         used = plan.filter("flow > 1e-6").join(calm.filter("is_extra").select("unit", "eid", "length_m"), ["unit", "eid"]).groupBy("unit").agg((F.sum("length_m") / 1000).alias("km_used"))
     row = access.select("unit", "n_disjoint").join(found.select("unit", "h"), "unit", "left").join(used, "unit", "left")
     pick = lambda c, s: F.max(F.when(F.col("unit.state") == s, F.col(c)))
     return row.groupBy(F.col("unit.of").alias("unit")).agg(*[pick("n_disjoint", s).alias(f"n_{s}") for s in ("without", "with")], *[pick("h", s).alias(f"h_{s}") for s in ("without", "with")], F.coalesce(F.max("km_used"), F.lit(0.0)).alias("km_used"))
 
 
-def policy_table(arcs: DataFrame, members: DataFrame, targets: DataFrame, weights: DataFrame, vehicles: DataFrame, selfish_h: DataFrame | None = None, extra: DataFrame | None = None, slow: float = 2.0, fast: float = 1.0) -> DataFrame:
+def policy_table(arcs: DataFrame, members: DataFrame, targets: DataFrame, weights: DataFrame, vehicles: DataFrame, selfish_h: DataFrame | None = None, extra: DataFrame | None = None, slow: float = 2.0, fast: float = 1.0, near: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
     """One row per unit of ``vehicles`` (unit, vehicles): clearance hours, rungs, and what each policy brings (self-routed as it is, contraflow, widening, extra roads).
 
     Arcs also have length_m, road_key and per_lane. ``selfish_h``: (unit, h) of an earlier
-    ranking. A unit without a member has nulls.
+    ranking. A unit without a member has nulls. ``near``: (unit, eid) that may be widened.
+    ``regions``: (vid, region), else by id.
     """
+    regions = of_arcs(arcs) if regions is None else regions
     parted = inside(arcs, members)
-    access = written(accessibility(arcs, members, targets, 3).select("unit", "n_disjoint", F.col("capacity_vph").alias("upper")), "policy-access")
-    start = written(weights.join(times(arcs, targets).select("unit", "vid"), ["unit", "vid"], "left_semi"), "policy-weights")
+    access = written(accessibility(arcs, members, targets, 3, regions=regions).select("unit", "n_disjoint", F.col("capacity_vph").alias("upper")), "policy-access")
+    start = written(weights.join(times(arcs, targets, regions).select("unit", "vid"), ["unit", "vid"], "left_semi"), "policy-weights")
     load = written(vehicles.join(access.select("unit", "upper"), "unit").na.fill(0.0, ["upper"]), "policy-load")
     states = ["base", "vh", "h"]
     kept = (F.col("unit.state") == "base") | F.col("inner") | ((F.col("unit.state") == "vh") & (F.col("hazard_max") < 3)) | (F.col("hazard_max") < 2)
-    found, _ = hours(_each(states, parted).filter(kept).drop("inner"), _each(states, start), _each(states, targets), _each(states, load))
+    found, _ = hours(_each(states, parted).filter(kept).drop("inner"), _each(states, start), _each(states, targets), _each(states, load), regions)
     of = lambda s: found.filter(F.col("unit.state") == s).select(F.col("unit.of").alias("unit"), "h")
     base = written(of("base"), "policy-base")
     out = vehicles.join(access.select("unit", "n_disjoint"), "unit", "left").join(base.withColumnRenamed("h", "clear_h_managed"), "unit", "left").join(of("vh").withColumnRenamed("h", "clear_h_vh_free"), "unit", "left").join(of("h").withColumnRenamed("h", "clear_h_h_free"), "unit", "left")
@@ -213,9 +221,9 @@ def policy_table(arcs: DataFrame, members: DataFrame, targets: DataFrame, weight
     out = out.withColumn("ladder_rung", ladder(F.col("n_disjoint"), F.col("clear_h_managed"), F.col("clear_h_vh_free"), F.col("clear_h_h_free"), slow, fast))
     if selfish_h is not None:
         out = out.join(selfish_h.select("unit", F.col("h").alias("I1_selfish_last_h")), "unit", "left")
-    turned = with_contraflow(arcs, start, targets, load, base)
+    turned = with_contraflow(arcs, start, targets, load, base, regions=regions)
     out = out.join(turned.withColumnsRenamed({"h": "I2_contraflow_h", "km": "I2_contraflow_km"}), "unit", "left")
-    wide, steps = widened(arcs, start, targets, load, base, fast)
+    wide, steps = widened(arcs, start, targets, load, base, fast, near=near, regions=regions)
     listed = steps.groupBy("unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "road_key"))), lambda x: x["road_key"]), "; ").alias("I3_steps"))
     out = out.join(wide.withColumnsRenamed({"h": "I3_widen_h", "lane_km": "I3_lane_km"}), "unit", "left").join(listed, "unit", "left").na.fill("", ["I3_steps"])
     if extra is not None:

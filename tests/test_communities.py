@@ -1,6 +1,4 @@
-"""Tables of communities on a network solved by hand: two origins, one exit, the wider way out in hazard."""
-
-import os
+"""Tables of communities on a network solved by hand: three origins, two exits, two ways out in hazard."""
 
 import pytest
 
@@ -8,13 +6,15 @@ from egress.operators import communities
 
 ARCS = "unit string, eid long, src long, dst long, capacity_vph double, travel_s double, hazard_max int, length_m double, road_key string, per_lane double, road_class string, lanes_imputed boolean"
 ROWS = [
-    ("c", 0, 0, 2, 70.0, 2.0, 0, 100.0, "a", 30.0, "tertiary", False),
-    ("c", 1, 1, 3, 40.0, 1.0, 0, 100.0, "b", 30.0, "tertiary", False),
-    ("c", 2, 2, 9, 25.0, 3.0, 0, 100.0, "x", 30.0, "primary", True),
-    ("c", 3, 3, 9, 60.0, 2.0, 3, 100.0, "y", 30.0, "primary", False),
-    ("c", 4, 2, 3, 500.0, 1.0, 0, 100.0, None, 30.0, "tertiary", False),
+    ("w", 0, 10, 20, 60.0, 4.0, 0, 120.0, "hill", 30.0, "tertiary", False),
+    ("w", 1, 11, 20, 40.0, 3.0, 0, 90.0, "mill", 30.0, "tertiary", False),
+    ("w", 2, 12, 21, 50.0, 2.0, 0, 150.0, "lake", 30.0, "tertiary", False),
+    ("w", 3, 20, 30, 80.0, 5.0, 2, 200.0, "main", 30.0, "primary", True),
+    ("w", 4, 21, 31, 35.0, 6.0, 0, 300.0, "east", 30.0, "secondary", False),
+    ("w", 5, 21, 20, 25.0, 2.0, 0, 80.0, None, 30.0, "tertiary", False),
+    ("w", 6, 20, 31, 20.0, 9.0, 3, 250.0, "old", 30.0, "primary", False),
 ]
-BACK = [("c", 5, 9, 2, 25.0, 3.0, 0, 100.0, "x", 30.0, "primary", True), ("c", 7, 3, 1, 20.0, 1.0, 0, 100.0, "b", 30.0, "tertiary", False)]
+BACK = [("w", 11, 20, 11, 30.0, 3.0, 0, 90.0, "mill", 30.0, "tertiary", False), ("w", 12, 30, 20, 25.0, 5.0, 0, 200.0, "main", 30.0, "primary", False)]
 PAIR = "unit string, vid long"
 
 
@@ -23,7 +23,7 @@ def table(spark, rows, schema):
 
 
 def net(spark, rows=ROWS):
-    return table(spark, rows, ARCS), table(spark, [("c", 0), ("c", 1)], PAIR), table(spark, [("c", 9)], PAIR), table(spark, [("c", 0, 1.0), ("c", 1, 1.0)], PAIR + ", w double")
+    return table(spark, rows, ARCS), table(spark, [("w", v) for v in (10, 11, 12)], PAIR), table(spark, [("w", 30), ("w", 31)], PAIR), table(spark, [("w", v, 1.0) for v in (10, 11, 12)], PAIR + ", w double")
 
 
 def test_demand(spark):
@@ -39,43 +39,54 @@ def test_demand(spark):
 def test_ranking(spark):
     arcs, members, targets, weights = net(spark)
     other = table(spark, [("d", 0, 0, 1, 10.0, 1.0, 0, 1.0, None, 1.0, "tertiary", False)], ARCS)
-    people = table(spark, [("c", 170, 160.0), ("d", 5, 3.0), ("e", 1, 0.0)], "unit string, population long, vehicles double")
+    people = table(spark, [("w", 270, 240.0), ("d", 5, 3.0), ("e", 1, 0.0)], "unit string, population long, vehicles double")
     members = members.union(table(spark, [("d", 0)], PAIR))
     targets = targets.union(table(spark, [("d", 7), ("e", 7)], PAIR))
     weights = weights.union(table(spark, [("d", 0, 3.0)], PAIR + ", w double"))
     rows = communities.rank_communities(arcs.union(other), members, targets, weights, people, {"vh": 3, "h": 2}, 3).collect()
-    assert [r.unit for r in rows] == ["d", "c", "e"]  # infinite pressure, 2, unknown
-    d, c, e = rows
-    assert (d.note, e.note, c.note) == ("no route to any target", "no node inside", None)
+    assert [r.unit for r in rows] == ["d", "w", "e"]  # infinite pressure, 2, unknown
+    d, w, e = rows
+    assert (d.note, e.note, w.note) == ("no route to any target", "no node inside", None)
     assert (d.stranded_vehicles, d.cut_off, d.managed_vph, e.n_nodes) == (3.0, True, None, 0)
-    assert (c.n_disjoint, c.capacity_vph, c.n_disjoint_nohaz_vh, c.capacity_nohaz_vh, c.cut_off_nohaz_h) == (2, 85.0, 1, 25.0, False)
-    assert c.exposed_share == pytest.approx(60 / 85) and c.people_per_capacity == 2.0
-    assert (c.managed_vph, c.managed_h) == (pytest.approx(80.0), pytest.approx(2.0))
-    assert abs(c.strict_vph - 50) < 0.7 and c.bulk_h == pytest.approx(160 / 62.5)
+    assert (w.n_disjoint, w.capacity_vph, w.n_disjoint_nohaz_vh, w.capacity_nohaz_vh, w.n_disjoint_nohaz_h, w.capacity_nohaz_h, w.cut_off_nohaz_h) == (3, 135.0, 2, 115.0, 1, 35.0, False)
+    assert w.exposed_share == pytest.approx(20 / 135) and w.people_per_capacity == 2.0 and w.tt_min == 8.0 and w.efficiency == pytest.approx((1 / 9 + 2 / 8) / 3)
+    assert (w.managed_vph, w.managed_h) == (pytest.approx(120.0), pytest.approx(2.0))
+    assert w.strict_vph == pytest.approx(105) and w.rationed_vph > 105 and w.last_h == pytest.approx(240 / 105) and w.gap_last == pytest.approx(1 - 105 / 120)
 
 
-@pytest.mark.skipif(not os.environ.get("EGRESS_SLOW"), reason="takes minutes")
 def test_policies(spark):
+    """Each number by hand: lanes turned on the way that binds, then on the whole cut; four roads widened, of equals the one with fewer lane km; an extra road."""
     arcs, members, targets, weights = net(spark, ROWS + BACK)
-    vehicles = table(spark, [("c", 160.0)], "unit string, vehicles double")
-    extra = table(spark, [("c", 20, 1, 9, 100.0, 9.0, 0, 400.0, None, 30.0, "track", True)], ARCS)
-    selfish = table(spark, [("c", 3.2)], "unit string, h double")
+    vehicles = table(spark, [("w", 240.0)], "unit string, vehicles double")
+    extra = table(spark, [("w", 40, 11, 31, 100.0, 9.0, 0, 500.0, None, 30.0, "track", True)], ARCS)
+    selfish = table(spark, [("w", 3.2)], "unit string, h double")
     row = communities.policy_table(arcs, members, targets, weights, vehicles, selfish, extra).first()
-    assert (row.n_disjoint, row.clear_h_managed, row.clear_h_vh_free, row.I1_selfish_last_h) == (2, pytest.approx(2.0), float("inf"), 3.2)
+    assert (row.n_disjoint, row.clear_h_managed, row.clear_h_vh_free, row.clear_h_h_free, row.I1_selfish_last_h) == (3, pytest.approx(2.0), pytest.approx(240 / 115), float("inf"), 3.2)
     assert (row.meets_L1, row.meets_L2, row.meets_L3, row.meets_L4, row.ladder_rung) == (True, True, False, False, 2)
-    assert (row.I2_contraflow_h, row.I2_contraflow_km) == (pytest.approx(160 / 110), pytest.approx(0.2))
-    assert (row.I3_widen_h, row.I3_lane_km, row.I3_steps) == (pytest.approx(160 / 140), pytest.approx(0.5), "b; x; x")
-    assert (row.I4_n_disjoint_without, row.I4_n_disjoint_with) == (2, 3)
-    assert (row.I4_vh_free_h_without, row.I4_vh_free_h_with, row.I4_fire_road_km_used) == (float("inf"), pytest.approx(3.2), pytest.approx(0.4))
+    assert (row.I2_contraflow_h, row.I2_contraflow_km) == (pytest.approx(1.6), pytest.approx(0.29))
+    assert (row.I3_widen_h, row.I3_lane_km, row.I3_steps) == (pytest.approx(240 / 180), pytest.approx(0.83), "mill; old; lake; old")
+    assert (row.I4_n_disjoint_without, row.I4_n_disjoint_with) == (3, 4)
+    assert (row.I4_vh_free_h_without, row.I4_vh_free_h_with, row.I4_fire_road_km_used) == (pytest.approx(240 / 115), pytest.approx(1.6), pytest.approx(0.5))
+
+
+def test_widening_near_the_unit(spark):
+    """Arcs of a road that is widened count only within reach of the unit."""
+    arcs, _, targets, weights = net(spark, ROWS + BACK)
+    load = table(spark, [("w", 240.0, 135.0)], "unit string, vehicles double, upper double")
+    base = table(spark, [("w", 2.0)], "unit string, h double")
+    near = table(spark, [("w", 1)], "unit string, eid long")
+    told, steps = communities.widened(arcs, weights, targets, load, base, steps=1, near=near)
+    assert [(r.step, r.road_key, r.h, r.km) for r in steps.collect()] == [(1, "mill", pytest.approx(240 / 135), pytest.approx(0.09))]
+    assert told.first().lane_km == pytest.approx(0.09)
 
 
 def test_group_evacuation(spark):
     arcs, members, targets, weights = (df.drop("unit") for df in net(spark))
-    burned = table(spark, [(3,), (4,)], "eid long")
-    out, cut, binding = communities.retro_group(arcs, members, targets, weights, 160.0, burned)
+    burned = table(spark, [(3,), (6,)], "eid long")
+    out, cut, binding = communities.retro_group(arcs, members, targets, weights, 240.0, burned)
     row = out.first()
-    assert (row.n_disjoint, row.mincut_capacity_vph, row.managed_vph, row.managed_h) == (2, 85.0, pytest.approx(80.0), pytest.approx(2.0))
-    assert row.mincut_share_in_perimeter == pytest.approx(60 / 85) and row.binding_share_in_perimeter == 0.0
-    assert (row.sens_2lane_mincut_vph, row.sens_2lane_managed_vph) == (110.0, pytest.approx(80.0))
-    assert sorted((r.eid, r.in_perimeter, r.road_key) for r in cut.collect()) == [(2, False, "x"), (3, True, "y")]
+    assert (row.n_disjoint, row.mincut_capacity_vph, row.managed_vph, row.managed_h) == (3, 135.0, pytest.approx(120.0), pytest.approx(2.0))
+    assert row.mincut_share_in_perimeter == pytest.approx(100 / 135) and row.binding_share_in_perimeter == 0.0
+    assert (row.sens_2lane_mincut_vph, row.sens_2lane_managed_vph) == (150.0, pytest.approx(120.0))
+    assert sorted((r.eid, r.in_perimeter, r.road_key) for r in cut.collect()) == [(3, True, "main"), (4, False, "east"), (6, True, "old")]
     assert [(r.eid, r.in_perimeter) for r in binding.collect()] == [(1, False)]
