@@ -32,6 +32,15 @@ SELECT unit, vid AS eid, vid AS src, CAST(-1 - nk AS BIGINT) AS dst, cap AS capa
 UNION ALL SELECT unit, CAST(-1 - nk AS BIGINT), CAST(-1 - nk AS BIGINT), CAST(-100 - rk AS BIGINT), cap, CAST(10 AS DOUBLE), CAST(nk % 4 AS INT) FROM ({FOREST_N}) n
 UNION ALL SELECT unit, CAST(-100 - rk AS BIGINT), CAST(-100 - rk AS BIGINT), CAST(-1000 AS BIGINT), cap, CAST(20 AS DOUBLE), CAST(rk % 4 AS INT) FROM ({FOREST_R}) r"""
 
+#: The forest with capacities of which no two classes bind at once, and roads by class; a lane is worth three classes.
+POLICY_A = f"""
+SELECT unit, vid AS eid, vid AS src, CAST(-1 - nk AS BIGINT) AS dst, CAST(5.2 AS DOUBLE) + vid % 7 AS capacity_vph, travel_s, 0 AS hazard_max, CAST(100 AS DOUBLE) AS length_m,
+       concat('lane', CAST(vid % 7 AS STRING)) AS road_key, CAST(3 AS DOUBLE) AS per_lane FROM ({FOREST_C}) c
+UNION ALL SELECT unit, CAST(-1 - nk AS BIGINT), CAST(-1 - nk AS BIGINT), CAST(-100 - rk AS BIGINT), n * (CAST(4.1 AS DOUBLE) + nk % 5), CAST(10 AS DOUBLE), CAST(nk % 4 AS INT), CAST(200 AS DOUBLE),
+       concat('nation', CAST(nk % 5 AS STRING)), CAST(3 * n AS DOUBLE) FROM ({FOREST_N}) n
+UNION ALL SELECT unit, CAST(-100 - rk AS BIGINT), CAST(-100 - rk AS BIGINT), CAST(-1000 AS BIGINT), n * (CAST(5.3 AS DOUBLE) + rk % 3), CAST(20 AS DOUBLE), CAST(rk % 4 AS INT), CAST(300 AS DOUBLE),
+       concat('region', CAST(rk % 3 AS STRING)), CAST(3 * n AS DOUBLE) FROM ({FOREST_R}) r"""
+
 PAIRS = "SELECT l_orderkey AS a, -1 - l_partkey AS b FROM {lineitem}"
 EDGES = f"SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM ({PAIRS}) p WHERE a != b"
 NODES = f"SELECT src AS vid FROM ({EDGES}) e UNION SELECT dst FROM ({EDGES}) e"

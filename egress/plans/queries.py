@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from egress.functions import geo, roads
 from egress.operators import communities, evacuation, flow, graph, hazard, regions, removal, spatial
-from egress.plans.fixtures import EDGES, FOREST_A, FOREST_C, FOREST_N, FOREST_R, LATTICE_A, LATTICE_V, NODES, PAIRS, Tables, duck
+from egress.plans.fixtures import EDGES, FOREST_A, FOREST_C, FOREST_N, FOREST_R, LATTICE_A, LATTICE_V, NODES, PAIRS, POLICY_A, Tables, duck
 from egress.plans.store import written
 from egress.sources.roads import least_arcs, relabelled
 
@@ -674,6 +674,80 @@ def rank_table(t: Tables) -> DataFrame:
     return out.select(*kept, *map(r4, ("managed_vph", "strict_vph", "rationed_vph", "managed_h", "bulk_h")), r6("people_per_capacity"), "note")
 
 
+#: Classes of roads by how much they carry for each origin behind them; the least binds, and a lane lifts a class over all that follow in five steps.
+_CLASSES = f"""
+    SELECT unit, road_key, v, km, row_number() OVER (PARTITION BY unit ORDER BY v) AS i FROM (
+        SELECT unit, 'lane' || (vid % 7) AS road_key, 5.2::DOUBLE + vid % 7 AS v, count(*) * 0.1::DOUBLE AS km FROM ({FOREST_C}) c GROUP BY unit, vid % 7
+        UNION ALL SELECT unit, 'nation' || (nk % 5), 4.1::DOUBLE + nk % 5, count(*) * 0.2::DOUBLE FROM ({FOREST_N}) n GROUP BY unit, nk % 5
+        UNION ALL SELECT unit, 'region' || (rk % 3), 5.3::DOUBLE + rk % 3, count(*) * 0.3::DOUBLE FROM ({FOREST_R}) r GROUP BY unit, rk % 3) x"""
+
+
+def _policy_forest(t: Tables) -> tuple[DataFrame, ...]:
+    arcs, members = written(t.sql(POLICY_A), "policy-arcs"), t.sql(FOREST_C).select("unit", "vid")
+    vehicles = members.groupBy("unit").agg((9.0 * F.count("*")).alias("vehicles"))
+    return arcs, members, members.select("unit").distinct().withColumn("vid", F.lit(-1000).cast("long")), members.withColumn("w", F.lit(1.0)), vehicles
+
+
+@query(f"""
+    WITH k AS ({_CLASSES}), h AS (SELECT unit, max(nk % 4) AS hz FROM ({FOREST_N}) n GROUP BY unit UNION ALL SELECT unit, max(rk % 4) FROM ({FOREST_R}) r GROUP BY unit),
+    z AS (SELECT unit, max(hz) AS hz FROM h GROUP BY unit), d AS (SELECT unit, count(*) AS n_disjoint FROM ({FOREST_R}) r GROUP BY unit),
+    p AS (SELECT unit, 9 / max(v) FILTER (i = 1) AS base, 9 / max(v) FILTER (i = 6) AS widened, string_agg(road_key, '; ' ORDER BY i) FILTER (i <= 5) AS steps, sum(km) FILTER (i <= 5) AS km FROM k GROUP BY unit)
+    SELECT unit, n_disjoint, round(base, 6) AS clear_h_managed, CASE WHEN hz < 3 THEN round(base, 6) END AS clear_h_vh_free, CASE WHEN hz < 2 THEN round(base, 6) END AS clear_h_h_free,
+           CASE WHEN n_disjoint < 2 THEN 0 WHEN base > 2 THEN 1 WHEN base > 1 THEN 2 WHEN hz >= 3 THEN 3 WHEN hz >= 2 THEN 4 ELSE 5 END AS ladder_rung,
+           round(base, 6) AS "I2_contraflow_h", 0::DOUBLE AS "I2_contraflow_km", round(widened, 6) AS "I3_widen_h", round(km, 6) AS "I3_lane_km", steps AS "I3_steps"
+    FROM p JOIN z USING (unit) JOIN d USING (unit)""")
+def policy_table(t: Tables) -> DataFrame:
+    """What each policy buys every unit: rungs, lanes turned (a forest has none to turn), roads widened in five steps."""
+    out = communities.policy_table(*_policy_forest(t))
+    finite = lambda c: F.when(F.col(c) < float("inf"), F.round(c, 6)).alias(c)
+    hours = [finite(c) for c in ("clear_h_managed", "clear_h_vh_free", "clear_h_h_free")]
+    return out.select("unit", "n_disjoint", *hours, "ladder_rung", *map(r6, ("I2_contraflow_h", "I2_contraflow_km", "I3_widen_h", "I3_lane_km")), "I3_steps")
+
+
+@query(f"""
+    SELECT a.unit, a.i AS step, a.road_key, round(9 / b.v, 6) AS hours, round(a.km, 6) AS km FROM ({_CLASSES}) a JOIN ({_CLASSES}) b ON b.unit = a.unit AND b.i = a.i + 1 WHERE a.i <= 5""")
+def widen_choice(t: Tables) -> DataFrame:
+    """The road that each step widens."""
+    arcs, _, targets, weights, vehicles = _policy_forest(t)
+    load = vehicles.withColumn("upper", F.col("vehicles"))
+    base, _ = communities.hours(arcs, weights, targets, load)
+    steps = communities.widened(arcs, weights, targets, load, base.select("unit", "h"))[1]
+    return steps.select("unit", F.col("step").cast("long").alias("step"), "road_key", F.round("h", 6).alias("hours"), r6("km"))
+
+
+#: Two segments as one origin: what they share adds up.
+_GROUP_A = f"SELECT eid, src, dst, sum(capacity_vph) AS capacity_vph, min(travel_s) AS travel_s, max(hazard_max) AS hazard_max, 'primary' AS road_class, false AS lanes_imputed FROM ({FOREST_A}) a WHERE unit IN ('BUILDING', 'FURNITURE') GROUP BY eid, src, dst"
+_GROUP_TREE = f"""
+    c AS (SELECT * FROM ({FOREST_C}) c WHERE unit IN ('BUILDING', 'FURNITURE')), n0 AS (SELECT nk, rk, sum(cap) AS cap, sum(n) AS n FROM ({FOREST_N}) n WHERE unit IN ('BUILDING', 'FURNITURE') GROUP BY nk, rk),
+    r0 AS (SELECT rk, sum(cap) AS cap, sum(n) AS n FROM ({FOREST_R}) r WHERE unit IN ('BUILDING', 'FURNITURE') GROUP BY rk), cn AS (SELECT nk, sum(cap) AS below FROM c GROUP BY nk),
+    nn AS (SELECT n0.*, cn.below, least(n0.cap, cn.below) AS through FROM n0 JOIN cn USING (nk)), rr AS (SELECT r0.rk, r0.cap, r0.n, sum(nn.through) AS below FROM r0 JOIN nn USING (rk) GROUP BY r0.rk, r0.cap, r0.n),
+    cut AS (SELECT -100 - rk AS eid, cap FROM rr WHERE below >= cap UNION ALL SELECT -1 - nn.nk, nn.cap FROM nn JOIN rr USING (rk) WHERE rr.below < rr.cap AND nn.below >= nn.cap
+            UNION ALL SELECT c.vid, c.cap FROM c JOIN nn USING (nk) JOIN rr ON rr.rk = nn.rk WHERE rr.below < rr.cap AND nn.below < nn.cap)"""
+
+
+def _retro(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    members = t.sql(f"SELECT vid FROM ({FOREST_C}) c WHERE unit IN ('BUILDING', 'FURNITURE')")
+    arcs = written(t.sql(_GROUP_A), "retro-network")
+    burned = arcs.filter("eid % 3 = 0").select("eid")
+    exits = t.spark.range(1).select(F.lit(-1000).cast("long").alias("vid"))
+    return communities.retro_group(arcs, members, exits, members.withColumn("w", F.lit(1.0)), 5000.0, burned)
+
+
+@query(f"WITH {_GROUP_TREE} SELECT eid, CAST(cap AS DOUBLE) AS capacity_vph, eid % 3 = 0 AS in_perimeter FROM cut")
+def retro_cut(t: Tables) -> DataFrame:
+    """Arcs of the group's cut, and whether the fire's final perimeter holds them."""
+    return _retro(t)[1].select("eid", "capacity_vph", "in_perimeter")
+
+
+@query(f"""
+    WITH {_GROUP_TREE}, k AS (SELECT count(*) AS total FROM c), d AS (SELECT min(d) AS d FROM (SELECT cap * total AS d FROM c, k UNION ALL SELECT cap * total / n FROM n0, k UNION ALL SELECT cap * total / n FROM r0, k) x)
+    SELECT (SELECT count(*) FROM rr) AS n_disjoint, CAST((SELECT sum(cap) FROM cut) AS DOUBLE) AS mincut_capacity_vph, round((SELECT coalesce(sum(cap) FILTER (eid % 3 = 0), 0) / sum(cap) FROM cut), 6) AS mincut_share_in_perimeter,
+           round(d, 4) AS managed_vph, round(5000 / d, 6) AS managed_h FROM d""")
+def retro_group(t: Tables) -> DataFrame:
+    """Two segments evacuated as one group."""
+    return _retro(t)[0].select("n_disjoint", "mincut_capacity_vph", r6("mincut_share_in_perimeter"), F.round("managed_vph", 4).alias("managed_vph"), r6("managed_h"))
+
+
 _UNITS = f"SELECT unit, vid FROM ({_MEMBERS}) m"
 _STREETS = " UNION ALL ".join(f"SELECT '{u}' AS unit, eid, src, dst, capacity_vph, travel_s, hazard_max FROM ({LATTICE_A}) a" for u in ("north", "south"))
 
