@@ -21,6 +21,16 @@ def lanes(tag: Column) -> Column:
     return F.array_min(F.transform(F.regexp_extract_all(tag, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double")))
 
 
+def first_of(tags: Column) -> Column:
+    """First value of a list tag, as merged ways carry; null for an empty list."""
+    return F.try_element_at(tags, F.lit(1))
+
+
+def lanes_of_list(tags: Column) -> Column:
+    """Least number in a list of lanes tags."""
+    return lanes(F.array_join(tags, ";"))
+
+
 def with_capacity(arcs: DataFrame, classes: DataFrame, default: tuple[float, float]) -> DataFrame:
     """lanes_dir, lanes_imputed, capacity_vph from lanes_tot, oneway, road_class.
 

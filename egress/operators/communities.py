@@ -13,7 +13,7 @@ from egress.functions.roads import finite_ratio
 from egress.operators.evacuation import clearance, contraflow, ladder, selfish, two_lanes
 from egress.operators.flow import accessibility, cut_arcs, managed, managed_flow
 from egress.operators.regions import distances, max_flow, of_arcs
-from egress.operators.spatial import nearest
+from egress.operators.spatial import near_polygons, nearest
 from egress.plans.store import written
 
 INF = float("inf")
@@ -37,6 +37,23 @@ def inside(arcs: DataFrame, members: DataFrame) -> DataFrame:
     return joined.select(*arcs.columns, F.coalesce(F.col("src_in") & F.col("dst_in"), F.lit(False)).alias("inner"))
 
 
+def complete(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """(group): groups (group, name) all of whose names are ``known`` (name)."""
+    lacking = groups.join(known.select("name").distinct(), "name", "left_anti").select("group").distinct()
+    return groups.select("group").distinct().join(lacking, "group", "left_anti")
+
+
+def without_prefix(df: DataFrame, prefix: str) -> DataFrame:
+    """``df`` without the columns whose names start so, as before one policy's columns are worked out anew."""
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+
+
+def near_arcs(arcs: DataFrame, communities: DataFrame, most: float, size: float) -> DataFrame:
+    """(unit, eid): arcs (eid, x0, y0, x1, y1) whose middle is at most so far from a community's polygon (unit, rings or ring): those of a long road that a unit may widen."""
+    middle = arcs.select("eid", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return near_polygons(middle, communities, most, size).select("unit", "eid").distinct()
+
+
 def times(arcs: DataFrame, targets: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """(unit, vid, dist): fastest time from each vertex to a target; vertices without a way are left out."""
     back = arcs.select("unit", F.col("dst").alias("src"), F.col("src").alias("dst"), "travel_s")

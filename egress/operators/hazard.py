@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from egress.functions import geo
-from egress.operators.spatial import pieces
+from egress.operators.spatial import near_polygons, pieces
 
 
 def overlay_polygons(segments: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
@@ -60,6 +60,14 @@ def rule_targets(nodes: DataFrame, classes: list[str], free_of: DataFrame | None
     return out.select("vid")
 
 
+def targets_away(targets: DataFrame, communities: DataFrame, least: float, size: float) -> DataFrame:
+    """(unit, vid): for each community (unit, rings or ring) those of the targets (vid, x, y) at least so far from its polygon."""
+    near = near_polygons(targets.select("vid", "x", "y"), communities, least, size).filter(F.col("distance") < least)
+    units = communities.select("unit").distinct()
+    every = targets.select("vid").withColumn("unit", F.explode(F.array(*[F.lit(r["unit"]) for r in units.collect()])))
+    return every.join(near.select("unit", "vid").distinct(), ["unit", "vid"], "left_anti").select("unit", "vid")
+
+
 def without_hazard(arcs: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """(unit, eid): arcs that are left when those of hazard ``least`` or more go. A null unit stands for all units; an arc of hazard stays for a unit if both its ends are among the unit's members (unit, vid)."""
     free = arcs.filter(F.col("hazard_max") < least).select(F.lit(None).cast(members.schema["unit"].dataType).alias("unit"), "eid")

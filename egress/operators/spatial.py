@@ -17,8 +17,8 @@ def rings_of(polygons: DataFrame) -> Column:
     return F.col("rings") if "rings" in polygons.columns else F.array("ring")
 
 
-def pieces(polygons: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    """(about, tile, piece): the part of each polygon (rings or ring, others in ``about``) in each tile of its box and ``margin`` around it, where any is left.
+def pieces(polygons: DataFrame, size: float, margin: float = 0.0, reach: float = 0.0) -> DataFrame:
+    """(about, tile, piece): the part of each polygon (rings or ring, others in ``about``) in each tile of its box and ``margin`` around it, where any is left; the box is ``reach`` larger on all sides.
 
     A polygon is halved at tile borders until each part lies in one tile, first across x, then
     across y; so a vertex is looked at once for each halving, not once for each tile.
@@ -27,7 +27,7 @@ def pieces(polygons: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
     about = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("string")
     rows = polygons.select(about.alias("about"), F.filter(rings_of(polygons), lambda r: F.size(r) > 2).alias("piece"))
     box = geo.bounds(F.flatten("piece"))
-    cell = lambda c: F.floor(box[c] / size)
+    cell = lambda c: F.floor((box[c] + (reach if c.endswith("1") else -reach)) / size)
     rows = rows.filter(F.size("piece") > 0).withColumns({"tx": cell("x0"), "tx1": cell("x1"), "ty": cell("y0"), "ty1": cell("y1")})
     spans = rows.agg(F.max(F.col("tx1") - F.col("tx")).alias("x"), F.max(F.col("ty1") - F.col("ty")).alias("y")).first()
     for axis in "xy":
@@ -57,6 +57,22 @@ def points_in(points: DataFrame, polygons: DataFrame, size: float, how: str = "i
     return joined.select(*[F.col(f"point.`{c}`").alias(c) for c in points.columns], *[F.col(f"about.`{c}`").alias(c) for c in rest])
 
 
+def near_polygons(points: DataFrame, polygons: DataFrame, most: float, size: float) -> DataFrame:
+    """Points (x, y, ...) with the columns of the polygons (rings or ring, ...) that lie at most ``most`` away, and ``distance``: 0 inside or on the border.
+
+    A tile holds what of a polygon lies within that distance around it, so the sides at its
+    edge that cutting made are farther than any that count.
+    """
+    right = pieces(polygons, size, most * 1.001 + 1e-9, most)
+    tile = F.struct(F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty"))
+    left = points.select(F.struct("*").alias("point"), tile.alias("tile"))
+    x, y, sides = F.col("point.x"), F.col("point.y"), geo.sides(F.col("piece"))
+    far = F.when(geo.covers_sides(sides, x, y), 0.0).otherwise(geo.distance_to_sides(sides, x, y))
+    joined = left.join(right, "tile").select("point", "about", far.alias("distance")).filter(F.col("distance") <= most)
+    rest = [c for c in polygons.columns if c not in ("ring", "rings")]
+    return joined.select(*[F.col(f"point.`{c}`").alias(c) for c in points.columns], *[F.col(f"about.`{c}`").alias(c) for c in rest], "distance")
+
+
 def nearest(queries: DataFrame, sites: DataFrame, by: list[str], ties: str = "first") -> DataFrame:
     """(by, qid, sid, dist): the nearest site of the same group for each query point; none for a group without sites. ``ties``: first (least site id) or all.
 

@@ -591,6 +591,21 @@ def target_counts(t: Tables) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+#: Two districts that are no boxes around one point: (unit, x0, y0, x1, y1).
+_DISTRICTS = (("south", 0.0, 0.0, 800.0, 600.0), ("north", 100.0, 900.0, 700.0, 2000.0))
+
+
+@query(f"""
+    WITH d(unit, x0, y0, x1, y1) AS (VALUES {", ".join(map(str, _DISTRICTS))}), t AS ({_RULES_SQL["R2"]}), v AS ({duck(LATTICE_V)})
+    SELECT d.unit, t.vid FROM t JOIN v USING (vid), d WHERE sqrt(greatest(x0 - x, 0, x - x1)^2 + greatest(y0 - y, 0, y - y1)^2) >= 500""")
+def targets_by_community(t: Tables) -> DataFrame:
+    """Each district's own targets: exits free of hazard, 500 or more from its polygon."""
+    rows = t.spark.createDataFrame(list(_DISTRICTS), "unit string, x0 double, y0 double, x1 double, y1 double")
+    polygons = rows.select("unit", geo.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
+    placed = _rule(t, "R2").join(t.sql(LATTICE_V).select("vid", "x", "y"), "vid")
+    return hazard.targets_away(placed, polygons, 500.0, 400.0)
+
+
 _MEMBERS = f"SELECT CASE WHEN y < 900 THEN 'south' ELSE 'north' END AS unit, vid FROM ({LATTICE_V}) v WHERE x < 900"
 
 
@@ -899,6 +914,15 @@ def vehicles_from_b25044(t: Tables) -> DataFrame:
     return t.sql(_HOUSEHOLDS).select("place", roads.vehicles(counts).alias("vehicles"))
 
 
+@query("""
+    SELECT n_regionkey AS "group" FROM {nation} GROUP BY n_regionkey HAVING count(*) FILTER (n_name NOT IN (SELECT n_name FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey)) = 0""")
+def groups_complete(t: Tables) -> DataFrame:
+    """Regions all of whose nations have a supplier."""
+    groups = t["nation"].select(F.col("n_regionkey").alias("group"), F.col("n_name").alias("name"))
+    known = t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
+    return communities.complete(groups, known)
+
+
 _NAMES = "SELECT s_suppkey, concat('  Place ', CAST(s_suppkey AS STRING), CASE s_suppkey % 4 WHEN 0 THEN ' city' WHEN 1 THEN ' town' WHEN 2 THEN ' CDP' ELSE ' city hall' END, CASE s_suppkey % 3 WHEN 0 THEN ', Some State' ELSE '' END) AS name FROM {supplier}"
 
 

@@ -127,3 +127,20 @@ def write_layers(layers: dict[str, DataFrame], path: str) -> None:
     """Each layer as Parquet under its name, rings and loads included."""
     for name, df in layers.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_config(path: str) -> dict:
+    """Settings of a study from YAML."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("settings are read with PyYAML, which is not installed") from e
+    with open(path) as f:
+        return yaml.safe_load(f)
+
+
+def class_table(spark: SparkSession, capacity: dict) -> tuple[DataFrame, tuple[float, float]]:
+    """Lanes and capacity per lane by road class from settings {class: [per_lane, lanes], ..., default: [...]}, as :func:`egress.functions.roads.with_capacity` takes them."""
+    rows = [(k, float(lanes), float(per)) for k, (per, lanes) in capacity.items() if k != "default"]
+    per, lanes = capacity["default"]
+    return spark.createDataFrame(rows, "road_class string, class_lanes double, per_lane double"), (float(lanes), float(per))

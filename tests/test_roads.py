@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from egress.functions import geo, roads
 from egress.functions.ranks import ranked
-from egress.operators import evacuation, flow, graph, hazard, regions, removal, routing, spatial
+from egress.operators import communities, evacuation, flow, graph, hazard, regions, removal, routing, spatial
 from egress.operators.components import components
 from egress.plans import queries
 from egress.sources import roads as sources
@@ -368,6 +368,25 @@ def test_tag_rules(spark):
     assert [tuple(r) for r in got] == [(False, False), (True, False), (False, False), (False, False), (False, True)]
 
 
+def test_small_steps(spark):
+    row = spark.range(1).select(roads.first_of(F.array(F.lit("primary"), F.lit("track"))).alias("a"), roads.first_of(F.array().cast("array<string>")).alias("b"), roads.lanes_of_list(F.array(F.lit("4"), F.lit("3;2"))).alias("c")).first()
+    assert tuple(row) == ("primary", None, 2.0)
+    groups = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "a"), ("i", "z")], "group string, name string")
+    assert sorted(r.group for r in communities.complete(groups, spark.createDataFrame([("a",)], "name string")).collect()) == ["h"]
+    assert communities.without_prefix(spark.createDataFrame([(1, 2, 3)], "unit int, I4_a int, I3_b int"), "I4_").columns == ["unit", "I3_b"]
+    classes, default = sources.class_table(spark, {"motorway": [2000, 3], "default": [500, 1]})
+    assert [tuple(r) for r in classes.collect()] == [("motorway", 3.0, 2000.0)] and default == (1.0, 500.0)
+    arcs = spark.createDataFrame([(0, 0.0, 0.0, 2.0, 0.0), (1, 30.0, 0.0, 31.0, 0.0)], "eid long, x0 double, y0 double, x1 double, y1 double")
+    towns = spark.range(1).select(F.lit("c").alias("unit"), geo.ring((-2, -2), (0, -2), (0, 2), (-2, 2)).alias("ring"))
+    assert [tuple(r) for r in communities.near_arcs(arcs, towns, 5.0, 4.0).collect()] == [("c", 0)]
+
+
+def test_settings(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("capacity:\n  primary: [900, 2]\n  default: [500, 1]\n")
+    assert sources.read_config(str(tmp_path / "c.yaml"))["capacity"]["primary"] == [900, 2]
+
+
 def test_clearance_by_hand(spark):
     row = evacuation.clearance(spark.createDataFrame([(600.0, 200.0, 300.0, 100.0)], "vehicles double, managed_vph double, rationed_vph double, strict_vph double")).first()
     assert (row.managed_h, row.bulk_h, row.last_h, row.gap_bulk, row.gap_last) == (3.0, 2.0, 6.0, 0.0, 0.5)
@@ -583,6 +602,26 @@ def test_overlay_of_rings(spark, rings):
     assert total == pytest.approx(sum(s * area(r) for s, r in zip(signs, rings, strict=False)))
 
 
+@pytest.mark.parametrize("size", [0.7, 2.0, 30.0])
+def test_distance_to_polygons(spark, size):
+    """Inside, outside and far from a bent polygon, over small and large tiles."""
+    rnd = random.Random(6)
+    rows = [(k, rnd.uniform(-6, 15), rnd.uniform(-6, 15)) for k in range(80)] + [(80, 4.5, 3.0), (81, 0.0, 0.0)]
+
+    def far(x, y):
+        if even_odd(BENT, x, y):
+            return 0.0
+        ring, best = BENT[0], math.inf
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            best = min(best, math.hypot(ax + t * (bx - ax) - x, ay + t * (by - ay) - y))
+        return best
+
+    got = {r.vid: r.distance for r in spatial.near_polygons(spark.createDataFrame(rows, "vid long, x double, y double"), polygon(spark, BENT), 2.5, size).collect()}
+    want = {k: far(x, y) for k, x, y in rows}
+    assert got == pytest.approx({k: d for k, d in want.items() if d <= 2.5})
+
+
 def test_points_keep_their_columns(spark):
     points = spark.createDataFrame([(0, 1.0, 1.0, "mine", "too"), (1, 4.5, 4.5, "mine", "too"), (2, 3.5, 4.2, "mine", "too")], "pid long, x double, y double, tile string, piece string")
     got = spatial.points_in(points, polygon(spark, HOLED).drop("pid"), 2.0).orderBy("pid").collect()
