@@ -1,4 +1,11 @@
-"""A corpus pipeline: toxic documents go, copies and near copies go, secrets are blotted out, the rest is packed."""
+"""A corpus pipeline: toxic documents go, copies and near copies go, secrets are blotted out, the rest is packed.
+
+Stages keep all columns, whatever their names. Null and empty texts are never toxic, are equal to
+each other and so fall to one row in the second stage, have no near copies and no secrets, and pack as one token.
+Rows that repeat an id are dealt with one by one, but in the third stage, where they stay or go
+together. Ties go to the smallest id. A text of any length is read whole in every stage. An empty table
+stays empty. ``documents`` has the columns doc_id, text and n_chars; others may follow.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +17,7 @@ from egress.llm.store import written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned lexicon doesn't reject."""
+    """Documents that the learned lexicon doesn't reject; labels of ids that aren't there, null or double do no harm."""
     lexicon = toxicity.learn(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.reject(docs, lexicon)
 

@@ -168,7 +168,7 @@ def loaded(path: str) -> Bpe:
 
 
 def encode_column(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array<int>), decoded text of every row; null texts are empty, other columns are not read."""
+    """id, ids (array<int>), decoded text of every row; null texts are empty, other columns are not read. Repeated rows are each encoded; an empty table gives an empty result; a text of any length is encoded whole, run by run between its split points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
@@ -185,7 +185,8 @@ def encode_column(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text (null: empty), one row for each input row.
 
-    Digests are made where the ids are, so neither ids nor texts move.
+    Digests are made where the ids are, so neither ids nor texts move. Repeated rows are each
+    told; an empty table gives an empty result; a text of any length is encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

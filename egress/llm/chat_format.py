@@ -100,7 +100,8 @@ def format_chat(conversations: DataFrame, template: Template = INST) -> DataFram
     ``state`` is the machine's state after the segment's turn; ``broken`` once an order rule
     is violated, and then to the end: such conversations are still written, for the reader
     to drop. Null texts and roles are empty, null turns come first, repeated turns are
-    ordered by role and text and all written. An empty table gives no segments. Other
+    ordered by role and text and all written. An empty table gives no segments. A
+    text of any length is one segment, a conversation of any length a stream of them. Other
     columns are not read.
     """
 

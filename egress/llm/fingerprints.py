@@ -76,7 +76,7 @@ def sketches(texts: list[str | None], k: int = K, width: int = WIDTH) -> list[np
 
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH) -> DataFrame:
-    """id, fingerprint of each row. Null and empty texts have the empty sketch; short texts are one shingle."""
+    """id, fingerprint of each row. Null and empty texts have the empty sketch; short texts are one shingle; very long ones are sketched whole. Repeated rows are each sketched; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +170,8 @@ def edited_likeness(df: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     """Each text against the text whose last half comes from its successor, and against the successor.
 
     Null texts are empty; two empty sketches have likeness 1; null ids come first, and the
-    order goes round; an empty table gives an empty result. Other columns are not read.
+    order goes round; an empty table gives an empty result. Rows that repeat an id follow each
+    other in order of their texts and are each told. Texts of any length are compared whole. Other columns are not read.
     """
     rows = with_successor(df)
 

@@ -243,7 +243,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: C
     ``fold`` (0 to 4) of a row: 1 is held out of training; 0 gives the mixture weights their
     held-out counts. Null texts are empty: one end token. Repeated rows count and are scored
     one by one; an empty table gives an empty result. Without training rows, weights fall back
-    to nearly all for the unigrams. Other columns are not read.
+    to nearly all for the unigrams. A text of any length is counted and scored whole, in a
+    block of its own if it is longer than one. Other columns are not read.
     """
     fold_col = fold_of(id_col, FOLDS) if fold is None else fold
     role = F.when(fold_col == TEST_FOLD, TEST).when(fold_col == WEIGHT_FOLD, HELD).otherwise(KEPT)

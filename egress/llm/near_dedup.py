@@ -402,7 +402,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A text with fewer words than ``width`` has all its words as one shingle. Null and empty
     texts have none, and stand alone. Rows that repeat an id and its text are all told the
     same; null ids are told their component's smallest id, or null. An empty table gives an
-    empty result. Other columns are not read.
+    empty result. A text of any length is sketched and compared whole. Other columns are not read.
     """
     parts = shuffle_parts(df.sparkSession)
     docs = written(sketched(df, id_col, text_col, width), "near-sketches")

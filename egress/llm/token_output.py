@@ -95,7 +95,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "d
     """Encodes whole texts (null: empty), each followed by ``end_id``, into files in ascending id order.
 
     Null ids come first; rows that repeat an id are ordered by text hash and all written. An
-    empty table writes files without rows. Other columns are not read.
+    empty table writes files without rows. A text of any length is encoded whole and is one
+    list, so it must fit a task. Other columns are not read.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
