@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from egress.functions import geo, roads
-from egress.operators import communities, evacuation, flow, graph, hazard, regions, removal, spatial
+from egress.operators import chains, communities, evacuation, flow, graph, hazard, regions, removal, spatial
 from egress.plans.fixtures import EDGES, FOREST_A, FOREST_C, FOREST_N, FOREST_R, LATTICE_A, LATTICE_V, NODES, PAIRS, POLICY_A, Tables, duck
 from egress.plans.store import written
 from egress.sources.roads import least_arcs, relabelled
@@ -186,6 +186,23 @@ def components_of_orders(t: Tables) -> DataFrame:
     return graph.labelled(edges.select(F.col("src").alias("vid")).union(edges.select("dst")).distinct(), edges)
 
 
+#: One-way streets: from a customer through all their orders to the nation.
+_VISITS = """
+    SELECT o_orderkey AS eid, o_orderkey AS src, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), -100000000 - c_nationkey) AS dst, CAST(o_totalprice AS DOUBLE) AS length_m, CAST(1 AS DOUBLE) AS travel_s
+    FROM {orders} JOIN {customer} ON c_custkey = o_custkey
+    UNION ALL SELECT -1 - o_custkey, -1 - o_custkey, min(o_orderkey), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE) FROM {orders} JOIN {customer} ON c_custkey = o_custkey GROUP BY o_custkey"""
+
+
+@query("""
+    SELECT -1 - o_custkey AS eid, -1 - o_custkey AS src, -100000000 - c_nationkey AS dst, round(1 + sum(o_totalprice), 2)::DOUBLE AS length_m, count(*) + 1.0::DOUBLE AS travel_s, count(*) + 1 AS n, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS orders
+    FROM {orders} JOIN {customer} ON c_custkey = o_custkey GROUP BY o_custkey, c_nationkey""")
+def simplified_visits(t: Tables) -> DataFrame:
+    """Each customer's chain of orders as one arc, its parts in order."""
+    out = chains.simplified(t.sql(_VISITS))
+    parts = F.array_join(F.slice("eids", F.lit(2), F.size("eids") - 1).cast("array<string>"), ",")
+    return out.select("eid", "src", "dst", F.round("length_m", 2).alias("length_m"), "travel_s", "n", parts.alias("orders"))
+
+
 _CHAIN = f"""
     WITH RECURSIVE e AS ({EDGES}), ends AS (SELECT src AS vid, dst AS other FROM e UNION ALL SELECT dst, src FROM e),
     m AS (SELECT vid FROM ends GROUP BY vid HAVING count(*) = 2),
