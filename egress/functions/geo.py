@@ -162,6 +162,38 @@ def within_box(x0: Column, y0: Column, x1: Column, y1: Column, left: Column, low
     return enter, leave
 
 
+def shared_area(one: Column, two: Column) -> Column:
+    """Area that two polygons, given by their sides, have in common; neither needs to be convex.
+
+    Lines across at all corners and crossings leave strips in which no sides cross, so a strip's part is
+    its height times what both cover along its middle.
+    """
+
+    def met(e: Column, g: Column) -> Column:
+        a, b, c, d = e["a"], e["b"], g["a"], g["b"]
+        det = (b["x"] - a["x"]) * (d["y"] - c["y"]) - (b["y"] - a["y"]) * (d["x"] - c["x"])
+        t = ((c["x"] - a["x"]) * (d["y"] - c["y"]) - (c["y"] - a["y"]) * (d["x"] - c["x"])) / F.when(det == 0, F.lit(1.0)).otherwise(det)
+        return F.when((det != 0) & (t > 0) & (t < 1), a["y"] + t * (b["y"] - a["y"]))
+
+    def spans(of: Column, y: Column) -> Column:
+        at = lambda e: F.when((e["a"]["y"] > y) != (e["b"]["y"] > y), e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / F.when(e["b"]["y"] == e["a"]["y"], F.lit(1.0)).otherwise(e["b"]["y"] - e["a"]["y"]))
+        xs = F.array_sort(F.filter(F.transform(of, at), lambda x: x.isNotNull()))
+        pairs = F.zip_with(xs, F.slice(F.concat(xs, F.array(F.lit(None).cast("double"))), F.lit(2), F.size(xs)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.filter(pairs, lambda _, i: i % 2 == 0)
+
+    corners = lambda of: F.transform(of, lambda e: e["a"]["y"])
+    crossed = F.filter(F.flatten(F.transform(one, lambda e: F.transform(two, lambda g: met(e, g)))), lambda y: y.isNotNull())
+    ys = F.array_sort(F.array_distinct(F.concat(corners(one), corners(two), crossed)))
+    strips = F.zip_with(F.slice(ys, F.lit(1), F.greatest(F.size(ys) - 1, F.lit(0))), F.slice(ys, F.lit(2), F.greatest(F.size(ys) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def common(strip: Column) -> Column:
+        y, zero = (strip["a"] + strip["b"]) / 2, F.lit(0.0)
+        both = F.flatten(F.transform(spans(one, y), lambda p: F.transform(spans(two, y), lambda q: F.greatest(zero, F.least(p["b"], q["b"]) - F.greatest(p["a"], q["a"])))))
+        return (strip["b"] - strip["a"]) * F.aggregate(both, zero, lambda s, v: s + v)
+
+    return F.aggregate(F.transform(strips, common), F.lit(0.0), lambda s, v: s + v)
+
+
 def half(points: Column, axis: str, limit: Column, above: bool) -> Column:
     """The part of a ring on one side of a line across ``axis`` (Sutherland-Hodgman); empty if nothing is left. Parts of a ring that is not convex hang together by sides along the line, which leaves areas and what lies off the line right."""
     other, sign = ("y" if axis == "x" else "x"), (1 if above else -1)

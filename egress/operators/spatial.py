@@ -57,6 +57,19 @@ def points_in(points: DataFrame, polygons: DataFrame, size: float, how: str = "i
     return joined.select(*[F.col(f"point.`{c}`").alias(c) for c in points.columns], *[F.col(f"about.`{c}`").alias(c) for c in rest])
 
 
+def burn_shares(areas: DataFrame, fires: DataFrame, size: float) -> DataFrame:
+    """(area, fire, share): part of each area (area, rings or ring) within each fire (fire, rings or ring); pairs that share nothing are left out.
+
+    Both are cut at tiles, and what they have in common is added up over the tiles where they meet. Rings of one polygon must not cross.
+    """
+    ones = pieces(areas, size).select("about.area", "tile", F.explode(F.array(geo.sides(F.col("piece")))).alias("one"))
+    twos = pieces(fires, size).select("about.fire", "tile", F.explode(F.array(geo.sides(F.col("piece")))).alias("two"))
+    common = ones.join(twos, "tile").select("area", "fire", geo.shared_area(F.col("one"), F.col("two")).alias("common"))
+    whole = areas.select("area", geo.polygon_area(geo.oriented(rings_of(areas))).alias("whole")).filter("whole > 0")
+    sums = common.groupBy("area", "fire").agg(F.sum("common").alias("common")).filter("common > 0")
+    return sums.join(whole, "area").select("area", "fire", F.least(F.col("common") / F.col("whole"), F.lit(1.0)).alias("share"))
+
+
 def near_polygons(points: DataFrame, polygons: DataFrame, most: float, size: float) -> DataFrame:
     """Points (x, y, ...) with the columns of the polygons (rings or ring, ...) that lie at most ``most`` away, and ``distance``: 0 inside or on the border.
 

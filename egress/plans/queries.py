@@ -549,6 +549,17 @@ def zone_areas(t: Tables) -> DataFrame:
     return found.groupBy("level").agg(F.round(F.sum("area"), 6).alias("area"))
 
 
+@query(f"""
+    WITH b AS ({_BOXES_DUCK}) SELECT * FROM (
+        SELECT a.label AS area, f.label AS fire, round(greatest(0, least(a.x1, f.x1) - greatest(a.x0, f.x0)) * greatest(0, least(a.y1, f.y1) - greatest(a.y0, f.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) AS share FROM b a, b f WHERE f.label % 3 = 0) x
+    WHERE share > 0""")
+def burn_share(t: Tables) -> DataFrame:
+    """Part of each area that each fire covers."""
+    boxes = _boxes(t)
+    areas, fires = boxes.select(F.col("label").alias("area"), "ring"), boxes.filter("label % 3 = 0").select(F.col("label").alias("fire"), "ring")
+    return spatial.burn_shares(areas, fires, TILE).select("area", "fire", r6("share")).filter("share > 0")
+
+
 _ROWS = f"SELECT vid AS eid, x AS x0, y + 50 AS y0, x + 300 AS x1, y + 50 AS y1 FROM ({LATTICE_V}) v"
 _BINS = [0.0, 2500.0, 5000.0, 7500.0]
 
