@@ -118,6 +118,16 @@ def distance_to_sides(of: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(of, far))
 
 
+def crossing(e: Column, g: Column) -> tuple[Column, Column, Column, Column]:
+    """(x, y, t, u): where the lines of two sides cross, and how far along each side that is (0 to 1 on it); null if they are parallel."""
+    a, b, c, d = e["a"], e["b"], g["a"], g["b"]
+    det = (b["x"] - a["x"]) * (d["y"] - c["y"]) - (b["y"] - a["y"]) * (d["x"] - c["x"])
+    safe = F.when(det != 0, det)
+    t = ((c["x"] - a["x"]) * (d["y"] - c["y"]) - (c["y"] - a["y"]) * (d["x"] - c["x"])) / safe
+    u = ((c["x"] - a["x"]) * (b["y"] - a["y"]) - (c["y"] - a["y"]) * (b["x"] - a["x"])) / safe
+    return a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"]), t, u
+
+
 def share_inside(x0: Column, y0: Column, x1: Column, y1: Column, of: Column) -> Column:
     """Share of a segment that lies inside the polygon of some sides: cut where it meets the sides, each piece judged by its middle. 0 for a segment of no length."""
     dx, dy = x1 - x0, y1 - y0
@@ -149,6 +159,18 @@ def tiles(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column
     return F.flatten(F.transform(F.sequence(cell(x0), cell(x1)), lambda tx: F.transform(F.sequence(cell(y0), cell(y1)), lambda ty: F.struct(tx.alias("tx"), ty.alias("ty")))))
 
 
+def curve_place(x: Column, y: Column, x0: float, y0: float, wide: float) -> Column:
+    """Place of a point along a space-filling curve (Morton's) of 2^16 steps a side, over the square of that width from (x0, y0)."""
+
+    def spread(c: Column, low: float) -> Column:
+        bits = F.floor((c - F.lit(low)) / wide * 65535).cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return bits
+
+    return spread(x, x0).bitwiseOR(F.shiftleft(spread(y, y0), 1))
+
+
 def within_box(x0: Column, y0: Column, x1: Column, y1: Column, left: Column, low: Column, size: float) -> tuple[Column, Column]:
     """Where along a segment (0 to 1) it enters and leaves a square; none of it is inside unless the second is greater."""
     enter, leave = F.lit(0.0), F.lit(1.0)

@@ -115,13 +115,14 @@ STAGES = (3, 2, 2)
 
 
 def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: DataFrame, stages: tuple[int, ...] = STAGES, regions: DataFrame | None = None) -> DataFrame:
-    """(unit, managed_vph, strict_vph, rationed_vph) of drivers who route themselves.
+    """(unit, managed_vph, strict_vph, rationed_vph, strict_converged, rationed_converged) of drivers who route themselves.
 
     Strict: managed itself if no arc is overloaded and everyone has a way out, else what
     bisection of the managed demand finds. Rationed: the larger of strict and the most that is
     delivered over the scanned demands. The scan and managed itself are settled side by side,
     as scenarios of one run; where managed doesn't fit, each stage settles the few demands
-    that its halvings could ask for and walks over the answers.
+    that its halvings could ask for and walks over the answers. The flags tell whether the
+    ways of the demand behind each figure came to rest (else they oscillate); null where no demand fits.
     """
     grid = 1 << sum(stages)
     regions = of_arcs(arcs) if regions is None else regions
@@ -131,15 +132,15 @@ def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: Da
         each = written(asked.select("of", F.struct("of", "kind", "k").alias("unit"), "d"), "selfish-scenarios")
         spread = lambda df: df.withColumnRenamed("unit", "of").join(each.select("unit", "of"), "of").drop("of")
         told = settle(*map(spread, (arcs, weights, targets)), each.select("unit", "d"), regions=regions)
-        return written(told.select("unit.of", "unit.kind", "unit.k", "delivered", F.expr("ratio <= 1 + 1e-9 AND unreachable <= 1e-12").alias("fits")), "selfish-told")
+        return written(told.select("unit.of", "unit.kind", "unit.k", "delivered", "converged", F.expr("ratio <= 1 + 1e-9 AND unreachable <= 1e-12").alias("fits")), "selfish-told")
 
     some = managed.filter("managed_vph > 0").select(F.col("unit").alias("of"), F.col("managed_vph").alias("most"))
     first = [("b", grid, 1.0)] + [("s", k, f) for k, f in enumerate(SCAN)]
     scenario = F.explode(F.array(*[F.struct(F.lit(a).alias("kind"), F.lit(k).alias("k"), F.lit(f).alias("part")) for a, k, f in first]))
     told = settled(some.withColumn("x", scenario).select("of", "x.kind", "x.k", (F.col("x.part") * F.col("most")).alias("d")))
-    best = told.filter("kind = 's'").groupBy("of").agg(F.max("delivered").alias("best"))
-    done = told.filter("kind = 'b' AND fits").select("of", F.lit(grid).alias("low"))
-    low = written(some.join(done, "of", "left_anti").withColumn("low", F.lit(0)), "selfish-low")
+    best = told.filter("kind = 's'").groupBy("of").agg(F.max(F.struct("delivered", -F.col("k"), "converged")).alias("x")).select("of", F.col("x.delivered").alias("best"), F.col("x.converged").alias("best_rests"))
+    done = told.filter("kind = 'b' AND fits").select("of", F.lit(grid).alias("low"), F.col("converged").alias("rests"))
+    low = written(some.join(done, "of", "left_anti").withColumns({"low": F.lit(0), "rests": F.lit(None).cast("boolean")}), "selfish-low")
     width = grid
     for halvings in stages:
         if low.isEmpty():
@@ -147,13 +148,17 @@ def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: Da
         step = width >> halvings
         ask = F.explode(F.array(*[F.lit(k * step) for k in range(1, 1 << halvings)]))
         told = settled(low.withColumn("ask", ask).withColumn("k", F.col("low") + F.col("ask")).select("of", F.lit("b").alias("kind"), "k", (F.col("k") / grid * F.col("most")).alias("d")))
-        good = low.join(told.filter("fits").groupBy("of").agg(F.collect_set("k").alias("good")), "of", "left").withColumn("good", F.coalesce("good", F.array().cast("array<int>")))
+        good = low.join(told.filter("fits").groupBy("of").agg(F.collect_list(F.struct("k", "converged")).alias("good")), "of", "left").withColumn("good", F.coalesce("good", F.array().cast("array<struct<k:int,converged:boolean>>")))
         now = F.col("low")
         for h in range(1, halvings + 1):
-            now = now + F.when(F.array_contains("good", (now + (width >> h)).cast("int")), width >> h).otherwise(0)
-        low = written(good.select("of", "most", now.cast("int").alias("low")), "selfish-low")
+            now = now + F.when(F.array_contains("good.k", (now + (width >> h)).cast("int")), width >> h).otherwise(0)
+        walked = good.withColumn("now", now.cast("int"))
+        here = F.get(F.filter("good", lambda g: g["k"] == F.col("now")), F.lit(0))["converged"]
+        low = written(walked.select("of", "most", F.col("now").alias("low"), F.when(F.col("now") == F.col("low"), F.col("rests")).otherwise(here).alias("rests")), "selfish-low")
         width = step
-    parts = done.unionByName(low.select("of", "low"))
+    parts = done.unionByName(low.select("of", "low", "rests"))
     out = managed.join(parts.withColumnRenamed("of", "unit"), "unit", "left").join(best.withColumnRenamed("of", "unit"), "unit", "left")
     strict = F.coalesce(F.col("managed_vph") * F.col("low") / grid, F.lit(0.0))
-    return out.select("unit", "managed_vph", strict.alias("strict_vph"), F.greatest(strict, F.coalesce("best", F.lit(0.0))).alias("rationed_vph"))
+    most = F.coalesce("best", F.lit(0.0))
+    flag = F.when(most > strict, F.col("best_rests")).otherwise(F.col("rests")).alias("rationed_converged")
+    return out.select("unit", "managed_vph", strict.alias("strict_vph"), F.greatest(strict, most).alias("rationed_vph"), F.col("rests").alias("strict_converged"), flag)

@@ -86,6 +86,40 @@ def near_polygons(points: DataFrame, polygons: DataFrame, most: float, size: flo
     return joined.select(*[F.col(f"point.`{c}`").alias(c) for c in points.columns], *[F.col(f"about.`{c}`").alias(c) for c in rest], "distance")
 
 
+def meeting(ones: DataFrame, twos: DataFrame, size: float, most: float = 0.0) -> DataFrame:
+    """(one, two): the pairs of polygons that share a point, or lie at most ``most`` apart; structs of their columns other than ring and rings.
+
+    Both are cut at tiles with what lies around them kept, so the sides that cutting made lie
+    outside the tile. Polygons meet where sides do, or a corner of one lies in the other; the
+    least distance of others is from a corner of one to a side of the other. A corner and a
+    crossing count in the tile that they lie in, so a corner meets the nearby sides alone.
+    """
+    margin = max(size / 2, most * 1.001 + 1e-9)
+    slack = size * 1e-9
+
+    def here(x: Column, y: Column) -> Column:
+        low = [F.col(f"tile.{c}") * size - slack for c in ("tx", "ty")]
+        return (x >= low[0]) & (x <= low[0] + size + 2 * slack) & (y >= low[1]) & (y <= low[1] + size + 2 * slack)
+
+    def cut(polygons: DataFrame, name: str) -> DataFrame:
+        found = pieces(polygons, size, margin, most).withColumn("side", F.explode(F.array(geo.sides(F.col("piece")))))
+        own = F.filter(F.flatten("piece"), lambda p: here(p["x"], p["y"]))
+        return found.select("tile", F.col("about").alias(name), F.col("side").alias(f"{name}_sides"), own.alias(f"{name}_corners"))
+
+    def crosses(e: Column, g: Column) -> Column:
+        x, y, t, u = geo.crossing(e, g)
+        return F.coalesce((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1) & here(x, y), F.lit(False))
+
+    def reaches(corners: str, sides: str) -> Column:
+        of = F.col(sides)
+        near = lambda p: geo.covers_sides(of, p["x"], p["y"]) | (geo.distance_to_sides(of, p["x"], p["y"]) <= most)
+        return F.exists(corners, near)
+
+    both = cut(ones, "one").join(cut(twos, "two"), "tile")
+    touch = reaches("one_corners", "two_sides") | reaches("two_corners", "one_sides") | F.exists("one_sides", lambda e: F.exists("two_sides", lambda g: crosses(e, g)))
+    return both.filter(touch).select("one", "two").distinct()
+
+
 def nearest(queries: DataFrame, sites: DataFrame, by: list[str], ties: str = "first") -> DataFrame:
     """(by, qid, sid, dist): the nearest site of the same group for each query point; none for a group without sites. ``ties``: first (least site id) or all.
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from egress.functions import geo, roads
-from egress.operators import chains, communities, evacuation, flow, graph, hazard, regions, removal, spatial
+from egress.operators import chains, communities, evacuation, flow, graph, hazard, regions, removal, spatial, study
 from egress.plans.fixtures import EDGES, FOREST_A, FOREST_C, FOREST_N, FOREST_R, LATTICE_A, LATTICE_V, NODES, PAIRS, POLICY_A, Tables, duck
-from egress.plans.store import written
-from egress.sources.roads import least_arcs, relabelled
+from egress.plans.store import new_path, written
+from egress.sources.roads import in_box, least_arcs, relabelled, write_sorted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -968,3 +968,137 @@ def road_labels(t: Tables) -> DataFrame:
         roads.road_key(F.when(F.col("n_nationkey") % 3 == 0, "nan").otherwise(F.col("n_name")), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("ref "), "n_nationkey")).otherwise("nan")).alias("k"),
     )
     return rows.groupBy("region").agg(F.array_join(F.array_sort(F.collect_set("k")), "; ").alias("label"))
+
+
+# --- study areas ------------------------------------------------------------------------------
+
+#: A square plot around each vertex of the lattice, from far apart over touching to overlapping; whole coordinates, so borders that touch do so exactly.
+_PLOTS = f"SELECT vid AS id, hazard_max AS level, road_class, x - 20 - 30 * hazard_max AS x0, y - 20 - 30 * hazard_max AS y0, x + 20 + 30 * hazard_max AS x1, y + 20 + 30 * hazard_max AS y1 FROM ({LATTICE_V}) v"
+_FIRES = f"SELECT id AS fire, x0 - 45 AS x0, y0 - 45 AS y0, x1 + 45 AS x1, y1 + 45 AS y1 FROM ({_PLOTS}) p WHERE id % 37 = 0"
+_CORE = f"SELECT id AS core, x0, y0, x1, y1 FROM ({_PLOTS}) p WHERE id % 211 = 5"
+_STUDY_TILE = 500.0
+_APART = "(greatest(0, {a}.x0 - {b}.x1, {b}.x0 - {a}.x1)^2 + greatest(0, {a}.y0 - {b}.y1, {b}.y0 - {a}.y1)^2)"
+_CLUSTERS = f"""
+    SELECT a.id AS area, f.fire AS cluster, round(greatest(0, least(a.x1, f.x1) - greatest(a.x0, f.x0)) * greatest(0, least(a.y1, f.y1) - greatest(a.y0, f.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) AS burn_share
+    FROM ({_PLOTS}) a JOIN ({_FIRES}) f ON a.x0 <= f.x1 AND a.x1 >= f.x0 AND a.y0 <= f.y1 AND a.y1 >= f.y0"""
+
+
+def _squares(t: Tables, text: str, *keep: str) -> DataFrame:
+    return t.sql(text).select(*keep, geo.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
+
+
+def _burned(t: Tables) -> DataFrame:
+    plots = _squares(t, _PLOTS, "id", "road_class").withColumns({"area": F.col("id"), "kind": F.col("road_class"), "label": F.concat(F.lit("City of - Plot "), F.col("id").cast("string"))})
+    return study.communities("areas", plots.drop("id", "road_class"), _STUDY_TILE, fires=_squares(t, _FIRES, "fire"))
+
+
+@query(_CLUSTERS)
+def fire_clusters(t: Tables) -> DataFrame:
+    """Areas by fire that they meet, borders included, with the share that burned."""
+    return _burned(t).select(F.col("cid").alias("area"), "cluster", r6("burn_share"))
+
+
+_COUNTY = (250.0, 250.0, 1300.0, 1350.0)
+_PLACE_KIND = "CASE WHEN id % 3 = 0 THEN 'incorporated' ELSE 'CDP' END"
+_HOMES = f"SELECT vid AS block, x + 13 AS x, y + 7 AS y, 1 + vid % 7 AS pop, vid % 4 AS housing FROM ({LATTICE_V}) h"
+_LIVE = "h.x > p.x0 AND h.x < p.x1 AND h.y > p.y0 AND h.y < p.y1"
+_COUNTY_PLOTS = f"SELECT * FROM ({_PLOTS}) p WHERE x0 <= {_COUNTY[2]} AND x1 >= {_COUNTY[0]} AND y0 <= {_COUNTY[3]} AND y1 >= {_COUNTY[1]}"
+
+
+def _county_places(t: Tables) -> tuple[DataFrame, DataFrame]:
+    county = t.spark.range(1).select(geo.ring(*[(_COUNTY[k], _COUNTY[m]) for k, m in ((0, 1), (2, 1), (2, 3), (0, 3))]).alias("ring"))
+    plots = _squares(t, _PLOTS, "id", F.concat(F.lit("Plot "), F.col("id").cast("string")).alias("name"), F.col("road_class").alias("label"), F.when(F.col("id") % 3 == 0, "C1").otherwise("U1").alias("class"))
+    return study.populated(study.communities("places", plots, _STUDY_TILE, county=county), t.sql(_HOMES), _STUDY_TILE)
+
+
+@query(f"""
+    SELECT p.id AS cid, concat('Plot ', p.id) AS name, {_PLACE_KIND.replace("id", "p.id")} AS kind, CAST(coalesce(sum(h.pop), 0) AS BIGINT) AS pop, CAST(coalesce(sum(h.housing), 0) AS BIGINT) AS housing
+    FROM ({_COUNTY_PLOTS}) p LEFT JOIN ({_HOMES}) h ON {_LIVE} GROUP BY p.id""")
+def study_places(t: Tables) -> DataFrame:
+    """Places that meet a county, with the people of the blocks inside them."""
+    return _county_places(t)[0].select("cid", "name", "kind", "pop", "housing")
+
+
+@query(f"SELECT CAST(sum(pop) AS BIGINT) AS pop, CAST(sum(pop) FILTER (NOT EXISTS (SELECT 1 FROM ({_COUNTY_PLOTS}) p WHERE {_LIVE})) AS BIGINT) AS outside FROM ({_HOMES}) h")
+def people_outside(t: Tables) -> DataFrame:
+    return _county_places(t)[1].select("pop", "outside")
+
+
+@query(f"SELECT c.cluster, c.area AS cid, concat('Plot ', c.area) AS name FROM ({_CLUSTERS}) c WHERE burn_share >= 0.1 AND EXISTS (SELECT 1 FROM ({_PLOTS}) p JOIN ({_HOMES}) h ON {_LIVE} WHERE p.id = c.area)")
+def burned_groups(t: Tables) -> DataFrame:
+    """What is evacuated as one group: populated areas of which a fire took a tenth or more."""
+    return study.burned_groups(study.populated(_burned(t), t.sql(_HOMES), _STUDY_TILE)[0], 0.1).select("cluster", "cid", "name")
+
+
+@query(f"""
+    WITH z AS (SELECT id, level, 'state' AS source_map, x0, y0, x1, y1 FROM ({_PLOTS}) p WHERE id % 2 = 0 UNION ALL SELECT id, CASE level WHEN 1 THEN -3 ELSE level END, 'local', x0, y0, x1, y1 FROM ({_PLOTS}) p WHERE id % 2 = 1)
+    SELECT id, source_map, level FROM z WHERE level >= 1 AND EXISTS (SELECT 1 FROM ({_CORE}) c WHERE {_APART.format(a="z", b="c")} <= 255 * 255)""")
+def study_zones(t: Tables) -> DataFrame:
+    """Zones of two maps in a study area: at most so far from any core polygon."""
+    plots = _squares(t, _PLOTS, "id", "level")
+    layers = {"state": plots.filter("id % 2 = 0"), "local": plots.filter("id % 2 = 1").withColumn("level", F.when(F.col("level") == 1, -3).otherwise(F.col("level")))}
+    return study.hazard_zones(layers, _squares(t, _CORE, "core"), _STUDY_TILE, 255.0).select(F.col("id.zone").alias("id"), "source_map", "level")
+
+
+@query(f"SELECT id FROM ({_PLOTS}) p WHERE x0 <= 900 AND x1 >= 400 AND y0 <= 800 AND y1 >= 300")
+def layer_box(t: Tables) -> DataFrame:
+    """A layer written in the order of a space-filling curve, and read back by a box."""
+    path = new_path(t.spark, "layer")
+    write_sorted(_squares(t, _PLOTS, "id"), path)
+    return in_box(t.spark.read.parquet(path), (400.0, 300.0, 900.0, 800.0)).select("id")
+
+
+_NAMED = f"SELECT vid AS cid, concat(road_class, ' ', CAST(vid AS STRING)) AS name, vid % 5 AS pop FROM ({LATTICE_V}) v WHERE vid % 3 != 0"
+_MEMBER = f"SELECT concat('fire ', CAST(vid % 50 AS STRING)) AS fire, concat(road_class, ' ', CAST(vid AS STRING)) AS name FROM ({LATTICE_V}) v WHERE vid % 3 = 1 OR vid % 150 = 0"
+
+
+@query(f"""
+    WITH n AS ({_NAMED}), m AS ({_MEMBER})
+    SELECT name AS unit, 'community' AS kind, pop, NULL::DOUBLE AS vehicles, false AS even_weights, CAST(cid AS VARCHAR) AS cids FROM n WHERE pop > 0 AND name NOT LIKE '%motorway%'
+    UNION ALL SELECT m.fire || ' group', 'fire_group', NULL, any_value(10.0 * CAST(split_part(m.fire, ' ', 2) AS INT)), any_value(CAST(split_part(m.fire, ' ', 2) AS INT) % 2 = 0), string_agg(CAST(n.cid AS VARCHAR), ',' ORDER BY n.cid)
+    FROM m LEFT JOIN n USING (name) GROUP BY m.fire HAVING count(*) = count(n.cid)""")
+def policy_units(t: Tables) -> DataFrame:
+    """Communities and groups whose names are all known, as units of policies."""
+    groups = t.sql(_MEMBER)
+    number = F.split("fire", " ")[1].cast("int")
+    fires = groups.select("fire").distinct().withColumns({"vehicles": 10.0 * number, "even_weights": number % 2 == 0})
+    return study.units(t.sql(_NAMED), groups, fires, "motorway").withColumn("cids", F.array_join(F.transform("cids", lambda c: c.cast("string")), ","))
+
+
+_TOWNS = f"SELECT place, concat('Town ', CAST(place AS STRING), CASE place % 3 WHEN 0 THEN ' city, Some State' WHEN 1 THEN ' CDP' ELSE '' END) AS name, CASE WHEN place % 89 = 0 THEN '-' ELSE CAST(place * 3 AS STRING) END AS population, {', '.join(f'c{k}' for k in roads.VEHICLE_CODES)} FROM ({_HOUSEHOLDS}) h"
+
+
+@query(f"SELECT v.place, concat('Town ', v.place) AS name, CASE WHEN v.place % 89 != 0 THEN v.place * 3 END AS population, v.vehicles FROM ({ORACLES['vehicles_from_b25044']}) v WHERE v.place IN (SELECT s_suppkey * 4 FROM supplier)")
+def prefire_vehicles(t: Tables) -> DataFrame:
+    """People and vehicles of the places that a group names, from a table of texts."""
+    counts = {k: F.expr(f"try_cast(c{k} AS double)") for k in roads.VEHICLE_CODES}
+    names = t["supplier"].select(F.concat(F.lit("Town "), (F.col("s_suppkey") * 4).cast("string")).alias("name"))
+    return study.prefire_vehicles(t.sql(_TOWNS), names, counts)
+
+
+@query(f"SELECT count(*) AS arcs, sum(length_m) / 2000 AS km FROM ({LATTICE_A}) a WHERE road_class = 'residential'")
+def extra_road_km(t: Tables) -> DataFrame:
+    return study.extra_km(t.sql(LATTICE_A).withColumn("is_extra", F.col("road_class") == "residential"))
+
+
+@query(f"SELECT CASE WHEN free = 0 THEN 0 WHEN strict_vph < managed_vph THEN 1 ELSE 2 END AS cls, count(*) AS n, CAST(sum(population) AS BIGINT) AS population FROM ({_OUTCOMES}) o GROUP BY 1")
+def exit_class_people(t: Tables) -> DataFrame:
+    """Communities and people by what is left of their exits without hazard."""
+    table = t.sql(_OUTCOMES).select((F.col("free") == 0).alias("cut_off"), F.col("managed_vph").alias("capacity_vph"), F.col("strict_vph").alias("capacity_free"), F.col("population").alias("pop"))
+    return study.exit_classes(table)
+
+
+@query(f"""
+    SELECT unit, k, label, 6.5::DOUBLE AS start, hours, least_hours, 6.5 + hours AS ends FROM (
+        SELECT unit, 0 AS k, 'as they like' AS label, base_h AS hours, NULL::DOUBLE AS least_hours FROM ({_OUTCOMES}) o UNION ALL SELECT unit, 1, 'managed', free_h, freer_h FROM ({_OUTCOMES}) o) x""")
+def evacuation_bars(t: Tables) -> DataFrame:
+    return study.timeline(t.sql(_OUTCOMES), 6.5, {"as they like": ("base_h", None), "managed": ("free_h", "freer_h")})
+
+
+@query("""
+    WITH v AS (SELECT CAST(sum(l_quantity) AS DOUBLE) AS v FROM {lineitem} GROUP BY l_partkey), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n, avg(v) OVER () AS m FROM v WHERE v > 0)
+    SELECT round(v / m, 6) AS value, round(1 - i / n, 6) AS share FROM o WHERE i % greatest(1, n // 150) = 0""")
+def load_ccdf_points(t: Tables) -> DataFrame:
+    """Every n-th point of the distribution of loads, about 150 in all."""
+    loads = t["lineitem"].groupBy("l_partkey").agg(F.sum("l_quantity").cast("double").alias("v"))
+    return removal.ccdf_points(loads, "v", 150).select(r6("value"), r6("share"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from egress.functions.geo import covers
+from egress.functions.geo import bounds, covers, curve_place
 from egress.functions.ranks import ranked
 from egress.functions.roads import NOT_DRIVEN, drivable, extra_road
 from egress.operators.graph import undirected_unique
-from egress.plans.store import written
+from egress.operators.spatial import near_polygons, rings_of
+from egress.plans.store import shuffle_parts, written
 
 
 def relabelled(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,11 +44,12 @@ def read_dimacs(spark: SparkSession, gr: str, co: str) -> tuple[DataFrame, DataF
     return vertices, least_arcs(arcs)
 
 
-def read_ways(spark: SparkSession, ways: str, nodes: str, ring: Column, extra: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+def read_ways(spark: SparkSession, ways: str, nodes: str, ring: Column | None = None, extra: dict[str, list[str]] | None = None, area: tuple[DataFrame, float, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(vertices vid, x, y; arcs) of an extract as Parquet: ways (id, nodes: array of ids, tags: map) and nodes (id, x, y).
 
     Ways pass the drive filter or, with ``extra`` (highway, service, tracktype), are extra
-    roads (is_extra); of these, ways with a node inside the ring or on it stay whole. Arcs join
+    roads (is_extra); of these, ways with a node inside the ring or on it stay whole, or, with
+    ``area`` (polygons, most, tile size), ways with a node at most so far from any of the polygons. Arcs join
     consecutive nodes that are known, both ways unless oneway says otherwise (-1: against the
     order), with the tags that lanes and capacities need. Loops go. An extract without such
     ways is an error.
@@ -59,7 +61,8 @@ def read_ways(spark: SparkSession, ways: str, nodes: str, ring: Column, extra: d
     steps = kept.select("id", F.posexplode("nodes").alias("k", "node"))
     places = spark.read.parquet(nodes).select(F.col("id").alias("node"), "x", "y")
     placed = written(steps.join(places, "node"), "ways-placed")
-    inside = placed.filter(covers(ring, F.col("x"), F.col("y"))).select("id").distinct()
+    inside = placed.filter(covers(ring, F.col("x"), F.col("y"))) if area is None else near_polygons(placed.select("id", "x", "y"), area[0].select(rings_of(area[0]).alias("rings")), area[1], area[2])
+    inside = inside.select("id").distinct()
     placed = placed.join(inside, "id", "left_semi")
     nxt = placed.select("id", (F.col("k") - 1).alias("k"), F.col("node").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     names = ["highway", "lanes", "name", "ref", "oneway"]
@@ -69,16 +72,27 @@ def read_ways(spark: SparkSession, ways: str, nodes: str, ring: Column, extra: d
     flip = line.withColumns({"src": F.col("dst"), "dst": F.col("src")})
     arcs = written(line.filter("NOT against").unionByName(flip.filter("against OR NOT oneway")).drop("against"), "ways-arcs")
     if arcs.isEmpty():
-        raise ValueError(f"no road inside the ring in {ways!r}")
+        raise ValueError(f"no road inside the {'ring' if area is None else 'area'} in {ways!r}")
     return placed.select(F.col("node").alias("vid"), "x", "y").distinct(), arcs
 
 
+def ways_without_places(spark: SparkSession, ways: str, nodes: str) -> DataFrame:
+    """(id): ways of an extract that name a node which has no place in it."""
+    steps = spark.read.parquet(ways).select("id", F.explode("nodes").alias("node"))
+    return steps.join(spark.read.parquet(nodes).select(F.col("id").alias("node")), "node", "left_anti").select("id").distinct()
+
+
 def read_polygons(spark: SparkSession, path: str, field: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """(level, ring) of a Parquet polygon table; with x0, y0, x1, y1 columns the box is a pushed-down filter."""
-    rows = spark.read.parquet(path)
-    if box is not None:
-        rows = rows.filter((F.col("x0") <= box[2]) & (F.col("x1") >= box[0]) & (F.col("y0") <= box[3]) & (F.col("y1") >= box[1]))
-    return rows.select(F.col(field).cast("int").alias("level"), "ring")
+    """(level, and ring or rings) of a Parquet polygon table; with x0, y0, x1, y1 columns, as :func:`write_sorted` adds them, the box is a pushed-down filter."""
+    rows = in_box(spark.read.parquet(path), box)
+    return rows.select(F.col(field).cast("int").alias("level"), "rings" if "rings" in rows.columns else "ring")
+
+
+def in_box(rows: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
+    """Rows whose box (x0, y0, x1, y1) touches the given one; all if there is none. Parquet skips row groups by it."""
+    if box is None:
+        return rows
+    return rows.filter((F.col("x0") <= box[2]) & (F.col("x1") >= box[0]) & (F.col("y0") <= box[3]) & (F.col("y1") >= box[1]))
 
 
 def load_hazard(spark: SparkSession, path: str, kind: str, field: str = "level", bins: list[float] | None = None) -> DataFrame:
@@ -129,6 +143,25 @@ def write_layers(layers: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_sorted(polygons: DataFrame, path: str, group_bytes: int = 8 << 20) -> None:
+    """A layer of polygons (ring or rings, ...) as Parquet in the order of a space-filling curve, with the box of each (x0, y0, x1, y1).
+
+    Partitions are ranges of the curve, sorted, in row groups of about ``group_bytes``: polygons that lie close
+    together share a group, so a reader's box (:func:`read_polygons`) leaves out most groups by
+    their least and greatest boxes. Polygons without points come first, their box null.
+    Columns of those names are replaced.
+    """
+    corners = F.flatten(rings_of(polygons))
+    boxes = polygons.withColumns({k: c.cast("double") for k, c in bounds(corners).items()})
+    middle = {"x": (F.col("x0") + F.col("x1")) / 2, "y": (F.col("y0") + F.col("y1")) / 2}
+    told = boxes.agg(*[f(c).alias(n) for c, d in zip(middle.values(), "xy", strict=True) for f, n in ((F.min, f"{d}0"), (F.max, f"{d}1"))]).first()
+    wide = max((told["x1"] or 0) - (told["x0"] or 0), (told["y1"] or 0) - (told["y0"] or 0)) or 1.0
+    place = curve_place(middle["x"], middle["y"], told["x0"] or 0.0, told["y0"] or 0.0, wide)
+    rows = boxes.select(F.struct(*[F.col(f"`{c}`") for c in boxes.columns]).alias("row"), place.alias("place"))
+    rows = rows.repartitionByRange(shuffle_parts(polygons.sparkSession), "place").sortWithinPartitions("place").select("row.*")
+    rows.write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(path)
+
+
 def read_config(path: str) -> dict:
     """Settings of a study from YAML."""
     try:
