@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from egress.functions.roads import VEHICLE_CODES, plain_place, vehicles
+from egress.operators.hazard import overlay_polygons, shares_wide
 from egress.operators.spatial import burn_shares, meeting, points_in, rings_of
 from egress.plans.store import written
+from egress.sources.roads import write_sorted
 
 
 def _whole(polygons: DataFrame) -> DataFrame:
@@ -103,6 +105,19 @@ def prefire_vehicles(table: DataFrame, names: DataFrame, counts: dict[int, Colum
     return rows.join(names.select("name").distinct(), "name", "left_semi").select("name", "place", "population", "vehicles")
 
 
+def prepare(segments: DataFrame, zones: DataFrame, places: DataFrame, county: DataFrame, path: str, size: float, levels: list[int]) -> DataFrame:
+    """(hazard_max, n): how many segments (eid, x0, y0, x1, y1, ...) reach each level of the zones (level, ...), once the layers of a study area are written.
+
+    Under ``path``: edges (segments with hazard_max and a share for each level), and zones,
+    communities and county as layers that a box reads in part (:func:`egress.sources.roads.write_sorted`).
+    """
+    shares = shares_wide(segments, overlay_polygons(segments, zones, size), levels)
+    segments.join(shares, "eid").write.mode("overwrite").parquet(f"{path}/edges")
+    for name, layer in {"zones": zones, "communities": places, "county": county}.items():
+        write_sorted(layer, f"{path}/{name}")
+    return segments.sparkSession.read.parquet(f"{path}/edges").groupBy("hazard_max").agg(F.count("*").alias("n"))
+
+
 def units(places: DataFrame, groups: DataFrame, fires: DataFrame, without: str) -> DataFrame:
     """(unit, kind, pop, vehicles, even_weights, cids): what policies are worked out for.
 
