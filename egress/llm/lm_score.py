@@ -275,8 +275,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: C
         F.sum("n_kept").alias("kept_words"),
     ).first()
     tokens, words = told["tokens"] or 0, told["words"] or 0
-    pairs = streams.filter("kind = 2").select(F.explode(F.arrays_zip("cells", "weights")).alias("x")).groupBy("x.cells").agg(F.sum("x.weights").alias("n")).collect()
-    cells, counts = np.array([r["cells"] for r in pairs], np.int64), np.array([r["n"] for r in pairs], np.int64)
+    pairs = streams.filter("kind = 2").select(F.explode(F.arrays_zip("cells", "weights")).alias("x")).groupBy("x.cells").agg(F.sum("x.weights").alias("n")).toArrow()  # 20 x 2^18 pairs of numbers at most, no Python objects
+    cells, counts = (pairs.column(c).to_numpy().astype(np.int64) for c in ("cells", "n"))
     mix = learn_weights(cells, counts, told["kept_tokens"] or 0, told["kept_words"] or 0)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
