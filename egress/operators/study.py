@@ -41,14 +41,15 @@ def clusters(areas: DataFrame, fires: DataFrame, size: float) -> DataFrame:
     one, two = written(_whole(areas), "study-areas"), written(_whole(fires), "study-fires")
     met = meeting(one.select("area", "rings"), two.select("fire", "rings"), size).select("one.area", "two.fire")
     shares = burn_shares(one.select("area", "rings"), two.select("fire", "rings"), size)
-    return met.join(shares, ["area", "fire"], "left").select("area", F.col("fire").alias("cluster"), F.coalesce("share", F.lit(0.0)).alias("burn_share")).join(one, "area")
+    told = met.join(shares.hint("merge"), ["area", "fire"], "left").select("area", F.col("fire").alias("cluster"), F.coalesce("share", F.lit(0.0)).alias("burn_share"))
+    return told.join(one.hint("merge"), "area")
 
 
 def within(polygons: DataFrame, core: DataFrame, size: float, most: float = 0.0) -> DataFrame:
     """The polygons (id, ...) that meet a polygon of the core, or lie at most ``most`` from one."""
     whole = written(_whole(polygons), "study-polygons")
     met = meeting(whole.select("id", "rings"), _whole(core).select("rings"), size, most).select("one.id").distinct()
-    return whole.join(met, "id", "left_semi")
+    return whole.join(met.hint("merge"), "id", "left_semi")
 
 
 def hazard_zones(layers: dict[str, DataFrame], core: DataFrame, size: float, most: float) -> DataFrame:
@@ -82,12 +83,13 @@ def communities(kind: str, polygons: DataFrame, size: float, county: DataFrame |
 
 def populated(places: DataFrame, blocks: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
     """(places with pop and housing, one row (pop, outside) of all people and of those in no place) of blocks (x, y, pop, housing), each counted where its point lies strictly inside; places without blocks have 0."""
+    places = written(places, "study-places")
     own = _whole(places).select("cid", "rings").dropDuplicates(["cid"])  # a place that two fires met is one polygon
     placed = written(points_in(blocks.select("block", "x", "y", "pop", "housing"), own, size, "left"), "study-blocks")
     sums = placed.filter("cid IS NOT NULL").groupBy("cid").agg(F.sum("pop").alias("pop"), F.sum("housing").alias("housing"))
     single = placed.groupBy("block").agg(F.max("pop").alias("pop"), F.max("cid").isNull().alias("out"))
     told = single.agg(F.sum("pop").alias("pop"), F.coalesce(F.sum(F.when(F.col("out"), F.col("pop"))), F.lit(0)).alias("outside"))
-    return places.join(sums, "cid", "left").na.fill(0, ["pop", "housing"]), told
+    return places.join(sums.hint("merge"), "cid", "left").na.fill(0, ["pop", "housing"]), told
 
 
 def burned_groups(places: DataFrame, least: float) -> DataFrame:

@@ -186,3 +186,22 @@ def test_ways_that_rest(spark):
     assert got["two"].strict_vph <= 10 and got["two"].strict_converged
     assert (got["none"].strict_vph, got["none"].strict_converged, got["none"].rationed_converged) == (0.0, None, None)
     assert got["two"].rationed_vph >= got["two"].strict_vph and got["two"].rationed_converged is not None
+
+
+def test_small_polygons_stay_whole_and_files_say_nothing_of_rings(spark, monkeypatch):
+    """Few corners: no halving, the same pairs and shares as of polygons that are cut, and no table of rings broadcast because its file is small."""
+    rnd = random.Random(8)
+    ones = [[blob(rnd, rnd.uniform(0, 10), rnd.uniform(0, 10), rnd.uniform(0.3, 2), 7)] for _ in range(20)] + [box(-3, -3, 13, 13)]
+    twos = [[blob(rnd, rnd.uniform(0, 10), rnd.uniform(0, 10), rnd.uniform(0.3, 2), n)] for n in (4, 5, 9, 12) * 5]
+    one, two = layer(spark, list(enumerate(ones)), "area int"), layer(spark, list(enumerate(twos)), "fire int")
+    assert {len(r.piece[0]) for r in spatial.pieces(two, 1.5, 1.0, whole=True).collect()} == {4, 5, 9, 12}
+    plan = spatial.meeting(one, two, 1.5)._jdf.queryExecution().executedPlan().toString() + spatial.burn_shares(one, two, 1.5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+    def told():
+        met = {(r.one.area, r.two.fire) for r in spatial.meeting(one, two, 1.5, 0.4).collect()}
+        return met, {(r.area, r.fire): round(r.share, 9) for r in spatial.burn_shares(one, two, 1.5).collect()}
+
+    whole = told()
+    monkeypatch.setattr(spatial, "WHOLE", 7)
+    assert told() == whole
