@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from egress.functions import geo
 from egress.operators.spatial import near_polygons, pieces
+from egress.plans.store import shuffle_parts
 
 
 def overlay_polygons(segments: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
@@ -17,13 +18,16 @@ def overlay_polygons(segments: DataFrame, polygons: DataFrame, size: float) -> D
     never tested whole. Polygons are not merged, so the tiles stay selective. Levels of share
     0 are left out.
     """
-    left = segments.withColumn("tile", F.explode(geo.tiles(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"), size)))
+    dealt = segments.repartition(shuffle_parts(segments.sparkSession), "eid")  # a small file of segments would be one task's
+    left = dealt.withColumn("tile", F.explode(geo.tiles(F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"), size)))
     low, high = geo.within_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("tile.tx") * size, F.col("tile.ty") * size, size)
     at = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * F.col(t)
     left = left.withColumns({"low": low, "high": high}).filter("high > low")
     parts = left.select("eid", "tile", (F.col("high") - F.col("low")).alias("part"), at("x0", "x1", "low").alias("xa"), at("y0", "y1", "low").alias("ya"), at("x0", "x1", "high").alias("xb"), at("y0", "y1", "high").alias("yb"))
-    right = pieces(polygons, size, size / 2).select("tile", "about.level", F.explode(F.array(geo.sides(F.col("piece")))).alias("sides"))
-    shares = parts.join(right, "tile").withColumn("share", F.col("part") * geo.share_inside(*[F.col(c) for c in ("xa", "ya", "xb", "yb")], F.col("sides")))
+    box = F.struct(*[c.alias(k) for k, c in geo.bounds(F.flatten("piece")).items()]).alias("box")
+    right = pieces(polygons, size, size / 2, whole=True).select("tile", "about.level", F.explode(F.array(geo.sides(F.col("piece")))).alias("sides"), box)
+    meets = [F.least(f"{c}a", f"{c}b") <= F.col(f"box.{c}1") for c in "xy"] + [F.greatest(f"{c}a", f"{c}b") >= F.col(f"box.{c}0") for c in "xy"]
+    shares = parts.join(right, "tile").filter(meets[0] & meets[1] & meets[2] & meets[3]).withColumn("share", F.col("part") * geo.share_inside(*[F.col(c) for c in ("xa", "ya", "xb", "yb")], F.col("sides")))
     return shares.groupBy("eid", "level").agg(F.least(F.sum("share"), F.lit(1.0)).alias("share")).filter("share > 0")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from egress.functions import geo
-from egress.operators import evacuation, removal, spatial, study
+from egress.operators import evacuation, hazard, removal, spatial, study
 from egress.sources import roads as sources
 
 RINGS = "rings array<array<struct<x:double,y:double>>>"
@@ -205,3 +205,11 @@ def test_small_polygons_stay_whole_and_files_say_nothing_of_rings(spark, monkeyp
     whole = told()
     monkeypatch.setattr(spatial, "WHOLE", 7)
     assert told() == whole
+
+
+def test_segments_of_one_file_are_dealt(spark):
+    """Segments that come in one partition are looked at by more than one task, with the same shares."""
+    segments = spark.range(40).coalesce(1).selectExpr("id AS eid", "double(id) - 20 AS x0", "0.5D AS y0", "double(id) AS x1", "0.5D AS y1")
+    found = hazard.overlay_polygons(segments, layer(spark, [(1, box(0, 0, 4, 1))], "level int"), 1.0)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.eid: round(r.share, 9) for r in found.collect()} == {k: (min(4, k) - max(0, k - 20)) / 20 for k in range(1, 24)}
