@@ -262,6 +262,21 @@ def test_removal_of_random_graphs(spark, chunk):
     assert {(r.order_name, r.permille): [r.n_removed, r.s1, r.s2] for r in removal.removal_curves(table, links, ranks, permille, "edge", chunk=chunk).collect()} == want
 
 
+def test_removal_by_components(spark, monkeypatch):
+    """Many networks that fit one task each need neither forests of parts nor bands, and tell what one task for all tells."""
+    rnd = random.Random(6)
+    edges = [(100 * k + a, 100 * k + b) for k in range(6) for a, b in sorted({tuple(sorted(rnd.sample(range(40), 2))) for _ in range(42)})]
+    nodes = list(range(600))
+    table, links = spark.createDataFrame([(v,) for v in nodes], "vid long"), spark.createDataFrame(edges, "src long, dst long")
+    ranks = spark.createDataFrame([(f"o{o}", v, k + 1) for o in range(2) for k, v in enumerate(rnd.sample(nodes, 600))], "order_name string, vid long, rnk long")
+    by_edge = spark.createDataFrame([("e", *e, k + 1) for k, e in enumerate(rnd.sample(edges, len(edges)))], "order_name string, src long, dst long, rnk long")
+    run = lambda chunk: [sorted(map(tuple, removal.removal_curves(table, links, r, [0, 100, 300, 1000], kind, chunk=chunk).collect())) for r, kind in ((ranks, "node"), (by_edge, "edge"))]
+    want = run(1 << 20)
+    monkeypatch.setattr(removal, "_by_bands", None)
+    monkeypatch.setattr(removal, "_forest", None)
+    assert run(30) == want
+
+
 def test_random_orders_differ(spark):
     """Two seeds give different orders, and ids below zero are drawn as others are."""
     nodes = spark.range(-400, 400).withColumnRenamed("id", "vid")
