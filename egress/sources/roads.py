@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from egress.functions.geo import bounds, covers, curve_place
 from egress.functions.ranks import ranked
 from egress.functions.roads import NOT_DRIVEN, drivable, extra_road
-from egress.operators.graph import undirected_unique
+from egress.operators.graph import dealt, undirected_unique
 from egress.operators.spatial import near_polygons, rings_of
 from egress.plans.store import shuffle_parts, written
 
 
-def relabelled(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vertices vid, orig_id; edges src, dst) of raw pairs (a, b): undirected, distinct, without loops, ids dense in order of the original ones."""
-    edges = undirected_unique(pairs)
-    ids = edges.select(F.col("src").alias("orig_id")).union(edges.select("dst")).distinct()
+def relabelled(pairs: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices vid, orig_id; edges src, dst) of raw pairs (a, b): undirected, distinct, without loops, ids dense in order of the original ones. ``parts``: how many parts large steps are dealt out to, else Spark's choice."""
+    edges = undirected_unique(pairs, parts)
+    ids = dealt(pairs.filter("a != b").select(F.explode(F.array("a", "b")).alias("orig_id")), parts, "orig_id").distinct()
     vertices = ranked(ids, "orig_id", name="vid").select("vid", "orig_id")
     one, two = (vertices.select(F.col("orig_id").alias(c), F.col("vid").alias(f"{c}_vid")) for c in ("src", "dst"))
-    return vertices, edges.join(one, "src").join(two, "dst").select(F.col("src_vid").alias("src"), F.col("dst_vid").alias("dst"))
+    half = dealt(edges, parts, "src").join(one, "src")
+    return vertices, dealt(half, parts, "dst").join(two, "dst").select(F.col("src_vid").alias("src"), F.col("dst_vid").alias("dst"))
 
 
 def read_edgelist(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

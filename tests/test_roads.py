@@ -670,3 +670,15 @@ def test_nearest_of_far_and_crowded_points(spark):
     s = spark.createDataFrame(sites, "grp string, sid long, x double, y double")
     want = {i: min((math.hypot(x - a, y - b), k) for h, k, a, b in sites if h == g)[1] for g, i, x, y in points if g in ("g", "one")}
     assert {r.qid: r.sid for r in spatial.nearest(q, s, ["grp"]).collect()} == want
+
+
+def test_graph_steps_are_dealt_by_rows(spark, monkeypatch):
+    """Edges and nodes come as SQL tells them, in parts that grow with the line items."""
+    from egress.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "PART_ROWS", 500)
+    t = fixtures.Tables(spark, "/root/testdata/sf0.001")
+    assert t.parts() == -(-t["lineitem"].count() // 500) > 8
+    for got, text in ((t.edges(), fixtures.EDGES), (t.nodes(), fixtures.NODES)):
+        assert got.rdd.getNumPartitions() == t.parts()
+        assert sorted(got.collect()) == sorted(t.sql(text).collect())
