@@ -682,3 +682,15 @@ def test_graph_steps_are_dealt_by_rows(spark, monkeypatch):
     for got, text in ((t.edges(), fixtures.EDGES), (t.nodes(), fixtures.NODES)):
         assert got.rdd.getNumPartitions() == t.parts()
         assert sorted(got.collect()) == sorted(t.sql(text).collect())
+
+
+def test_sources_of_efficiency_grow(spark):
+    """Every 101st line-item vertex is a source, however many there are."""
+    from egress.plans import fixtures
+
+    sizes = []
+    for sf in ("0.001", "0.01"):
+        t = fixtures.Tables(spark, f"/root/testdata/sf{sf}")
+        sizes.append(t.sql(queries._GROWING).count())
+        assert sizes[-1] == t.nodes().filter("vid % 101 = 0 AND vid > 0").count()
+    assert sizes[1] > 5 * sizes[0] and "LIMIT" not in queries.ORACLES["efficiency"]
