@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from egress.functions.roads import finite_ratio
 from egress.operators.evacuation import clearance, contraflow, ladder, selfish, two_lanes
-from egress.operators.flow import accessibility, cut_arcs, managed, managed_flow
-from egress.operators.regions import distances, max_flow, of_arcs
+from egress.operators.flow import accessibility, cut_arcs, managed, managed_flow, most_flow, times
+from egress.operators.regions import of_arcs
 from egress.operators.spatial import near_polygons, nearest
 from egress.plans.store import written
 
@@ -54,12 +54,6 @@ def near_arcs(arcs: DataFrame, communities: DataFrame, most: float, size: float)
     return near_polygons(middle, communities, most, size).select("unit", "eid").distinct()
 
 
-def times(arcs: DataFrame, targets: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """(unit, vid, dist): fastest time from each vertex to a target; vertices without a way are left out."""
-    back = arcs.select("unit", F.col("dst").alias("src"), F.col("src").alias("dst"), "travel_s")
-    return written(distances(back, targets, "travel_s", regions), "times")
-
-
 def demand(blocks: DataFrame, members: DataFrame, reach: DataFrame, even: DataFrame | None = None) -> DataFrame:
     """(unit, vid, w): vehicles of blocks (unit, block, x, y, veh) at the nearest of the unit's members (unit, vid, x, y), where a target can be reached.
 
@@ -222,7 +216,6 @@ def policy_table(arcs: DataFrame, members: DataFrame, targets: DataFrame, weight
     ranking. A unit without a member has nulls. ``near``: (unit, eid) that may be widened.
     ``regions``: (vid, region), else by id.
     """
-    regions = of_arcs(arcs) if regions is None else regions
     parted = inside(arcs, members)
     access = written(accessibility(arcs, members, targets, 3, regions=regions).select("unit", "n_disjoint", F.col("capacity_vph").alias("upper")), "policy-access")
     start = written(weights.join(times(arcs, targets, regions).select("unit", "vid"), ["unit", "vid"], "left_semi"), "policy-weights")
@@ -268,7 +261,7 @@ def retro_group(arcs: DataFrame, members: DataFrame, targets: DataFrame, weights
     found, binding = hours(both, _each(states, start), _each(states, goals), load)
     caps = one(arcs).withColumn("cap", F.col("capacity_vph").cast("double"))
     away = people.join(goals, ["unit", "vid"], "left_anti")
-    _, reach, _ = max_flow(caps, away.withColumn("amount", F.lit(1e12)), goals)
+    reach = most_flow(caps, away.withColumn("amount", F.lit(1e12)), goals)[1]
     marked = burned.select("eid", F.lit(True).alias("in_perimeter")).distinct()
     flagged = lambda df: df.join(marked, "eid", "left").na.fill(False, ["in_perimeter"])
     cut = written(flagged(cut_arcs(caps, reach).drop("unit", "cap")), "retro-cut")
