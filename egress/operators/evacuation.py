@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from egress.functions.roads import finite_ratio
+from egress.operators.deadends import hung, peeled
 from egress.operators.regions import of_arcs
 from egress.operators.routing import settle
 from egress.plans.store import written
@@ -125,13 +126,18 @@ def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: Da
     ways of the demand behind each figure came to rest (else they oscillate); null where no demand fits.
     """
     grid = 1 << sum(stages)
-    regions = of_arcs(arcs) if regions is None else regions
+    off = peeled(arcs.withColumnRenamed("t0", "cost"), targets, single=True)
+    stubs = None
+    if off.levels:
+        arcs = off.core.withColumnRenamed("cost", "t0")
+        weights, stubs = (written(df, "selfish-origins") for df in hung(off.levels, weights))
+    regions = of_arcs(arcs, others=(weights, targets)) if regions is None else regions
 
     def settled(asked: DataFrame) -> DataFrame:
         """Scenarios (of, kind, k, d) as units of one run: their fit and delivery."""
         each = written(asked.select("of", F.struct("of", "kind", "k").alias("unit"), "d"), "selfish-scenarios")
         spread = lambda df: df.withColumnRenamed("unit", "of").join(each.select("unit", "of"), "of").drop("of")
-        told = settle(*map(spread, (arcs, weights, targets)), each.select("unit", "d"), regions=regions)
+        told = settle(*map(spread, (arcs, weights, targets)), each.select("unit", "d"), regions=regions, hung=None if stubs is None else spread(stubs))
         return written(told.select("unit.of", "unit.kind", "unit.k", "delivered", "converged", F.expr("ratio <= 1 + 1e-9 AND unreachable <= 1e-12").alias("fits")), "selfish-told")
 
     some = managed.filter("managed_vph > 0").select(F.col("unit").alias("of"), F.col("managed_vph").alias("most"))

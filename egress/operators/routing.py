@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from egress.operators.regions import _lists, _placed, _rows, of_arcs
+from egress.operators.regions import _lists, _placed, _rows, by_region, of_arcs, singly
 from egress.plans.store import released, written
 
 INF = float("inf")
@@ -30,10 +30,11 @@ _ARC = pa.struct([("eid", pa.int64()), ("src", pa.int64()), ("dst", pa.int64()),
 _NODE = pa.struct([("vid", pa.int64()), ("w", pa.float64()), ("sink", pa.bool_()), ("dist", pa.float64()), ("part", pa.float64())])
 _AROUND = pa.struct([("vid", pa.int64()), ("dist", pa.float64()), ("part", pa.float64())])
 _OUTER = pa.struct([("vid", pa.int64()), ("there", pa.int64())])
+_HUNG = pa.struct([("vid", pa.int64()), ("theta", pa.float64()), ("w", pa.float64())])
 _SENT = pa.struct([("vid", pa.int64()), ("there", pa.int64()), ("value", pa.float64())])
 _SQL = {
     "arcs": "array<struct<eid:bigint,src:bigint,dst:bigint,there:bigint,cap:double,t0:double,t:double,load:double>>", "nodes": "array<struct<vid:bigint,w:double,sink:boolean,dist:double,part:double>>",
-    "around": "array<struct<vid:bigint,dist:double,part:double>>", "outer": "array<struct<vid:bigint,there:bigint>>", "sent": "array<struct<vid:bigint,there:bigint,value:double>>",
+    "around": "array<struct<vid:bigint,dist:double,part:double>>", "outer": "array<struct<vid:bigint,there:bigint>>", "hung": "array<struct<vid:bigint,theta:double,w:double>>", "sent": "array<struct<vid:bigint,there:bigint,value:double>>",
     "delivered": "double", "lost": "double", "ratio": "double", "mark": "string", "rounds": "int", "converged": "boolean",
 }
 _NEWS = "array<struct<vid:bigint,value:double>>"
@@ -42,13 +43,17 @@ _NEWS = "array<struct<vid:bigint,value:double>>"
 class Region:
     """One region's arcs (by their tails) and vertices, and what is known of the vertices across its border."""
 
-    def __init__(self, demand: float, arcs: dict, nodes: dict, around: dict, outer: dict):
+    def __init__(self, demand: float, arcs: dict, nodes: dict, around: dict, outer: dict, hung: dict):
         self.demand = demand
         self.eid, self.src, self.dst, self.there, self.cap, self.t0, self.t, self.load = (arcs[c].tolist() for c in ("eid", "src", "dst", "there", "cap", "t0", "t", "load"))
         self.vids, self.w, self.sink, self.dist, self.part = (nodes[c].tolist() for c in ("vid", "w", "sink", "dist", "part"))
         self.index = {v: k for k, v in enumerate(self.vids)}
         self.known = {v: [d, p] for v, d, p in zip(*(around[c].tolist() for c in ("vid", "dist", "part")), strict=True)}
         self.outer = list(zip(outer["vid"].tolist(), outer["there"].tolist(), strict=True))
+        self.hung = [(self.index[v], theta, w) for v, theta, w in zip(*(hung[c].tolist() for c in ("vid", "theta", "w")), strict=True)]
+        self.own = list(self.w)  # without what hangs on the vertex
+        for v, _, w in self.hung:
+            self.own[v] -= w
         for d in self.dst:
             if d not in self.index:
                 self.known.setdefault(d, [INF, -1.0])
@@ -140,9 +145,10 @@ class Region:
 
     def summary(self) -> tuple[float, float, float, str]:
         """(delivered, weight without a way, greatest load to capacity, digest of the loaded ways)."""
-        delivered = sum(w * self.demand * p for w, p, s in zip(self.w, self.part, self.sink, strict=True) if w > 0 and p > 0 and not s)
+        delivered = sum(w * self.demand * p for w, p, s in zip(self.own, self.part, self.sink, strict=True) if w > 0 and p > 0 and not s)
+        delivered += sum(w * min(self.demand * self.part[v], theta) for v, theta, w in self.hung if self.part[v] > 0)
         lost = sum(w for w, d, s in zip(self.w, self.dist, self.sink, strict=True) if w > 0 and d == INF and not s)
-        ratio = max([0.0, *(x / max(c, 1e-9) for x, c in zip(self.load, self.cap, strict=True) if x > 0)])
+        ratio = max([0.0, *(x / max(c, 1e-9) for x, c in zip(self.load, self.cap, strict=True) if x > 0), *(self.demand / theta for v, theta, _ in self.hung if self.sink[v] or self.dist[v] < INF)])
         ways = sorted((s, e) for s, e, x in zip(self.src, self.eid, self.load, strict=True) if x > 0)
         return delivered, lost, ratio, hashlib.blake2b(np.array(ways, "<i8").tobytes(), digest_size=16).hexdigest()
 
@@ -167,35 +173,34 @@ class Region:
 
 
 def _phase(name: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One job's work on rows (unit, region, d, arcs, nodes, around, outer, news): start, times, loads (own, then what comes), throttles. A region that hears nothing in a phase stays as it is; a unit of one region is settled at the start."""
+    """One job's work on rows (unit, region, d, arcs, nodes, around, outer, hung, news): start, times, loads (own, then what comes), throttles. A region that hears nothing in a phase stays as it is; a unit of one region is settled at the start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for demand, arcs, nodes, around, outer, heard in zip(batch.column("d").to_pylist(), *(_lists(batch.column(c)) for c in ("arcs", "nodes", "around", "outer", "news")), strict=True):
-                r, sent = Region(demand, arcs, nodes, around, outer), []
-                news = list(zip(heard["vid"].tolist(), heard["value"].tolist(), strict=True))
-                if r.alone:
-                    rows.append((*r.state(), outer, {"vid": [], "there": [], "value": []}, *r.settled(most), False))
-                    continue
+        for row in singly(batches):
+            demand, heard = row.column("d")[0].as_py(), next(_lists(row.column("news")))
+            arcs, nodes, around, outer, hung = (next(_lists(row.column(c))) for c in ("arcs", "nodes", "around", "outer", "hung"))
+            r, sent = Region(demand, arcs, nodes, around, outer, hung), []
+            news = list(zip(heard["vid"].tolist(), heard["value"].tolist(), strict=True))
+            if r.alone:
+                plain = [*r.settled(most), False]
+            else:
                 if name == "start":
                     sent = r.start()
                 elif name in ("own loads", "own throttles"):
                     sent = r.loads(None) if name == "own loads" else r.throttles([])
                 elif news:
                     sent = {"times": r.times, "loads": r.loads, "throttles": r.throttles}[name](news)
-                fields = {"vid": [x[0] for x in sent], "there": [x[1] for x in sent], "value": [x[2] for x in sent]}
-                rows.append((*r.state(), outer, fields, *r.summary(), None, None, True))
-            parts = list(zip(*rows, strict=True)) or [[]] * 12
-            lists = [_rows(list(p), k) for p, k in zip(parts[:5], (_ARC, _NODE, _AROUND, _OUTER, _SENT), strict=True)]
-            plain = [pa.array(list(p), k) for p, k in zip(parts[5:], (pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("region"), batch.column("d"), *lists, *plain], names=["unit", "region", "d", *_SQL, "open"])
+                plain = [*r.summary(), None, None, True]
+            fields = {"vid": [x[0] for x in sent], "there": [x[1] for x in sent], "value": [x[2] for x in sent]}
+            lists = [_rows([p], k) for p, k in zip((*r.state(), outer, hung, fields), (_ARC, _NODE, _AROUND, _OUTER, _HUNG, _SENT), strict=True)]
+            plain = [pa.array([p], k) for p, k in zip(plain, (pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([row.column("unit"), row.column("region"), row.column("d"), *lists, *plain], names=["unit", "region", "d", *_SQL, "open"])
 
     return run
 
 
-def _laid(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataFrame, regions: DataFrame) -> DataFrame:
-    """Rows (unit, region, d, arcs, nodes, around, outer), once for all rounds."""
+def _laid(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataFrame, regions: DataFrame, hung: DataFrame | None) -> DataFrame:
+    """Rows (unit, region, d, arcs, nodes, around, outer, hung), once for all rounds."""
     ends = written(_placed(_placed(arcs.select("unit", "eid", "src", "dst", F.col("cap").cast("double").alias("cap"), F.col("t0").cast("double").alias("t0")).filter("src != dst"), regions, "src", "region"), regions, "dst", "there"), "routes-arcs")
     zero, no = F.lit(0.0).alias("w"), F.lit(False).alias("sink")
     marks = ends.select("unit", F.col("src").alias("vid"), zero, no).union(ends.select("unit", "dst", zero, no)).union(weights.select("unit", "vid", F.col("w").cast("double"), no)).union(targets.select("unit", "vid", zero, F.lit(True)))
@@ -204,11 +209,16 @@ def _laid(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataF
     own = ends.groupBy("unit", "region").agg(F.array_sort(F.collect_list(F.struct("eid", "src", "dst", "there", "cap", "t0", F.col("t0").alias("t"), F.lit(0.0).alias("load")))).alias("arcs"))
     outer = ends.filter("region != there").select("unit", F.col("there").alias("region"), F.col("dst").alias("vid"), F.col("region").alias("there")).distinct().groupBy("unit", "region").agg(F.array_sort(F.collect_list(F.struct("vid", "there"))).alias("outer"))
     rows = held.join(own, ["unit", "region"], "left").join(outer, ["unit", "region"], "left").join(demand.select("unit", F.col("d").cast("double").alias("d")), "unit")
-    none = {c: F.array().cast(_SQL[c]) for c in ("arcs", "around", "outer")}
-    return written(rows.select("unit", "region", "d", F.coalesce("arcs", none["arcs"]).alias("arcs"), "nodes", none["around"].alias("around"), F.coalesce("outer", none["outer"]).alias("outer")), "routes-regions")
+    none = {c: F.array().cast(_SQL[c]) for c in ("arcs", "around", "outer", "hung")}
+    if hung is None:
+        rows = rows.withColumn("hung", none["hung"])
+    else:
+        at = _placed(hung, regions, "vid", "region").groupBy("unit", "region").agg(F.array_sort(F.collect_list(F.struct("vid", "theta", "w"))).alias("hung"))
+        rows = rows.join(at, ["unit", "region"], "left")
+    return written(by_region(rows).select("unit", "region", "d", F.coalesce("arcs", none["arcs"]).alias("arcs"), "nodes", none["around"].alias("around"), F.coalesce("outer", none["outer"]).alias("outer"), F.coalesce("hung", none["hung"]).alias("hung")), "routes-regions")
 
 
-def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataFrame, most_rounds: int = 60, regions: DataFrame | None = None) -> DataFrame:
+def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataFrame, most_rounds: int = 60, regions: DataFrame | None = None, hung: DataFrame | None = None) -> DataFrame:
     """(unit, ratio, delivered, unreachable, rounds, converged) of drivers who each take the fastest path at the last round's congested times.
 
     Arcs (unit, eid, src, dst, cap, t0), weights (unit, vid, w) that sum to 1, demand (unit, d).
@@ -218,12 +228,15 @@ def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: Data
     a 128-bit digest of the loaded arcs, in order. Origins on a
     target have no arc to deliver over, and those without a way out deliver nothing either;
     only the latter are unreachable. All units settle side by side. ``regions``: (vid, region), else by id.
+    ``hung``: (unit, vid, theta, w), what :func:`egress.operators.deadends.hung` says of the dead ends that were taken off; their weights are part of ``weights``.
     """
     kind = arcs.schema["unit"].dataType.simpleString()
     schema = ", ".join([f"unit {kind}, region bigint, d double", *(f"{k} {v}" for k, v in _SQL.items()), "open boolean"])
     regions = of_arcs(arcs) if regions is None else regions
-    state, silence = _laid(arcs, weights, targets, demand, regions), F.array().cast(_NEWS)
-    columns, history, done, last = ["unit", "region", "d", "arcs", "nodes", "around", "outer"], [], [], state
+    state, silence = _laid(arcs, weights, targets, demand, regions, hung), F.array().cast(_NEWS)
+    columns, history, done, last = ["unit", "region", "d", "arcs", "nodes", "around", "outer", "hung"], [], [], state
+
+    n = state.count()
 
     def run(name: str, rows: DataFrame, told: DataFrame | None = None) -> tuple[DataFrame, dict]:
         """One job of a phase; ``told``: the rows whose news are heard."""
@@ -235,7 +248,7 @@ def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: Data
             news = told.select("unit", F.explode("sent").alias("s")).groupBy("unit", F.col("s.there").alias("region")).agg(F.collect_list(F.struct("s.vid", "s.value")).alias("news"))
             rows = rows.join(news, ["unit", "region"], "left").withColumn("news", F.coalesce("news", silence))
         seen = Observation()
-        out = written(rows.mapInArrow(_phase(name, most_rounds), schema).observe(seen, F.count_if(F.size("sent") > 0).alias("sent"), F.count_if("open").alias("open")), "routes-phase")
+        out = written(by_region(rows, n).mapInArrow(_phase(name, most_rounds), schema).observe(seen, F.count_if(F.size("sent") > 0).alias("sent"), F.count_if("open").alias("open")), "routes-phase")
         released(last)
         last = out
         return out, seen.get
