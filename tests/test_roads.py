@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from egress.functions import geo, roads
 from egress.functions.ranks import ranked
 from egress.operators import communities, evacuation, flow, graph, hazard, regions, removal, routing, spatial
-from egress.operators.components import components
+from egress.operators.components import components, labelled_links
 from egress.plans import queries
 from egress.sources import roads as sources
 
@@ -509,6 +509,30 @@ def test_graph_of_all_line_items(spark):
     assert [r.load for r in queries.QUERIES["top_betweenness"](spark, SF).orderBy("rnk").collect()] == pytest.approx(whole.loads()[: len(whole.nodes) // 100])
 
 
+def test_loads_by_component(spark, monkeypatch):
+    """Whole components go to tasks, so tables don't grow with levels; components too large for a task go by levels, to the same loads."""
+    path = [(k, k + 1) for k in range(1, 60)]
+    ring = [(100, 101), (101, 102), (102, 103), (100, 103), (101, 104)]
+    edges = spark.createDataFrame(path + ring + [(200, 201)], "src long, dst long")
+    sources_, tables, plain = spark.createDataFrame([(1,), (30,), (100,)], "vid long"), [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name, **o: (tables.append(name), plain(df, name, **o))[1])
+    want = {v: 59.0 if v < 30 else 2.0 * (60 - v) for v in range(2, 61)} | {1: 0.0, 30: 30.0}
+    want |= {101: 1.5, 102: 0.0, 103: 0.5, 104: 0.0}
+    loads = lambda **o: {r.vid: r.load for r in graph.betweenness(edges, sources_, 3, **o).collect()}
+    assert loads() == pytest.approx(want) and len(tables) < 10
+    assert loads(chunk=1) == pytest.approx(want)
+
+
+def test_links_labelled_in_ranges(spark, monkeypatch):
+    """Ranges of ids that share nodes come to the components of all links."""
+    pairs = [(k, k + 7) for k in range(40)] + [(500 + k, 501 + k) for k in range(0, 40, 2)] + [(-5, 3)]
+    want = {r.node: r.comp for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    monkeypatch.setattr("egress.operators.components.RANGE", 8)
+    links, nodes = labelled_links(spark.createDataFrame(pairs, "src long, dst long"))
+    assert {r.node: r.comp for r in nodes.collect()} == want
+    assert sorted((r.src, r.dst, r.comp) for r in links.collect()) == sorted((a, b, want[a]) for a, b in pairs)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_contraction_of_all_line_items(spark):
     """Contraction to the end against chains walked in plain Python."""
