@@ -523,6 +523,32 @@ def test_loads_by_component(spark, monkeypatch):
     assert loads(chunk=1) == pytest.approx(want)
 
 
+def test_efficiency_curve_by_component(spark, monkeypatch):
+    """All sources of a component are searched at once, by tasks or by masks of sources; arcs are never multiplied by sources."""
+    rng = random.Random(5)
+    links = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)} | {(100 + k, 101 + k) for k in range(20)})
+    vids = sorted({v for e in links for v in e})
+    rank = {v: k + 1 for k, v in enumerate(rng.sample(vids, len(vids)))}
+    asked, want = vids[::3], {}
+    for f in (0, 100, 400):
+        left = {v for v in vids if rank[v] > round(f * len(vids) / 1000)}
+        total = 0.0
+        for s in left.intersection(asked):
+            depth, order = {s: 0}, [s]
+            for v in order:
+                for w in left.intersection({b for a, b in links if a == v} | {a for a, b in links if b == v}) - depth.keys():
+                    depth[w] = depth[v] + 1
+                    order.append(w)
+            total += sum(1 / d for d in depth.values() if d)
+        want[f] = total / (len(asked) * (len(vids) - 1))
+    monkeypatch.setattr(graph, "distances", None)
+    monkeypatch.setattr(graph, "BITS", 5)
+    tables = [spark.createDataFrame(rows, kind) for rows, kind in (([(v,) for v in vids], "vid long"), (links, "src long, dst long"), (list(rank.items()), "vid long, rnk long"), ([(v,) for v in asked], "source long"))]
+    for chunk in (1 << 20, 1):
+        told = removal.efficiency_curve(*tables, [0, 100, 400], chunk)
+        assert {r.permille: r.e for r in told.collect()} == pytest.approx(want)
+
+
 def test_links_labelled_in_ranges(spark, monkeypatch):
     """Ranges of ids that share nodes come to the components of all links."""
     pairs = [(k, k + 7) for k in range(40)] + [(500 + k, 501 + k) for k in range(0, 40, 2)] + [(-5, 3)]
