@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from egress.functions.roads import finite_ratio
 from egress.operators.deadends import hung, peeled
+from egress.operators.nearby import Nearby
 from egress.operators.regions import of_arcs
 from egress.operators.routing import settle
 from egress.plans.store import written
@@ -122,7 +125,8 @@ def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: Da
     bisection of the managed demand finds. Rationed: the larger of strict and the most that is
     delivered over the scanned demands. The scan and managed itself are settled side by side,
     as scenarios of one run; where managed doesn't fit, each stage settles the few demands
-    that its halvings could ask for and walks over the answers. The flags tell whether the
+    that its halvings could ask for and walks over the answers. In networks of several regions drivers are
+    settled around their origins if none of them gets to the edge of that. The flags tell whether the
     ways of the demand behind each figure came to rest (else they oscillate); null where no demand fits.
     """
     grid = 1 << sum(stages)
@@ -132,13 +136,28 @@ def selfish(arcs: DataFrame, weights: DataFrame, targets: DataFrame, managed: Da
         arcs = off.core.withColumnRenamed("cost", "t0")
         weights, stubs = (written(df, "selfish-origins") for df in hung(off.levels, weights))
     regions = of_arcs(arcs, others=(weights, targets)) if regions is None else regions
+    parted = regions.select("region").distinct().count() > 1
+    near = Nearby(arcs, weights.filter("w > 0"), targets) if parted else ()
 
     def settled(asked: DataFrame) -> DataFrame:
         """Scenarios (of, kind, k, d) as units of one run: their fit and delivery."""
-        each = written(asked.select("of", F.struct("of", "kind", "k").alias("unit"), "d"), "selfish-scenarios")
-        spread = lambda df: df.withColumnRenamed("unit", "of").join(each.select("unit", "of"), "of").drop("of")
-        told = settle(*map(spread, (arcs, weights, targets)), each.select("unit", "d"), regions=regions, hung=None if stubs is None else spread(stubs))
-        return written(told.select("unit.of", "unit.kind", "unit.k", "delivered", "converged", F.expr("ratio <= 1 + 1e-9 AND unreachable <= 1e-12").alias("fits")), "selfish-told")
+        rest, told = written(asked.select("of", F.struct("of", "kind", "k").alias("unit"), "d"), "selfish-scenarios"), []
+
+        def routed(each: DataFrame, where: DataFrame, streets: DataFrame, origins: DataFrame, goals: DataFrame, edge: DataFrame | None = None) -> DataFrame:
+            spread = lambda df: None if df is None else df.withColumnRenamed("unit", "of").join(each.select("unit", "of"), "of").drop("of")
+            return settle(*map(spread, (streets, origins, goals)), each.select("unit", "d"), regions=where, hung=spread(stubs), edge=spread(edge))
+
+        for zone in near:
+            some = rest.join(zone.units.withColumnRenamed("unit", "of"), "of", "left_semi").select(rest.columns)
+            if some.isEmpty():
+                break
+            told.append(routed(some, zone.regions, zone.arcs, weights.filter("w > 0"), zone.targets, zone.edge))
+            rest = written(rest.join(told[-1].select("unit"), "unit", "left_anti").select(rest.columns), "selfish-scenarios")
+            if rest.isEmpty():
+                break
+        if not told or not rest.isEmpty():
+            told.append(routed(rest, regions, arcs, weights, targets))
+        return written(reduce(DataFrame.unionByName, told).select("unit.of", "unit.kind", "unit.k", "delivered", "converged", F.expr("ratio <= 1 + 1e-9 AND unreachable <= 1e-12").alias("fits")), "selfish-told")
 
     some = managed.filter("managed_vph > 0").select(F.col("unit").alias("of"), F.col("managed_vph").alias("most"))
     first = [("b", grid, 1.0)] + [("s", k, f) for k, f in enumerate(SCAN)]

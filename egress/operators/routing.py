@@ -27,13 +27,13 @@ INF = float("inf")
 TICK = 1e-9
 
 _ARC = pa.struct([("eid", pa.int64()), ("src", pa.int64()), ("dst", pa.int64()), ("there", pa.int64()), ("cap", pa.float64()), ("t0", pa.float64()), ("t", pa.float64()), ("load", pa.float64())])
-_NODE = pa.struct([("vid", pa.int64()), ("w", pa.float64()), ("sink", pa.bool_()), ("dist", pa.float64()), ("part", pa.float64())])
+_NODE = pa.struct([("vid", pa.int64()), ("w", pa.float64()), ("sink", pa.bool_()), ("edge", pa.bool_()), ("dist", pa.float64()), ("part", pa.float64())])
 _AROUND = pa.struct([("vid", pa.int64()), ("dist", pa.float64()), ("part", pa.float64())])
 _OUTER = pa.struct([("vid", pa.int64()), ("there", pa.int64())])
 _HUNG = pa.struct([("vid", pa.int64()), ("theta", pa.float64()), ("w", pa.float64())])
 _SENT = pa.struct([("vid", pa.int64()), ("there", pa.int64()), ("value", pa.float64())])
 _SQL = {
-    "arcs": "array<struct<eid:bigint,src:bigint,dst:bigint,there:bigint,cap:double,t0:double,t:double,load:double>>", "nodes": "array<struct<vid:bigint,w:double,sink:boolean,dist:double,part:double>>",
+    "arcs": "array<struct<eid:bigint,src:bigint,dst:bigint,there:bigint,cap:double,t0:double,t:double,load:double>>", "nodes": "array<struct<vid:bigint,w:double,sink:boolean,edge:boolean,dist:double,part:double>>",
     "around": "array<struct<vid:bigint,dist:double,part:double>>", "outer": "array<struct<vid:bigint,there:bigint>>", "hung": "array<struct<vid:bigint,theta:double,w:double>>", "sent": "array<struct<vid:bigint,there:bigint,value:double>>",
     "delivered": "double", "lost": "double", "ratio": "double", "mark": "string", "rounds": "int", "converged": "boolean",
 }
@@ -46,7 +46,7 @@ class Region:
     def __init__(self, demand: float, arcs: dict, nodes: dict, around: dict, outer: dict, hung: dict):
         self.demand = demand
         self.eid, self.src, self.dst, self.there, self.cap, self.t0, self.t, self.load = (arcs[c].tolist() for c in ("eid", "src", "dst", "there", "cap", "t0", "t", "load"))
-        self.vids, self.w, self.sink, self.dist, self.part = (nodes[c].tolist() for c in ("vid", "w", "sink", "dist", "part"))
+        self.vids, self.w, self.sink, self.edge, self.dist, self.part = (nodes[c].tolist() for c in ("vid", "w", "sink", "edge", "dist", "part"))
         self.index = {v: k for k, v in enumerate(self.vids)}
         self.known = {v: [d, p] for v, d, p in zip(*(around[c].tolist() for c in ("vid", "dist", "part")), strict=True)}
         self.outer = list(zip(outer["vid"].tolist(), outer["there"].tolist(), strict=True))
@@ -57,17 +57,23 @@ class Region:
         for d in self.dst:
             if d not in self.index:
                 self.known.setdefault(d, [INF, -1.0])
+        self.tail = [self.index[s] for s in self.src]
+        self.head = [self.index.get(d) for d in self.dst]
         self.out: list[list[int]] = [[] for _ in self.vids]
-        for e, s in enumerate(self.src):
-            self.out[self.index[s]].append(e)
+        self.into: list[list[int]] = [[] for _ in self.vids]
+        self.entries: dict[int, list[int]] = {}  # by the vertex across the border
+        for e, (a, b) in enumerate(zip(self.tail, self.head, strict=True)):
+            self.out[a].append(e)
+            (self.entries.setdefault(self.dst[e], []) if b is None else self.into[b]).append(e)
+        self.free = [max(t, TICK) for t in self.t0]
 
     @property
     def alone(self) -> bool:
         return not self.outer and not self.known
 
-    def _far(self, vid: int) -> float:
-        k = self.index.get(vid)
-        return self.known[vid][0] if k is None else self.dist[k]
+    def _far(self, e: int) -> float:
+        head = self.head[e]
+        return self.known[self.dst[e]][0] if head is None else self.dist[head]
 
     def _told(self, before: list[float], now: list[float], least: float) -> list[tuple[int, int, float]]:
         """What changed at the border, for the regions that have arcs into it."""
@@ -75,7 +81,10 @@ class Region:
 
     def start(self) -> list:
         """Times by the last round's loads, then distances afresh."""
-        self.t = [max(t0 * x / c if x > c and c > 0 else INF if x > c else t0, TICK) for t0, x, c in zip(self.t0, self.load, self.cap, strict=True)]
+        self.t = list(self.free)
+        for e, x in enumerate(self.load):
+            if x > 0 and x > self.cap[e]:
+                self.t[e] = max(self.t0[e] * x / self.cap[e], TICK) if self.cap[e] > 0 else INF
         self.load, self.dist, self.part = [0.0] * len(self.t), [INF] * len(self.vids), [-1.0] * len(self.vids)
         self.known = {v: [INF, -1.0] for v in self.known}
         return self.times([])
@@ -83,32 +92,30 @@ class Region:
     def times(self, news: list[tuple[int, float]]) -> list:
         for v, d in news:
             self.known[v][0] = min(self.known[v][0], d)
-        before, into = self.dist, {}
-        for e, d in enumerate(self.dst):
-            into.setdefault(d, []).append(e)
-        heap = [(0.0, v) for v, s in zip(self.vids, self.sink, strict=True) if s] + [(d, v) for v, (d, _) in self.known.items() if d < INF]
+        before, tail, t = self.dist, self.tail, self.t
+        dist = [0.0 if s else INF for s in self.sink]
+        first = [(0.0, self.into[v]) for v, s in enumerate(self.sink) if s] + [(d, self.entries[v]) for v, (d, _) in self.known.items() if d < INF and v in self.entries]
+        for d, arcs in first:
+            for e in arcs:
+                if d + t[e] < dist[tail[e]]:
+                    dist[tail[e]] = d + t[e]
+        heap = [(d, v) for v, (d, s) in enumerate(zip(dist, self.sink, strict=True)) if d < INF and not s]
         heapq.heapify(heap)
-        dist, done = [INF] * len(self.vids), set()
         while heap:
             d, v = heapq.heappop(heap)
-            if v in done:
+            if d > dist[v]:
                 continue
-            done.add(v)
-            if v in self.index:
-                dist[self.index[v]] = d
-            for e in into.get(v, ()):
-                if self.t[e] < INF and self.src[e] not in done:
-                    heapq.heappush(heap, (d + self.t[e], self.src[e]))
+            for e in self.into[v]:
+                if d + t[e] < dist[tail[e]]:
+                    dist[tail[e]] = d + t[e]
+                    heapq.heappush(heap, (d + t[e], tail[e]))
         self.dist = dist
         return self._told(before, dist, -1.0)
 
-    def next_arcs(self) -> list[int | None]:
-        """Each vertex's arc on the fastest way, the smaller id of equals; none at a target or without a way."""
-        out = []
-        for v, arcs in enumerate(self.out):
-            best = None if self.sink[v] else min(((self.t[e] + self._far(self.dst[e]), self.eid[e], e) for e in arcs if self.t[e] + self._far(self.dst[e]) < INF), default=None)
-            out.append(None if best is None else best[2])
-        return out
+    def next_arc(self, v: int) -> int | None:
+        """The arc on the fastest way, the smaller id of equals; none at a target or without a way."""
+        best = None if self.sink[v] else min(((self.t[e] + self._far(e), self.eid[e], e) for e in self.out[v] if self.t[e] + self._far(e) < INF), default=None)
+        return None if best is None else best[2]
 
     def loads(self, news: list[tuple[int, float]] | None) -> list:
         """Traffic of our own origins (``news`` None), or what came over the border, down the tree of next arcs."""
@@ -117,29 +124,25 @@ class Region:
             flow = [w * self.demand if d < INF and not s else 0.0 for w, d, s in zip(self.w, self.dist, self.sink, strict=True)]
         for v, x in news or []:
             flow[self.index[v]] += x
-        after, sent = self.next_arcs(), {}
+        sent = {}
         for v in sorted(range(len(flow)), key=lambda v: (-self.dist[v], v)):
-            e = after[v]
-            if flow[v] > 0 and e is not None:
+            e = self.next_arc(v) if flow[v] > 0 else None
+            if e is not None:
                 self.load[e] += flow[v]
-                head = self.index.get(self.dst[e])
-                if head is None:
+                if self.head[e] is None:
                     sent[self.dst[e], self.there[e]] = sent.get((self.dst[e], self.there[e]), 0.0) + flow[v]
                 else:
-                    flow[head] += flow[v]
+                    flow[self.head[e]] += flow[v]
         return [(v, t, x) for (v, t), x in sent.items()]
 
     def throttles(self, news: list[tuple[int, float]]) -> list:
-        """The least part served on the way from each loaded vertex, as far as it is known."""
+        """The least part served on the way from each loaded vertex, as far as it is known. A loaded arc is its tail's next."""
         for v, p in news:
             self.known[v][1] = p
-        before, part, after = self.part, [1.0 if s else -1.0 for s in self.sink], self.next_arcs()
-        for v in sorted(range(len(part)), key=lambda v: (self.dist[v], v)):
-            e = after[v]
-            if e is not None and self.load[e] > 0:
-                head = self.index.get(self.dst[e])
-                on = self.known[self.dst[e]][1] if head is None else part[head]
-                part[v] = -1.0 if on < 0 else min(on, 1.0, self.cap[e] / max(self.load[e], 1e-9))
+        before, part = self.part, [1.0 if s else -1.0 for s in self.sink]
+        for e in sorted((e for e, x in enumerate(self.load) if x > 0), key=lambda e: (self.dist[self.tail[e]], self.tail[e])):
+            on = self.known[self.dst[e]][1] if self.head[e] is None else part[self.head[e]]
+            part[self.tail[e]] = -1.0 if on < 0 else min(on, 1.0, self.cap[e] / max(self.load[e], 1e-9))
         self.part = part
         return self._told(before, part, -0.5)
 
@@ -152,11 +155,14 @@ class Region:
         ways = sorted((s, e) for s, e, x in zip(self.src, self.eid, self.load, strict=True) if x > 0)
         return delivered, lost, ratio, hashlib.blake2b(np.array(ways, "<i8").tobytes(), digest_size=16).hexdigest()
 
-    def settled(self, most: int) -> tuple[float, float, float, str, int, bool]:
-        """All rounds of a unit that lies within the region; the summary at its end, rounds, and whether the ways stayed the same."""
-        first, told = {}, []
+    def settled(self, most: int) -> tuple[float | str | int | bool | None, ...]:
+        """All rounds of a unit that lies within the region; the summary at its end, rounds, and whether the ways stayed the same. No rounds if drivers would ever get to the edge."""
+        first, told, rim = {}, [], [e for e, v in enumerate(self.head) if self.edge[v]]
         while True:
-            self.start(), self.loads(None), self.throttles([])
+            self.start(), self.loads(None)
+            if any(self.load[e] > 0 for e in rim):
+                return (None,) * 6
+            self.throttles([])
             delivered, lost, ratio, mark = self.summary()
             told.append((delivered, ratio))
             if mark in first or len(told) == most:
@@ -167,7 +173,7 @@ class Region:
     def state(self) -> tuple[dict, dict, dict]:
         return (
             {"eid": self.eid, "src": self.src, "dst": self.dst, "there": self.there, "cap": self.cap, "t0": self.t0, "t": self.t, "load": self.load},
-            {"vid": self.vids, "w": self.w, "sink": self.sink, "dist": self.dist, "part": self.part},
+            {"vid": self.vids, "w": self.w, "sink": self.sink, "edge": self.edge, "dist": self.dist, "part": self.part},
             {"vid": list(self.known), "dist": [d for d, _ in self.known.values()], "part": [p for _, p in self.known.values()]},
         )
 
@@ -199,13 +205,16 @@ def _phase(name: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def _laid(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataFrame, regions: DataFrame, hung: DataFrame | None) -> DataFrame:
+def _laid(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataFrame, regions: DataFrame, hung: DataFrame | None, edge: DataFrame | None = None) -> DataFrame:
     """Rows (unit, region, d, arcs, nodes, around, outer, hung), once for all rounds."""
     ends = written(_placed(_placed(arcs.select("unit", "eid", "src", "dst", F.col("cap").cast("double").alias("cap"), F.col("t0").cast("double").alias("t0")).filter("src != dst"), regions, "src", "region"), regions, "dst", "there"), "routes-arcs")
     zero, no = F.lit(0.0).alias("w"), F.lit(False).alias("sink")
-    marks = ends.select("unit", F.col("src").alias("vid"), zero, no).union(ends.select("unit", "dst", zero, no)).union(weights.select("unit", "vid", F.col("w").cast("double"), no)).union(targets.select("unit", "vid", zero, F.lit(True)))
-    nodes = _placed(marks.groupBy("unit", "vid").agg(F.sum("w").alias("w"), F.max("sink").alias("sink")), regions, "vid", "region")
-    held = nodes.groupBy("unit", "region").agg(F.array_sort(F.collect_list(F.struct("vid", "w", "sink", F.lit(INF).alias("dist"), F.lit(-1.0).alias("part")))).alias("nodes"))
+    inside = F.lit(False).alias("edge")
+    marks = ends.select("unit", F.col("src").alias("vid"), zero, no, inside).union(ends.select("unit", "dst", zero, no, inside)).union(weights.select("unit", "vid", F.col("w").cast("double"), no, inside)).union(targets.select("unit", "vid", zero, F.lit(True), inside))
+    if edge is not None:
+        marks = marks.union(edge.select("unit", "vid", zero, F.lit(True), F.lit(True)))
+    nodes = _placed(marks.groupBy("unit", "vid").agg(F.sum("w").alias("w"), F.max("sink").alias("sink"), F.max("edge").alias("edge")), regions, "vid", "region")
+    held = nodes.groupBy("unit", "region").agg(F.array_sort(F.collect_list(F.struct("vid", "w", "sink", "edge", F.lit(INF).alias("dist"), F.lit(-1.0).alias("part")))).alias("nodes"))
     own = ends.groupBy("unit", "region").agg(F.array_sort(F.collect_list(F.struct("eid", "src", "dst", "there", "cap", "t0", F.col("t0").alias("t"), F.lit(0.0).alias("load")))).alias("arcs"))
     outer = ends.filter("region != there").select("unit", F.col("there").alias("region"), F.col("dst").alias("vid"), F.col("region").alias("there")).distinct().groupBy("unit", "region").agg(F.array_sort(F.collect_list(F.struct("vid", "there"))).alias("outer"))
     rows = held.join(own, ["unit", "region"], "left").join(outer, ["unit", "region"], "left").join(demand.select("unit", F.col("d").cast("double").alias("d")), "unit")
@@ -218,7 +227,7 @@ def _laid(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataF
     return written(by_region(rows).select("unit", "region", "d", F.coalesce("arcs", none["arcs"]).alias("arcs"), "nodes", none["around"].alias("around"), F.coalesce("outer", none["outer"]).alias("outer"), F.coalesce("hung", none["hung"]).alias("hung")), "routes-regions")
 
 
-def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataFrame, most_rounds: int = 60, regions: DataFrame | None = None, hung: DataFrame | None = None) -> DataFrame:
+def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: DataFrame, most_rounds: int = 60, regions: DataFrame | None = None, hung: DataFrame | None = None, edge: DataFrame | None = None) -> DataFrame:
     """(unit, ratio, delivered, unreachable, rounds, converged) of drivers who each take the fastest path at the last round's congested times.
 
     Arcs (unit, eid, src, dst, cap, t0), weights (unit, vid, w) that sum to 1, demand (unit, d).
@@ -229,11 +238,13 @@ def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: Data
     target have no arc to deliver over, and those without a way out deliver nothing either;
     only the latter are unreachable. All units settle side by side. ``regions``: (vid, region), else by id.
     ``hung``: (unit, vid, theta, w), what :func:`egress.operators.deadends.hung` says of the dead ends that were taken off; their weights are part of ``weights``.
+    ``edge``: (unit, vid), where the network around the origins (:mod:`egress.operators.nearby`) ends, all in one region. Each is as near as a target;
+    a unit in which drivers ever go there is left out, in the others everyone goes as in the whole network.
     """
     kind = arcs.schema["unit"].dataType.simpleString()
     schema = ", ".join([f"unit {kind}, region bigint, d double", *(f"{k} {v}" for k, v in _SQL.items()), "open boolean"])
     regions = of_arcs(arcs) if regions is None else regions
-    state, silence = _laid(arcs, weights, targets, demand, regions, hung), F.array().cast(_NEWS)
+    state, silence = _laid(arcs, weights, targets, demand, regions, hung, edge), F.array().cast(_NEWS)
     columns, history, done, last = ["unit", "region", "d", "arcs", "nodes", "around", "outer", "hung"], [], [], state
 
     n = state.count()
@@ -248,7 +259,8 @@ def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: Data
             news = told.select("unit", F.explode("sent").alias("s")).groupBy("unit", F.col("s.there").alias("region")).agg(F.collect_list(F.struct("s.vid", "s.value")).alias("news"))
             rows = rows.join(news, ["unit", "region"], "left").withColumn("news", F.coalesce("news", silence))
         seen = Observation()
-        out = written(by_region(rows, n).mapInArrow(_phase(name, most_rounds), schema).observe(seen, F.count_if(F.size("sent") > 0).alias("sent"), F.count_if("open").alias("open")), "routes-phase")
+        dealt = by_region(rows, n) if edge is None else rows.repartition(4 * n + 1, "unit", "region")
+        out = written(dealt.mapInArrow(_phase(name, most_rounds), schema).observe(seen, F.count_if(F.size("sent") > 0).alias("sent"), F.count_if("open").alias("open")), "routes-phase")
         released(last)
         last = out
         return out, seen.get
@@ -260,7 +272,7 @@ def settle(arcs: DataFrame, weights: DataFrame, targets: DataFrame, demand: Data
             done.append(written(alone, "settle-ended"))
             if not seen["open"]:
                 break
-            table = table.filter("rounds IS NULL")
+            table = table.filter("open")
         for phase in ("times", "loads", "throttles"):
             if phase != "times":
                 table, seen = run(f"own {phase}", table)
