@@ -72,3 +72,15 @@ def test_what_is_too_large_for_a_task_is_worked_whole(spark, monkeypatch, jobs):
     arcs, weights, targets, where = town(spark)
     got = {r.unit: r.managed_vph for r in flow.managed(arcs, weights, targets, regions=where)[0].collect()}
     assert jobs["flow-state"] and got == pytest.approx({r.unit: r.managed_vph for r in flow.managed(arcs, weights, targets)[0].collect()})
+
+
+def test_access_around_origins(spark, monkeypatch, jobs):
+    """Flows, cuts and times; before, Python held every region of the network."""
+    monkeypatch.setattr(nearby, "HOPS", 2)
+    arcs, weights, targets, where = town(spark)
+    told = lambda **more: {r.unit: tuple(r)[1:] for r in flow.accessibility(arcs, weights, targets, 2, **more).collect()}
+    got = told(regions=where)
+    assert not jobs["flow-state"] and not jobs["distances"]
+    want = told()
+    assert {u: x[:4] for u, x in got.items()} == {u: x[:4] for u, x in want.items()} and len(got) == 5
+    assert all(got[u][4:] == pytest.approx(want[u][4:]) for u in "0123") and got["4"][5] and want["4"][5]
