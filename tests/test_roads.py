@@ -8,6 +8,7 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,44 @@ def test_removal_by_components(spark, monkeypatch):
     assert run(30) == want
 
 
+@pytest.mark.parametrize("way", ["packed", "bands", "far ids"])
+def test_curves_without_ranks(spark, monkeypatch, way):
+    """Orders by keys with ties tell what their ranks tell, without ranking all vertices; so do bands, and ids that are far between."""
+    rnd = random.Random(11)
+    vids = [k * (10**12 if way == "far ids" else 1) for k in range(-40, 120)]
+    edges = sorted({tuple(sorted(rnd.sample(vids, 2))) for _ in range(200)})
+    hot = {v: rnd.choice([-(5 << 31), -(1 << 31) - 3, 7, 7, 8, 2**31 + 40_000]) for v in vids}
+    table, links = spark.createDataFrame([(v, hot[v], rnd.randrange(4)) for v in vids], "vid long, hot long, few long").cache(), spark.createDataFrame(edges, "src long, dst long").cache()
+    few = {r.vid: r.few for r in table.collect()}
+    ranks = [(o, v, k + 1) for o, key in (("a", hot), ("b", few)) for k, v in enumerate(sorted(vids, key=lambda v: (key[v], v)))]
+    permille = [0, 60, 110, 111, 350, 500, 1000]
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want = plain(removal.removal_curves(table, links, spark.createDataFrame(ranks, "order_name string, vid long, rnk long"), permille))
+    of_edges = [("e", *e, k + 1) for k, e in enumerate(sorted(edges, key=lambda e: ((e[0] + e[1]) % 5, e)))]
+    want_edges = plain(removal.removal_curves(table, links, spark.createDataFrame(of_edges, "order_name string, src long, dst long, rnk long"), permille, "edge"))
+    monkeypatch.setattr(removal, "WHOLE", 0 if way == "bands" else 128)
+    if way == "packed":
+        monkeypatch.setattr(removal, "ranked", None)
+        monkeypatch.setattr(removal, "labelled_links", None)
+    assert plain(removal.curves_by_keys(table, links, {"a": F.col("hot"), "b": F.col("few")}, permille, chunk=20)) == want
+    assert plain(removal.curves_by_keys(table, links, {"e": F.pmod(F.col("src") + F.col("dst"), F.lit(5))}, permille, "edge", chunk=20)) == want_edges
+
+
+def test_sets_joined_as_arrays():
+    """Links joined as arrays come to the sets and sizes of links joined one by one."""
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (50, 20), (400, 300), (400, 2000)):
+        a, b = rng.integers(0, n, (2, m)).astype(np.int32)
+        parent, size = np.arange(n, dtype=np.int32), np.ones(n, np.int32)
+        for k in range(0, m, 130):
+            removal.join_all(parent, size, a[k : k + 130], b[k : k + 130])
+        sets = removal._Sets()
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            sets.join(x, y)
+        assert sorted(size[size > 1].tolist()) == sorted(s for s in sets.size.values() if s > 1) and size.sum() == n
+        assert removal._two(size) == sets.largest()
+
+
 def test_random_orders_differ(spark):
     """Two seeds give different orders, and ids below zero are drawn as others are."""
     nodes = spark.range(-400, 400).withColumnRenamed("id", "vid")
