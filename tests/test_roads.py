@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from egress.functions import geo, roads
 from egress.functions.ranks import ranked
-from egress.operators import communities, evacuation, flow, graph, hazard, regions, removal, routing, spatial
+from egress.operators import communities, evacuation, flow, graph, hazard, hops, regions, removal, routing, spatial
 from egress.operators.components import components, labelled_links
 from egress.plans import queries
 from egress.sources import roads as sources
@@ -588,6 +588,50 @@ def test_efficiency_curve_by_component(spark, monkeypatch):
         assert {r.permille: r.e for r in told.collect()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_pairs_apart(monkeypatch, directed):
+    """Searches that carry all sources as bits count the pairs of plain searches; hubs, lone vertices and several blocks included."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(hops, "NEIGHBOURS", 3)
+    for n, m, asked in ((1, 0, 1), (60, 50, 60), (300, 700, 300), (300, 320, 41)):
+        tail, head = rng.integers(0, n, (2, m))
+        tail[: m // 6] = 0
+        if not directed:
+            tail, head = np.concatenate([tail, head]), np.concatenate([head, tail])
+        sources_, want = rng.permutation(n)[:asked], Counter()
+        out = defaultdict(set)
+        for a, b in zip(tail.tolist(), head.tolist(), strict=True):
+            out[a].add(b)
+        for s in sources_.tolist():
+            depth, order = {s: 0}, [s]
+            for v in order:
+                for w in out[v] - depth.keys():
+                    depth[w] = depth[v] + 1
+                    order.append(w)
+            want.update(d for d in depth.values() if d)
+        for words in (1, 3 * n):
+            assert hops.apart(n, tail, head, sources_, words) == [want[d] for d in range(1, max(want, default=0) + 1)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_efficiency_between_all_vertices(spark):
+    """curve_with_e takes every vertex for a source, in code and SQL."""
+    whole, around, total = Whole(), defaultdict(list), 0.0
+    for a, b in whole.edges:
+        around[a].append(b), around[b].append(a)
+    for s in whole.nodes:
+        depth, order = {s: 0}, [s]
+        for v in order:
+            for w in around[v]:
+                if w not in depth:
+                    depth[w] = depth[v] + 1
+                    order.append(w)
+        total += sum(1 / d for d in depth.values() if d)
+    n, told = len(whole.nodes), {r.permille: r.e for r in queries.QUERIES["curve_with_e"](spark, SF).collect()}
+    assert told[0] == pytest.approx(total / (n * (n - 1)), abs=1e-9) and told[200] is not None
+    assert "LIMIT" not in queries.ORACLES["curve_with_e"]
+
+
 def test_links_labelled_in_ranges(spark, monkeypatch):
     """Ranges of ids that share nodes come to the components of all links."""
     pairs = [(k, k + 7) for k in range(40)] + [(500 + k, 501 + k) for k in range(0, 40, 2)] + [(-5, 3)]
