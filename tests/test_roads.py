@@ -562,6 +562,21 @@ def test_loads_by_component(spark, monkeypatch):
     assert loads(chunk=1) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("way", ["arrays", "levels"])
+def test_loads_of_a_large_component(spark, monkeypatch, way):
+    """A component that is too large to be dealt out is laid out in parts for some sources at a time, or goes by levels, to the same loads."""
+    rng = random.Random(8)
+    links = sorted({tuple(sorted(rng.sample(range(-30, 40), 2))) for _ in range(150)})
+    edges, asked = spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(v,) for v in sorted({a for a, _ in links})[::3]], "vid long")
+    want = {r.vid: r.load for r in graph.betweenness(edges, asked, 70).collect()}
+    monkeypatch.setattr(hops, "FAR", 1 << 10 if way == "arrays" else 0)
+    monkeypatch.setattr(hops, "STEP", 7)
+    if way == "arrays":
+        monkeypatch.setattr(graph, "_loads_by_levels", None)
+    told = {r.vid: r.load for r in graph.betweenness(edges, asked, 70, chunk=5).collect()}
+    assert told == pytest.approx(want) and len(asked.collect()) > hops.AT_ONCE
+
+
 def test_efficiency_curve_by_component(spark, monkeypatch):
     """All sources of a component are searched at once, by tasks or by masks of sources; arcs are never multiplied by sources."""
     rng = random.Random(5)
